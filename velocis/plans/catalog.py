@@ -47,27 +47,40 @@ def rounded(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return df.select(*out)
 
 
-def feature_sql(windows: WindowSet, amount: str = "amount", src_alias: str = "") -> list[str]:
-    """SQL for the 20 model features over a frame query's columns."""
+def feature_exprs(windows: WindowSet, amount: str = "amount", src_alias: str = "",
+                  as_columns: bool = False) -> dict[str, str]:
+    """Raw SQL expression of each of the 20 model features (vector order).
+
+    With ``as_columns`` the derived features are read as stored columns."""
     p = f"{src_alias}." if src_alias else ""
     s, lg = windows.short, windows.long
-    cols = []
+    out = {}
     for name in windows.feature_columns():
-        if name == "amount_zscore":
+        if as_columns and name != "current_amount":
+            expr = f"{p}{name}"
+        elif name == "amount_zscore":
             expr = (f"CASE WHEN {p}amount_std_{lg}s >= 1e-9 THEN ({amount} - {p}amount_mean_{lg}s) / "
                     f"{p}amount_std_{lg}s ELSE 0.0 END")
         elif name == "velocity_change_ratio":
             expr = (f"CAST({p}txn_count_{s}s AS DOUBLE) / CAST(greatest({p}txn_count_{lg}s, 1) AS DOUBLE) * 60.0")
         elif name == "current_amount":
             expr = amount
-        elif name == "geo_distance_delta":
-            expr = f"{p}geo_distance_delta"
         else:
             expr = f"{p}{name}"
+        zero = "0" if integer_feature(name) else "0.0"
+        out[name] = f"coalesce({expr}, {zero})"
+    return out
+
+
+def feature_sql(windows: WindowSet, amount: str = "amount", src_alias: str = "",
+                as_columns: bool = False) -> list[str]:
+    """SQL for the 20 model features over a frame query's columns."""
+    cols = []
+    for name, expr in feature_exprs(windows, amount, src_alias, as_columns).items():
         if integer_feature(name):
-            cols.append(f"CAST(coalesce({expr}, 0) AS BIGINT) AS {name}")
+            cols.append(f"CAST({expr} AS BIGINT) AS {name}")
         else:
-            cols.append(f"round(CAST(coalesce({expr}, 0.0) AS DOUBLE), {ROUND}) AS {name}")
+            cols.append(f"round(CAST({expr} AS DOUBLE), {ROUND}) AS {name}")
     return cols
 
 

@@ -1,7 +1,7 @@
 """Import every query module so that ``catalog.QUERIES`` is complete."""
 
 from velocis.plans import catalog
-from velocis.plans import rolling_queries  # noqa: F401
+from velocis.plans import function_queries, rolling_queries, serving_queries  # noqa: F401
 
 
 def all_queries():
