@@ -153,10 +153,11 @@ def average_precision(scored: DataFrame, score: str = "score", label: str = "lab
 
 def classification_report(scored: DataFrame, score: str = "score", label: str = "label",
                           threshold: float = 0.5) -> DataFrame:
-    """Precision, recall, F1, support per class, accuracy, macro and weighted
-    averages at a threshold (M8); 0 where a denominator is 0. One aggregate."""
+    """Precision, recall, F1, support per class (``legit``, ``fraud``),
+    accuracy, macro and weighted averages, predicting fraud when
+    ``score > threshold`` (M8); 0 where a denominator is 0. One aggregate."""
     y = F.col(label).cast("int")
-    yhat = (F.col(score) >= F.lit(threshold)).cast("int")
+    yhat = (F.col(score) > F.lit(threshold)).cast("int")
     a = scored.agg(
         F.sum(((y == 1) & (yhat == 1)).cast("long")).alias("tp"),
         F.sum(((y == 0) & (yhat == 1)).cast("long")).alias("fp"),
@@ -171,7 +172,7 @@ def classification_report(scored: DataFrame, score: str = "score", label: str =
     p0, r0 = safe(tn, tn + fn), safe(tn, tn + fp)
     f1 = lambda p, r: safe(2 * p * r, p + r)
     s1, s0 = tp + fn, tn + fp
-    rows = [("0", p0, r0, f1(p0, r0), s0), ("1", p1, r1, f1(p1, r1), s1),
+    rows = [("legit", p0, r0, f1(p0, r0), s0), ("fraud", p1, r1, f1(p1, r1), s1),
             ("macro avg", (p0 + p1) / 2, (r0 + r1) / 2, (f1(p0, r0) + f1(p1, r1)) / 2, s0 + s1),
             ("weighted avg", safe(p0 * s0 + p1 * s1, s0 + s1), safe(r0 * s0 + r1 * s1, s0 + s1),
              safe(f1(p0, r0) * s0 + f1(p1, r1) * s1, s0 + s1), s0 + s1),
@@ -182,15 +183,15 @@ def classification_report(scored: DataFrame, score: str = "score", label: str =
 
 
 def feature_importances(model, spark: SparkSession, windows: WindowSet = DEFAULT) -> DataFrame:
-    """(feature, importance) of a fitted tree pipeline (M9)."""
+    """(position, feature, importance) of a fitted tree pipeline (M9)."""
     imp = model.stages[-1].featureImportances.toArray().tolist()
-    return spark.createDataFrame(list(zip(windows.feature_columns(), [float(v) for v in imp])),
-                                 "feature string, importance double")
+    rows = [(i, n, float(v)) for i, (n, v) in enumerate(zip(windows.feature_columns(), imp))]
+    return spark.createDataFrame(rows, "position int, feature string, importance double")
 
 
 def top_features(importances: DataFrame, k: int = 5) -> DataFrame:
-    """Top-k features by importance, ties by name (K1)."""
-    return importances.orderBy(F.desc("importance"), F.asc("feature")).limit(k)
+    """Top-k features by importance, ties in vector order (K1)."""
+    return importances.orderBy(F.desc("importance"), F.asc("position")).limit(k)
 
 
 def save_bundle(model, path: str, meta: dict) -> None:

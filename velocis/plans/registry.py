@@ -1,7 +1,9 @@
 """Import every query module so that ``catalog.QUERIES`` is complete."""
 
 from velocis.plans import catalog
-from velocis.plans import function_queries, rolling_queries, scoring_queries, serving_queries  # noqa: F401
+from velocis.plans import (  # noqa: F401
+    function_queries, rolling_queries, scoring_queries, serving_queries, training_queries,
+)
 
 
 def all_queries():
