@@ -29,8 +29,10 @@ def haversine_km(lat1, lon1, lat2, lon2) -> Column:
     dlam = F.radians(lon2 - lon1) / 2
     a = F.sin(dphi) * F.sin(dphi) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(dlam) * F.sin(dlam)
     d = F.lit(2.0 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
-    missing = ((lat1 == 0) & (lon1 == 0)) | ((lat2 == 0) & (lon2 == 0))
-    return F.when(missing, F.lit(0.0)).otherwise(F.coalesce(d, F.lit(0.0)))
+    # least() skips nulls, so a null coordinate must be caught before it
+    missing = (lat1.isNull() | lon1.isNull() | lat2.isNull() | lon2.isNull()
+               | ((lat1 == 0) & (lon1 == 0)) | ((lat2 == 0) & (lon2 == 0)))
+    return F.when(missing, F.lit(0.0)).otherwise(d)
 
 
 def decision(p) -> Column:

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from velocis.session import ship_package
+
 
 def _local_running(group_cols: list[str], weights: list[str]):
     def run(it):
@@ -65,6 +67,7 @@ def ranked(df: DataFrame, value: str, weights: dict[str, F.Column] | None = None
     weights = weights or {"n": F.lit(1)}
     names = list(weights)
     spark = df.sparkSession
+    ship_package(spark)
     p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = (df.where(F.col(value).isNotNull())
          .groupBy(*group, value)

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from velocis.functions.scalar import confidence, decision, explanation_map, is_fraud
 from velocis.schemas import DEFAULT, DEFAULT_THRESHOLD, WindowSet
+from velocis.session import ship_package
 
 
 def model_vector(windows: WindowSet = DEFAULT) -> Column:
@@ -153,6 +154,7 @@ def score_with(df: DataFrame, predict_proba: Callable[[np.ndarray], np.ndarray],
             yield pdf
 
     spark = df.sparkSession
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
     return df.mapInPandas(run, schema)
 

@@ -28,8 +28,8 @@ def haversine_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
          f"cos(radians({lat1})) * cos(radians({lat2})) * "
          f"sin(radians({lon2} - {lon1}) / 2) * sin(radians({lon2} - {lon1}) / 2))")
     d = f"(12742.0 * asin(sqrt(least({a}, 1.0))))"
-    return (f"(CASE WHEN ({lat1} = 0 AND {lon1} = 0) OR ({lat2} = 0 AND {lon2} = 0) THEN 0.0 "
-            f"ELSE coalesce({d}, 0.0) END)")
+    return (f"(CASE WHEN {lat1} IS NULL OR {lon1} IS NULL OR {lat2} IS NULL OR {lon2} IS NULL "
+            f"OR ({lat1} = 0 AND {lon1} = 0) OR ({lat2} = 0 AND {lon2} = 0) THEN 0.0 ELSE {d} END)")
 
 
 def rolling_select(windows: tuple[int, int, int], src: str = "txn", stats: str = "snapshot",

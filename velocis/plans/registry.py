@@ -2,7 +2,7 @@
 
 from velocis.plans import catalog
 from velocis.plans import (  # noqa: F401
-    function_queries, rolling_queries, scoring_queries, serving_queries, training_queries,
+    function_queries, rolling_queries, scoring_queries, serving_queries, stream_queries, training_queries,
 )
 
 

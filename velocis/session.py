@@ -32,6 +32,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     On a cluster ``master`` stays None and the launcher decides; tests pass
     ``local[*]`` and a small shuffle partition count.
     """
+    _export_pythonpath()
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
@@ -46,6 +47,16 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+def _export_pythonpath() -> None:
+    """Put the package root on PYTHONPATH before the JVM starts, so Python
+    processes the JVM launches (workers, the streaming runner that sets up
+    stateful processors) can import the package."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    cur = os.environ.get("PYTHONPATH", "")
+    if root not in cur.split(os.pathsep):
+        os.environ["PYTHONPATH"] = root + (os.pathsep + cur if cur else "")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, creating a scratch one only if unset."""
     d = spark.conf.get("spark.checkpoint.dir", None)
@@ -63,3 +74,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint location for written tables."""
     base = checkpoint_dir(spark)
     return os.path.join(base, name) if "://" not in base else base.rstrip("/") + "/" + name
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Ship this package to the executors' Python workers (``addPyFile`` of
+    a zip built once per application), as ``--py-files`` would; needed by
+    the operators that run Python on executors (pandas functions, the
+    stateful processor)."""
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import zipfile
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    fd, zpath = tempfile.mkstemp(prefix="velocis-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(app)
