@@ -75,11 +75,11 @@ def _frame_cols(windows: WindowSet, key: str, amount: Column, merchant: Column,
 
 
 def _prev_chain(key: str) -> Column:
-    """Last event (struct tid, lat, lon) strictly before this row."""
+    """Last event (struct tid, lat, lon, us) strictly before this row."""
     w_prev = (Window.partitionBy(key, "split").orderBy("us", "side", "tid")
               .rowsBetween(Window.unboundedPreceding, -1))
     ev = F.when(F.col("side") == 0, F.struct(F.col("tid").alias("tid"), F.col("latitude").alias("lat"),
-                                             F.col("longitude").alias("lon")))
+                                             F.col("longitude").alias("lon"), F.col("us").alias("us")))
     return F.last(ev, ignorenulls=True).over(w_prev)
 
 
@@ -92,7 +92,7 @@ def _frame_rows(txn: DataFrame, key: str) -> DataFrame:
 def rolling_features(txn: DataFrame, windows: WindowSet = DEFAULT, key: str = "entity_id",
                      max_events: int | None = None, stats: str = "snapshot",
                      hot_rows: int | None = skew.DEFAULT_HOT_ROWS,
-                     unique_all: bool = False) -> DataFrame:
+                     unique_all: bool = False, idle_ttl_s: float | None = None) -> DataFrame:
     """Feature log: one row per transaction with the rolling features as of
     the transaction itself (the transaction counts in its own windows, as on
     the ingest path), the z-score of its amount against the long window, the
@@ -102,6 +102,8 @@ def rolling_features(txn: DataFrame, windows: WindowSet = DEFAULT, key: str = "e
     Output: ``entity_id, transaction_id, us, computed_at`` + feature columns +
     ``merchant_category, latitude, longitude, prev_latitude, prev_longitude``.
     ``max_events`` caps every frame at the entity's last N events (W2).
+    ``idle_ttl_s`` (>= the longest window) forgets the previous location
+    after a longer gap, as the stream's idle expiry does (T6).
     """
     rows = _frame_rows(txn, key)
     long_us = max(windows.lengths) * MICROS
@@ -117,8 +119,14 @@ def rolling_features(txn: DataFrame, windows: WindowSet = DEFAULT, key: str = "e
         rows = rows.join(entry.select(key, "split", F.col("d1").alias("_d1")), [key, "split"], "left")
         prev_lat = F.coalesce(F.col("_prev.lat"), F.col("_d1.latitude"))
         prev_lon = F.coalesce(F.col("_prev.lon"), F.col("_d1.longitude"))
+        prev_us = F.coalesce(F.col("_prev.us"), F.col("_d1.us"))
     else:
-        prev_lat, prev_lon = F.col("_prev.lat"), F.col("_prev.lon")
+        prev_lat, prev_lon, prev_us = F.col("_prev.lat"), F.col("_prev.lon"), F.col("_prev.us")
+    if idle_ttl_s is not None:
+        if idle_ttl_s < max(windows.lengths):
+            raise ValueError("idle_ttl_s must be at least the longest window")
+        fresh = F.col("us") - prev_us <= F.lit(int(idle_ttl_s * MICROS))
+        prev_lat, prev_lon = F.when(fresh, prev_lat), F.when(fresh, prev_lon)
     rows = rows.withColumn("prev_latitude", prev_lat).withColumn("prev_longitude", prev_lon)
 
     lg, sh = windows.long, windows.short

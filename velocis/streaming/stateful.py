@@ -118,11 +118,17 @@ class RollingFeatureProcessor(StatefulProcessor):
         mer = np.concatenate([st["merchant"].to_numpy(dtype=object), new["merchant_id"].to_numpy(dtype=object)])
         ws = self.windows
         pos = np.arange(len(us))
+        alive = np.ones(len(us), dtype=bool)
         out = []
         for i in range(len(new)):
             j = n_old + i
             t, own = us[j], tid[j]
-            seen = pos <= j                         # kept rows and new rows up to this one
+            if self.idle_us is not None:
+                earlier = alive & (pos < j)
+                if earlier.any() and t - us[earlier].max() > self.idle_us:
+                    alive[:j] = False               # idle gap: the entity starts afresh
+                    meta = None
+            seen = (pos <= j) & alive               # kept rows and new rows up to this one
             avail = seen | (us == t)                # plus same-time rows of this batch (RANGE peers)
             before = seen & _key_lt(us, tid, t, own)
             keys_le = before | (pos == j)
@@ -158,7 +164,8 @@ class RollingFeatureProcessor(StatefulProcessor):
             rec["latitude"], rec["longitude"] = float(lat[j]), float(lon[j])
             rec["prev_latitude"], rec["prev_longitude"] = plat, plon
             out.append(rec)
-        self._update_state(us, tid, amt, lat, lon, mer, meta)
+        keep = alive
+        self._update_state(us[keep], tid[keep], amt[keep], lat[keep], lon[keep], mer[keep], meta)
         yield pd.DataFrame(out, columns=[f.name for f in output_schema(ws).fields])
 
     def _update_state(self, us, tid, amt, lat, lon, mer, meta) -> None:
