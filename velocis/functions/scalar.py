@@ -80,8 +80,14 @@ def epoch_micros(ts) -> Column:
 
 
 def ntz_epoch_micros(ts) -> Column:
-    """Epoch microseconds of a TIMESTAMP_NTZ column, read as UTC wall time."""
-    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), _c(ts))
+    """Epoch microseconds of a TIMESTAMP_NTZ column, its wall time read as
+    UTC. Built from date and time-of-day parts, which involve no time zone
+    (a cast to TIMESTAMP would use the session zone and its DST shifts)."""
+    ts = _c(ts)
+    day_us = F.unix_date(ts.cast("date")).cast("long") * F.lit(86_400_000_000)
+    tod_us = (F.hour(ts).cast("long") * 3_600_000_000 + F.minute(ts).cast("long") * 60_000_000
+              + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long"))
+    return day_us + tod_us
 
 
 def epoch_millis(ts) -> Column:

@@ -53,12 +53,12 @@ def point_in_time_features(events: DataFrame, requests: DataFrame, windows: Wind
     entry = skew.entry_table(skew.assign_split(ev, plan, replicate=False), plan,
                              ["latitude", "longitude"], second=True)
     loc = lambda s: F.struct(F.col(f"{s}.tid").alias("tid"), F.col(f"{s}.latitude").alias("lat"),
-                             F.col(f"{s}.longitude").alias("lon"))
+                             F.col(f"{s}.longitude").alias("lon"), F.col(f"{s}.us").alias("us"))
     if entry is not None:
         e = entry.select(key, "split", loc("d1").alias("_d1"), loc("d2").alias("_d2"))
         rows = rows.join(F.broadcast(e) if plan.broadcast else e, [key, "split"], "left")
     else:
-        null_loc = F.lit(None).cast("struct<tid:string,lat:double,lon:double>")
+        null_loc = F.lit(None).cast("struct<tid:string,lat:double,lon:double,us:bigint>")
         rows = rows.withColumn("_d1", null_loc).withColumn("_d2", null_loc)
 
     is_ev = F.col("side") == 0

@@ -214,6 +214,9 @@ def rolling_features_stateful(txn: DataFrame, windows: WindowSet = DEFAULT, max_
             "latitude", "longitude"]
     src = txn.select(*cols, "event_ts") if event_time else txn.select(*cols)
     ship_package(txn.sparkSession)
+    # the state-store coordinator lives in the streaming query manager; make
+    # sure it exists when the processor runs on a static DataFrame
+    txn.sparkSession.streams._jsqm.active()
     proc = RollingFeatureProcessor(windows, max_events, lateness_s, idle_ttl_s, timers=event_time)
     return src.groupBy("entity_id").transformWithStateInPandas(
         statefulProcessor=proc, outputStructType=output_schema(windows), outputMode="Append",
