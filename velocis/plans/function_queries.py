@@ -225,3 +225,25 @@ def q_explain_map(spark, sf_dir):
 
 
 __all__ = ["LinearScorer"]
+
+
+@register("sql_functions", f"""WITH {TXN}
+SELECT transaction_id,
+  round({haversine_sql(str(REF_LAT), str(REF_LON), 'latitude', 'longitude')}, {ROUND}) AS km_from_ref,
+  CASE WHEN (amount % 100) / 100.0 < 0.2 THEN 'APPROVE' WHEN (amount % 100) / 100.0 < 0.5 THEN 'REVIEW'
+       ELSE 'DECLINE' END AS decision,
+  round(CASE WHEN (amount % 100) / 100.0 < 0.2 THEN 1.0 - (amount % 100) / 100.0
+             WHEN (amount % 100) / 100.0 < 0.5 THEN 0.5 ELSE (amount % 100) / 100.0 END, {ROUND}) AS confidence,
+  (amount % 100) / 100.0 > 0.5 AS is_fraud
+FROM txn""")
+def q_sql_functions(spark, sf_dir):
+    """The same scalar functions called from Spark SQL."""
+    from velocis.functions.sql import register_sql_functions
+    register_sql_functions(spark)
+    transactions(spark, sf_dir).createOrReplaceTempView("velocis_txn")
+    return spark.sql(f"""
+      SELECT transaction_id, round(haversine_km({REF_LAT}, {REF_LON}, latitude, longitude), {ROUND}) AS km_from_ref,
+        fraud_decision((amount % 100) / 100.0) AS decision,
+        round(fraud_confidence((amount % 100) / 100.0), {ROUND}) AS confidence,
+        fraud_flag((amount % 100) / 100.0) AS is_fraud
+      FROM velocis_txn""")

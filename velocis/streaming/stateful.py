@@ -67,10 +67,6 @@ def _haversine(lat1, lon1, lat2, lon2) -> float:
     return float(2.0 * EARTH_RADIUS_KM * np.arcsin(np.sqrt(min(a, 1.0))))
 
 
-def _key_lt(us_a, tid_a, us_b, tid_b) -> np.ndarray:
-    return (us_a < us_b) | ((us_a == us_b) & (tid_a < tid_b))
-
-
 class RollingFeatureProcessor(StatefulProcessor):
     """Stateful per-entity rolling features; see the module docstring."""
 
@@ -89,24 +85,9 @@ class RollingFeatureProcessor(StatefulProcessor):
         self.events = handle.getListState("events", EVENT_STATE)
         self.meta = handle.getValueState("meta", META_STATE)
 
-    def _frame(self, us, tid, avail, keys_le, t, w) -> np.ndarray:
-        """RANGE frame [t - w, t] over the available rows; when capped and
-        the range holds more than N rows, the last N rows by key instead."""
-        m = avail & (us >= t - w) & (us <= t)
-        if self.max_events and int(m.sum()) > self.max_events:
-            idx = np.nonzero(keys_le)[0]
-            order = np.lexsort((tid[idx], us[idx]))
-            m = np.zeros_like(m)
-            m[idx[order[-self.max_events:]]] = True
-        return m
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows), ignore_index=True)
-        new = new.sort_values(["us", "transaction_id"], kind="mergesort").reset_index(drop=True)
         meta = self.meta.get() if self.meta.exists() else None
-        if meta is not None and self.idle_us is not None and int(new["us"].iloc[0]) - meta[0] > self.idle_us:
-            self.events.clear()
-            meta = None
         st = pd.DataFrame(list(self.events.get()) if self.events.exists() else [],
                           columns=[f.name for f in EVENT_STATE.fields])
         n_old = len(st)
@@ -116,72 +97,77 @@ class RollingFeatureProcessor(StatefulProcessor):
         lat = np.concatenate([st["lat"].to_numpy(dtype=float), new["latitude"].to_numpy(dtype=float)])
         lon = np.concatenate([st["lon"].to_numpy(dtype=float), new["longitude"].to_numpy(dtype=float)])
         mer = np.concatenate([st["merchant"].to_numpy(dtype=object), new["merchant_id"].to_numpy(dtype=object)])
+        src = np.concatenate([np.full(n_old, -1), np.arange(len(new))])   # row of ``new`` or -1 for state
+        # one sort per batch: kept and new rows in (time, id) order
+        order = np.lexsort((tid, us))
+        us, tid, amt, lat, lon, mer, src = (a[order] for a in (us, tid, amt, lat, lon, mer, src))
+        n = len(us)
+        # idle expiry: a gap longer than the TTL starts a new segment
+        seg = np.zeros(n, dtype=np.int64)
+        ev = (meta[1], meta[2], meta[3], meta[4]) if meta else (None, None, None, None)
+        if self.idle_us is not None and n:
+            gaps = np.nonzero(np.diff(us) > self.idle_us)[0] + 1
+            if len(gaps):
+                seg = np.maximum.accumulate(np.where(np.isin(np.arange(n), gaps), np.arange(n), 0))
+            if ev[0] is not None and us[0] - ev[0] > self.idle_us:
+                ev = (None, None, None, None)
         ws = self.windows
-        pos = np.arange(len(us))
-        alive = np.ones(len(us), dtype=bool)
+        lg, sh = ws.long, ws.short
+        bounds = {w: np.searchsorted(us, us - w * 1_000_000, side="left") for w in ws.lengths}
+        hi_all = np.searchsorted(us, us, side="right")          # RANGE peers included
         out = []
-        for i in range(len(new)):
-            j = n_old + i
-            t, own = us[j], tid[j]
-            if self.idle_us is not None:
-                earlier = alive & (pos < j)
-                if earlier.any() and t - us[earlier].max() > self.idle_us:
-                    alive[:j] = False               # idle gap: the entity starts afresh
-                    meta = None
-            seen = (pos <= j) & alive               # kept rows and new rows up to this one
-            avail = seen | (us == t)                # plus same-time rows of this batch (RANGE peers)
-            before = seen & _key_lt(us, tid, t, own)
-            keys_le = before | (pos == j)
-            rec = {"entity_id": key[0], "transaction_id": new["transaction_id"].iloc[i], "us": int(t)}
+        for j in np.nonzero(src >= 0)[0]:
+            s0 = seg[j]
+            rec = {"entity_id": key[0], "transaction_id": tid[j], "us": int(us[j])}
             for w_s in ws.lengths:
-                m = self._frame(us, tid, avail, keys_le, t, w_s * 1_000_000)
-                a = amt[m]
-                n = len(a)
-                stats = {"count": n, "sum": float(a.sum()) if n else 0.0,
-                         "mean": float(a.mean()) if n else 0.0,
-                         "std": float(a.std()) if n > 1 else 0.0,
-                         "max": float(a.max()) if n else 0.0, "min": float(a.min()) if n else 0.0}
-                for s in ws.stats_for(w_s):
-                    name = f"txn_count_{w_s}s" if s == "count" else f"amount_{s}_{w_s}s"
-                    rec[name] = stats[s]
-                if w_s == ws.long:
-                    rec[f"unique_merchants_{w_s}s"] = int(len(set(mer[m].tolist())))
-            lg, sh = ws.long, ws.short
+                lo, hi = max(bounds[w_s][j], s0), hi_all[j]
+                if self.max_events and hi - lo > self.max_events:
+                    lo, hi = max(j - self.max_events + 1, 0), j + 1
+                a = amt[lo:hi]
+                k = len(a)
+                stats = {"count": k, "sum": float(a.sum()) if k else 0.0,
+                         "mean": float(a.mean()) if k else 0.0,
+                         "std": float(a.std()) if k > 1 else 0.0,
+                         "max": float(a.max()) if k else 0.0, "min": float(a.min()) if k else 0.0}
+                for s_ in ws.stats_for(w_s):
+                    name = f"txn_count_{w_s}s" if s_ == "count" else f"amount_{s_}_{w_s}s"
+                    rec[name] = stats[s_]
+                if w_s == lg:
+                    rec[f"unique_merchants_{w_s}s"] = int(len(set(mer[lo:hi].tolist())))
             sd = rec[f"amount_std_{lg}s"]
             rec["amount_zscore"] = (amt[j] - rec[f"amount_mean_{lg}s"]) / sd if sd >= STD_EPSILON else 0.0
             rec["velocity_change_ratio"] = rec[f"txn_count_{sh}s"] / max(rec[f"txn_count_{lg}s"], 1) * 60.0
-            if before.any():
-                idx = np.nonzero(before)[0]
-                k = idx[np.lexsort((tid[idx], us[idx]))[-1]]
-                plat, plon = float(lat[k]), float(lon[k])
-            elif meta is not None and meta[1] is not None:
-                plat, plon = meta[3], meta[4]
+            if j - 1 >= s0:
+                plat, plon = float(lat[j - 1]), float(lon[j - 1])
+            elif s0 == 0 and ev[0] is not None:
+                plat, plon = ev[2], ev[3]
             else:
                 plat, plon = None, None
             rec["geo_distance_delta"] = _haversine(plat, plon, lat[j], lon[j])
             rec["current_amount"] = float(amt[j])
-            rec["merchant_category"] = new["merchant_category"].iloc[i]
+            rec["merchant_category"] = new["merchant_category"].iloc[src[j]]
             rec["latitude"], rec["longitude"] = float(lat[j]), float(lon[j])
             rec["prev_latitude"], rec["prev_longitude"] = plat, plon
             out.append(rec)
-        keep = alive
-        self._update_state(us[keep], tid[keep], amt[keep], lat[keep], lon[keep], mer[keep], meta)
+        last = int(seg[-1]) if n else 0
+        if last > 0:
+            ev = (None, None, None, None)
+        self._update_state(us[last:], tid[last:], amt[last:], lat[last:], lon[last:], mer[last:], meta, ev)
         yield pd.DataFrame(out, columns=[f.name for f in output_schema(ws).fields])
 
-    def _update_state(self, us, tid, amt, lat, lon, mer, meta) -> None:
-        max_us = int(max(us.max(), meta[0] if meta else us.max()))
-        order = np.lexsort((tid, us))
-        keep = us[order] >= max_us - self.keep_us
+    def _update_state(self, us, tid, amt, lat, lon, mer, meta, ev) -> None:
+        """Rows arrive sorted by (us, tid). Keep what a future frame can reach;
+        remember the newest dropped row as the previous location."""
+        max_us = int(max(us[-1], meta[0] if meta else us[-1]))
+        keep = us >= max_us - self.keep_us
         if self.max_events:
-            cap = np.zeros(len(order), dtype=bool)
-            cap[-self.max_events:] = True
-            keep &= cap
-        kept, gone = order[keep], order[~keep]
-        ev = (meta[1], meta[2], meta[3], meta[4]) if meta else (None, None, None, None)
+            keep[: max(len(us) - self.max_events, 0)] = False
+        gone = np.nonzero(~keep)[0]
         if len(gone):
             g = gone[-1]
             if ev[0] is None or (us[g], tid[g]) > (ev[0], ev[1]):
                 ev = (int(us[g]), str(tid[g]), float(lat[g]), float(lon[g]))
+        kept = np.nonzero(keep)[0]
         self.events.clear()
         if len(kept):
             self.events.put([(int(us[k]), str(tid[k]), float(amt[k]), float(lat[k]), float(lon[k]),
