@@ -123,3 +123,27 @@ def test_live_plan_shuffles_events_once(spark):
     rq = request_df(spark, [("r1", "e", T0, 1.0)])
     plan = point_in_time_features(ev, rq, hot_rows=None)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_fused_tiered_equals_asof_tiered(spark):
+    rnd = random.Random(8)
+    rows, reqs, t = [], [], T0
+    for i in range(80):
+        t += rnd.choice([0, 1, 5, 30, 200, 900])
+        rows.append((f"e{i % 2}", f"t{i:03d}", t, float(i % 13), f"m{i % 4}", 5.0 + i, 7.0 - i))
+    for k, r in enumerate(rows):
+        reqs.append((f"q{k}", r[0], r[2] + rnd.choice([0, 2, 100, 400]), 3.0, 1.0, 1.0, r[1]))
+    ev, rq = txn_df(spark, rows), request_df(spark, reqs)
+    ws = WindowSet(1, 5, 60)
+    ref = serve_tiered(ev, rolling_features(ev, ws, hot_rows=None), rq, ws, 300, hot_rows=None)
+    for hot in (None, 6):
+        fused = serve_tiered(ev, None, rq, ws, 300, hot_rows=hot)
+        cols = [c for c in ref.columns]
+        a = ref.select(*cols).collect()
+        b = {r["request_id"]: r for r in fused.select(*cols).collect()}
+        assert len(b) == len(a)
+        for r in a:
+            for c in cols:
+                x, y = r[c], b[r["request_id"]][c]
+                assert (x == y) or (isinstance(x, float) and abs(x - y) < 1e-9), (hot, r["request_id"], c, x, y)
+    assert {r["served_from"] for r in a} == {"snapshot", "live"}

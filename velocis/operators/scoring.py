@@ -123,12 +123,14 @@ def score(features: DataFrame, model, windows: WindowSet = DEFAULT, threshold: f
     return optional_outputs(out, windows, importances=importances)
 
 
-def batch_score(requests: DataFrame, events: DataFrame, feature_log: DataFrame, model,
+def batch_score(requests: DataFrame, events: DataFrame, feature_log: DataFrame | None, model,
                 windows: WindowSet = DEFAULT, max_age_s: float = 300.0,
                 threshold: float = DEFAULT_THRESHOLD, importances: Sequence[float] | None = None) -> DataFrame:
     """Batch scoring (M10): tiered features per request, model, decisions.
 
-    Carries ``request_id`` and ``batch_id`` (Q14)."""
+    ``feature_log=None`` serves snapshots from the events' own feature rows in
+    the same pass (see ``serve_tiered``). Carries ``request_id`` and
+    ``batch_id`` (Q14)."""
     from velocis.operators.serving import serve_tiered
     req = request_defaults(requests)
     feats = serve_tiered(events, feature_log, req, windows, max_age_s)

@@ -29,24 +29,19 @@ def _request_rows(requests: DataFrame, key: str) -> DataFrame:
         F.col("request_id"))
 
 
-def point_in_time_features(events: DataFrame, requests: DataFrame, windows: WindowSet = DEFAULT,
-                           key: str = "entity_id",
-                           hot_rows: int | None = skew.DEFAULT_HOT_ROWS) -> DataFrame:
-    """Live features for every request as of ``request_ts``.
-
-    Window statistics cover the entity's events in ``[t - W, t]`` (the
-    scored transaction counts if it is already in the history, as on the
-    reference's live path). The previous location is the newest event at or
-    before ``t`` other than the scored transaction itself. Requests of
-    entities without history get all-zero features (J5 semantics).
-
-    Output: ``request_id, transaction_id, entity_id, us`` + 20 features +
-    ``merchant_category, latitude, longitude, prev_latitude, prev_longitude``.
-    """
+def _union_pass(events: DataFrame, requests: DataFrame, windows: WindowSet, key: str,
+                hot_rows: int | None, snapshot_age_us: int | None) -> DataFrame:
+    """One shuffle of events + requests by (entity, split), one sort, and
+    window nodes that all reuse it. Returns the request rows with live
+    features (and, with ``snapshot_age_us``, the snapshot of the newest event
+    at or before the request, i.e. that event's own features)."""
     ev = _frame_rows(events, key).withColumn("request_id", F.lit(None).cast("string"))
     rq = _request_rows(requests, key)
     long_us = max(windows.lengths) * MICROS
-    plan = skew.plan_splits(ev, key, long_us, hot_rows)
+    # a snapshot event up to ``snapshot_age_us`` before the slice start needs
+    # its own frames complete, so the context reaches back that much further
+    context = long_us + (snapshot_age_us or 0)
+    plan = skew.plan_splits(ev, key, context, hot_rows)
     rows = skew.assign_split(ev, plan, replicate=True).unionByName(
         skew.assign_split(rq, plan, replicate=False))
 
@@ -69,18 +64,21 @@ def point_in_time_features(events: DataFrame, requests: DataFrame, windows: Wind
                                   F.col("longitude").alias("lon"), F.col("_p1").alias("p")))
     rows = rows.withColumn("_c", F.last(cand, ignorenulls=True).over(w_prev))
     feats = _frame_cols(windows, key, F.when(is_ev, F.col("amount")), F.when(is_ev, F.col("merchant_id")))
-    rows = rows.withColumns(feats).where(F.col("side") == 1)
+    rows = rows.withColumns(feats)
 
-    # newest event before t: in this slice (_c) or before it (_d1, whose own
-    # predecessor is _d2); skip it once if it is the scored transaction
+    # requests: newest event before t, in this slice (_c) or before it (_d1,
+    # whose own predecessor is _d2), skipped once if it is the scored
+    # transaction. Events: their own predecessor (_p1).
     c_lat = F.coalesce(F.col("_c.lat"), F.col("_d1.lat"))
     c_lon = F.coalesce(F.col("_c.lon"), F.col("_d1.lon"))
     c_tid = F.coalesce(F.col("_c.tid"), F.col("_d1.tid"))
     p_lat = F.when(F.col("_c").isNotNull(), F.col("_c.p.lat")).otherwise(F.col("_d2.lat"))
     p_lon = F.when(F.col("_c").isNotNull(), F.col("_c.p.lon")).otherwise(F.col("_d2.lon"))
     self_hit = c_tid.isNotNull() & (c_tid == F.col("tid"))
-    rows = rows.withColumn("prev_latitude", F.when(self_hit, p_lat).otherwise(c_lat)) \
-               .withColumn("prev_longitude", F.when(self_hit, p_lon).otherwise(c_lon))
+    rq_lat = F.when(self_hit, p_lat).otherwise(c_lat)
+    rq_lon = F.when(self_hit, p_lon).otherwise(c_lon)
+    rows = rows.withColumn("prev_latitude", F.when(is_ev, F.col("_p1.lat")).otherwise(rq_lat)) \
+               .withColumn("prev_longitude", F.when(is_ev, F.col("_p1.lon")).otherwise(rq_lon))
 
     lg, sh = windows.long, windows.short
     rows = rows.withColumns({
@@ -89,6 +87,32 @@ def point_in_time_features(events: DataFrame, requests: DataFrame, windows: Wind
         "geo_distance_delta": haversine_km("prev_latitude", "prev_longitude", "latitude", "longitude"),
         "current_amount": F.col("amount"),
     })
+    if snapshot_age_us is not None:
+        fcols = [c for c in windows.feature_columns() if c != "current_amount"]
+        snap = F.when(is_ev, F.struct(F.col("us").alias("us"), *[F.col(c) for c in fcols]))
+        w_snap = (Window.partitionBy(key, "split").orderBy("us", "side", "tid")
+                  .rowsBetween(Window.unboundedPreceding, -1))
+        rows = rows.withColumn("_snap", F.last(snap, ignorenulls=True).over(w_snap))
+        rows = rows.withColumn("_snap", F.when(F.col("us") - F.col("_snap.us") <= F.lit(snapshot_age_us),
+                                               F.col("_snap")))
+    return rows.where(F.col("side") == 1)
+
+
+def point_in_time_features(events: DataFrame, requests: DataFrame, windows: WindowSet = DEFAULT,
+                           key: str = "entity_id",
+                           hot_rows: int | None = skew.DEFAULT_HOT_ROWS) -> DataFrame:
+    """Live features for every request as of ``request_ts``.
+
+    Window statistics cover the entity's events in ``[t - W, t]`` (the
+    scored transaction counts if it is already in the history, as on the
+    reference's live path). The previous location is the newest event at or
+    before ``t`` other than the scored transaction itself. Requests of
+    entities without history get all-zero features (J5 semantics).
+
+    Output: ``request_id, transaction_id, entity_id, us`` + 20 features +
+    ``merchant_category, latitude, longitude, prev_latitude, prev_longitude``.
+    """
+    rows = _union_pass(events, requests, windows, key, hot_rows, None)
     return rows.select("request_id", F.col("tid").alias("transaction_id"), key, "us",
                        *windows.feature_columns(), "merchant_category", "latitude", "longitude",
                        "prev_latitude", "prev_longitude")
@@ -157,21 +181,35 @@ def serve_from_snapshot(requests: DataFrame, latest: DataFrame, windows: WindowS
                     found.alias("snapshot_found"))
 
 
-def serve_tiered(events: DataFrame, features: DataFrame, requests: DataFrame,
+def serve_tiered(events: DataFrame, features: DataFrame | None, requests: DataFrame,
                  windows: WindowSet = DEFAULT, max_age_s: float = 300.0, key: str = "entity_id",
                  hot_rows: int | None = skew.DEFAULT_HOT_ROWS) -> DataFrame:
     """Snapshot tier, else live compute (J4), with the tier that answered.
 
-    ``features`` is the feature log (one snapshot per event). A request is
-    answered from the newest snapshot at or before ``request_ts`` when it is
-    at most ``max_age_s`` old (J3, staleness bound of Q10), else the features
-    are computed live as of the request (J2). In both cases the request
-    overlays ``current_amount`` and ``merchant_category`` (P5, Q9).
+    A request is answered from the newest snapshot at or before
+    ``request_ts`` when it is at most ``max_age_s`` old (J3, the staleness
+    bound of Q10), else the features are computed live as of the request
+    (J2). In both cases the request overlays ``current_amount`` and
+    ``merchant_category`` (P5, Q9: the snapshot keeps its stored z-score).
+
+    With ``features=None`` the snapshots are the feature rows of ``events``
+    themselves and everything runs in one union-and-window pass (one
+    shuffle). With a snapshot table ``features`` (one row per snapshot) the
+    snapshot tier is a separate as-of join.
     """
-    rq = requests.withColumn("_rus", F.unix_micros("request_ts"))
     fcols = [c for c in windows.feature_columns() if c != "current_amount"]
-    snap = asof_join(rq, features, key, "_rus", "us", fcols,
-                     max_age_us=int(max_age_s * MICROS), hot_rows=hot_rows, prefix="s_")
+    age_us = int(max_age_s * MICROS)
+    if features is None:
+        rows = _union_pass(events, requests, windows, key, hot_rows, age_us)
+        hit = F.col("_snap").isNotNull()
+        out = [F.when(hit, F.col(f"_snap.{c}")).otherwise(F.col(c)).alias(c) for c in fcols]
+        return rows.select("request_id", F.col("tid").alias("transaction_id"), key, *out,
+                           F.col("amount").alias("current_amount"),
+                           F.coalesce("merchant_category", F.lit("other")).alias("merchant_category"),
+                           F.when(hit, F.lit("snapshot")).otherwise(F.lit("live")).alias("served_from"),
+                           F.when(hit, (F.col("us") - F.col("_snap.us")) / MICROS).alias("snapshot_age_s"))
+    rq = requests.withColumn("_rus", F.unix_micros("request_ts"))
+    snap = asof_join(rq, features, key, "_rus", "us", fcols, max_age_us=age_us, hot_rows=hot_rows, prefix="s_")
     live = point_in_time_features(events, requests, windows, key, hot_rows)
     live = live.select("request_id", *[F.col(c).alias(f"l_{c}") for c in fcols])
     j = snap.join(live, "request_id", "inner")
@@ -185,8 +223,10 @@ def serve_tiered(events: DataFrame, features: DataFrame, requests: DataFrame,
 
 
 def cold_entities(requests: DataFrame, events: DataFrame, key: str = "entity_id") -> DataFrame:
-    """Requests whose entity has no history at all."""
-    return requests.join(events.select(key), key, "left_anti")
+    """Requests whose entity has no history at all (J5). The event side is
+    reduced to distinct keys first (a partial aggregate), so a hot entity
+    sends one row per map task, not all its events."""
+    return requests.join(events.select(key).distinct(), key, "left_anti")
 
 
 def project_features(df: DataFrame, fields: list[str] | None, key: str = "entity_id") -> DataFrame:

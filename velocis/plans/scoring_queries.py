@@ -75,8 +75,7 @@ def q_score_linear(spark, sf_dir):
 def _batch_scored(spark, sf_dir):
     txn = transactions(spark, sf_dir)
     req = requests_from_transactions(txn, 4 * 3600)
-    flog = rolling_features(txn, HOURLY)
-    return batch_score(req, txn, flog, demo_scorer(), HOURLY, max_age_s=TIER_MAX_AGE)
+    return batch_score(req, txn, None, demo_scorer(), HOURLY, max_age_s=TIER_MAX_AGE)
 
 
 def _batch_sql() -> str:

@@ -194,8 +194,7 @@ TIER_MAX_AGE = 3 * 3600
 def _tiered(spark, sf_dir):
     txn = transactions(spark, sf_dir)
     req = requests_from_transactions(txn, 4 * 3600)
-    flog = rolling_features(txn, HOURLY)
-    return serve_tiered(txn, flog, req, HOURLY, max_age_s=TIER_MAX_AGE)
+    return serve_tiered(txn, None, req, HOURLY, max_age_s=TIER_MAX_AGE)
 
 
 @register("serve_tiered", _tiered_sql(TIER_MAX_AGE, 4 * 3600))
@@ -220,16 +219,21 @@ def q_serving_coverage(spark, sf_dir):
     return serving_coverage(out)
 
 
+# Cold-start cutoff for J5: noon of the first day, when many users have no history yet.
+COLD_CUTOFF = "2024-01-01 12:00:00"
+COLD_CUTOFF_US = 1704110400000000
+
+
 @register("cold_entities", f"""WITH {TXN}
 SELECT CAST(e.user_id AS VARCHAR) AS entity_id, CAST(count(*) AS BIGINT) AS requests
-FROM (SELECT * FROM events WHERE ts >= TIMESTAMP '{CUTOFF}') e
-WHERE CAST(e.user_id AS VARCHAR) NOT IN (SELECT entity_id FROM txn WHERE us < {CUTOFF_US})
+FROM (SELECT * FROM events WHERE ts >= TIMESTAMP '{COLD_CUTOFF}') e
+WHERE CAST(e.user_id AS VARCHAR) NOT IN (SELECT entity_id FROM txn WHERE us < {COLD_CUTOFF_US})
 GROUP BY 1""")
 def q_cold_entities(spark, sf_dir):
     """Requests after the cutoff from entities with no history before it."""
     txn = transactions(spark, sf_dir)
-    before = txn.where(F.col("us") < F.lit(CUTOFF_US))
-    after = requests_from_transactions(txn.where(F.col("us") >= F.lit(CUTOFF_US)), 0)
+    before = txn.where(F.col("us") < F.lit(COLD_CUTOFF_US))
+    after = requests_from_transactions(txn.where(F.col("us") >= F.lit(COLD_CUTOFF_US)), 0)
     cold = cold_entities(after, before)
     return cold.groupBy("entity_id").agg(F.count(F.lit(1)).alias("requests"))
 
