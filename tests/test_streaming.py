@@ -137,3 +137,41 @@ def test_model_bundle_roundtrip(spark):
     a = dict(predict(model, ts, scaler).select("transaction_id", "score").collect())
     b = dict(predict(m2, ts, meta["scaler"]).select("transaction_id", "score").collect())
     assert a == b
+
+
+def test_late_rows_beyond_watermark_are_dropped(spark):
+    """With event time, rows older than the watermark never reach state."""
+    base = scratch_path(spark, f"tests/late-{uuid.uuid4().hex[:8]}")
+    src, out, ckpt = base + "/src", base + "/out", base + "/ckpt"
+    first = txn_df(spark, [("e", f"a{i}", T0 + i * 10, 1.0) for i in range(12)])
+    schema = first.schema
+    first.write.parquet(src)
+
+    def build():
+        s = parquet_source(spark, src, schema).withWatermark("event_ts", "20 seconds")
+        return rolling_features_stateful(s, DEFAULT, event_time=True)
+
+    run_to_table(build(), "late", checkpoint=ckpt, path=out)
+    late = txn_df(spark, [("e", "late", T0 + 5, 100.0), ("e", "b", T0 + 200, 2.0)])
+    late.write.mode("append").parquet(src)
+    run_to_table(build(), "late", checkpoint=ckpt, path=out)
+    got = {r["transaction_id"]: r for r in spark.read.parquet(out).collect()}
+    assert "late" not in got and "b" in got and len(got) == 13
+
+
+def test_stream_stream_join_with_ground_truth(spark):
+    from velocis.streaming.streams import detected_vs_actual_stream
+    base = scratch_path(spark, f"tests/j6-{uuid.uuid4().hex[:8]}")
+    sc = spark.createDataFrame([(f"t{i}", "DECLINE" if i % 3 == 0 else "APPROVE", i % 3 == 0, T0 + i)
+                                for i in range(20)], "transaction_id string, decision string, is_fraud boolean, s long")
+    tr = spark.createDataFrame([(f"t{i}", i % 2 == 0, T0 + i + 30) for i in range(20)],
+                               "transaction_id string, actual_fraud boolean, s long")
+    sc.withColumn("scored_ts", F.timestamp_seconds("s")).drop("s").write.parquet(base + "/scored")
+    tr.withColumn("truth_ts", F.timestamp_seconds("s")).drop("s").write.parquet(base + "/truth")
+    s_schema = spark.read.parquet(base + "/scored").schema
+    t_schema = spark.read.parquet(base + "/truth").schema
+    j = detected_vs_actual_stream(parquet_source(spark, base + "/scored", s_schema),
+                                  parquet_source(spark, base + "/truth", t_schema), "10 minutes")
+    got = spark.read.parquet(run_to_table(j, "j6"))
+    assert got.count() == 20
+    assert got.where("is_fraud AND actual_fraud").count() == len([i for i in range(20) if i % 6 == 0])
