@@ -80,14 +80,20 @@ _SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Ship this package to the executors' Python workers (``addPyFile`` of
-    a zip built once per application), as ``--py-files`` would; needed by
-    the operators that run Python on executors (pandas functions, the
-    stateful processor)."""
+    """Make this package usable by the Python processes Spark starts: its
+    functions are pickled by value, and the package zip is added with
+    ``addPyFile`` (as ``--py-files`` would) for executor workers. Needed by
+    the operators that run Python (pandas functions, the stateful processor)."""
     sc = spark.sparkContext
     app = sc.applicationId
     if app in _SHIPPED:
         return
+    # Functions and classes of this package are serialised by value, so
+    # Python processes that cannot import it (the driver-side runner that
+    # sets up stateful processors does not see addPyFile includes) still work.
+    import velocis
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(velocis)
     import zipfile
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg_dir)

@@ -199,7 +199,11 @@ def rolling_features_stateful(txn: DataFrame, windows: WindowSet = DEFAULT, max_
     cols = ["entity_id", "transaction_id", "us", "amount", "merchant_id", "merchant_category",
             "latitude", "longitude"]
     src = txn.select(*cols, "event_ts") if event_time else txn.select(*cols)
-    ship_package(txn.sparkSession)
+    spark = txn.sparkSession
+    ship_package(spark)
+    provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    if "RocksDB" not in (spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") or ""):
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
     # the state-store coordinator lives in the streaming query manager; make
     # sure it exists when the processor runs on a static DataFrame
     txn.sparkSession.streams._jsqm.active()
