@@ -193,7 +193,8 @@ def keyed_json_stream(txn: DataFrame) -> DataFrame:
 
 def replay(df: DataFrame, time_col: str, chunks: int, make_stream: Callable[[str], DataFrame],
            name: str, output_mode: str = "append",
-           foreach: Callable[[DataFrame, int], None] | None = None, fmt: str = "parquet") -> str:
+           foreach: Callable[[DataFrame, int], None] | None = None, fmt: str = "parquet",
+           state_partitions: int | None = None) -> str:
     """Feed a table to a stream as ``chunks`` consecutive time slices.
 
     For each slice: append its files to the source folder, then run the
@@ -207,6 +208,9 @@ def replay(df: DataFrame, time_col: str, chunks: int, make_stream: Callable[[str
     b = df.agg(F.min(time_col).alias("lo"), F.max(time_col).alias("hi")).first()
     lo, hi = int(b["lo"]), int(b["hi"])
     step = (hi - lo) // chunks + 1
+    # a stateful stream fixes its state partitions when its checkpoint is
+    # created; use the cluster's parallelism rather than a session default
+    parts = state_partitions or spark.sparkContext.defaultParallelism
     for k in range(chunks):
         a, z = lo + k * step, lo + (k + 1) * step
         part = df.where((F.col(time_col) >= a) & (F.col(time_col) < z))
@@ -214,5 +218,10 @@ def replay(df: DataFrame, time_col: str, chunks: int, make_stream: Callable[[str
             part.select("value").write.mode("append").text(src)
         else:
             part.write.mode("append").parquet(src)
-        run_to_table(make_stream(src), name, output_mode, foreach, checkpoint=ckpt, path=out)
+        prev = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        try:
+            run_to_table(make_stream(src), name, output_mode, foreach, checkpoint=ckpt, path=out)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", prev)
     return out
