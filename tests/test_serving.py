@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import pytest
 
 
@@ -147,3 +149,19 @@ def test_fused_tiered_equals_asof_tiered(spark):
                 x, y = r[c], b[r["request_id"]][c]
                 assert (x == y) or (isinstance(x, float) and abs(x - y) < 1e-9), (hot, r["request_id"], c, x, y)
     assert {r["served_from"] for r in a} == {"snapshot", "live"}
+
+
+def test_hot_requests_split_even_with_few_events(spark):
+    """An entity with few events but many requests is split too, and the
+    answers do not change."""
+    ev = txn_df(spark, [("e", f"t{i}", T0 + i * 50, float(i), "m", 1.0 + i, 2.0) for i in range(6)])
+    rq = request_df(spark, [(f"q{k}", "e", T0 + k * 3, 1.0, 5.0, 5.0, f"t{k % 6}") for k in range(120)])
+    ws = WindowSet(1, 5, 60)
+    from velocis.operators import skew
+    from velocis.operators.rolling import _frame_rows
+    plan = skew.plan_splits(_frame_rows(ev, "entity_id").select("entity_id", "us").unionByName(
+        rq.select("entity_id", F.unix_micros("request_ts").alias("us"))), "entity_id", 60 * 10**6, 20)
+    assert plan.hot is not None and plan.hot.first()["split_last"] > 1
+    a = point_in_time_features(ev, rq, ws, hot_rows=None).drop("us")
+    b = point_in_time_features(ev, rq, ws, hot_rows=20).drop("us")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0

@@ -41,7 +41,9 @@ def _union_pass(events: DataFrame, requests: DataFrame, windows: WindowSet, key:
     # a snapshot event up to ``snapshot_age_us`` before the slice start needs
     # its own frames complete, so the context reaches back that much further
     context = long_us + (snapshot_age_us or 0)
-    plan = skew.plan_splits(ev, key, context, hot_rows)
+    # hot keys are counted over events and requests together: an entity with
+    # few events but a flood of requests must be split as well
+    plan = skew.plan_splits(ev.select(key, "us").unionByName(rq.select(key, "us")), key, context, hot_rows)
     rows = skew.assign_split(ev, plan, replicate=True).unionByName(
         skew.assign_split(rq, plan, replicate=False))
 
@@ -135,8 +137,7 @@ def asof_join(probe: DataFrame, build: DataFrame, key: str, probe_us: Column | s
     p = probe.select(F.col(key), pu.alias("us"), F.lit(1).alias("side"), F.lit(None).cast(
         b.schema["_rec"].dataType).alias("_rec"), F.struct(*[F.col(c) for c in pcols]).alias("_probe"))
     b = b.withColumn("_probe", F.lit(None).cast(p.schema["_probe"].dataType))
-    bb = b.select(key, "us", F.col("_rec.us").cast("string").alias("tid"))
-    plan = skew.plan_splits(bb, key, 0, hot_rows)
+    plan = skew.plan_splits(b.select(key, "us").unionByName(p.select(key, "us")), key, 0, hot_rows)
     rows = skew.assign_split(b, plan, replicate=False).unionByName(skew.assign_split(p, plan, replicate=False))
     w = (Window.partitionBy(key, "split").orderBy("us", "side")
          .rowsBetween(Window.unboundedPreceding, 0))

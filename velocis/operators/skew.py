@@ -51,7 +51,11 @@ def plan_splits(events: DataFrame, key: str, context_us: int,
                 hot_rows: int | None = DEFAULT_HOT_ROWS,
                 min_width_factor: int = 4,
                 broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> SplitPlan:
-    """Find hot entities and their slice width. One small aggregate job."""
+    """Find hot entities and their slice width. One small aggregate job.
+
+    ``events`` holds ``key`` and ``us`` of every row that will be
+    partitioned by entity (for as-of passes: build and probe rows together).
+    """
     if not hot_rows:
         return SplitPlan(key, None, context_us, False)
     floor_width = max(int(context_us) * min_width_factor, 1)

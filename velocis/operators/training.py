@@ -212,16 +212,13 @@ def load_bundle(path: str):
 
 
 def latest_bundle(root: str) -> str | None:
-    """Newest version folder under ``root`` (``v<number>``), for reloads."""
+    """Newest version folder under ``root`` (``v<number>``), for reloads.
+    Reads the small metadata files and takes the highest version number."""
+    from pyspark.errors import AnalysisException
     spark = SparkSession.getActiveSession()
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(root)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
+    try:
+        metas = spark.read.text(root.rstrip("/") + "/v*/meta").select(F.col("_metadata.file_path").alias("p"))
+    except AnalysisException:
         return None
-    versions = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("v") and name[1:].isdigit():
-            versions.append((int(name[1:]), st.getPath().toString()))
-    return max(versions)[1] if versions else None
+    v = metas.select(F.regexp_extract("p", r"/v([0-9]+)/meta/", 1).cast("long").alias("v")).agg(F.max("v")).first()[0]
+    return None if v is None else root.rstrip("/") + f"/v{v}"

@@ -86,10 +86,12 @@ class SnapshotTable:
         return F.pmod(F.hash(F.col("entity_id")), F.lit(self.n_buckets)).cast("int")
 
     def exists(self) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return fs.exists(p)
+        from pyspark.errors import AnalysisException
+        try:
+            self.spark.read.parquet(self.path).schema
+            return True
+        except AnalysisException:
+            return False
 
     def read(self) -> DataFrame:
         return self.spark.read.parquet(self.path)

@@ -206,7 +206,7 @@ def rolling_features_stateful(txn: DataFrame, windows: WindowSet = DEFAULT, max_
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
     # the state-store coordinator lives in the streaming query manager; make
     # sure it exists when the processor runs on a static DataFrame
-    txn.sparkSession.streams._jsqm.active()
+    _ = spark.streams.active
     proc = RollingFeatureProcessor(windows, max_events, lateness_s, idle_ttl_s, timers=event_time)
     return src.groupBy("entity_id").transformWithStateInPandas(
         statefulProcessor=proc, outputStructType=output_schema(windows), outputMode="Append",

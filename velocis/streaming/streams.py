@@ -138,9 +138,11 @@ def observe_counters(df: DataFrame, name: str = "ingest") -> DataFrame:
 
 def run_to_table(df: DataFrame, name: str, output_mode: str = "append",
                  foreach: Callable[[DataFrame, int], None] | None = None,
-                 checkpoint: str | None = None, path: str | None = None) -> str:
+                 checkpoint: str | None = None, path: str | None = None,
+                 progress: list | None = None) -> str:
     """Run a streaming DataFrame to completion (availableNow) into a parquet
-    folder; returns the folder. ``foreach`` replaces the sink (X1)."""
+    folder; returns the folder. ``foreach`` replaces the sink (X1);
+    ``progress`` receives the run's progress reports (T8)."""
     spark = df.sparkSession
     run = uuid.uuid4().hex[:12]
     path = path or scratch_path(spark, f"streams/{name}-{run}/out")
@@ -154,6 +156,8 @@ def run_to_table(df: DataFrame, name: str, output_mode: str = "append",
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
+    if progress is not None:
+        progress.extend(q.recentProgress)
     return path
 
 
