@@ -138,11 +138,17 @@ def q_decode_transactions(spark, sf_dir):
                             F.when(F.col("reason").isNull(), F.col("txn.amount")).alias("amount")))
 
 
-@register("decoded_good")
+@register("decoded_good", f"""WITH {TXN}
+SELECT transaction_id, entity_id, round(amount, {ROUND}) AS amount, merchant_id, merchant_category,
+  round(latitude, {ROUND}) AS latitude, round(longitude, {ROUND}) AS longitude, timestamp_ms, is_fraud,
+  'none' AS fraud_type
+FROM txn JOIN events USING (event_id)
+WHERE NOT (event_type IN ('error', 'signup') OR (event_type = 'view' AND value > 400)
+           OR (event_type = 'purchase' AND value > 450))""")
 def q_decoded_good(spark, sf_dir):
-    """S2 good output: the accepted transactions, typed."""
+    """S2 good output: the accepted transactions, typed (JSON round trip)."""
     good, _ = decode_transactions(raw_messages(spark, sf_dir))
-    return good
+    return rounded(good)
 
 
 @register("encode_keyed_json")

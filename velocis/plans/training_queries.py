@@ -123,11 +123,13 @@ def q_stratified_split(spark, sf_dir):
     return test.select("transaction_id", "label")
 
 
-@register("union_shuffle")
+@register("union_shuffle", f"""WITH {_flog_sql()}
+SELECT transaction_id, CAST(is_fraud AS INTEGER) AS label FROM flog""")
 def q_union_shuffle(spark, sf_dir):
     """Union of class subsets in a seeded pseudo-random order."""
     t = _train_set(spark, sf_dir)
-    return union_shuffle([t.where("label = 1"), t.where("label = 0")]).select("transaction_id", "label")
+    u = union_shuffle([t.where("label = 1"), t.where("label = 0")]).select("transaction_id", "label")
+    return u.withColumn("label", F.col("label").cast("int"))
 
 
 _MODELS: dict = {}
