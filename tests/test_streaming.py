@@ -177,3 +177,22 @@ def test_stream_stream_join_with_ground_truth(spark):
     got = spark.read.parquet(run_to_table(j, "j6"))
     assert got.count() == 20
     assert got.where("is_fraud AND actual_fraud").count() == len([i for i in range(20) if i % 6 == 0])
+
+
+def test_incremental_stream_equals_batch_with_hot_entity(spark):
+    from velocis.streaming.incremental import IncrementalRolling
+    rnd = random.Random(21)
+    rows, t = [], T0
+    for i in range(150):
+        t += rnd.choice([0, 0.5, 1, 3, 20, 90])
+        ent = "hot" if i % 3 else f"e{i % 4}"
+        rows.append((ent, f"t{i:03d}", t, round(rnd.uniform(1, 90), 2), f"m{i % 5}", 1.0 + i, -1.0 - i))
+    txn = txn_df(spark, rows)
+    for cap in (None, 3):
+        inc = IncrementalRolling(scratch_path(spark, f"tests/inc-{uuid.uuid4().hex[:8]}"), DEFAULT,
+                                 max_events=cap, hot_rows=8)
+        replay(txn, "us", 4, lambda src: parquet_source(spark, src, txn.schema), "t-inc", foreach=inc)
+        s = spark.read.parquet(inc.output_path).drop("batch_id")
+        b = rolling_features(txn, DEFAULT, max_events=cap, hot_rows=None).drop("computed_at").select(*s.columns)
+        assert s.count() == 150
+        assert _norm(s).exceptAll(_norm(b)).count() == 0 and _norm(b).exceptAll(_norm(s)).count() == 0

@@ -83,16 +83,19 @@ def _prev_chain(key: str) -> Column:
     return F.last(ev, ignorenulls=True).over(w_prev)
 
 
-def _frame_rows(txn: DataFrame, key: str) -> DataFrame:
-    return with_event_micros(txn).select(
-        F.col(key), F.col("us"), F.lit(0).alias("side"), F.col("transaction_id").alias("tid"),
-        "amount", "merchant_id", "merchant_category", "latitude", "longitude")
+def _frame_rows(txn: DataFrame, key: str, emit: str | None = None) -> DataFrame:
+    cols = [F.col(key), F.col("us"), F.lit(0).alias("side"), F.col("transaction_id").alias("tid"),
+            "amount", "merchant_id", "merchant_category", "latitude", "longitude"]
+    if emit:
+        cols.append(F.col(emit).alias("_emit"))
+    return with_event_micros(txn).select(*cols)
 
 
 def rolling_features(txn: DataFrame, windows: WindowSet = DEFAULT, key: str = "entity_id",
                      max_events: int | None = None, stats: str = "snapshot",
                      hot_rows: int | None = skew.DEFAULT_HOT_ROWS,
-                     unique_all: bool = False, idle_ttl_s: float | None = None) -> DataFrame:
+                     unique_all: bool = False, idle_ttl_s: float | None = None,
+                     emit: str | None = None) -> DataFrame:
     """Feature log: one row per transaction with the rolling features as of
     the transaction itself (the transaction counts in its own windows, as on
     the ingest path), the z-score of its amount against the long window, the
@@ -104,8 +107,10 @@ def rolling_features(txn: DataFrame, windows: WindowSet = DEFAULT, key: str = "e
     ``max_events`` caps every frame at the entity's last N events (W2).
     ``idle_ttl_s`` (>= the longest window) forgets the previous location
     after a longer gap, as the stream's idle expiry does (T6).
+    ``emit`` names a boolean column: rows where it is false are history that
+    feeds the frames but produces no output row (incremental use).
     """
-    rows = _frame_rows(txn, key)
+    rows = _frame_rows(txn, key, emit)
     long_us = max(windows.lengths) * MICROS
     plan = skew.plan_splits(rows, key, long_us, hot_rows)
     rows = skew.assign_split(rows, plan, replicate=True)
@@ -115,6 +120,8 @@ def rolling_features(txn: DataFrame, windows: WindowSet = DEFAULT, key: str = "e
     feats = _frame_cols(windows, key, F.col("amount"), F.col("merchant_id"), stats,
                         max_events, unique_all)
     rows = rows.withColumns(feats).where(~F.col("is_ctx"))
+    if emit:
+        rows = rows.where(F.col("_emit"))
     if entry is not None:
         rows = rows.join(entry.select(key, "split", F.col("d1").alias("_d1")), [key, "split"], "left")
         prev_lat = F.coalesce(F.col("_prev.lat"), F.col("_d1.latitude"))

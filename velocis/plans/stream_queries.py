@@ -188,3 +188,17 @@ def q_detected_vs_actual(spark, sf_dir):
 
 
 __all__ = ["read_table"]
+
+
+@register("stream_rolling_incremental", _features_sql(HOURLY))
+def q_stream_rolling_incremental(spark, sf_dir):
+    """T1, skew-safe form: each micro-batch runs the batch operator (with
+    hot-entity slices) over the tail of earlier events plus the new rows."""
+    import uuid
+    from velocis.streaming.incremental import IncrementalRolling
+    txn = _txn(spark, sf_dir)
+    inc = IncrementalRolling(scratch_path(spark, f"streams/incremental-{uuid.uuid4().hex[:12]}"), HOURLY)
+    replay(txn, "us", CHUNKS, lambda src: parquet_source(spark, src, txn.schema), "stream-incremental",
+           foreach=inc)
+    f = spark.read.parquet(inc.output_path)
+    return rounded(f.select("transaction_id", "entity_id", *HOURLY.feature_columns(), "merchant_category"))
