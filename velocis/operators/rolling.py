@@ -123,7 +123,9 @@ def rolling_features(txn: DataFrame, windows: WindowSet = DEFAULT, key: str = "e
     if emit:
         rows = rows.where(F.col("_emit"))
     if entry is not None:
-        rows = rows.join(entry.select(key, "split", F.col("d1").alias("_d1")), [key, "split"], "left")
+        e = entry.select(key, "split", F.col("d1").alias("_d1"))
+        # at most one row per slice; broadcast only under the checked bound
+        rows = rows.join(F.broadcast(e) if plan.broadcast else e, [key, "split"], "left")
         prev_lat = F.coalesce(F.col("_prev.lat"), F.col("_d1.latitude"))
         prev_lon = F.coalesce(F.col("_prev.lon"), F.col("_d1.longitude"))
         prev_us = F.coalesce(F.col("_prev.us"), F.col("_d1.us"))
