@@ -190,3 +190,11 @@ def test_oracle_haversine_matches_python(spark):
     df = txn_df(spark, [("e", "a", T0, 1.0, "m", 10.0, 20.0), ("e", "b", T0 + 1, 1.0, "m", -33.9, 151.2)])
     r = rows_by_tid(rolling_features(df))
     assert r["b"]["geo_distance_delta"] == pytest.approx(haversine(10.0, 20.0, -33.9, 151.2))
+
+
+def test_approx_distinct_merchants_close_to_exact(spark):
+    rows = [("e", f"t{i:03d}", T0 + i, 1.0, f"m{i % 37}") for i in range(200)]
+    ex = rows_by_tid(rolling_features(txn_df(spark, rows), WindowSet(1, 5, 300)))
+    ap = rows_by_tid(rolling_features(txn_df(spark, rows), WindowSet(1, 5, 300), distinct="approx"))
+    for t in ("t050", "t199"):
+        assert abs(ap[t]["unique_merchants_300s"] - ex[t]["unique_merchants_300s"]) <= 2

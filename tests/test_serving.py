@@ -165,3 +165,17 @@ def test_hot_requests_split_even_with_few_events(spark):
     a = point_in_time_features(ev, rq, ws, hot_rows=None).drop("us")
     b = point_in_time_features(ev, rq, ws, hot_rows=20).drop("us")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_serve_from_stored_snapshot_table(spark):
+    import uuid
+    from velocis.session import scratch_path
+    from velocis.sources.sinks import SnapshotTable
+    ev = txn_df(spark, [("e", "a", T0 - 5, 10.0), ("e", "b", T0, 30.0), ("f", "c", T0 - 1000, 1.0)])
+    table = SnapshotTable(spark, scratch_path(spark, f"tests/snap-{uuid.uuid4().hex[:8]}"), DEFAULT, n_buckets=4)
+    table.upsert(rolling_features(ev))
+    live = table.lookup((T0 + 10) * 10**6)          # f's snapshot expired (TTL 300 s)
+    rq = request_df(spark, [("r1", "e", T0 + 10, 99.0), ("r2", "f", T0 + 10, 5.0)])
+    out = by_req(serve_from_snapshot(rq, live))
+    assert out["r1"]["snapshot_found"] and out["r1"]["txn_count_60s"] == 2 and out["r1"]["current_amount"] == 99.0
+    assert not out["r2"]["snapshot_found"] and out["r2"]["txn_count_60s"] == 0

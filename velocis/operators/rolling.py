@@ -35,9 +35,10 @@ def with_event_micros(df: DataFrame) -> DataFrame:
 
 def _frame_cols(windows: WindowSet, key: str, amount: Column, merchant: Column,
                 stats: str = "snapshot", max_events: int | None = None,
-                unique_all: bool = False) -> dict[str, Column]:
+                unique_all: bool = False, distinct: str = "exact") -> dict[str, Column]:
     """Window aggregates for every length. ``amount``/``merchant`` are null on
-    rows that must not count (probe rows)."""
+    rows that must not count (probe rows). ``distinct="approx"`` counts
+    merchants with HyperLogLog++ (fixed-size state) instead of a set."""
     base = Window.partitionBy(key, "split").orderBy("us")
     rows_order = Window.partitionBy(key, "split").orderBy("us", "side", "tid")
     out: dict[str, Column] = {}
@@ -53,7 +54,10 @@ def _frame_cols(windows: WindowSet, key: str, amount: Column, merchant: Column,
             "max": F.max(amount).over(wr),
             "min": F.min(amount).over(wr),
         }
-        uniq = F.size(F.collect_set(merchant).over(wr))
+        if distinct == "approx":
+            uniq = F.approx_count_distinct(merchant).over(wr)
+        else:
+            uniq = F.size(F.collect_set(merchant).over(wr))
         if max_events:
             wc = rows_order.rowsBetween(-(max_events - 1), 0)
             over = cnt > F.lit(max_events)
@@ -64,7 +68,9 @@ def _frame_cols(windows: WindowSet, key: str, amount: Column, merchant: Column,
                 "min": F.min(amount).over(wc),
             }
             aggs = {k: F.when(over, capped[k]).otherwise(v) for k, v in aggs.items()}
-            uniq = F.when(over, F.size(F.collect_set(merchant).over(wc))).otherwise(uniq)
+            capped_uniq = (F.approx_count_distinct(merchant).over(wc) if distinct == "approx"
+                           else F.size(F.collect_set(merchant).over(wc)))
+            uniq = F.when(over, capped_uniq).otherwise(uniq)
         for s in wanted:
             c = aggs[s]
             out[stat_column(s, w)] = (F.coalesce(c, F.lit(0)).cast("int") if s == "count"
@@ -95,7 +101,7 @@ def rolling_features(txn: DataFrame, windows: WindowSet = DEFAULT, key: str = "e
                      max_events: int | None = None, stats: str = "snapshot",
                      hot_rows: int | None = skew.DEFAULT_HOT_ROWS,
                      unique_all: bool = False, idle_ttl_s: float | None = None,
-                     emit: str | None = None) -> DataFrame:
+                     emit: str | None = None, distinct: str = "exact") -> DataFrame:
     """Feature log: one row per transaction with the rolling features as of
     the transaction itself (the transaction counts in its own windows, as on
     the ingest path), the z-score of its amount against the long window, the
@@ -109,6 +115,8 @@ def rolling_features(txn: DataFrame, windows: WindowSet = DEFAULT, key: str = "e
     after a longer gap, as the stream's idle expiry does (T6).
     ``emit`` names a boolean column: rows where it is false are history that
     feeds the frames but produces no output row (incremental use).
+    ``distinct="approx"`` counts distinct merchants with HyperLogLog++ (for
+    long windows with many rows per frame), otherwise exactly.
     """
     rows = _frame_rows(txn, key, emit)
     long_us = max(windows.lengths) * MICROS
@@ -118,7 +126,7 @@ def rolling_features(txn: DataFrame, windows: WindowSet = DEFAULT, key: str = "e
 
     rows = rows.withColumn("_prev", _prev_chain(key))
     feats = _frame_cols(windows, key, F.col("amount"), F.col("merchant_id"), stats,
-                        max_events, unique_all)
+                        max_events, unique_all, distinct)
     rows = rows.withColumns(feats).where(~F.col("is_ctx"))
     if emit:
         rows = rows.where(F.col("_emit"))
