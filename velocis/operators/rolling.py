@@ -89,11 +89,12 @@ def _prev_chain(key: str) -> Column:
     return F.last(ev, ignorenulls=True).over(w_prev)
 
 
-def _frame_rows(txn: DataFrame, key: str, emit: str | None = None) -> DataFrame:
+def _frame_rows(txn: DataFrame, key: str, emit: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     cols = [F.col(key), F.col("us"), F.lit(0).alias("side"), F.col("transaction_id").alias("tid"),
             "amount", "merchant_id", "merchant_category", "latitude", "longitude"]
     if emit:
         cols.append(F.col(emit).alias("_emit"))
+    cols += [F.col(c) for c in carry]
     return with_event_micros(txn).select(*cols)
 
 
@@ -101,7 +102,8 @@ def rolling_features(txn: DataFrame, windows: WindowSet = DEFAULT, key: str = "e
                      max_events: int | None = None, stats: str = "snapshot",
                      hot_rows: int | None = skew.DEFAULT_HOT_ROWS,
                      unique_all: bool = False, idle_ttl_s: float | None = None,
-                     emit: str | None = None, distinct: str = "exact") -> DataFrame:
+                     emit: str | None = None, distinct: str = "exact",
+                     carry: tuple[str, ...] = ()) -> DataFrame:
     """Feature log: one row per transaction with the rolling features as of
     the transaction itself (the transaction counts in its own windows, as on
     the ingest path), the z-score of its amount against the long window, the
@@ -117,8 +119,10 @@ def rolling_features(txn: DataFrame, windows: WindowSet = DEFAULT, key: str = "e
     feeds the frames but produces no output row (incremental use).
     ``distinct="approx"`` counts distinct merchants with HyperLogLog++ (for
     long windows with many rows per frame), otherwise exactly.
+    ``carry`` passes input columns (e.g. a label) through to the output, so
+    nothing has to be joined back by transaction id afterwards.
     """
-    rows = _frame_rows(txn, key, emit)
+    rows = _frame_rows(txn, key, emit, tuple(carry))
     long_us = max(windows.lengths) * MICROS
     plan = skew.plan_splits(rows, key, long_us, hot_rows)
     rows = skew.assign_split(rows, plan, replicate=True)
@@ -158,7 +162,7 @@ def rolling_features(txn: DataFrame, windows: WindowSet = DEFAULT, key: str = "e
     return rows.select(key, F.col("tid").alias("transaction_id"), "us", "computed_at", *feats.keys(),
                        "amount_zscore", "velocity_change_ratio", "geo_distance_delta",
                        "current_amount", "merchant_category", "latitude", "longitude",
-                       "prev_latitude", "prev_longitude")
+                       "prev_latitude", "prev_longitude", *carry)
 
 
 def snapshot_view(features: DataFrame, windows: WindowSet = DEFAULT) -> DataFrame:

@@ -27,13 +27,18 @@ def _hash_bucket(id_col: str, seed: int) -> F.Column:
     return F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), F.lit(HASH_BUCKETS))
 
 
-def training_set(feature_log: DataFrame, labels: DataFrame, windows: WindowSet = DEFAULT,
+def training_set(feature_log: DataFrame, labels: DataFrame | None, windows: WindowSet = DEFAULT,
                  label_col: str = "is_fraud", negative_keep: float = 1.0, seed: int = 42) -> DataFrame:
     """Features + label per transaction (M1). ``labels`` has
-    ``transaction_id`` and ``label_col``. ``negative_keep`` < 1 keeps that
-    share of negatives (hash threshold) to raise the positive rate."""
-    lab = labels.select("transaction_id", F.col(label_col).cast("int").alias("label"))
-    j = feature_log.join(lab, "transaction_id", "inner")
+    ``transaction_id`` and ``label_col`` (joined by id); with ``labels=None``
+    the label is a column of the feature log itself (carried through the
+    feature pass, no join). ``negative_keep`` < 1 keeps that share of
+    negatives (hash threshold) to raise the positive rate."""
+    if labels is None:
+        j = feature_log.withColumn("label", F.col(label_col).cast("int"))
+    else:
+        lab = labels.select("transaction_id", F.col(label_col).cast("int").alias("label"))
+        j = feature_log.join(lab, "transaction_id", "inner")
     if negative_keep < 1.0:
         keep = (F.col("label") == 1) | (_hash_bucket("transaction_id", seed) < F.lit(int(negative_keep * HASH_BUCKETS)))
         j = j.where(keep)

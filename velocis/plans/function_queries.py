@@ -107,8 +107,7 @@ def raw_messages(spark, sf_dir):
     """JSON messages built from events; the data decides which are damaged:
     error events lose ``amount``, signup events carry an extra key, views over
     400 are cut short, purchases over 450 carry a non-numeric amount."""
-    t = transactions(spark, sf_dir).join(
-        read_table(spark, sf_dir, "events").select("event_id", "event_type", "value"), "event_id")
+    t = transactions(spark, sf_dir, keep=("event_type", "value"))
     cols = ["transaction_id", "entity_id", "amount", "merchant_id", "merchant_category", "latitude",
             "longitude", "timestamp_ms", "is_fraud"]
     full = F.to_json(F.struct(*[F.col(c) for c in cols]))
@@ -120,7 +119,7 @@ def raw_messages(spark, sf_dir):
            .when((F.col("event_type") == "view") & (F.col("value") > 400), F.substring(full, 1, 40))
            .when((F.col("event_type") == "purchase") & (F.col("value") > 450), bad_amount)
            .otherwise(full))
-    return t.select("event_id", msg.alias("value"))
+    return t.select("event_id", "us", msg.alias("value"))
 
 
 @register("decode_transactions", f"""SELECT event_id,

@@ -101,8 +101,7 @@ SELECT transaction_id, round({p}, {ROUND}) AS fraud_probability, {_decide_sql(p)
 def q_stream_score(spark, sf_dir):
     """T5 + S1 + S2: JSON messages -> strict decode -> stateful features ->
     scorer -> foreachBatch into a scored sink and an error sink."""
-    raw = raw_messages(spark, sf_dir).join(_txn(spark, sf_dir).select(
-        F.col("transaction_id").cast("long").alias("event_id"), "us"), "event_id")
+    raw = raw_messages(spark, sf_dir)
     base = scratch_path(spark, "streams/score-sinks")
     import uuid
     run = uuid.uuid4().hex[:12]
@@ -125,8 +124,7 @@ FROM events GROUP BY 1""")
 def q_src_file_stream(spark, sf_dir):
     """A JSON-lines file stream decoded; messages per reject reason
     (null = accepted)."""
-    raw = raw_messages(spark, sf_dir).join(_txn(spark, sf_dir).select(
-        F.col("transaction_id").cast("long").alias("event_id"), "us"), "event_id")
+    raw = raw_messages(spark, sf_dir)
     out = replay(raw, "us", CHUNKS, lambda src: decode_stream(text_source(spark, src)).select("reason", "raw"),
                  "stream-decode", fmt="text")
     return spark.read.parquet(out).groupBy("reason").agg(F.count(F.lit(1)).alias("messages"))
@@ -167,7 +165,6 @@ def q_snapshot_read_ttl(spark, sf_dir):
     rec = snapshot_records(latest, HOURLY, ttl_s=86400)
     as_of = txn.agg(F.max("us")).first()[0]
     got = read_snapshots(rec, as_of, HOURLY)
-    got = got.join(rec.select("key", "transaction_id", "computed_at_us"), "key")
     return rounded(got.select("key", "entity_id", "transaction_id", "computed_at_us", "expires_at_us",
                               *HOURLY.feature_columns()))
 
@@ -179,11 +176,11 @@ FROM sc GROUP BY ALL""")
 def q_detected_vs_actual(spark, sf_dir):
     """Scored transactions joined to ground truth by transaction id."""
     from velocis.operators.scoring import score
-    txn = transactions(spark, sf_dir)
-    scored = score(rolling_features(txn, HOURLY), demo_scorer(), HOURLY)
-    truth = txn.select("transaction_id", F.col("is_fraud").alias("actual_fraud"))
-    j = scored.select("transaction_id", "decision", F.col("is_fraud").alias("predicted_fraud")) \
-        .join(truth, "transaction_id", "inner")
+    txn = transactions(spark, sf_dir).withColumnRenamed("is_fraud", "actual_fraud")
+    # ground truth rides along with its transaction through the feature pass;
+    # a separate truth table would be an equi-join on the unique id
+    scored = score(rolling_features(txn, HOURLY, carry=("actual_fraud",)), demo_scorer(), HOURLY)
+    j = scored.select("decision", F.col("is_fraud").alias("predicted_fraud"), "actual_fraud")
     return j.groupBy("decision", "predicted_fraud", "actual_fraud").agg(F.count(F.lit(1)).alias("transactions"))
 
 

@@ -17,9 +17,8 @@ from velocis.sources.tables import transactions
 
 
 def _train_set(spark, sf_dir):
-    txn = transactions(spark, sf_dir)
-    flog = rolling_features(txn, HOURLY)
-    return training_set(flog, txn.select("transaction_id", "is_fraud"), HOURLY)
+    flog = rolling_features(transactions(spark, sf_dir), HOURLY, carry=("is_fraud",))
+    return training_set(flog, None, HOURLY)
 
 
 def _train_set_sql() -> str:
@@ -56,17 +55,11 @@ def q_standard_scale(spark, sf_dir):
     return rounded(fit_scaler(_train_set(spark, sf_dir), HOURLY.feature_columns()))
 
 
-def _scored(spark, sf_dir):
-    f = rolling_features(transactions(spark, sf_dir), HOURLY)
-    s = demo_scorer().transform(f)
-    return s.select(F.round("fraud_probability", ROUND).alias("score"),
-                    F.col("transaction_id"))
-
-
 def _scored_labels(spark, sf_dir):
-    txn = transactions(spark, sf_dir)
-    return _scored(spark, sf_dir).join(txn.select("transaction_id", F.col("is_fraud").cast("int").alias("label")),
-                                       "transaction_id")
+    f = rolling_features(transactions(spark, sf_dir), HOURLY, carry=("is_fraud",))
+    s = demo_scorer().transform(f)
+    return s.select("transaction_id", F.round("fraud_probability", ROUND).alias("score"),
+                    F.col("is_fraud").cast("int").alias("label"))
 
 
 _SCORE_SQL = f"""{SCORED_LINEAR_SQL}, s AS (SELECT round(p, {ROUND}) AS score, CAST(label AS INTEGER) AS y FROM sc)"""

@@ -71,7 +71,10 @@ def read_snapshots(records: DataFrame, as_of_us, windows: WindowSet = DEFAULT) -
                                                {"mode": "PERMISSIVE"}))
     ok = (F.col("expires_at_us") > at) & F.col("_p.entity_id").isNotNull() & \
         (F.col("_p.entity_id") == F.col("entity_id"))
-    return dec.where(ok).select("key", "expires_at_us", "_p.*")
+    payload_names = set(payload_schema(windows).fieldNames())
+    stored = [c for c in records.columns if c not in payload_names and c not in ("payload", "bucket")]
+    return dec.where(ok).select(*stored, *[F.col(f"_p.{c}") for c in payload_schema(windows).fieldNames()
+                                           if c != "entity_id"], F.col("_p.entity_id").alias("entity_id"))
 
 
 class SnapshotTable:

@@ -32,11 +32,12 @@ def event_category(col) -> F.Column:
     return c.otherwise(F.lit("other"))
 
 
-def transactions_from_events(events: DataFrame) -> DataFrame:
+def transactions_from_events(events: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Map the driver's ``events`` table onto the transaction schema.
 
     ``us`` (epoch micros) is computed from the TIMESTAMP_NTZ ``ts`` without
     the session zone; ``event_ts`` is the same instant as a TIMESTAMP.
+    ``keep`` carries further ``events`` columns along unchanged.
     """
     cat = event_category(F.col("event_type"))
     us = ntz_epoch_micros(F.col("ts"))
@@ -54,11 +55,12 @@ def transactions_from_events(events: DataFrame) -> DataFrame:
         F.timestamp_micros(us).alias("event_ts"),
         us.alias("us"),
         F.col("event_id"),
+        *[F.col(c) for c in keep],
     )
 
 
-def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transactions_from_events(read_table(spark, sf_dir, "events"))
+def transactions(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    return transactions_from_events(read_table(spark, sf_dir, "events"), keep)
 
 
 def requests_from_transactions(txn: DataFrame, delay_seconds: float = 600.0,
