@@ -76,7 +76,9 @@ def ranked(df: DataFrame, value: str, weights: dict[str, F.Column] | None = None
     d = d.withColumn("_pid", F.spark_partition_id())
     schema = T.StructType(d.schema.fields + [T.StructField(f"_cum_{w}", T.DoubleType()) for w in names])
     local = d.mapInPandas(_local_running(group, names), schema)
-    tot = local.groupBy("_pid", *group).agg(*[F.max(f"_cum_{w}").alias(f"_t_{w}") for w in names])
+    # per-task totals straight from the range-partitioned rows (the shuffle
+    # output is reused), so the Python stage runs once
+    tot = d.groupBy("_pid", *group).agg(*[F.sum(w).alias(f"_t_{w}") for w in names])
     wo = Window.partitionBy(*group).orderBy("_pid")
     wall = Window.partitionBy(*group)
     offs = tot.select("_pid", *group, *[
