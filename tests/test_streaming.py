@@ -196,3 +196,18 @@ def test_incremental_stream_equals_batch_with_hot_entity(spark):
         b = rolling_features(txn, DEFAULT, max_events=cap, hot_rows=None).drop("computed_at").select(*s.columns)
         assert s.count() == 150
         assert _norm(s).exceptAll(_norm(b)).count() == 0 and _norm(b).exceptAll(_norm(s)).count() == 0
+
+
+def test_scoring_sink_reloads_model_per_batch(spark):
+    from velocis.operators.scoring import LinearScorer
+    from velocis.streaming.streams import score_stream_sinks
+    txn = txn_df(spark, _rows(15, 20))
+    feats = rolling_features(txn, DEFAULT)
+    base = scratch_path(spark, f"tests/sink-{uuid.uuid4().hex[:8]}")
+    versions = iter([LinearScorer({}, -5.0, version="v1"), LinearScorer({}, 5.0, version="v2")])
+    sink = score_stream_sinks(base + "/good", base + "/bad", lambda: next(versions), DEFAULT)
+    sink(feats, 0)
+    sink(feats, 1)
+    got = spark.read.parquet(base + "/good")
+    assert {r["model_version"] for r in got.collect()} == {"v1", "v2"}
+    assert got.where("batch_id = 1 AND decision = 'DECLINE'").count() == 20

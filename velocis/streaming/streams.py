@@ -163,9 +163,12 @@ def run_to_table(df: DataFrame, name: str, output_mode: str = "append",
 
 def score_stream_sinks(good_path: str, bad_path: str, model, windows: WindowSet = DEFAULT):
     """``foreachBatch`` function (T5): scores features and writes scored rows
-    to one folder; rows that fail (null probability) go to the other (Q15)."""
+    to one folder; rows that fail (null probability) go to the other (Q15).
+    ``model`` may be a callable returning the model: it is called once per
+    micro-batch, so a newer saved version is picked up without a restart (S8)."""
     def sink(batch: DataFrame, batch_id: int) -> None:
-        s = score(batch, model, windows).drop("features", "explanations")
+        m = model() if callable(model) and not hasattr(model, "transform") else model
+        s = score(batch, m, windows).drop("features", "explanations")
         s = s.withColumn("batch_id", F.lit(batch_id))
         ok = F.col("fraud_probability").isNotNull() & ~F.isnan("fraud_probability")
         s.where(ok).write.mode("append").parquet(good_path)
