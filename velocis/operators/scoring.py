@@ -9,11 +9,9 @@ the JVM on the executors, arbitrary Python models run batched through
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -160,10 +158,3 @@ def score_with(df: DataFrame, predict_proba: Callable[[np.ndarray], np.ndarray],
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
     return df.mapInPandas(run, schema)
 
-
-def sigmoid(x: float) -> float:
-    return 1.0 / (1.0 + math.exp(-x))
-
-
-def pandas_sigmoid(s: pd.Series) -> pd.Series:
-    return 1.0 / (1.0 + np.exp(-s))

@@ -8,7 +8,7 @@ from velocis.functions.scalar import (
     category_code, confidence, decision, haversine_km, is_fraud, snapshot_key,
 )
 from velocis.operators.rolling import rolling_features
-from velocis.operators.scoring import LinearScorer, optional_outputs, request_defaults
+from velocis.operators.scoring import optional_outputs, request_defaults
 from velocis.plans.catalog import ROUND, feature_exprs, register, rounded
 from velocis.plans.oracle import TXN, haversine_sql, rolling_select
 from velocis.schemas import HOURLY
@@ -229,7 +229,6 @@ def q_explain_map(spark, sf_dir):
     return e.select("transaction_id", "feature", F.round(F.col("contribution").cast("double"), 4).alias("contribution"))
 
 
-__all__ = ["LinearScorer"]
 
 
 @register("sql_functions", f"""WITH {TXN}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from velocis.operators.rolling import latest_per_entity, rolling_features
 from velocis.plans.catalog import ROUND, feature_sql, register, rounded
 from velocis.plans.oracle import TXN, haversine_sql, rolling_select

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from velocis.operators.monitoring import (
     batch_summary, cumulative_histogram, decision_counts, engine_totals, fraud_rate, histogram_quantile,
     latency_report, rate_per_window, throughput_report,
@@ -231,4 +229,3 @@ def q_engine_totals(spark, sf_dir):
     return engine_totals(txn, flog, served)
 
 
-__all__ = ["F"]

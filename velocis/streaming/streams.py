@@ -10,7 +10,6 @@ queries and tests use it.
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable
 
