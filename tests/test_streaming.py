@@ -156,9 +156,12 @@ def test_late_rows_beyond_watermark_are_dropped(spark):
     run_to_table(build(), "late", checkpoint=ckpt, path=out)
     late = txn_df(spark, [("e", "late", T0 + 5, 100.0), ("e", "b", T0 + 200, 2.0)])
     late.write.mode("append").parquet(src)
-    run_to_table(build(), "late", checkpoint=ckpt, path=out)
+    progress = []
+    run_to_table(build(), "late", checkpoint=ckpt, path=out, progress=progress)
     got = {r["transaction_id"]: r for r in spark.read.parquet(out).collect()}
     assert "late" not in got and "b" in got and len(got) == 13
+    dropped = sum(op.get("numRowsDroppedByWatermark", 0) for p in progress for op in p.get("stateOperators", []))
+    assert dropped == 1
 
 
 def test_stream_stream_join_with_ground_truth(spark):

@@ -67,9 +67,13 @@ def requests_from_transactions(txn: DataFrame, delay_seconds: float = 600.0,
                                batch_size: int = 100) -> DataFrame:
     """One scoring request per transaction, ``delay_seconds`` after it.
 
-    ``batch_id`` groups requests into batch messages by transaction number.
+    ``batch_id`` groups requests into batch messages by transaction number;
+    the ``include_features`` / ``explain`` flags vary with it so both values
+    occur (every request is kept).
     """
     delay_us = int(round(delay_seconds * 1_000_000))
+    if "event_id" not in txn.columns:     # any transaction table: number by a hash of the id
+        txn = txn.withColumn("event_id", F.abs(F.xxhash64("transaction_id")))
     return txn.select(
         F.concat(F.lit("req-"), F.col("transaction_id")).alias("request_id"),
         "transaction_id", "entity_id", "amount", "latitude", "longitude", "merchant_category",
