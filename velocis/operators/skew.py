@@ -19,8 +19,9 @@ rows when the entity's events are spread evenly, and never narrower than
   ``start(split) - context_us``. It is built from aggregates only and holds
   at most one row per slice.
 
-The hot table has at most N / hot_rows rows; it is written to the shared
-checkpoint folder, counted, and broadcast only below ``broadcast_rows``.
+The hot table has at most N / hot_rows rows. When it is not empty it is
+written to the shared checkpoint folder, its slice count is checked, and it
+is broadcast only below ``broadcast_rows`` (a shuffle join beyond).
 """
 
 from __future__ import annotations
@@ -70,12 +71,12 @@ def plan_splits(events: DataFrame, key: str, context_us: int,
     ).select(key, "split_origin", "split_width",
              (F.floor((F.col("_hi") - F.col("split_origin")) / F.col("split_width")) + 1)
              .cast("long").alias("split_last"))
-    hot = hot.checkpoint(eager=True)
-    size = hot.agg(F.count(F.lit(1)).alias("n"),
-                   F.coalesce(F.sum(F.col("split_last") + 1), F.lit(0)).alias("slices")).first()
-    if size["n"] == 0:
+    # common case first: one counting job, nothing written when no entity is hot
+    if stats.count() == 0:
         return SplitPlan(key, None, context_us, False)
-    return SplitPlan(key, hot, context_us, size["slices"] <= broadcast_rows)
+    hot = hot.checkpoint(eager=True)
+    slices = hot.agg(F.coalesce(F.sum(F.col("split_last") + 1), F.lit(0))).first()[0]
+    return SplitPlan(key, hot, context_us, slices <= broadcast_rows)
 
 
 def _raw_split(us_col) -> F.Column:

@@ -60,7 +60,15 @@ class IncrementalRolling:
                 rows = tail.withColumn("_new", F.lit(False)).unionByName(new)
             except AnalysisException:
                 pass          # the previous batch saw no rows
-        rows = rows.checkpoint(eager=True)      # read once, used for output and tail
+        # used three times; its lineage is just the micro-batch files and the
+        # tail table, so a lost cached block is cheap to recompute
+        rows = rows.persist()
+        try:
+            self._process(rows, batch_id)
+        finally:
+            rows.unpersist()
+
+    def _process(self, rows: DataFrame, batch_id: int) -> None:
         top = rows.agg(F.max("us")).first()[0]
         if top is None:
             return
