@@ -198,3 +198,21 @@ def test_approx_distinct_merchants_close_to_exact(spark):
     ap = rows_by_tid(rolling_features(txn_df(spark, rows), WindowSet(1, 5, 300), distinct="approx"))
     for t in ("t050", "t199"):
         assert abs(ap[t]["unique_merchants_300s"] - ex[t]["unique_merchants_300s"]) <= 2
+
+
+def test_hot_entity_is_spread_over_bounded_groups(spark):
+    """One entity with a third of all rows: after slicing, no (entity, split)
+    window group holds more than about the row budget plus its context."""
+    from velocis.operators import skew
+    from velocis.operators.rolling import _frame_rows
+    rows = [("hot", f"h{i:04d}", T0 + i * 2.0, 1.0) for i in range(3000)]
+    rows += [(f"c{i % 60}", f"c{i:04d}", T0 + i * 1.0, 1.0) for i in range(6000)]
+    fr = _frame_rows(txn_df(spark, rows), "entity_id")
+    budget = 200
+    plan = skew.plan_splits(fr, "entity_id", 60 * 10**6, budget)
+    sized = skew.assign_split(fr, plan, replicate=True).groupBy("entity_id", "split").count()
+    hot = sized.where("entity_id = 'hot'").collect()
+    assert len(hot) >= 3000 // budget - 1
+    # budget rows per slice, plus context copies of the last 60 s (30 rows here)
+    assert max(r["count"] for r in hot) <= budget + 40
+    assert sized.where("entity_id != 'hot'").agg(F.max("split")).first()[0] == 0
