@@ -88,6 +88,18 @@ def test_cap_keeps_last_n(spark):
     assert f["t20"]["amount_min_60s"] == 11 and f["t20"]["amount_max_60s"] == 20
 
 
+def test_cap_with_many_same_time_peers(spark):
+    """The capped frame ends at the row itself: the first of 20 tied events
+    sees one row, not N, and count and sum agree."""
+    rows = [("e", f"t{i:02d}", T0, float(i)) for i in range(1, 21)]
+    f = rows_by_tid(rolling_features(txn_df(spark, rows), max_events=10))
+    assert (f["t01"]["txn_count_60s"], f["t01"]["amount_sum_60s"]) == (1, 1.0)
+    assert (f["t05"]["txn_count_60s"], f["t05"]["amount_sum_60s"]) == (5, 15.0)
+    from velocis.streaming.stateful import rolling_features_stateful
+    s = {r["transaction_id"]: r for r in rolling_features_stateful(txn_df(spark, rows), DEFAULT, 10).collect()}
+    assert all(s[k]["txn_count_60s"] == f[k]["txn_count_60s"] for k in f)
+
+
 def test_ties_uncapped_include_peers(spark):
     rows = [("e", f"t{i}", T0, 1.0) for i in range(4)]
     f = rows_by_tid(rolling_features(txn_df(spark, rows)))

@@ -62,7 +62,9 @@ def _frame_cols(windows: WindowSet, key: str, amount: Column, merchant: Column,
             wc = rows_order.rowsBetween(-(max_events - 1), 0)
             over = cnt > F.lit(max_events)
             capped = {
-                "count": F.least(cnt, F.lit(max_events)),
+                # rows frame ends at this row: with many same-time peers after
+                # it, it can hold fewer than N rows, so count it, don't clip
+                "count": F.count(amount).over(wc),
                 "sum": F.sum(amount).over(wc), "mean": F.avg(amount).over(wc),
                 "std": F.stddev_pop(amount).over(wc), "max": F.max(amount).over(wc),
                 "min": F.min(amount).over(wc),

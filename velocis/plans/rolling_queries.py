@@ -129,14 +129,14 @@ def _capped_sql(n: int) -> str:
     part = "PARTITION BY entity_id ORDER BY us"
     part_rows = "PARTITION BY entity_id ORDER BY us, transaction_id"
     return f"""WITH {TXN},
-f AS (SELECT *, count(amount) OVER ({part} {rng}) AS c_rng,
+f AS (SELECT *, count(amount) OVER ({part} {rng}) AS c_rng, count(amount) OVER ({part_rows} {rws}) AS c_rows,
   sum(amount) OVER ({part} {rng}) AS s_rng, sum(amount) OVER ({part_rows} {rws}) AS s_rows,
   max(amount) OVER ({part} {rng}) AS x_rng, max(amount) OVER ({part_rows} {rws}) AS x_rows,
   min(amount) OVER ({part} {rng}) AS n_rng, min(amount) OVER ({part_rows} {rws}) AS n_rows,
   stddev_pop(amount) OVER ({part} {rng}) AS d_rng, stddev_pop(amount) OVER ({part_rows} {rws}) AS d_rows
   FROM txn)
 SELECT transaction_id, entity_id,
-  CAST(least(c_rng, {n}) AS BIGINT) AS txn_count_{H[2]}s,
+  CAST(CASE WHEN c_rng > {n} THEN c_rows ELSE c_rng END AS BIGINT) AS txn_count_{H[2]}s,
   round(CASE WHEN c_rng > {n} THEN s_rows ELSE s_rng END, {ROUND}) AS amount_sum_{H[2]}s,
   round(CASE WHEN c_rng > {n} THEN x_rows ELSE x_rng END, {ROUND}) AS amount_max_{H[2]}s,
   round(CASE WHEN c_rng > {n} THEN n_rows ELSE n_rng END, {ROUND}) AS amount_min_{H[2]}s,
