@@ -3,14 +3,16 @@
 Strict decode: a message is accepted only if it is valid JSON, holds every
 required key, no unknown key, and the typed fields parse. Everything else is
 kept, with a reason, in the quarantine output (decision Q16: syntax errors
-are quarantined too, never raised). ``from_json`` alone would silently
-accept missing and extra keys, so keys are checked with ``json_object_keys``.
+are quarantined too, never raised). ``from_json`` into the schema alone
+would silently accept missing and extra keys, so keys come from a second
+parse into a string map.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from velocis.schemas import OPTIONAL_TRANSACTION_KEYS, REQUIRED_TRANSACTION_KEYS, TRANSACTION_SCHEMA
 
@@ -20,20 +22,25 @@ REASONS = ("malformed_json", "missing_keys", "extra_keys", "bad_type")
 def validate(raw: DataFrame, col: str = "value", schema=TRANSACTION_SCHEMA,
              required=REQUIRED_TRANSACTION_KEYS, optional=OPTIONAL_TRANSACTION_KEYS) -> DataFrame:
     """Adds ``txn`` (parsed struct), ``reason`` (null when valid) and
-    ``missing`` (array of absent required keys)."""
-    keys = F.json_object_keys(F.col(col))
+    ``missing`` (array of absent required keys).
+
+    Two parses per message: once into ``map<string,string>`` (keys and raw
+    values; null for bad syntax or a non-object) and once into the typed
+    schema. A required key whose raw value is present but whose typed value
+    is null has the wrong type."""
+    raw_map = F.from_json(F.col(col), T.MapType(T.StringType(), T.StringType()))
+    keys = F.map_keys(raw_map)
     req = F.array(*[F.lit(k) for k in required])
     allowed = F.array(*[F.lit(k) for k in list(required) + list(optional)])
     parsed = F.from_json(F.col(col), schema, {"mode": "PERMISSIVE"})
-    missing = F.array_except(req, F.coalesce(keys, F.array().cast("array<string>")))
-    extra = F.array_except(F.coalesce(keys, F.array().cast("array<string>")), allowed)
+    no_keys = F.array().cast("array<string>")
+    missing = F.array_except(req, F.coalesce(keys, no_keys))
+    extra = F.array_except(F.coalesce(keys, no_keys), allowed)
     typed_null = F.lit(False)
     for f in schema.fields:
         if f.name in required:
-            present = F.array_contains(keys, f.name)
-            raw_null = F.get_json_object(F.col(col), f"$.{f.name}").isNull()
-            typed_null = typed_null | (present & ~raw_null & parsed[f.name].isNull())
-    reason = (F.when(keys.isNull(), F.lit("malformed_json"))
+            typed_null = typed_null | (raw_map[f.name].isNotNull() & parsed[f.name].isNull())
+    reason = (F.when(raw_map.isNull(), F.lit("malformed_json"))
               .when(F.size(missing) > 0, F.lit("missing_keys"))
               .when(F.size(extra) > 0, F.lit("extra_keys"))
               .when(typed_null, F.lit("bad_type")))
