@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_HOT_ROWS = 2_000_000
-DEFAULT_BROADCAST_ROWS = 1_000_000
+# ~50 bytes per slice row: 250k slices is ~12 MB per executor when broadcast
+DEFAULT_BROADCAST_ROWS = 250_000
 
 
 @dataclass
