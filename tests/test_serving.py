@@ -179,3 +179,28 @@ def test_serve_from_stored_snapshot_table(spark):
     out = by_req(serve_from_snapshot(rq, live))
     assert out["r1"]["snapshot_found"] and out["r1"]["txn_count_60s"] == 2 and out["r1"]["current_amount"] == 99.0
     assert not out["r2"]["snapshot_found"] and out["r2"]["txn_count_60s"] == 0
+
+
+def test_split_paths_without_broadcast(spark, monkeypatch):
+    """Above the broadcast bound the hot and entry tables are shuffle-joined;
+    results must not change."""
+    from velocis.operators import skew
+    rnd = random.Random(13)
+    rows, reqs, t = [], [], T0
+    for i in range(90):
+        t += rnd.choice([0, 1, 5, 30, 200])
+        rows.append(("hot", f"t{i:03d}", t, float(i % 11), f"m{i % 3}", 3.0 + i, 4.0 - i))
+        reqs.append((f"q{i}", "hot", t + rnd.choice([0, 2, 50]), 2.0, 1.0, 1.0, f"t{i:03d}"))
+    ev, rq = txn_df(spark, rows), request_df(spark, reqs)
+    ws = WindowSet(1, 5, 60)
+    base_f = rolling_features(ev, ws, hot_rows=None).drop("computed_at")
+    base_t = serve_tiered(ev, None, rq, ws, 300, hot_rows=None)
+    monkeypatch.setattr(skew, "DEFAULT_BROADCAST_ROWS", 0)
+    f = rolling_features(ev, ws, hot_rows=10).drop("computed_at")
+    tt = serve_tiered(ev, None, rq, ws, 300, hot_rows=10)
+    plan = f._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
+    for a, b in ((base_f, f), (base_t, tt)):
+        cols = [F.round(c, 9).alias(c) if t_ == "double" else F.col(c) for c, t_ in a.dtypes]
+        a, b = a.select(cols), b.select(cols)
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0

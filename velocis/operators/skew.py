@@ -52,7 +52,7 @@ class SplitPlan:
 def plan_splits(events: DataFrame, key: str, context_us: int,
                 hot_rows: int | None = DEFAULT_HOT_ROWS,
                 min_width_factor: int = 4,
-                broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> SplitPlan:
+                broadcast_rows: int | None = None) -> SplitPlan:
     """Find hot entities and their slice width. One small aggregate job.
 
     ``events`` holds ``key`` and ``us`` of every row that will be
@@ -60,6 +60,8 @@ def plan_splits(events: DataFrame, key: str, context_us: int,
     """
     if not hot_rows:
         return SplitPlan(key, None, context_us, False)
+    if broadcast_rows is None:
+        broadcast_rows = DEFAULT_BROADCAST_ROWS
     floor_width = max(int(context_us) * min_width_factor, 1)
     stats = (events.groupBy(key)
              .agg(F.count(F.lit(1)).alias("_n"), F.min("us").alias("_lo"), F.max("us").alias("_hi"))
