@@ -74,3 +74,16 @@ def test_trained_models_invariants(spark):
     assert top_features(imp, 5).first()["feature"] in {"current_amount", "amount_sum_1s", "amount_mean_1s"}
     lr, scaler = train_lr(train, DEFAULT, max_iter=50)
     assert roc_auc(predict(lr, test, scaler)).first()[0] > 0.95
+
+
+def test_batch_score_with_trained_pipeline(spark):
+    from velocis.operators.training import stratified_split, train_gbt, training_set
+    rows = [("e%d" % (i % 7), "t%04d" % i, T0 + i * 13, float(20 + (i % 50) * 7)) for i in range(300)]
+    ev = txn_df(spark, rows).withColumn("is_fraud", F.col("amount") > 250)
+    data = training_set(rolling_features(ev, carry=("is_fraud",)), None, DEFAULT)
+    train, _ = stratified_split(data)
+    model = train_gbt(train, DEFAULT, max_iter=5, max_depth=3)
+    rq = request_df(spark, [(f"r{i}", "e1", T0 + 4000 + i, 400.0 if i % 2 else 30.0) for i in range(6)])
+    out = {r["request_id"]: r for r in batch_score(rq, ev, None, model, DEFAULT).collect()}
+    assert len(out) == 6 and all(0 <= r["fraud_probability"] <= 1 for r in out.values())
+    assert out["r1"]["fraud_probability"] > out["r0"]["fraud_probability"]

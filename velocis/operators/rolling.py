@@ -96,7 +96,8 @@ def _frame_rows(txn: DataFrame, key: str, emit: str | None = None, carry: tuple[
             "amount", "merchant_id", "merchant_category", "latitude", "longitude"]
     if emit:
         cols.append(F.col(emit).alias("_emit"))
-    cols += [F.col(c) for c in carry]
+    base = {key, "us", "side", "tid", "amount", "merchant_id", "merchant_category", "latitude", "longitude"}
+    cols += [F.col(c) for c in carry if c not in base]
     return with_event_micros(txn).select(*cols)
 
 
@@ -164,7 +165,8 @@ def rolling_features(txn: DataFrame, windows: WindowSet = DEFAULT, key: str = "e
     return rows.select(key, F.col("tid").alias("transaction_id"), "us", "computed_at", *feats.keys(),
                        "amount_zscore", "velocity_change_ratio", "geo_distance_delta",
                        "current_amount", "merchant_category", "latitude", "longitude",
-                       "prev_latitude", "prev_longitude", *carry)
+                       "prev_latitude", "prev_longitude",
+                       *[c for c in carry if c not in ("merchant_category", "latitude", "longitude", key)])
 
 
 def snapshot_view(features: DataFrame, windows: WindowSet = DEFAULT) -> DataFrame:

@@ -105,15 +105,22 @@ def optional_outputs(df: DataFrame, windows: WindowSet = DEFAULT,
 
 def score(features: DataFrame, model, windows: WindowSet = DEFAULT, threshold: float = DEFAULT_THRESHOLD,
           model_version: str | None = None, importances: Sequence[float] | None = None) -> DataFrame:
-    """Score feature rows with a ``LinearScorer`` or a fitted Spark ML model
-    (a ``PipelineModel`` whose input is the ``features_vec`` vector)."""
+    """Score feature rows with a ``LinearScorer`` or a fitted Spark ML model:
+    a ``PipelineModel`` starting with its own ``VectorAssembler`` (as
+    ``train_gbt`` / ``train_lr`` build) reads the feature columns; any other
+    model reads the float32 ``features_vec`` vector (P4)."""
     if isinstance(model, LinearScorer):
         out = model.transform(features)
         version = model_version or model.version
         importances = importances if importances is not None else model.importances
     else:
+        from pyspark.ml import PipelineModel
+        from pyspark.ml.feature import VectorAssembler
         from pyspark.ml.functions import vector_to_array
-        out = model.transform(with_vector(features, windows))
+        if isinstance(model, PipelineModel) and model.stages and isinstance(model.stages[0], VectorAssembler):
+            out = model.transform(features)     # the pipeline assembles its vector as in training
+        else:
+            out = model.transform(with_vector(features, windows))
         out = out.withColumn("fraud_probability", vector_to_array("probability").getItem(1)) \
                  .drop("features_vec", "rawPrediction", "probability", "prediction", "scaled")
         version = model_version or "spark-ml"
