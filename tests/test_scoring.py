@@ -73,7 +73,7 @@ def test_trained_models_invariants(spark):
     # events are 13 s apart, so the 1 s window carries the same signal as the amount
     assert top_features(imp, 5).first()["feature"] in {"current_amount", "amount_sum_1s", "amount_mean_1s"}
     lr, scaler = train_lr(train, DEFAULT, max_iter=50)
-    assert roc_auc(predict(lr, test, scaler)).first()[0] > 0.95
+    assert roc_auc(predict(lr, test)).first()[0] > 0.95
 
 
 def test_batch_score_with_trained_pipeline(spark):
@@ -87,3 +87,7 @@ def test_batch_score_with_trained_pipeline(spark):
     out = {r["request_id"]: r for r in batch_score(rq, ev, None, model, DEFAULT).collect()}
     assert len(out) == 6 and all(0 <= r["fraud_probability"] <= 1 for r in out.values())
     assert out["r1"]["fraud_probability"] > out["r0"]["fraud_probability"]
+    from velocis.operators.training import train_lr
+    lr, _ = train_lr(train, DEFAULT, max_iter=50)      # scaler travels inside the pipeline
+    out = {r["request_id"]: r for r in batch_score(rq, ev, None, lr, DEFAULT).collect()}
+    assert out["r1"]["fraud_probability"] > 0.5 > out["r0"]["fraud_probability"]

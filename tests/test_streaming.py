@@ -136,8 +136,8 @@ def test_model_bundle_roundtrip(spark):
     assert path.endswith("v2")
     m2, meta = load_bundle(path)
     assert meta["version"] == "2"
-    a = dict(predict(model, ts, scaler).select("transaction_id", "score").collect())
-    b = dict(predict(m2, ts, meta["scaler"]).select("transaction_id", "score").collect())
+    a = dict(predict(model, ts).select("transaction_id", "score").collect())
+    b = dict(predict(m2, ts).select("transaction_id", "score").collect())
     assert a == b
 
 

@@ -106,8 +106,8 @@ def optional_outputs(df: DataFrame, windows: WindowSet = DEFAULT,
 def score(features: DataFrame, model, windows: WindowSet = DEFAULT, threshold: float = DEFAULT_THRESHOLD,
           model_version: str | None = None, importances: Sequence[float] | None = None) -> DataFrame:
     """Score feature rows with a ``LinearScorer`` or a fitted Spark ML model:
-    a ``PipelineModel`` starting with its own ``VectorAssembler`` (as
-    ``train_gbt`` / ``train_lr`` build) reads the feature columns; any other
+    a ``PipelineModel`` with its own ``VectorAssembler`` (as ``train_gbt`` /
+    ``train_lr`` build, scaler included) reads the feature columns; any other
     model reads the float32 ``features_vec`` vector (P4)."""
     if isinstance(model, LinearScorer):
         out = model.transform(features)
@@ -117,12 +117,13 @@ def score(features: DataFrame, model, windows: WindowSet = DEFAULT, threshold: f
         from pyspark.ml import PipelineModel
         from pyspark.ml.feature import VectorAssembler
         from pyspark.ml.functions import vector_to_array
-        if isinstance(model, PipelineModel) and model.stages and isinstance(model.stages[0], VectorAssembler):
-            out = model.transform(features)     # the pipeline assembles its vector as in training
+        if isinstance(model, PipelineModel) and any(isinstance(st, VectorAssembler) for st in model.stages):
+            out = model.transform(features)     # the pipeline scales/assembles as in training
         else:
             out = model.transform(with_vector(features, windows))
         out = out.withColumn("fraud_probability", vector_to_array("probability").getItem(1)) \
-                 .drop("features_vec", "rawPrediction", "probability", "prediction", "scaled")
+                 .drop("features_vec", "rawPrediction", "probability", "prediction",
+                       *[f"{c}__z" for c in windows.feature_columns()])
         version = model_version or "spark-ml"
     out = decide(out, "fraud_probability", threshold).withColumn("model_version", F.lit(version))
     return optional_outputs(out, windows, importances=importances)

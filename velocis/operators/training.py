@@ -110,28 +110,38 @@ def train_gbt(train: DataFrame, windows: WindowSet = DEFAULT, max_iter: int = 10
 
 def train_lr(train: DataFrame, windows: WindowSet = DEFAULT, max_iter: int = 500, c: float = 1.0):
     """Logistic regression on standardised features, balanced class weights
-    (M5): ``regParam = 1 / (C * n)``, no internal standardisation."""
+    (M5): ``regParam = 1 / (C * n)``, no internal standardisation.
+
+    The fitted population scaler (M3) is the pipeline's first stage (a
+    ``SQLTransformer`` with the means and scales as literals), so the saved
+    model scales at serving exactly as in training. Returns (model, scaler)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.feature import SQLTransformer, VectorAssembler
     cols = windows.feature_columns()
     scaler = fit_scaler(train, cols).first().asDict()
-    scaled = apply_scaler(class_weights(train, "balanced"), scaler, cols)
-    n = scaled.count()
-    asm = VectorAssembler(inputCols=cols, outputCol="features_vec")
+    weighted = class_weights(train, "balanced")
+    n = weighted.count()
+    scaled = ", ".join(f"(CAST({c_} AS DOUBLE) - {float(scaler[f'mean__{c_}'])!r}) / "
+                       f"{float(scaler[f'scale__{c_}'])!r} AS {c_}__z" for c_ in cols)
+    scale = SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__")
+    asm = VectorAssembler(inputCols=[f"{c_}__z" for c_ in cols], outputCol="features_vec")
     lr = LogisticRegression(featuresCol="features_vec", labelCol="label", weightCol="weight",
                             maxIter=max_iter, regParam=1.0 / (c * max(n, 1)), standardization=False)
-    return Pipeline(stages=[asm, lr]).fit(scaled), scaler
+    return Pipeline(stages=[scale, asm, lr]).fit(weighted), scaler
 
 
 def predict(model, df: DataFrame, scaler: dict | None = None, windows: WindowSet = DEFAULT) -> DataFrame:
-    """Probability of the positive class from a fitted pipeline."""
+    """Probability of the positive class from a fitted pipeline. ``scaler``
+    applies a separately fitted scaler first (pipelines from ``train_lr``
+    carry theirs)."""
     from pyspark.ml.functions import vector_to_array
     if scaler:
         df = apply_scaler(df, scaler, windows.feature_columns())
     out = model.transform(df)
     return out.withColumn("score", vector_to_array("probability").getItem(1)) \
-              .drop("features_vec", "rawPrediction", "probability")
+              .drop("features_vec", "rawPrediction", "probability",
+                    *[f"{c}__z" for c in windows.feature_columns()])
 
 
 def roc_auc(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
