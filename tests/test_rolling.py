@@ -228,3 +228,22 @@ def test_hot_entity_is_spread_over_bounded_groups(spark):
     # budget rows per slice, plus context copies of the last 60 s (30 rows here)
     assert max(r["count"] for r in hot) <= budget + 40
     assert sized.where("entity_id != 'hot'").agg(F.max("split")).first()[0] == 0
+
+
+def test_auto_budget(spark, monkeypatch):
+    """``hot_rows="auto"``: max(default, total / (2 x parallelism)) via a
+    scalar subquery; a lowered default makes the hot entity split, results
+    unchanged."""
+    from velocis.operators import skew
+    from velocis.operators.rolling import _frame_rows
+    rows = [("hot", f"h{i:03d}", T0 + i * 30.0, float(i % 7), f"m{i % 4}", 1.0 + i, 2.0) for i in range(120)]
+    rows += [(f"c{i}", f"c{i:03d}", T0 + i, 1.0) for i in range(10)]
+    df = txn_df(spark, rows)
+    assert skew.plan_splits(_frame_rows(df, "entity_id"), "entity_id", 60 * 10**6).hot is None
+    monkeypatch.setattr(skew, "DEFAULT_HOT_ROWS", 5)
+    plan = skew.plan_splits(_frame_rows(df, "entity_id"), "entity_id", 60 * 10**6)
+    assert plan.hot is not None and [r["entity_id"] for r in plan.hot.collect()] == ["hot"]
+    a = rolling_features(df, DEFAULT, hot_rows=None).drop("computed_at")
+    b = rolling_features(df, DEFAULT).drop("computed_at")
+    cols = [F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in a.dtypes]
+    assert a.select(cols).exceptAll(b.select(cols)).count() == 0

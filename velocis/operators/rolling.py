@@ -103,7 +103,7 @@ def _frame_rows(txn: DataFrame, key: str, emit: str | None = None, carry: tuple[
 
 def rolling_features(txn: DataFrame, windows: WindowSet = DEFAULT, key: str = "entity_id",
                      max_events: int | None = None, stats: str = "snapshot",
-                     hot_rows: int | None = skew.DEFAULT_HOT_ROWS,
+                     hot_rows: int | str | None = skew.AUTO,
                      unique_all: bool = False, idle_ttl_s: float | None = None,
                      emit: str | None = None, distinct: str = "exact",
                      carry: tuple[str, ...] = ()) -> DataFrame:

@@ -102,7 +102,7 @@ def _union_pass(events: DataFrame, requests: DataFrame, windows: WindowSet, key:
 
 def point_in_time_features(events: DataFrame, requests: DataFrame, windows: WindowSet = DEFAULT,
                            key: str = "entity_id",
-                           hot_rows: int | None = skew.DEFAULT_HOT_ROWS) -> DataFrame:
+                           hot_rows: int | str | None = skew.AUTO) -> DataFrame:
     """Live features for every request as of ``request_ts``.
 
     Window statistics cover the entity's events in ``[t - W, t]`` (the
@@ -122,7 +122,7 @@ def point_in_time_features(events: DataFrame, requests: DataFrame, windows: Wind
 
 def asof_join(probe: DataFrame, build: DataFrame, key: str, probe_us: Column | str,
               build_us: Column | str, payload: list[str], max_age_us: int | None = None,
-              hot_rows: int | None = skew.DEFAULT_HOT_ROWS, prefix: str = "") -> DataFrame:
+              hot_rows: int | str | None = skew.AUTO, prefix: str = "") -> DataFrame:
     """For each probe row, the newest build row of the same key at or before
     the probe time (J3), optionally no older than ``max_age_us``.
 
@@ -184,7 +184,7 @@ def serve_from_snapshot(requests: DataFrame, latest: DataFrame, windows: WindowS
 
 def serve_tiered(events: DataFrame, features: DataFrame | None, requests: DataFrame,
                  windows: WindowSet = DEFAULT, max_age_s: float = 300.0, key: str = "entity_id",
-                 hot_rows: int | None = skew.DEFAULT_HOT_ROWS) -> DataFrame:
+                 hot_rows: int | str | None = skew.AUTO) -> DataFrame:
     """Snapshot tier, else live compute (J4), with the tier that answered.
 
     A request is answered from the newest snapshot at or before

@@ -2,7 +2,8 @@
 
 Rolling windows and as-of lookups are partitioned by entity. One entity may
 hold a large share of all rows, which would put it into one task. Entities
-with more than ``hot_rows`` rows are therefore cut into time slices
+with more than ``hot_rows`` rows (by default half a task's fair share, at
+least 2M) are therefore cut into time slices
 ("splits") of equal width, chosen so that a slice holds about ``hot_rows``
 rows when the entity's events are spread evenly, and never narrower than
 ``min_width_factor`` times the longest window.
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_HOT_ROWS = 2_000_000
+AUTO = "auto"
 # ~50 bytes per slice row: 250k slices is ~12 MB per executor when broadcast
 DEFAULT_BROADCAST_ROWS = 250_000
 
@@ -50,24 +52,34 @@ class SplitPlan:
 
 
 def plan_splits(events: DataFrame, key: str, context_us: int,
-                hot_rows: int | None = DEFAULT_HOT_ROWS,
+                hot_rows: int | str | None = AUTO,
                 min_width_factor: int = 4,
                 broadcast_rows: int | None = None) -> SplitPlan:
     """Find hot entities and their slice width. One small aggregate job.
 
     ``events`` holds ``key`` and ``us`` of every row that will be
     partitioned by entity (for as-of passes: build and probe rows together).
+    ``hot_rows="auto"`` sets the row budget to the larger of
+    ``DEFAULT_HOT_ROWS`` and half a task's fair share (total rows / (2 x
+    default parallelism)), computed by a scalar subquery in the same plan;
+    an integer is used as is.
     """
     if not hot_rows:
         return SplitPlan(key, None, context_us, False)
     if broadcast_rows is None:
         broadcast_rows = DEFAULT_BROADCAST_ROWS
     floor_width = max(int(context_us) * min_width_factor, 1)
-    stats = (events.groupBy(key)
-             .agg(F.count(F.lit(1)).alias("_n"), F.min("us").alias("_lo"), F.max("us").alias("_hi"))
-             .where(F.col("_n") > F.lit(hot_rows)))
+    per = (events.groupBy(key)
+           .agg(F.count(F.lit(1)).alias("_n"), F.min("us").alias("_lo"), F.max("us").alias("_hi")))
+    if hot_rows == AUTO:
+        parallel = events.sparkSession.sparkContext.defaultParallelism
+        total = per.agg(F.sum("_n")).scalar()
+        budget = F.greatest(F.lit(float(DEFAULT_HOT_ROWS)), total / F.lit(2.0 * parallel))
+    else:
+        budget = F.lit(float(hot_rows))
+    stats = per.where(F.col("_n") > budget)
     width = F.greatest(F.lit(floor_width).cast("long"),
-                       F.ceil((F.col("_hi") - F.col("_lo") + 1) * F.lit(hot_rows) / F.col("_n")).cast("long"))
+                       F.ceil((F.col("_hi") - F.col("_lo") + 1) * budget / F.col("_n")).cast("long"))
     hot = stats.select(
         key, F.col("_lo").alias("split_origin"), width.alias("split_width"),
         F.col("_hi").alias("_hi"),

@@ -37,7 +37,7 @@ class IncrementalRolling:
     """A ``foreachBatch`` function computing rolling features per micro-batch."""
 
     def __init__(self, base_path: str, windows: WindowSet = DEFAULT, max_events: int | None = None,
-                 lateness_s: float = 0.0, hot_rows: int | None = skew.DEFAULT_HOT_ROWS):
+                 lateness_s: float = 0.0, hot_rows: int | str | None = skew.AUTO):
         self.base = base_path.rstrip("/")
         self.windows, self.max_events, self.hot_rows = windows, max_events, hot_rows
         self.reach_us = int((max(windows.lengths) + lateness_s) * MICROS)
