@@ -112,9 +112,10 @@ def _latest_snapshot_sql(cutoff_us: int) -> str:
 
 
 def _latest_snapshot(spark, sf_dir):
-    txn = transactions(spark, sf_dir)
-    flog = rolling_features(txn, HOURLY).where(F.col("us") < F.lit(CUTOFF_US))
-    return txn, latest_per_entity(flog)
+    # the snapshot table as of the cutoff only needs events before it: the
+    # bound goes to the parquet scan instead of filtering the feature log
+    flog = rolling_features(transactions(spark, sf_dir, until=CUTOFF), HOURLY)
+    return transactions(spark, sf_dir), latest_per_entity(flog)
 
 
 @register("latest_snapshot", f"""WITH {TXN}, {_feature_log_sql()}, {_latest_snapshot_sql(CUTOFF_US)}
@@ -231,9 +232,8 @@ WHERE CAST(e.user_id AS VARCHAR) NOT IN (SELECT entity_id FROM txn WHERE us < {C
 GROUP BY 1""")
 def q_cold_entities(spark, sf_dir):
     """Requests after the cutoff from entities with no history before it."""
-    txn = transactions(spark, sf_dir)
-    before = txn.where(F.col("us") < F.lit(COLD_CUTOFF_US))
-    after = requests_from_transactions(txn.where(F.col("us") >= F.lit(COLD_CUTOFF_US)), 0)
+    before = transactions(spark, sf_dir, until=COLD_CUTOFF)
+    after = requests_from_transactions(transactions(spark, sf_dir, since=COLD_CUTOFF), 0)
     cold = cold_entities(after, before)
     return cold.groupBy("entity_id").agg(F.count(F.lit(1)).alias("requests"))
 

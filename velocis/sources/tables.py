@@ -59,8 +59,19 @@ def transactions_from_events(events: DataFrame, keep: tuple[str, ...] = ()) -> D
     )
 
 
-def transactions(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    return transactions_from_events(read_table(spark, sf_dir, "events"), keep)
+def transactions(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = (),
+                 since: str | None = None, until: str | None = None) -> DataFrame:
+    """Transactions of the driver's ``events`` table, optionally restricted
+    to ``since <= ts < until`` (wall-clock strings, UTC). The bounds are put on
+    the raw ``ts`` column, so they reach the parquet scan as pushed filters.
+    Features of an event depend only on earlier events, so ``until`` never
+    changes the features of the events it keeps."""
+    ev = read_table(spark, sf_dir, "events")
+    if since is not None:
+        ev = ev.where(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
+    if until is not None:
+        ev = ev.where(F.col("ts") < F.lit(until).cast("timestamp_ntz"))
+    return transactions_from_events(ev, keep)
 
 
 def requests_from_transactions(txn: DataFrame, delay_seconds: float = 600.0,
