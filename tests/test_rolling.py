@@ -247,3 +247,27 @@ def test_auto_budget(spark, monkeypatch):
     b = rolling_features(df, DEFAULT).drop("computed_at")
     cols = [F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in a.dtypes]
     assert a.select(cols).exceptAll(b.select(cols)).count() == 0
+
+
+@pytest.mark.parametrize("hot_rows,cap", [(None, None), (8, 3)])
+def test_since_recompute_equals_full_history(spark, hot_rows, cap):
+    from velocis.operators.rolling import rolling_features_since
+    rnd = random.Random(17)
+    rows, t = [], T0
+    for i in range(200):
+        t += rnd.choice([0, 1, 5, 20, 70, 400])
+        ent = "hot" if i % 2 else f"e{i % 5}"
+        rows.append((ent, f"t{i:03d}", t, round(rnd.uniform(1, 90), 2), f"m{i % 4}", 1.0 + i, 2.0 - i))
+    df = txn_df(spark, rows)
+    ws = WindowSet(1, 5, 60)
+    since_us = int((T0 + (t - T0) / 2) * 1e6)
+    read_from = since_us - 60 * 10**6
+    recent = df.where(F.col("us") >= read_from)
+    last_known = latest_per_entity(df.where(F.col("us") < read_from).select(
+        "entity_id", "transaction_id", "us", "latitude", "longitude"))
+    a = rolling_features_since(recent, last_known, since_us, ws, hot_rows=hot_rows, max_events=cap)
+    b = rolling_features(df, ws, hot_rows=None, max_events=cap).where(F.col("us") >= since_us)
+    a, b = a.drop("computed_at"), b.drop("computed_at").select(*a.drop("computed_at").columns)
+    cols = [F.round(c, 9).alias(c) if t_ == "double" else F.col(c) for c, t_ in a.dtypes]
+    assert a.count() == b.count() > 0
+    assert a.select(cols).exceptAll(b.select(cols)).count() == 0

@@ -169,6 +169,33 @@ def rolling_features(txn: DataFrame, windows: WindowSet = DEFAULT, key: str = "e
                        *[c for c in carry if c not in ("merchant_category", "latitude", "longitude", key)])
 
 
+def rolling_features_since(recent: DataFrame, last_known: DataFrame | None, since_us: int,
+                           windows: WindowSet = DEFAULT, **kw) -> DataFrame:
+    """Features of the events at or after ``since_us`` without scanning the
+    whole history (the pushdown of SURVEY §4).
+
+    ``recent`` must hold every event with ``us >= since_us - max(W)``: read it
+    with a time bound on the source, so the bound reaches the scan.
+    ``last_known`` (``entity_id, transaction_id, us, latitude, longitude``)
+    is each entity's newest event before ``recent`` starts, typically the
+    snapshot table. It joins the pass as a history row with no amount and no
+    merchant, so it feeds only the previous-location chain: it is older than
+    every frame that is emitted. The result equals ``rolling_features`` over
+    the whole history, restricted to ``us >= since_us``.
+    """
+    rows = with_event_micros(recent)
+    cols = ["entity_id", "transaction_id", "us", "amount", "merchant_id", "merchant_category",
+            "latitude", "longitude"]
+    rows = rows.select(*cols, (F.col("us") >= F.lit(since_us)).alias("_emit_since"))
+    if last_known is not None:
+        lk = last_known.select(
+            "entity_id", "transaction_id", "us", F.lit(None).cast("double").alias("amount"),
+            F.lit(None).cast("string").alias("merchant_id"), F.lit(None).cast("string").alias("merchant_category"),
+            "latitude", "longitude", F.lit(False).alias("_emit_since"))
+        rows = lk.unionByName(rows)
+    return rolling_features(rows, windows, emit="_emit_since", **kw)
+
+
 def snapshot_view(features: DataFrame, windows: WindowSet = DEFAULT) -> DataFrame:
     """The 23 snapshot fields of a feature log, in snapshot order."""
     return features.select(*windows.snapshot_columns())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from velocis.operators.rolling import latest_per_entity, rolling_features
+from velocis.operators.rolling import latest_per_entity, rolling_features, rolling_features_since
 from velocis.plans.catalog import ROUND, feature_sql, register, rounded
 from velocis.plans.oracle import TXN, haversine_sql, rolling_select
 from velocis.schemas import DEFAULT, HOURLY
@@ -161,3 +161,27 @@ def q_latest_event(spark, sf_dir):
     """The newest transaction of every entity."""
     t = transactions(spark, sf_dir).select("entity_id", "transaction_id", "us", "amount")
     return rounded(latest_per_entity(t).select("entity_id", "transaction_id", "us", "amount"))
+
+
+# Recompute window for the incremental query: events from SINCE on, reading
+# history only back to SINCE minus the longest window.
+SINCE = "2024-01-20 00:00:00"
+SINCE_US = 1705708800000000
+READ_FROM = "2024-01-19 00:00:00"     # SINCE - 24 h
+
+
+@register("rolling_features_since", f"""WITH {TXN},
+f AS ({rolling_select(HOURLY.lengths)}),
+g AS (SELECT *, {haversine_sql('prev_latitude', 'prev_longitude', 'latitude', 'longitude')} AS geo_distance_delta FROM f)
+SELECT transaction_id, entity_id, {', '.join(feature_sql(HOURLY))}, merchant_category
+FROM g WHERE us >= {SINCE_US}""")
+def q_rolling_features_since(spark, sf_dir):
+    """W1 recomputed for recent events only: the source is read from
+    SINCE - 24 h (a pushed filter), previous locations come from the
+    entities' newest events before that (the snapshot table's content)."""
+    recent = transactions(spark, sf_dir, since=READ_FROM)
+    last_known = latest_per_entity(
+        transactions(spark, sf_dir, until=READ_FROM).select(
+            "entity_id", "transaction_id", "us", "latitude", "longitude"))
+    f = rolling_features_since(recent, last_known, SINCE_US, HOURLY)
+    return rounded(f.select("transaction_id", "entity_id", *HOURLY.feature_columns(), "merchant_category"))
