@@ -214,3 +214,27 @@ def test_scoring_sink_reloads_model_per_batch(spark):
     got = spark.read.parquet(base + "/good")
     assert {r["model_version"] for r in got.collect()} == {"v1", "v2"}
     assert got.where("batch_id = 1 AND decision = 'DECLINE'").count() == 20
+
+
+def test_idle_timer_clears_state(spark):
+    """With event time, an entity idle past ``idle_ttl_s`` is cleared by
+    its timer once the watermark passes; read back through the state source."""
+    base = scratch_path(spark, f"tests/timer-{uuid.uuid4().hex[:8]}")
+    src, out, ckpt = base + "/src", base + "/out", base + "/ckpt"
+    first = txn_df(spark, [("e", "a", T0, 1.0), ("f", "b", T0, 1.0)])
+    schema = first.schema
+    first.write.parquet(src)
+
+    def build():
+        s = parquet_source(spark, src, schema).withWatermark("event_ts", "0 seconds")
+        return rolling_features_stateful(s, DEFAULT, idle_ttl_s=120, event_time=True)
+
+    run_to_table(build(), "timer", checkpoint=ckpt, path=out)
+    for i, t in enumerate((T0 + 1000, T0 + 1001)):
+        txn_df(spark, [("f", f"c{i}", t, 1.0)]).write.mode("append").parquet(src)
+        run_to_table(build(), "timer", checkpoint=ckpt, path=out)
+    meta = spark.read.format("statestore").option("stateVarName", "meta").load(ckpt).collect()
+    assert [r["key"]["entity_id"] for r in meta] == ["f"]
+    assert meta[0]["value"]["timer_ms"] == (T0 + 1001 + 120) * 1000
+    events = spark.read.format("statestore").option("stateVarName", "events").load(ckpt).collect()
+    assert sorted(r["list_element"]["tid"] for r in events) == ["c0", "c1"]
