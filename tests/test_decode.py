@@ -44,3 +44,26 @@ def test_keyed_json(spark):
     df = spark.createDataFrame([("e1", 1.5)], "entity_id string, amount double")
     r = keyed_json(df).first()
     assert r["key"] == "e1" and json.loads(r["value"]) == {"entity_id": "e1", "amount": 1.5}
+
+
+def test_requests_from_any_transaction_table(spark):
+    from velocis.sources.tables import requests_from_transactions
+    df = spark.createDataFrame([("t1", "e1", 5.0, 1.0, 2.0, "online", 1_700_000_000_000_000)],
+                               "transaction_id string, entity_id string, amount double, latitude double, "
+                               "longitude double, merchant_category string, us long")
+    r = requests_from_transactions(df, delay_seconds=2).first()
+    assert r["request_id"] == "req-t1" and r["batch_id"].startswith("b")
+    assert r["request_ts"] is not None
+
+
+def test_keyed_json_on_a_stream(spark):
+    import uuid
+    from velocis.session import scratch_path
+    from velocis.streaming.streams import keyed_json_stream, parquet_source, run_to_table
+    df = spark.createDataFrame([("e1", "t1", 1.5), ("e2", "t2", 2.5)], "entity_id string, transaction_id string, amount double")
+    src = scratch_path(spark, f"tests/kj-{uuid.uuid4().hex[:8]}")
+    df.write.parquet(src)
+    out = spark.read.parquet(run_to_table(keyed_json_stream(parquet_source(spark, src, df.schema)), "kj"))
+    got = {r["key"]: json.loads(r["value"]) for r in out.collect()}
+    assert got == {"e1": {"entity_id": "e1", "transaction_id": "t1", "amount": 1.5},
+                   "e2": {"entity_id": "e2", "transaction_id": "t2", "amount": 2.5}}
