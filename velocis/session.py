@@ -60,11 +60,15 @@ def _export_pythonpath() -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a scratch one only if unset."""
+    """The shared checkpoint folder. Only a local master may leave it unset (a
+    scratch folder is made then); elsewhere that is an error, since driver
+    and executors would each see a folder of their own."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="velocis-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():
@@ -81,22 +85,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 _SHIPPED: set[str] = set()
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Make this package usable by the Python processes Spark starts: its
-    functions are pickled by value, and the package zip is added with
-    ``addPyFile`` (as ``--py-files`` would) for executor workers. Needed by
-    the operators that run Python (pandas functions, the stateful processor)."""
+def ship_code(spark: SparkSession) -> None:
+    """Add this package as a zip (``addPyFile``, as ``--py-files`` would), so
+    executors' Python workers can import it. Once per application."""
+    import zipfile
     sc = spark.sparkContext
-    app = sc.applicationId
-    if app in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
-    # Functions and classes of this package are serialised by value, so
-    # Python processes that cannot import it (the driver-side runner that
-    # sets up stateful processors does not see addPyFile includes) still work.
-    import velocis
-    from pyspark import cloudpickle
-    cloudpickle.register_pickle_by_value(velocis)
-    import zipfile
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg_dir)
     fd, zpath = tempfile.mkstemp(prefix="velocis-", suffix=".zip")
@@ -108,4 +103,14 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(d, f)
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(zpath)
-    _SHIPPED.add(app)
+    _SHIPPED.add(sc.applicationId)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """``ship_code``, and serialise the package's functions and classes by
+    value: the driver-side runner that sets up stateful processors does not
+    see ``addPyFile`` includes and could not import them."""
+    import velocis
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(velocis)
+    ship_code(spark)
