@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from velocis.llm import digest_merge, pareto_mix
+from pyspark.sql import functions as F
+
+from velocis.llm import cover_substring, digest_merge, pareto_mix, simhash_trie
 from velocis.sources.tables import read_table
 
 
+def op2_simhash_trie(spark, sf_dir):
+    return simhash_trie.simhash_components(read_table(spark, sf_dir, "documents"))
+
+
 def op8_digest_merge(spark, sf_dir):
     return digest_merge.exact_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -14,9 +20,15 @@ def op9_pareto_mix(spark, sf_dir):
     return pareto_mix.mix(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_digest_merge, op9_pareto_mix)}
+def op10_cover_substring(spark, sf_dir):
+    out = cover_substring.substring_dedup(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash_trie, op8_digest_merge, op9_pareto_mix, op10_cover_substring)}
 
 ORACLE = {
     "op8_digest_merge": digest_merge.ORACLE,
     "op9_pareto_mix": pareto_mix.ORACLE,
+    "op10_cover_substring": cover_substring.ORACLE,
 }
