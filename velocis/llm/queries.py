@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from velocis.llm import cover_substring, digest_merge, pareto_mix, simhash_trie
+from velocis.llm import byte_bpe, cover_substring, digest_merge, pareto_mix, simhash_trie, token_counts
 from velocis.sources.tables import read_table
 
 
@@ -12,6 +13,17 @@ def op2_simhash_trie(spark, sf_dir):
     return simhash_trie.simhash_components(read_table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark, sf_dir):
+    return token_counts.token_counts(read_table(spark, sf_dir, "documents"),
+                                     public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+def op5_byte_bpe(spark, sf_dir):
+    out = byte_bpe.encode_texts(read_table(spark, sf_dir, "documents"),
+                                public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "decoded_sha256")
+
+
 def op8_digest_merge(spark, sf_dir):
     return digest_merge.exact_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -25,7 +37,8 @@ def op10_cover_substring(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_trie, op8_digest_merge, op9_pareto_mix, op10_cover_substring)}
+QUERIES = {f.__name__: f for f in (
+    op2_simhash_trie, op4_token_counts, op5_byte_bpe, op8_digest_merge, op9_pareto_mix, op10_cover_substring)}
 
 ORACLE = {
     "op8_digest_merge": digest_merge.ORACLE,
