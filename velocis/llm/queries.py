@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from velocis.llm import byte_bpe, cover_substring, digest_merge, pareto_mix, simhash_trie, token_counts
+from velocis.llm import (
+    byte_bpe, cover_substring, digest_merge, pareto_mix, simhash_trie, token_counts, warc_zst,
+)
 from velocis.sources.tables import read_table
 
 
@@ -13,6 +15,10 @@ def op2_simhash_trie(spark, sf_dir):
     return simhash_trie.simhash_components(read_table(spark, sf_dir, "documents"))
 
 
+def op3_warc_zst(spark, sf_dir):
+    return warc_zst.round_trip(read_table(spark, sf_dir, "pages"))
+
+
 def op4_token_counts(spark, sf_dir):
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"),
                                      public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
@@ -38,9 +44,11 @@ def op10_cover_substring(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_simhash_trie, op4_token_counts, op5_byte_bpe, op8_digest_merge, op9_pareto_mix, op10_cover_substring)}
+    op2_simhash_trie, op3_warc_zst, op4_token_counts, op5_byte_bpe, op8_digest_merge, op9_pareto_mix,
+    op10_cover_substring)}
 
 ORACLE = {
+    "op3_warc_zst": warc_zst.ORACLE,
     "op8_digest_merge": digest_merge.ORACLE,
     "op9_pareto_mix": pareto_mix.ORACLE,
     "op10_cover_substring": cover_substring.ORACLE,
