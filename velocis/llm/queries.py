@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from velocis.llm import (
-    byte_bpe, cover_substring, digest_merge, pareto_mix, simhash_trie, token_counts, warc_zst,
+    byte_bpe, cover_substring, digest_merge, learned_ann, pareto_mix, simhash_trie, token_counts, warc_zst,
 )
 from velocis.sources.tables import read_table
 
@@ -30,6 +30,10 @@ def op5_byte_bpe(spark, sf_dir):
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "decoded_sha256")
 
 
+def op6_learned_ann(spark, sf_dir):
+    return learned_ann.nearest(read_table(spark, sf_dir, "embeddings"))
+
+
 def op8_digest_merge(spark, sf_dir):
     return digest_merge.exact_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -44,8 +48,8 @@ def op10_cover_substring(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_simhash_trie, op3_warc_zst, op4_token_counts, op5_byte_bpe, op8_digest_merge, op9_pareto_mix,
-    op10_cover_substring)}
+    op2_simhash_trie, op3_warc_zst, op4_token_counts, op5_byte_bpe, op6_learned_ann, op8_digest_merge,
+    op9_pareto_mix, op10_cover_substring)}
 
 ORACLE = {
     "op3_warc_zst": warc_zst.ORACLE,
