@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 from velocis.llm import (
     byte_bpe, cover_substring, digest_merge, learned_ann, pareto_mix, simhash_trie, token_counts, warc_zst,
+    weak_quality,
 )
 from velocis.sources.tables import read_table
 
 
+def op1_weak_quality(spark, sf_dir):
+    return weak_quality.quality(read_table(spark, sf_dir, "documents"))
+
+
 def op2_simhash_trie(spark, sf_dir):
     return simhash_trie.simhash_components(read_table(spark, sf_dir, "documents"))
 
@@ -48,8 +53,8 @@ def op10_cover_substring(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_simhash_trie, op3_warc_zst, op4_token_counts, op5_byte_bpe, op6_learned_ann, op8_digest_merge,
-    op9_pareto_mix, op10_cover_substring)}
+    op1_weak_quality, op2_simhash_trie, op3_warc_zst, op4_token_counts, op5_byte_bpe,
+    op6_learned_ann, op8_digest_merge, op9_pareto_mix, op10_cover_substring)}
 
 ORACLE = {
     "op3_warc_zst": warc_zst.ORACLE,
