@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from velocis.llm import (
-    byte_bpe, cover_substring, digest_merge, learned_ann, pareto_mix, simhash_trie, token_counts, warc_zst,
-    weak_quality,
+    byte_bpe, cover_substring, digest_merge, learned_ann, pareto_mix, pii_bilstm, simhash_trie, token_counts,
+    warc_zst, weak_quality,
 )
 from velocis.sources.tables import read_table
 
@@ -39,6 +39,11 @@ def op6_learned_ann(spark, sf_dir):
     return learned_ann.nearest(read_table(spark, sf_dir, "embeddings"))
 
 
+def op7_pii_bilstm(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return pii_bilstm.digest(pii_bilstm.find_pii(docs, pii_bilstm.fit(docs)))
+
+
 def op8_digest_merge(spark, sf_dir):
     return digest_merge.exact_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -54,7 +59,8 @@ def op10_cover_substring(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_weak_quality, op2_simhash_trie, op3_warc_zst, op4_token_counts, op5_byte_bpe,
-    op6_learned_ann, op8_digest_merge, op9_pareto_mix, op10_cover_substring)}
+    op6_learned_ann, op7_pii_bilstm, op8_digest_merge, op9_pareto_mix,
+    op10_cover_substring)}
 
 ORACLE = {
     "op3_warc_zst": warc_zst.ORACLE,
