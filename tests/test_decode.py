@@ -15,14 +15,15 @@ def test_decode_quarantines_every_kind_of_bad_message(spark):
     missing = {k: v for k, v in GOOD.items() if k != "amount"}
     extra = dict(GOOD, channel="web")
     wrong = dict(GOOD, amount="n/a")
-    msgs = [json.dumps(GOOD), json.dumps(missing), json.dumps(extra), json.dumps(wrong), '{"transaction_id": "t',
+    null = dict(GOOD, amount=None)
+    msgs = [json.dumps(GOOD), json.dumps(null), json.dumps(missing), json.dumps(extra), json.dumps(wrong), '{"transaction_id": "t',
             json.dumps(dict(GOOD, is_fraud=True, fraud_type="fraudster"))]
     raw = spark.createDataFrame([(m,) for m in msgs], "value string")
     good, bad = decode_transactions(raw)
     g = good.collect()
     assert len(g) == 2 and g[0]["amount"] == 12.5 and not g[0]["is_fraud"] and g[0]["fraud_type"] == "none"
     reasons = sorted(r["reason"] for r in bad.collect())
-    assert reasons == ["bad_type", "extra_keys", "malformed_json", "missing_keys"]
+    assert reasons == ["bad_type", "extra_keys", "malformed_json", "missing_keys", "null_value"]
 
 
 def test_stamp_event_time_null_and_zero_use_arrival(spark):

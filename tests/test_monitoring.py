@@ -2,8 +2,10 @@
 
 import random
 
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from velocis.operators.monitoring import (
     batch_summary, class_balance, cumulative_histogram, engine_totals, histogram_quantile, latency_report,
@@ -31,7 +33,7 @@ def test_ranked_prefix_sums_across_many_partitions(spark):
     rnd = random.Random(2)
     vals = [rnd.randint(0, 300) for _ in range(3000)]
     df = spark.createDataFrame([(v,) for v in vals], "v long")
-    r = {row["v"]: row for row in ranked(df, "v", partitions=13).collect()}
+    r = {row["v"]: row for row in ranked(df, "v", buckets=13).collect()}
     cum = 0
     for v in sorted(set(vals)):
         cum += vals.count(v)
@@ -105,3 +107,25 @@ def test_small_reports(spark):
     assert tr["n"] == 3 and tr["elapsed_s"] == 4.0 and tr["rows_per_s"] == 0.75
     tot = engine_totals(t, t, t).first()
     assert (tot["tracked_entities"], tot["total_events_ingested"], tot["requests_served"], tot["ready"]) == (2, 3, 3, True)
+
+
+def test_ranked_does_not_rest_on_exchange_reuse(spark):
+    rnd = random.Random(5)
+    df = spark.createDataFrame([(rnd.choice("ab"), rnd.choice([0.5, rnd.random()]), rnd.random() < 0.4)
+                                for _ in range(2000)], "g string, v double, y boolean")
+    got = []
+    for reuse in ("true", "false"):
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+        try:
+            rows = ranked(df, "v", {"n": F.lit(1), "pos": F.col("y").cast("int")}, group=["g"], buckets=9).collect()
+        finally:
+            spark.conf.unset("spark.sql.exchange.reuse")
+        got.append(sorted(tuple(r) for r in rows))
+    assert got[0] == got[1]
+    for g in "ab":
+        cum = 0
+        part = [r for r in got[0] if r[0] == g]
+        for r in part:
+            cum += r[2]
+            assert r[4] == cum
+        assert {r[6] for r in part} == {cum}

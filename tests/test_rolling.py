@@ -204,12 +204,17 @@ def test_oracle_haversine_matches_python(spark):
     assert r["b"]["geo_distance_delta"] == pytest.approx(haversine(10.0, 20.0, -33.9, 151.2))
 
 
-def test_approx_distinct_merchants_close_to_exact(spark):
-    rows = [("e", f"t{i:03d}", T0 + i, 1.0, f"m{i % 37}") for i in range(200)]
-    ex = rows_by_tid(rolling_features(txn_df(spark, rows), WindowSet(1, 5, 300)))
-    ap = rows_by_tid(rolling_features(txn_df(spark, rows), WindowSet(1, 5, 300), distinct="approx"))
-    for t in ("t050", "t199"):
-        assert abs(ap[t]["unique_merchants_300s"] - ex[t]["unique_merchants_300s"]) <= 2
+def test_distinct_merchants_in_every_window_against_sets(spark):
+    """Repeats, ties, nulls and merchants that leave and come back, at block edges."""
+    rnd = random.Random(11)
+    times = sorted(rnd.choice([rnd.uniform(0, 400), 60.0 * rnd.randrange(7)]) for _ in range(300))
+    rows = [("e", f"t{i:03d}", T0 + t, 1.0, rnd.choice(["a", "b", "c", "d", "e", None])) for i, t in enumerate(times)]
+    got = rows_by_tid(rolling_features(txn_df(spark, rows), WindowSet(1, 5, 60), unique_all=True))
+    us = {r["transaction_id"]: r["us"] for r in got.values()}
+    for _, tid, _, _, _ in rows:
+        for w in (1, 5, 60):
+            want = {m for _, o, _, _, m in rows if m and us[tid] - w * 1_000_000 <= us[o] <= us[tid]}
+            assert got[tid][f"unique_merchants_{w}s"] == len(want), (tid, w)
 
 
 def test_hot_entity_is_spread_over_bounded_groups(spark):

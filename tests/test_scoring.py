@@ -93,3 +93,17 @@ def test_batch_score_with_trained_pipeline(spark):
     # answered from the last event's snapshot; only the request amount differs
     assert all(r["served_from"] == "snapshot" for r in out.values())
     assert out["r1"]["fraud_probability"] > out["r0"]["fraud_probability"]
+
+
+def test_n_requests_in_n_rows_out_without_ids(spark):
+    """Identical requests, absent and repeated ids: one row each, generated ids unique."""
+    ev = txn_df(spark, [("e", "a", T0, 5.0), ("e", "b", T0 + 1, 500.0)])
+    rq = request_df(spark, [(f"r{i // 2}", "e", T0 + 2, 10.0) for i in range(4)])
+    rq = rq.withColumn("request_id", F.when(F.col("request_id") == "r1", F.col("request_id"))) \
+           .withColumn("transaction_id", F.lit(None).cast("string"))
+    for log in (None, rolling_features(ev)):
+        out = batch_score(rq, ev, log, LinearScorer({"current_amount": 0.1}, -3.0), DEFAULT).collect()
+        assert len(out) == 4
+        assert len({r["transaction_id"] for r in out}) == 4
+        assert sorted(r["request_id"] == "r1" for r in out) == [False, False, True, True]
+        assert len({r["request_id"] for r in out}) == 3

@@ -3,61 +3,36 @@
 A window without ``partitionBy`` (or over one huge group) sorts everything in
 one task. Instead:
 
-1. reduce to one row per distinct ``(group, value)`` with summed weights
-   (a partial aggregate: map-side combine);
-2. range-partition by ``(group, value)`` so each task holds a contiguous run;
-3. inside each task, running sums per group (``mapInPandas`` over the
-   partition sorted in place, no shuffle);
-4. per (task, group) totals -> offsets of the earlier tasks of the same
-   group, via a window over that small table (at most tasks + groups rows);
-5. offsets joined back (Spark/AQE plans it broadcast when it measures the
-   table small).
+1. reduce to one row per distinct ``(group, value)`` with summed weights (a
+   partial aggregate) and write that table: it is the only pass over the input;
+2. cut the value range into buckets at a few hundred quantiles, fetched once
+   and then plain literals, so a row's bucket is a function of its value alone;
+3. running sums inside each (group, bucket), by a window;
+4. per (group, bucket) totals -> offsets of the smaller buckets of the group, by
+   a window over that small table, joined back by (group, bucket).
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from velocis.session import ship_package
+from velocis.session import scratch_path
 
 
-def _local_running(group_cols: list[str], weights: list[str]):
-    def run(it):
-        last_key, carry = None, np.zeros(len(weights))
-        for pdf in it:
-            if pdf.empty:
-                continue
-            if group_cols:
-                keys = list(zip(*[pdf[c].tolist() for c in group_cols]))
-            else:
-                keys = [()] * len(pdf)
-            new_group = np.ones(len(pdf), dtype=bool)
-            new_group[1:] = [keys[i] != keys[i - 1] for i in range(1, len(keys))]
-            gid = np.cumsum(new_group)
-            out = {}
-            for j, w in enumerate(weights):
-                vals = pdf[w].to_numpy(dtype="float64")
-                cs = pd.Series(vals).groupby(gid).cumsum().to_numpy()
-                if last_key is not None and keys[0] == last_key:
-                    cs[gid == 1] += carry[j]
-                out[f"_cum_{w}"] = cs
-            for j, w in enumerate(weights):
-                carry[j] = out[f"_cum_{w}"][-1]
-            last_key = keys[-1]
-            for k, v in out.items():
-                pdf[k] = v
-            yield pdf
-    return run
+def value_bounds(df: DataFrame, value: str, buckets: int) -> list[float]:
+    """At most ``buckets - 1`` ascending bounds that cut ``value`` about evenly
+    (approximate quantiles: they only balance the work)."""
+    q = [i / buckets for i in range(1, buckets)]
+    got = df.agg(F.percentile_approx(F.col(value).cast("double"), q, 10_000)).first()[0] if q else None
+    return sorted(set(got or []))
 
 
 def ranked(df: DataFrame, value: str, weights: dict[str, F.Column] | None = None,
-           group: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
+           group: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """Distinct ``(group, value)`` rows with, for every weight ``w``:
     ``w`` (the sum at this value), ``cum_w`` (inclusive running sum in
     ascending value order within the group) and ``total_w`` (group total).
@@ -67,24 +42,27 @@ def ranked(df: DataFrame, value: str, weights: dict[str, F.Column] | None = None
     weights = weights or {"n": F.lit(1)}
     names = list(weights)
     spark = df.sparkSession
-    ship_package(spark)
-    p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = (df.where(F.col(value).isNotNull())
          .groupBy(*group, value)
          .agg(*[F.sum(c.cast("double")).alias(n) for n, c in weights.items()]))
-    d = d.repartitionByRange(p, *group, value).sortWithinPartitions(*group, value)
-    d = d.withColumn("_pid", F.spark_partition_id())
-    schema = T.StructType(d.schema.fields + [T.StructField(f"_cum_{w}", T.DoubleType()) for w in names])
-    local = d.mapInPandas(_local_running(group, names), schema)
-    # per-task totals straight from the range-partitioned rows (the shuffle
-    # output is reused), so the Python stage runs once
-    tot = d.groupBy("_pid", *group).agg(*[F.sum(w).alias(f"_t_{w}") for w in names])
-    wo = Window.partitionBy(*group).orderBy("_pid")
+    path = scratch_path(spark, f"ranked/{uuid.uuid4().hex}")
+    d.write.parquet(path)
+    d = spark.read.schema(d.schema).parquet(path)
+    bounds = value_bounds(d, value, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    limits = F.array(*[F.lit(b) for b in bounds]).cast("array<double>")
+    d = d.withColumn("_b", F.size(F.filter(limits, lambda x: x < F.col(value).cast("double"))))
+    own = Window.partitionBy(*group, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    local = d.withColumns({f"_cum_{w}": F.sum(w).over(own) for w in names})
+    tot = d.groupBy(*group, "_b").agg(*[F.sum(w).alias(f"_t_{w}") for w in names])
+    wo = Window.partitionBy(*group).orderBy("_b")
     wall = Window.partitionBy(*group)
-    offs = tot.select("_pid", *group, *[
+    offs = tot.select(*[F.col(c).alias(f"_g_{c}") for c in group], F.col("_b").alias("_gb"), *[
         F.coalesce(F.sum(f"_t_{w}").over(wo.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
         .alias(f"_o_{w}") for w in names], *[F.sum(f"_t_{w}").over(wall).alias(f"total_{w}") for w in names])
-    j = local.join(offs, ["_pid", *group], "inner")
+    on = F.col("_b") == F.col("_gb")
+    for c in group:
+        on = on & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    j = local.join(offs, on, "inner")
     return j.select(*group, value, *names,
                     *[(F.col(f"_cum_{w}") + F.col(f"_o_{w}")).alias(f"cum_{w}") for w in names],
                     *[F.col(f"total_{w}") for w in names])

@@ -33,53 +33,105 @@ def with_event_micros(df: DataFrame) -> DataFrame:
     return df.withColumn("us", F.col("timestamp_ms") * 1000)
 
 
-def _frame_cols(windows: WindowSet, key: str, amount: Column, merchant: Column,
+def with_frames(rows: DataFrame, windows: WindowSet, key: str, amount: Column, merchant: Column,
                 stats: str = "snapshot", max_events: int | None = None,
-                unique_all: bool = False, distinct: str = "exact") -> dict[str, Column]:
-    """Window aggregates for every length. ``amount``/``merchant`` are null on
-    rows that must not count (probe rows). ``distinct="approx"`` counts
-    merchants with HyperLogLog++ (fixed-size state) instead of a set."""
-    base = Window.partitionBy(key, "split").orderBy("us")
-    rows_order = Window.partitionBy(key, "split").orderBy("us", "side", "tid")
-    out: dict[str, Column] = {}
-    for w in windows.lengths:
-        wr = base.rangeBetween(-w * MICROS, 0)
+                unique_all: bool = False) -> tuple[DataFrame, list[str]]:
+    """Window aggregates of every length, in time linear in the rows.
+
+    ``amount``/``merchant`` are null on rows that must not count (probe rows).
+
+    Time is cut into blocks of the window's length W. A frame ``[t - W, t]`` is
+    the start of t's block up to t plus the end of the block before it from
+    ``t - W`` on. Every counting row is therefore copied once per window
+    length, moved W into the future: in t's block, the frame is then a *running*
+    aggregate of the block's own rows (ascending) and one of the moved copies
+    (descending), merged: counts, sums, extremes, and mean and squared
+    deviations by the pairwise rule, so nothing is ever subtracted. No row is
+    visited once per frame that holds it, and no set is kept: a merchant is in
+    the frame unless it lies between its last copy and its first own row, so
+    the distinct count is a running sum of those marks.
+
+    ``max_events`` (W2) looks at the last N rows only, N rows of work per row.
+    The caller has already partitioned ``rows`` by (key, split) for the
+    previous-event chain; every window here is finer and reuses that exchange.
+    """
+    base = rows.columns
+    roles = [0, *range(1, len(windows.lengths) + 1)]
+    counts = amount.isNotNull() | merchant.isNotNull()
+    if max_events:
+        wc = (Window.partitionBy(key, "split").orderBy("us", "side", "tid")
+              .rowsBetween(-(max_events - 1), 0))
+        rows = rows.withColumns({
+            "_c_count": F.count(amount).over(wc), "_c_sum": F.sum(amount).over(wc),
+            "_c_mean": F.avg(amount).over(wc), "_c_std": F.stddev_pop(amount).over(wc),
+            "_c_max": F.max(amount).over(wc), "_c_min": F.min(amount).over(wc),
+            "_c_uniq": F.size(F.collect_set(merchant).over(wc))})
+    rows = rows.withColumns({"_x": amount, "_m": merchant, "_rid": F.monotonically_increasing_id()})
+    rows = rows.withColumn("_role", F.explode(F.when(counts, F.array(*[F.lit(r) for r in roles]))
+                                              .otherwise(F.array(F.lit(0)))))
+    moved = F.lit(0).cast("long")
+    for r, w in zip(roles[1:], windows.lengths):
+        moved = F.when(F.col("_role") == r, F.lit(w * MICROS)).otherwise(moved)
+    rows = rows.withColumn("_vt", F.col("us") + moved)
+    own = F.col("_role") == 0
+    out: list[str] = []
+    unlimited = Window.unboundedPreceding
+    for r, w in zip(roles[1:], windows.lengths):
         wanted = ALL_STATS if stats == "all" else windows.stats_for(w)
-        cnt = F.count(amount).over(wr)
-        aggs = {
-            "count": cnt,
-            "sum": F.sum(amount).over(wr),
-            "mean": F.avg(amount).over(wr),
-            "std": F.stddev_pop(amount).over(wr),
-            "max": F.max(amount).over(wr),
-            "min": F.min(amount).over(wr),
-        }
-        if distinct == "approx":
-            uniq = F.approx_count_distinct(merchant).over(wr)
-        else:
-            uniq = F.size(F.collect_set(merchant).over(wr))
+        block = [key, "split", f"_b{r}"]
+        rows = rows.withColumn(f"_b{r}", F.floor(F.col("_vt") / (w * MICROS)))
+        copy = F.col("_role") == r
+        upto = Window.partitionBy(*block).orderBy("_vt").rangeBetween(unlimited, 0)
+        onward = Window.partitionBy(*block).orderBy(F.desc("_vt")).rangeBetween(unlimited, 0)
+        want_uniq = unique_all or w == windows.long
+        if want_uniq:
+            per = Window.partitionBy(*block, "_m")
+            place = F.struct("_vt", "_rid")
+            rows = rows.withColumns({
+                "_last": F.max(F.when(copy & F.col("_m").isNotNull(), place)).over(per),
+                "_first": F.min(F.when(own & F.col("_m").isNotNull(), place)).over(per)})
+            apart = F.col("_last").isNull() | F.col("_first").isNull() | (F.col("_last._vt") < F.col("_first._vt"))
+            is_last = copy & (F.col("_last") == place)
+            is_first = own & (F.col("_first") == place)
+            rows = rows.withColumns({
+                "_there": F.when(is_last, 1).otherwise(0),
+                "_gone": F.when(is_last & apart, 1).otherwise(0),
+                "_come": F.when(is_first & apart, 1).otherwise(0)}).drop("_last", "_first")
+        agg = {"n": F.count, "s": F.sum, "a": F.avg, "v": F.var_pop, "hi": F.max, "lo": F.min}
+        need = {"n", "s", "a", "v"} | ({"hi"} if "max" in wanted else set()) | ({"lo"} if "min" in wanted else set())
+        cols = {}
+        for part, spec, pick in (("p", upto, own), ("q", onward, copy)):
+            x = F.when(pick, F.col("_x"))
+            cols |= {f"_{part}{k}": agg[k](x).over(spec) for k in sorted(need)}
+        if want_uniq:
+            before = Window.partitionBy(*block).orderBy("_vt").rangeBetween(unlimited, -1)
+            cols |= {"_u": F.sum("_there").over(Window.partitionBy(*block))
+                     + F.sum("_come").over(upto) - F.coalesce(F.sum("_gone").over(before), F.lit(0))}
+        rows = rows.withColumns(cols)
+        n = F.col("_pn") + F.col("_qn")
+        total = F.coalesce("_ps", F.lit(0.0)) + F.coalesce("_qs", F.lit(0.0))
+        gap = F.col("_pa") - F.col("_qa")
+        spread = (F.coalesce(F.col("_pv") * F.col("_pn"), F.lit(0.0)) + F.coalesce(F.col("_qv") * F.col("_qn"), F.lit(0.0))
+                  + F.coalesce(gap * gap * F.col("_pn") * F.col("_qn") / n, F.lit(0.0)))
+        frame = {"count": n, "sum": total, "mean": F.when(n > 0, total / n), "std": F.when(n > 0, F.sqrt(spread / n))}
+        if "max" in wanted:
+            frame["max"] = F.greatest("_phi", "_qhi")
+        if "min" in wanted:
+            frame["min"] = F.least("_plo", "_qlo")
+        uniq = F.col("_u") if want_uniq else None
         if max_events:
-            wc = rows_order.rowsBetween(-(max_events - 1), 0)
-            over = cnt > F.lit(max_events)
-            capped = {
-                # rows frame ends at this row: with many same-time peers after
-                # it, it can hold fewer than N rows, so count it, don't clip
-                "count": F.count(amount).over(wc),
-                "sum": F.sum(amount).over(wc), "mean": F.avg(amount).over(wc),
-                "std": F.stddev_pop(amount).over(wc), "max": F.max(amount).over(wc),
-                "min": F.min(amount).over(wc),
-            }
-            aggs = {k: F.when(over, capped[k]).otherwise(v) for k, v in aggs.items()}
-            capped_uniq = (F.approx_count_distinct(merchant).over(wc) if distinct == "approx"
-                           else F.size(F.collect_set(merchant).over(wc)))
-            uniq = F.when(over, capped_uniq).otherwise(uniq)
+            over = n > F.lit(max_events)
+            frame = {k: F.when(over, F.col(f"_c_{k}")).otherwise(v) for k, v in frame.items()}
+            uniq = F.when(over, F.col("_c_uniq")).otherwise(uniq) if want_uniq else None
+        final = {}
         for s in wanted:
-            c = aggs[s]
-            out[stat_column(s, w)] = (F.coalesce(c, F.lit(0)).cast("int") if s == "count"
-                                      else F.coalesce(c, F.lit(0.0)).cast("double"))
-        if unique_all or w == windows.long:
-            out[f"unique_merchants_{w}s"] = uniq.cast("int")
-    return out
+            final[stat_column(s, w)] = (frame[s].cast("int") if s == "count"
+                                        else F.coalesce(frame[s], F.lit(0.0)).cast("double"))
+        if want_uniq:
+            final[f"unique_merchants_{w}s"] = uniq.cast("int")
+        rows = rows.withColumns(final)
+        out += list(final)
+    return rows.where(own).select(*base, *out), out
 
 
 def _prev_chain(key: str) -> Column:
@@ -105,8 +157,7 @@ def rolling_features(txn: DataFrame, windows: WindowSet = DEFAULT, key: str = "e
                      max_events: int | None = None, stats: str = "snapshot",
                      hot_rows: int | str | None = skew.AUTO,
                      unique_all: bool = False, idle_ttl_s: float | None = None,
-                     emit: str | None = None, distinct: str = "exact",
-                     carry: tuple[str, ...] = ()) -> DataFrame:
+                     emit: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Feature log: one row per transaction with the rolling features as of
     the transaction itself (the transaction counts in its own windows, as on
     the ingest path), the z-score of its amount against the long window, the
@@ -120,8 +171,6 @@ def rolling_features(txn: DataFrame, windows: WindowSet = DEFAULT, key: str = "e
     after a longer gap, as the stream's idle expiry does (T6).
     ``emit`` names a boolean column: rows where it is false are history that
     feeds the frames but produces no output row (incremental use).
-    ``distinct="approx"`` counts distinct merchants with HyperLogLog++ (for
-    long windows with many rows per frame), otherwise exactly.
     ``carry`` passes input columns (e.g. a label) through to the output, so
     nothing has to be joined back by transaction id afterwards.
     """
@@ -132,9 +181,9 @@ def rolling_features(txn: DataFrame, windows: WindowSet = DEFAULT, key: str = "e
     entry = skew.entry_table(rows.where(~F.col("is_ctx")), plan, ["latitude", "longitude"])
 
     rows = rows.withColumn("_prev", _prev_chain(key))
-    feats = _frame_cols(windows, key, F.col("amount"), F.col("merchant_id"), stats,
-                        max_events, unique_all, distinct)
-    rows = rows.withColumns(feats).where(~F.col("is_ctx"))
+    rows, feats = with_frames(rows, windows, key, F.col("amount"), F.col("merchant_id"), stats,
+                              max_events, unique_all)
+    rows = rows.where(~F.col("is_ctx"))
     if emit:
         rows = rows.where(F.col("_emit"))
     if entry is not None:
@@ -162,7 +211,7 @@ def rolling_features(txn: DataFrame, windows: WindowSet = DEFAULT, key: str = "e
         "computed_at": F.timestamp_micros(F.col("us")),
     }
     rows = rows.withColumns(derived)
-    return rows.select(key, F.col("tid").alias("transaction_id"), "us", "computed_at", *feats.keys(),
+    return rows.select(key, F.col("tid").alias("transaction_id"), "us", "computed_at", *feats,
                        "amount_zscore", "velocity_change_ratio", "geo_distance_delta",
                        "current_amount", "merchant_category", "latitude", "longitude",
                        "prev_latitude", "prev_longitude",

@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,12 +34,21 @@ def with_vector(df: DataFrame, windows: WindowSet = DEFAULT, name: str = "featur
 
 def request_defaults(requests: DataFrame) -> DataFrame:
     """Request defaults (P6): lat/lon 0, category ``other``, flags false, and
-    a deterministic id (sha2 of the row) when ``transaction_id`` is absent."""
-    rid = F.sha2(F.concat_ws("|", F.col("entity_id"), F.col("amount").cast("string"),
-                             F.col("request_ts").cast("string")), 256)
+    a deterministic id (sha2 of the row) when an id is absent. Identical
+    requests without an id are numbered, so every request has its own."""
+    cols = ["entity_id", "amount", "request_ts", "request_id", "transaction_id", "latitude", "longitude",
+            "merchant_category", "include_features", "explain", "batch_id"]
+    rid = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in cols]), 256)
+    # only rows without an id are numbered; the rest do not meet in the window
+    absent = F.col("request_id").isNull() | F.col("transaction_id").isNull()
+    spread = F.when(absent, F.lit(0)).otherwise(F.monotonically_increasing_id())
+    n = F.row_number().over(Window.partitionBy("_rid", "_spread").orderBy("_rid"))
+    requests = requests.withColumns({"_rid": rid, "_spread": spread})
+    requests = requests.withColumn("_rid", F.concat(F.substring("_rid", 1, 16), F.when(n > 1, F.concat(
+        F.lit("-"), n.cast("string"))).otherwise(F.lit(""))))
     return requests.select(
-        F.coalesce("request_id", F.concat(F.lit("req-"), F.substring(rid, 1, 16))).alias("request_id"),
-        F.coalesce("transaction_id", F.concat(F.lit("txn-"), F.substring(rid, 1, 16))).alias("transaction_id"),
+        F.coalesce("request_id", F.concat(F.lit("req-"), "_rid")).alias("request_id"),
+        F.coalesce("transaction_id", F.concat(F.lit("txn-"), "_rid")).alias("transaction_id"),
         "entity_id", "amount",
         F.coalesce("latitude", F.lit(0.0)).alias("latitude"),
         F.coalesce("longitude", F.lit(0.0)).alias("longitude"),
@@ -136,12 +145,11 @@ def batch_score(requests: DataFrame, events: DataFrame, feature_log: DataFrame |
 
     ``feature_log=None`` serves snapshots from the events' own feature rows in
     the same pass (see ``serve_tiered``). Carries ``request_id`` and
-    ``batch_id`` (Q14)."""
+    ``batch_id`` (Q14) through the pass: N requests in, N rows out."""
     from velocis.operators.serving import serve_tiered
     req = request_defaults(requests)
-    feats = serve_tiered(events, feature_log, req, windows, max_age_s)
-    flags = req.select("request_id", "include_features", "explain", "batch_id", "request_ts")
-    feats = feats.join(flags, "request_id", "inner")
+    feats = serve_tiered(events, feature_log, req, windows, max_age_s,
+                         carry=("include_features", "explain", "batch_id", "request_ts"))
     return score(feats, model, windows, threshold, importances=importances)
 
 
@@ -153,16 +161,16 @@ def score_with(df: DataFrame, predict_proba: Callable[[np.ndarray], np.ndarray],
     schema = T.StructType(df.schema.fields + [T.StructField("fraud_probability", T.DoubleType())])
 
     def run(it):
-        for pdf in it:
-            x = pdf[cols].fillna(0).to_numpy(dtype=np.float32)
-            p = np.asarray(predict_proba(x))
-            p = p[:, 1] if p.ndim == 2 else p
-            pdf = pdf.copy()
-            pdf["fraud_probability"] = p.astype("float64")
-            yield pdf
+        for whole in it:
+            for i in range(0, len(whole), batch_rows):
+                pdf = whole.iloc[i:i + batch_rows].copy()
+                x = pdf[cols].fillna(0).to_numpy(dtype=np.float32)
+                p = np.asarray(predict_proba(x))
+                p = p[:, 1] if p.ndim == 2 else p
+                pdf["fraud_probability"] = p.astype("float64")
+                yield pdf
 
     spark = df.sparkSession
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
     return df.mapInPandas(run, schema)
 

@@ -15,28 +15,29 @@ from pyspark.sql import functions as F
 
 from velocis.functions.scalar import haversine_km, velocity_ratio, zscore
 from velocis.operators import skew
-from velocis.operators.rolling import MICROS, _frame_cols, _frame_rows, _prev_chain
+from velocis.operators.rolling import MICROS, _frame_rows, _prev_chain, with_frames
 from velocis.schemas import DEFAULT, WindowSet
 
 
-def _request_rows(requests: DataFrame, key: str) -> DataFrame:
+def _request_rows(requests: DataFrame, key: str, carry: tuple[str, ...] = ()) -> DataFrame:
     return requests.select(
         F.col(key), F.unix_micros(F.col("request_ts")).alias("us"), F.lit(1).alias("side"),
         F.coalesce(F.col("transaction_id"), F.col("request_id")).alias("tid"),
         "amount", F.lit(None).cast("string").alias("merchant_id"), "merchant_category",
         F.coalesce(F.col("latitude"), F.lit(0.0)).alias("latitude"),
         F.coalesce(F.col("longitude"), F.lit(0.0)).alias("longitude"),
-        F.col("request_id"))
+        F.col("request_id"), F.struct(*[F.col(c) for c in carry] or [F.lit(0).alias("none")]).alias("_carry"))
 
 
 def _union_pass(events: DataFrame, requests: DataFrame, windows: WindowSet, key: str,
-                hot_rows: int | None, snapshot_age_us: int | None) -> DataFrame:
+                hot_rows: int | None, snapshot_age_us: int | None, carry: tuple[str, ...] = ()) -> DataFrame:
     """One shuffle of events + requests by (entity, split), one sort, and
     window nodes that all reuse it. Returns the request rows with live
     features (and, with ``snapshot_age_us``, the snapshot of the newest event
     at or before the request, i.e. that event's own features)."""
-    ev = _frame_rows(events, key).withColumn("request_id", F.lit(None).cast("string"))
-    rq = _request_rows(requests, key)
+    rq = _request_rows(requests, key, carry)
+    ev = _frame_rows(events, key).withColumns({
+        "request_id": F.lit(None).cast("string"), "_carry": F.lit(None).cast(rq.schema["_carry"].dataType)})
     long_us = max(windows.lengths) * MICROS
     # a snapshot event up to ``snapshot_age_us`` before the slice start needs
     # its own frames complete, so the context reaches back that much further
@@ -65,8 +66,7 @@ def _union_pass(events: DataFrame, requests: DataFrame, windows: WindowSet, key:
     cand = F.when(is_ev, F.struct(F.col("tid"), F.col("latitude").alias("lat"),
                                   F.col("longitude").alias("lon"), F.col("_p1").alias("p")))
     rows = rows.withColumn("_c", F.last(cand, ignorenulls=True).over(w_prev))
-    feats = _frame_cols(windows, key, F.when(is_ev, F.col("amount")), F.when(is_ev, F.col("merchant_id")))
-    rows = rows.withColumns(feats)
+    rows, _ = with_frames(rows, windows, key, F.when(is_ev, F.col("amount")), F.when(is_ev, F.col("merchant_id")))
 
     # requests: newest event before t, in this slice (_c) or before it (_d1,
     # whose own predecessor is _d2), skipped once if it is the scored
@@ -184,7 +184,7 @@ def serve_from_snapshot(requests: DataFrame, latest: DataFrame, windows: WindowS
 
 def serve_tiered(events: DataFrame, features: DataFrame | None, requests: DataFrame,
                  windows: WindowSet = DEFAULT, max_age_s: float = 300.0, key: str = "entity_id",
-                 hot_rows: int | str | None = skew.AUTO) -> DataFrame:
+                 hot_rows: int | str | None = skew.AUTO, carry: tuple[str, ...] = ()) -> DataFrame:
     """Snapshot tier, else live compute (J4), with the tier that answered.
 
     A request is answered from the newest snapshot at or before
@@ -196,31 +196,27 @@ def serve_tiered(events: DataFrame, features: DataFrame | None, requests: DataFr
     With ``features=None`` the snapshots are the feature rows of ``events``
     themselves and everything runs in one union-and-window pass (one
     shuffle). With a snapshot table ``features`` (one row per snapshot) the
-    snapshot tier is a separate as-of join.
+    as-of join follows the live pass on its rows. Nothing is joined by request
+    id: N requests in, N rows out, repeated or absent ids included. ``carry``
+    passes request columns through.
     """
     fcols = [c for c in windows.feature_columns() if c != "current_amount"]
     age_us = int(max_age_s * MICROS)
-    if features is None:
-        rows = _union_pass(events, requests, windows, key, hot_rows, age_us)
-        hit = F.col("_snap").isNotNull()
-        out = [F.when(hit, F.col(f"_snap.{c}")).otherwise(F.col(c)).alias(c) for c in fcols]
-        return rows.select("request_id", F.col("tid").alias("transaction_id"), key, *out,
-                           F.col("amount").alias("current_amount"),
-                           F.coalesce("merchant_category", F.lit("other")).alias("merchant_category"),
-                           F.when(hit, F.lit("snapshot")).otherwise(F.lit("live")).alias("served_from"),
-                           F.when(hit, (F.col("us") - F.col("_snap.us")) / MICROS).alias("snapshot_age_s"))
-    rq = requests.withColumn("_rus", F.unix_micros("request_ts"))
-    snap = asof_join(rq, features, key, "_rus", "us", fcols, max_age_us=age_us, hot_rows=hot_rows, prefix="s_")
-    live = point_in_time_features(events, requests, windows, key, hot_rows)
-    live = live.select("request_id", *[F.col(c).alias(f"l_{c}") for c in fcols])
-    j = snap.join(live, "request_id", "inner")
-    hit = F.col("s_asof_us").isNotNull()
-    out = [F.when(hit, F.col(f"s_{c}")).otherwise(F.col(f"l_{c}")).alias(c) for c in fcols]
-    return j.select("request_id", "transaction_id", key, *out,
-                    F.col("amount").alias("current_amount"),
-                    F.coalesce("merchant_category", F.lit("other")).alias("merchant_category"),
-                    F.when(hit, F.lit("snapshot")).otherwise(F.lit("live")).alias("served_from"),
-                    F.when(hit, (F.col("_rus") - F.col("s_asof_us")) / MICROS).alias("snapshot_age_s"))
+    rows = _union_pass(events, requests, windows, key, hot_rows, age_us if features is None else None, carry)
+    snap_us = F.col("_snap.us")
+    if features is not None:
+        live = rows.select("request_id", "tid", key, "us", *fcols, "amount", "merchant_category", "_carry")
+        rows = asof_join(live, features, key, "us", "us", fcols, max_age_us=age_us, hot_rows=hot_rows, prefix="s_")
+        rows = rows.withColumn("_snap", F.when(F.col("s_asof_us").isNotNull(), F.struct(
+            F.col("s_asof_us").alias("us"), *[F.col(f"s_{c}").alias(c) for c in fcols])))
+    hit = F.col("_snap").isNotNull()
+    out = [F.when(hit, F.col(f"_snap.{c}")).otherwise(F.col(c)).alias(c) for c in fcols]
+    return rows.select("request_id", F.col("tid").alias("transaction_id"), key, *out,
+                       F.col("amount").alias("current_amount"),
+                       F.coalesce("merchant_category", F.lit("other")).alias("merchant_category"),
+                       F.when(hit, F.lit("snapshot")).otherwise(F.lit("live")).alias("served_from"),
+                       F.when(hit, (F.col("us") - snap_us) / MICROS).alias("snapshot_age_s"),
+                       *[F.col(f"_carry.{c}").alias(c) for c in carry])
 
 
 def cold_entities(requests: DataFrame, events: DataFrame, key: str = "entity_id") -> DataFrame:

@@ -2,11 +2,11 @@
 
 Rolling windows and as-of lookups are partitioned by entity. One entity may
 hold a large share of all rows, which would put it into one task. Entities
-with more than ``hot_rows`` rows (by default half a task's fair share, at
-least 2M) are therefore cut into time slices
-("splits") of equal width, chosen so that a slice holds about ``hot_rows``
-rows when the entity's events are spread evenly, and never narrower than
-``min_width_factor`` times the longest window.
+with more than ``hot_rows`` rows (a fixed group size, whatever the table's)
+are therefore cut into time slices ("splits") of equal width, chosen so that a
+slice holds about ``hot_rows`` rows when the entity's events are spread evenly,
+and not narrower than the longest window, so that a row is copied at most once.
+The operators' work per row does not depend on how many rows a slice holds.
 
 * Rows of a hot entity get ``split = floor((us - origin) / width) + 1``;
   every other entity has ``split = 0`` (one slice, no extra work).
@@ -53,30 +53,21 @@ class SplitPlan:
 
 def plan_splits(events: DataFrame, key: str, context_us: int,
                 hot_rows: int | str | None = AUTO,
-                min_width_factor: int = 4,
                 broadcast_rows: int | None = None) -> SplitPlan:
     """Find hot entities and their slice width. One small aggregate job.
 
     ``events`` holds ``key`` and ``us`` of every row that will be
     partitioned by entity (for as-of passes: build and probe rows together).
-    ``hot_rows="auto"`` sets the row budget to the larger of
-    ``DEFAULT_HOT_ROWS`` and half a task's fair share (total rows / (2 x
-    default parallelism)), computed by a scalar subquery in the same plan;
-    an integer is used as is.
+    ``hot_rows="auto"`` is ``DEFAULT_HOT_ROWS``; an integer is used as is.
     """
     if not hot_rows:
         return SplitPlan(key, None, context_us, False)
     if broadcast_rows is None:
         broadcast_rows = DEFAULT_BROADCAST_ROWS
-    floor_width = max(int(context_us) * min_width_factor, 1)
+    floor_width = max(int(context_us), 1)
     per = (events.groupBy(key)
            .agg(F.count(F.lit(1)).alias("_n"), F.min("us").alias("_lo"), F.max("us").alias("_hi")))
-    if hot_rows == AUTO:
-        parallel = events.sparkSession.sparkContext.defaultParallelism
-        total = per.agg(F.sum("_n")).scalar()
-        budget = F.greatest(F.lit(float(DEFAULT_HOT_ROWS)), total / F.lit(2.0 * parallel))
-    else:
-        budget = F.lit(float(hot_rows))
+    budget = F.lit(float(DEFAULT_HOT_ROWS if hot_rows == AUTO else hot_rows))
     stats = per.where(F.col("_n") > budget)
     width = F.greatest(F.lit(floor_width).cast("long"),
                        F.ceil((F.col("_hi") - F.col("_lo") + 1) * budget / F.col("_n")).cast("long"))
@@ -106,7 +97,7 @@ def assign_split(rows: DataFrame, plan: SplitPlan, replicate: bool) -> DataFrame
     if plan.hot is None:
         return rows.withColumn("split", F.lit(0).cast("long")).withColumn("is_ctx", F.lit(False))
     cols = rows.columns
-    j = rows.join(plan._hot(), plan.key, "left")
+    j = rows.join(plan._hot(), plan.key, "left")  # beyond the broadcast bound AQE splits a hot key's rows
     raw = _raw_split(F.col("us"))
     split = (F.when(F.col("split_origin").isNull(), F.lit(0))
              .otherwise(F.least(F.greatest(raw, F.lit(1)), F.col("split_last") + 1))).cast("long")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from velocis.operators.rolling import latest_per_entity, rolling_features, rolling_features_since
 from velocis.plans.catalog import ROUND, feature_sql, register, rounded
 from velocis.plans.oracle import TXN, haversine_sql, rolling_select
@@ -11,9 +13,9 @@ from velocis.sources.tables import transactions
 H = HOURLY.lengths
 
 
-def _features_sql(windows, max_events=None) -> str:
+def _features_sql(windows, max_events=None, txn=TXN) -> str:
     geo = haversine_sql("prev_latitude", "prev_longitude", "latitude", "longitude")
-    return f"""WITH {TXN},
+    return f"""WITH {txn},
 f AS ({rolling_select(windows.lengths, max_events=max_events)}),
 g AS (SELECT *, {geo} AS geo_distance_delta FROM f)
 SELECT transaction_id, entity_id, {', '.join(feature_sql(windows))}, merchant_category
@@ -38,6 +40,17 @@ def q_rolling_features_default(spark, sf_dir):
     return _features(spark, sf_dir, DEFAULT)
 
 
+ONE_ENTITY = TXN.replace("CAST(user_id AS VARCHAR) AS entity_id", "'all' AS entity_id")
+
+
+@register("rolling_features_hot", _features_sql(HOURLY, txn=ONE_ENTITY))
+def q_rolling_features_hot(spark, sf_dir):
+    """W1 with every event on one entity: long frames, slices of a day."""
+    one = transactions(spark, sf_dir).withColumn("entity_id", F.lit("all"))
+    f = rolling_features(one, HOURLY, hot_rows=1000)
+    return rounded(f.select("transaction_id", "entity_id", *HOURLY.feature_columns(), "merchant_category"))
+
+
 def _one_stat_sql(exprs: list[str]) -> str:
     return f"""WITH {TXN}
 SELECT transaction_id, entity_id, {', '.join(exprs)} FROM txn"""

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from velocis.schemas import OPTIONAL_TRANSACTION_KEYS, REQUIRED_TRANSACTION_KEYS, TRANSACTION_SCHEMA
 
-REASONS = ("malformed_json", "missing_keys", "extra_keys", "bad_type")
+REASONS = ("malformed_json", "missing_keys", "extra_keys", "null_value", "bad_type")
 
 
 def validate(raw: DataFrame, col: str = "value", schema=TRANSACTION_SCHEMA,
@@ -26,8 +26,8 @@ def validate(raw: DataFrame, col: str = "value", schema=TRANSACTION_SCHEMA,
 
     Two parses per message: once into ``map<string,string>`` (keys and raw
     values; null for bad syntax or a non-object) and once into the typed
-    schema. A required key whose raw value is present but whose typed value
-    is null has the wrong type."""
+    schema. A required key that is JSON ``null`` has no value; one whose raw
+    value is present but whose typed value is null has the wrong type."""
     raw_map = F.from_json(F.col(col), T.MapType(T.StringType(), T.StringType()))
     keys = F.map_keys(raw_map)
     req = F.array(*[F.lit(k) for k in required])
@@ -36,13 +36,15 @@ def validate(raw: DataFrame, col: str = "value", schema=TRANSACTION_SCHEMA,
     no_keys = F.array().cast("array<string>")
     missing = F.array_except(req, F.coalesce(keys, no_keys))
     extra = F.array_except(F.coalesce(keys, no_keys), allowed)
-    typed_null = F.lit(False)
+    typed_null, null_value = F.lit(False), F.lit(False)
     for f in schema.fields:
         if f.name in required:
+            null_value = null_value | raw_map[f.name].isNull()
             typed_null = typed_null | (raw_map[f.name].isNotNull() & parsed[f.name].isNull())
     reason = (F.when(raw_map.isNull(), F.lit("malformed_json"))
               .when(F.size(missing) > 0, F.lit("missing_keys"))
               .when(F.size(extra) > 0, F.lit("extra_keys"))
+              .when(null_value, F.lit("null_value"))
               .when(typed_null, F.lit("bad_type")))
     return raw.withColumns({"txn": parsed, "reason": reason, "missing": missing})
 
