@@ -187,12 +187,12 @@ def rolling_features(txn: DataFrame, windows: WindowSet = DEFAULT, key: str = "e
     if emit:
         rows = rows.where(F.col("_emit"))
     if entry is not None:
-        e = entry.select(key, "split", F.col("d1").alias("_d1"))
+        e = entry.select(key, "split", *[F.col(f"d1.{c}").alias(f"_d1_{c}") for c in ("us", "latitude", "longitude")])
         # at most one row per slice; broadcast only under the checked bound
         rows = rows.join(F.broadcast(e) if plan.broadcast else e, [key, "split"], "left")
-        prev_lat = F.coalesce(F.col("_prev.lat"), F.col("_d1.latitude"))
-        prev_lon = F.coalesce(F.col("_prev.lon"), F.col("_d1.longitude"))
-        prev_us = F.coalesce(F.col("_prev.us"), F.col("_d1.us"))
+        prev_lat = F.coalesce(F.col("_prev.lat"), F.col("_d1_latitude"))
+        prev_lon = F.coalesce(F.col("_prev.lon"), F.col("_d1_longitude"))
+        prev_us = F.coalesce(F.col("_prev.us"), F.col("_d1_us"))
     else:
         prev_lat, prev_lon, prev_us = F.col("_prev.lat"), F.col("_prev.lon"), F.col("_prev.us")
     if idle_ttl_s is not None:
