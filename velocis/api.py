@@ -35,7 +35,7 @@ from velocis.sources.sinks import (  # noqa: F401
 from velocis.sources.tables import (  # noqa: F401
     read_table, requests_from_transactions, transactions, transactions_from_events,
 )
-from velocis.streaming.incremental import IncrementalRolling  # noqa: F401
+from velocis.streaming.incremental import IncrementalRolling, ScoringStream  # noqa: F401
 from velocis.streaming.stateful import RollingFeatureProcessor, rolling_features_stateful  # noqa: F401
 from velocis.streaming.streams import (  # noqa: F401
     CounterListener, decode_stream, dedup, detected_vs_actual_stream, kafka_source, observe_counters,

@@ -166,6 +166,8 @@ def rolling_features(txn: DataFrame, windows: WindowSet = DEFAULT, key: str = "e
 
     Output: ``entity_id, transaction_id, us, computed_at`` + feature columns +
     ``merchant_category, latitude, longitude, prev_latitude, prev_longitude``.
+    Null amounts, merchants and coordinates do not count (z-score and
+    current amount 0, distance 0 then).
     ``max_events`` caps every frame at the entity's last N events (W2).
     ``idle_ttl_s`` (>= the longest window) forgets the previous location
     after a longer gap, as the stream's idle expiry does (T6).
@@ -204,10 +206,11 @@ def rolling_features(txn: DataFrame, windows: WindowSet = DEFAULT, key: str = "e
 
     lg, sh = windows.long, windows.short
     derived = {
-        "amount_zscore": zscore(F.col("amount"), F.col(f"amount_mean_{lg}s"), F.col(f"amount_std_{lg}s")),
+        "amount_zscore": F.coalesce(zscore(F.col("amount"), F.col(f"amount_mean_{lg}s"), F.col(f"amount_std_{lg}s")),
+                                    F.lit(0.0)),
         "velocity_change_ratio": velocity_ratio(F.col(f"txn_count_{sh}s"), F.col(f"txn_count_{lg}s")),
         "geo_distance_delta": haversine_km("prev_latitude", "prev_longitude", "latitude", "longitude"),
-        "current_amount": F.col("amount"),
+        "current_amount": F.coalesce(F.col("amount"), F.lit(0.0)),
         "computed_at": F.timestamp_micros(F.col("us")),
     }
     rows = rows.withColumns(derived)

@@ -23,8 +23,7 @@ from velocis.sources.sinks import SnapshotTable, read_snapshots, snapshot_record
 from velocis.sources.tables import transactions
 from velocis.streaming.stateful import rolling_features_stateful
 from velocis.streaming.streams import (
-    decode_stream, dedup, parquet_source, replay, score_stream_sinks, sliding_aggregates, snapshot_sink,
-    text_source, with_event_time,
+    decode_stream, dedup, parquet_source, replay, sliding_aggregates, snapshot_sink, text_source,
 )
 
 CHUNKS = 4
@@ -76,9 +75,9 @@ def q_stream_dedup(spark, sf_dir):
     return rounded(spark.read.parquet(out).select("transaction_id", "amount"))
 
 
-def _good_filter_sql() -> str:
-    return ("NOT (event_type IN ('error', 'signup') OR (event_type = 'view' AND value > 400) "
-            "OR (event_type = 'purchase' AND value > 450))")
+REJECT_CASE = """CASE WHEN event_type = 'error' THEN 'missing_keys' WHEN event_type = 'signup' THEN 'extra_keys'
+  WHEN event_type = 'view' AND value > 400 THEN 'malformed_json'
+  WHEN event_type = 'purchase' AND value > 450 THEN 'bad_type' END"""
 
 
 def _stream_score_sql() -> str:
@@ -90,31 +89,29 @@ def _stream_score_sql() -> str:
     25 + CAST(event_id * 7919 % 2400 AS DOUBLE) / 100 AS latitude,
     -124 + CAST(event_id * 104729 % 5600 AS DOUBLE) / 100 AS longitude,
     (epoch_us(ts) // 1000) * 1000 AS us, value > 150 AS is_fraud
-  FROM (SELECT *, {CATEGORY_CASE} AS cat FROM events) e WHERE {_good_filter_sql()})"""
+  FROM (SELECT *, {CATEGORY_CASE} AS cat FROM events) e WHERE {REJECT_CASE} IS NULL)"""
     p = _prob_sql(feature_exprs(HOURLY))
     return f"""WITH {good_txn}, flog0 AS ({rolling_select(HOURLY.lengths)}),
 flog AS (SELECT *, {geo} AS geo_distance_delta FROM flog0)
-SELECT transaction_id, round({p}, {ROUND}) AS fraud_probability, {_decide_sql(p)} FROM flog"""
+SELECT transaction_id, CAST(NULL AS VARCHAR) AS reason, round({p}, {ROUND}) AS fraud_probability, {_decide_sql(p)}
+FROM flog
+UNION ALL SELECT NULL, {REJECT_CASE}, NULL, NULL, NULL, NULL FROM events WHERE {REJECT_CASE} IS NOT NULL"""
 
 
 @register("stream_score", _stream_score_sql())
 def q_stream_score(spark, sf_dir):
-    """T5 + S1 + S2: JSON messages -> strict decode -> stateful features ->
-    scorer -> foreachBatch into a scored sink and an error sink."""
-    raw = raw_messages(spark, sf_dir)
-    base = scratch_path(spark, "streams/score-sinks")
+    """T5 + S1 + S2: JSON messages -> strict decode -> rolling features ->
+    scorer, in one foreachBatch with a scored and an error output. Returns
+    both: every message ends in one of them."""
     import uuid
-    run = uuid.uuid4().hex[:12]
-    good, bad = f"{base}/{run}/scored", f"{base}/{run}/errors"
-
-    def make(src):
-        d = decode_stream(text_source(spark, src)).where(F.col("reason").isNull())
-        return rolling_features_stateful(with_event_time(d), HOURLY)
-
-    replay(raw, "us", CHUNKS, make, "stream-score", foreach=score_stream_sinks(good, bad, demo_scorer(), HOURLY),
-           fmt="text")
-    s = spark.read.parquet(good)
-    return rounded(s.select("transaction_id", "fraud_probability", "decision", "confidence", "is_fraud"))
+    from velocis.streaming.incremental import ScoringStream
+    stream = ScoringStream(scratch_path(spark, f"streams/score-{uuid.uuid4().hex[:12]}"), demo_scorer(), HOURLY)
+    replay(raw_messages(spark, sf_dir), "us", CHUNKS, lambda src: text_source(spark, src), "stream-score",
+           foreach=stream, fmt="text")
+    cols = ["transaction_id", "reason", "fraud_probability", "decision", "confidence", "is_fraud"]
+    scored = spark.read.parquet(stream.scored_path).withColumn("reason", F.lit(None).cast("string")).select(*cols)
+    errors = spark.read.parquet(stream.error_path).select("transaction_id", "reason")
+    return rounded(scored.unionByName(errors, allowMissingColumns=True))
 
 
 @register("src_file_stream", f"""SELECT CASE WHEN event_type = 'error' THEN 'missing_keys'

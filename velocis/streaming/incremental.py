@@ -1,23 +1,25 @@
-"""Skew-safe streaming rolling features (T1, second form).
+"""Streaming rolling features over the batch operator (T1, second form).
 
 ``transformWithStateInPandas`` keeps an entity's window and its
-micro-batch rows in one task. When one entity can carry a large share of the
-traffic, use this form instead: ``foreachBatch`` runs the *batch* operator
-(``rolling_features``, with its hot-entity time slices) over
-
-    tail of earlier events  UNION  the new micro-batch
-
-and emits feature rows for the new events only. The tail is every event
-within the longest window (plus allowed lateness) of the newest event seen,
-plus each entity's newest event (its previous location). It is written as a
-parquet table in a two-slot ring under the shared checkpoint folder: batch
-``k`` reads slot ``(k - 1) % 2`` and writes slot ``k % 2``, so a replayed
-batch always reads the intact tail of the batch before it, and storage stays
-bounded. Outputs are written per ``batch_id`` with dynamic partition
-overwrite, so replays are idempotent.
-
-For in-order input the result equals the batch operator over all events,
-row by row (no Python state, no per-key task).
+micro-batch rows in one task. This form instead runs the *batch* operator
+(``rolling_features``, with its time slices) in ``foreachBatch`` over
+
+    earlier events of the batch's entities  UNION  the new micro-batch
+
+and emits feature rows for the new events only. The earlier events (the
+*tail*) are those within the longest window (plus allowed lateness) of the
+newest event seen, plus each entity's newest event (its previous location).
+The tail is a parquet table in a two-slot ring under the shared checkpoint
+folder: batch ``k`` reads slot ``(k - 1) % 2`` and writes slot ``k % 2``, so a
+replayed batch always reads the intact tail of the batch before it. A missing
+slot is an error, never an empty history. Outputs are written per
+``batch_id`` with dynamic partition overwrite, so a replay changes nothing.
+
+A row older than the tail can answer for (more than the allowed lateness
+before the newest event of earlier batches) gets no features: it goes to
+``late_path`` with its batch and is counted there. Every other row equals the
+batch operator's row over all events that arrived by then; repeated
+deliveries count as often as they arrive, as in batch.
 """
 
 from __future__ import annotations
@@ -40,44 +42,102 @@ class IncrementalRolling:
                  lateness_s: float = 0.0, hot_rows: int | str | None = skew.AUTO):
         self.base = base_path.rstrip("/")
         self.windows, self.max_events, self.hot_rows = windows, max_events, hot_rows
-        self.reach_us = int((max(windows.lengths) + lateness_s) * MICROS)
+        self.lateness_us = int(lateness_s * MICROS)
+        self.reach_us = max(windows.lengths) * MICROS + self.lateness_us
 
     @property
     def output_path(self) -> str:
         return f"{self.base}/features"
 
+    @property
+    def late_path(self) -> str:
+        return f"{self.base}/late"
+
     def _slot(self, batch_id: int) -> str:
         return f"{self.base}/tail/slot={batch_id % 2}"
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        self.run(batch, batch_id)
+
+    def run(self, batch: DataFrame, batch_id: int) -> tuple[DataFrame, DataFrame]:
+        """Write the batch's features, late rows and the new tail; returns the
+        features (read back) and the late rows."""
         spark = batch.sparkSession
-        new = batch.select(*TXN_COLS).withColumn("_new", F.lit(True))
-        rows = new
-        if batch_id > 0:
-            from pyspark.errors import AnalysisException
-            try:
-                tail = spark.read.parquet(self._slot(batch_id - 1)).select(*TXN_COLS)
-                rows = tail.withColumn("_new", F.lit(False)).unionByName(new)
-            except AnalysisException:
-                pass          # the previous batch saw no rows
-        # used three times; its lineage is just the micro-batch files and the
-        # tail table, so a lost cached block is cheap to recompute
-        rows = rows.persist()
+        # used several times; its lineage is the micro-batch's files, so a
+        # lost cached block is cheap to recompute
+        new = batch.select(*TXN_COLS).persist()
+        try:
+            tail = spark.read.parquet(self._slot(batch_id - 1)).select(*TXN_COLS) if batch_id > 0 else new.limit(0)
+            return self._process(new, tail, batch_id)
+        finally:
+            new.unpersist()
+
+    def _process(self, new: DataFrame, tail: DataFrame, batch_id: int) -> tuple[DataFrame, DataFrame]:
+        seen = tail.agg(F.max("us")).first()[0]
+        late = F.lit(False) if seen is None else F.coalesce(F.col("us") < F.lit(seen - self.lateness_us), F.lit(False))
+        _write_batch(new.where(late), batch_id, self.late_path)
+        fresh = new.where(~late)
+        # only the history of entities in this batch can reach its frames
+        history = tail.join(fresh.select("entity_id").distinct(), "entity_id", "left_semi")
+        rows = history.withColumn("_new", F.lit(False)).unionByName(fresh.withColumn("_new", F.lit(True)))
+        feats = rolling_features(rows, self.windows, max_events=self.max_events, hot_rows=self.hot_rows, emit="_new").drop("computed_at")
+        _write_batch(feats, batch_id, self.output_path)
+        kept = tail.unionByName(fresh)
+        top = fresh.agg(F.max("us")).first()[0]
+        top = max(x for x in (top, seen, 0) if x is not None)
+        recent = F.col("us") >= F.lit(top - self.reach_us)
+        newest = latest_per_entity(kept, order=("us", "transaction_id")).where(~recent)
+        kept.where(recent).unionByName(newest.select(*TXN_COLS)).write.mode("overwrite").parquet(self._slot(batch_id))
+        written = new.sparkSession.read.schema(feats.withColumn("batch_id", F.lit(0)).schema).parquet(self.output_path)
+        return written.where(F.col("batch_id") == batch_id).drop("batch_id"), new.where(late)
+
+
+def _write_batch(df: DataFrame, batch_id: int, path: str) -> None:
+    """Write one micro-batch's rows in place of an earlier attempt's."""
+    (df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("batch_id").parquet(path))
+
+
+class ScoringStream:
+    """``foreachBatch`` function of the scoring stream (T5) over raw JSON
+    messages: strict decode, rolling features, model, and two outputs, both
+    written per ``batch_id`` so that a replayed batch changes nothing:
+
+    * ``scored_path``: feature and score columns of the accepted messages;
+    * ``error_path``: ``raw, transaction_id, reason`` of messages that fail to
+      decode, arrive too late for their history, or get no probability.
+
+    ``model`` may be a callable returning the model: it is called once per
+    micro-batch, so a newer saved version is picked up without a restart (S8).
+    """
+
+    def __init__(self, base_path: str, model, windows: WindowSet = DEFAULT, col: str = "value", **kw):
+        self.base, self.model, self.windows, self.col = base_path.rstrip("/"), model, windows, col
+        self.rolling = IncrementalRolling(f"{self.base}/rolling", windows, **kw)
+
+    @property
+    def scored_path(self) -> str:
+        return f"{self.base}/scored"
+
+    @property
+    def error_path(self) -> str:
+        return f"{self.base}/errors"
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        from velocis.operators.scoring import score
+        from velocis.streaming.streams import decode_stream, with_event_time
+        decoded = decode_stream(batch, self.col).persist()
         try:
-            self._process(rows, batch_id)
+            feats, late = self.rolling.run(with_event_time(decoded.where(F.col("reason").isNull())), batch_id)
+            model = self.model() if callable(self.model) and not hasattr(self.model, "transform") else self.model
+            scored = score(feats, model, self.windows).drop("features", "explanations")
+            ok = F.col("fraud_probability").isNotNull() & ~F.isnan("fraud_probability")
+            _write_batch(scored.where(ok), batch_id, self.scored_path)
+            null = F.lit(None).cast("string")
+            errors = decoded.where(F.col("reason").isNotNull()).select("raw", null.alias("transaction_id"), "reason")
+            for df, reason in ((late, "late"), (scored.where(~F.coalesce(ok, F.lit(False))), "no_score")):
+                errors = errors.unionByName(df.select(null.alias("raw"), "transaction_id",
+                                                      F.lit(reason).alias("reason")))
+            _write_batch(errors, batch_id, self.error_path)
         finally:
-            rows.unpersist()
-
-    def _process(self, rows: DataFrame, batch_id: int) -> None:
-        top = rows.agg(F.max("us")).first()[0]
-        if top is None:
-            return
-        feats = rolling_features(rows, self.windows, max_events=self.max_events, hot_rows=self.hot_rows,
-                                 emit="_new")
-        (feats.drop("computed_at").withColumn("batch_id", F.lit(batch_id))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(self.output_path))
-        recent = rows.where(F.col("us") >= F.lit(top - self.reach_us)).select(*TXN_COLS)
-        newest = latest_per_entity(rows.select(*TXN_COLS), order=("us", "transaction_id"))
-        tail = recent.unionByName(newest.select(*TXN_COLS)).dropDuplicates(["transaction_id"])
-        tail.write.mode("overwrite").parquet(self._slot(batch_id))
+            decoded.unpersist()

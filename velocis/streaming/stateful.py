@@ -59,7 +59,7 @@ def output_schema(windows: WindowSet = DEFAULT) -> T.StructType:
 
 
 def _haversine(lat1, lon1, lat2, lon2) -> float:
-    if lat1 is None or lon1 is None or (lat1 == 0 and lon1 == 0) or (lat2 == 0 and lon2 == 0):
+    if any(v is None or v != v for v in (lat1, lon1, lat2, lon2)) or (lat1 == 0 and lon1 == 0) or (lat2 == 0 and lon2 == 0):
         return 0.0
     r = np.radians
     a = (np.sin(r(lat2 - lat1) / 2) ** 2
@@ -67,6 +67,10 @@ def _haversine(lat1, lon1, lat2, lon2) -> float:
     return float(2.0 * EARTH_RADIUS_KM * np.arcsin(np.sqrt(min(a, 1.0))))
 
 
+def _or_none(v) -> float | None:
+    return None if v is None or v != v else float(v)
+
+
 class RollingFeatureProcessor(StatefulProcessor):
     """Stateful per-entity rolling features; see the module docstring."""
 
@@ -124,6 +128,7 @@ class RollingFeatureProcessor(StatefulProcessor):
                 if self.max_events and hi - lo > self.max_events:
                     lo, hi = max(j - self.max_events + 1, 0), j + 1
                 a = amt[lo:hi]
+                a = a[~np.isnan(a)]          # null amounts do not count, as in batch
                 k = len(a)
                 stats = {"count": k, "sum": float(a.sum()) if k else 0.0,
                          "mean": float(a.mean()) if k else 0.0,
@@ -133,21 +138,22 @@ class RollingFeatureProcessor(StatefulProcessor):
                     name = f"txn_count_{w_s}s" if s_ == "count" else f"amount_{s_}_{w_s}s"
                     rec[name] = stats[s_]
                 if w_s == lg:
-                    rec[f"unique_merchants_{w_s}s"] = int(len(set(mer[lo:hi].tolist())))
+                    rec[f"unique_merchants_{w_s}s"] = len({m for m in mer[lo:hi] if isinstance(m, str)})
             sd = rec[f"amount_std_{lg}s"]
-            rec["amount_zscore"] = (amt[j] - rec[f"amount_mean_{lg}s"]) / sd if sd >= STD_EPSILON else 0.0
+            rec["amount_zscore"] = (amt[j] - rec[f"amount_mean_{lg}s"]) / sd \
+                if sd >= STD_EPSILON and not np.isnan(amt[j]) else 0.0
             rec["velocity_change_ratio"] = rec[f"txn_count_{sh}s"] / max(rec[f"txn_count_{lg}s"], 1) * 60.0
             if j - 1 >= s0:
                 plat, plon = float(lat[j - 1]), float(lon[j - 1])
-            elif s0 == 0 and ev[0] is not None:
-                plat, plon = ev[2], ev[3]
+            elif s0 == 0 and ev[0] is not None and (ev[0], ev[1]) < (us[j], tid[j]):
+                plat, plon = ev[2], ev[3]      # only if it is earlier: a late row may be older
             else:
                 plat, plon = None, None
             rec["geo_distance_delta"] = _haversine(plat, plon, lat[j], lon[j])
-            rec["current_amount"] = float(amt[j])
+            rec["current_amount"] = 0.0 if np.isnan(amt[j]) else float(amt[j])
             rec["merchant_category"] = new["merchant_category"].iloc[src[j]]
-            rec["latitude"], rec["longitude"] = float(lat[j]), float(lon[j])
-            rec["prev_latitude"], rec["prev_longitude"] = plat, plon
+            rec["latitude"], rec["longitude"] = _or_none(lat[j]), _or_none(lon[j])
+            rec["prev_latitude"], rec["prev_longitude"] = _or_none(plat), _or_none(plon)
             out.append(rec)
         last = int(seg[-1]) if n else 0
         if last > 0:
@@ -166,12 +172,12 @@ class RollingFeatureProcessor(StatefulProcessor):
         if len(gone):
             g = gone[-1]
             if ev[0] is None or (us[g], tid[g]) > (ev[0], ev[1]):
-                ev = (int(us[g]), str(tid[g]), float(lat[g]), float(lon[g]))
+                ev = (int(us[g]), str(tid[g]), _or_none(lat[g]), _or_none(lon[g]))
         kept = np.nonzero(keep)[0]
         self.events.clear()
         if len(kept):
-            self.events.put([(int(us[k]), str(tid[k]), float(amt[k]), float(lat[k]), float(lon[k]),
-                              None if mer[k] is None else str(mer[k])) for k in kept])
+            self.events.put([(int(us[k]), str(tid[k]), _or_none(amt[k]), _or_none(lat[k]), _or_none(lon[k]),
+                              mer[k] if isinstance(mer[k], str) else None) for k in kept])
         timer = meta[5] if meta else None
         if self.timers and self.idle_us is not None:
             new_timer = (max_us + self.idle_us) // 1000

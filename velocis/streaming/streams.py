@@ -22,6 +22,7 @@ from velocis.operators.scoring import score
 from velocis.session import scratch_path
 from velocis.sources.decode import validate
 from velocis.sources.sinks import SnapshotTable, keyed_json
+from velocis.streaming.incremental import _write_batch
 from velocis.streaming.stateful import rolling_features_stateful
 from velocis.schemas import DEFAULT, WindowSet
 
@@ -161,17 +162,21 @@ def run_to_table(df: DataFrame, name: str, output_mode: str = "append",
 
 
 def score_stream_sinks(good_path: str, bad_path: str, model, windows: WindowSet = DEFAULT):
-    """``foreachBatch`` function (T5): scores features and writes scored rows
-    to one folder; rows that fail (null probability) go to the other (Q15).
-    ``model`` may be a callable returning the model: it is called once per
-    micro-batch, so a newer saved version is picked up without a restart (S8)."""
+    """``foreachBatch`` function over feature rows: scored rows go to one
+    folder, rows without a probability to the other (Q15), both written per
+    ``batch_id`` in place of an earlier attempt's. ``ScoringStream`` is the
+    whole path from raw messages. ``model`` may be a callable returning the
+    model: it is called once per micro-batch, so a newer saved version is
+    picked up without a restart (S8)."""
     def sink(batch: DataFrame, batch_id: int) -> None:
         m = model() if callable(model) and not hasattr(model, "transform") else model
-        s = score(batch, m, windows).drop("features", "explanations")
-        s = s.withColumn("batch_id", F.lit(batch_id))
-        ok = F.col("fraud_probability").isNotNull() & ~F.isnan("fraud_probability")
-        s.where(ok).write.mode("append").parquet(good_path)
-        s.where(~ok | F.col("fraud_probability").isNull()).write.mode("append").parquet(bad_path)
+        s = score(batch, m, windows).drop("features", "explanations").persist()
+        try:
+            ok = F.coalesce(F.col("fraud_probability").isNotNull() & ~F.isnan("fraud_probability"), F.lit(False))
+            _write_batch(s.where(ok), batch_id, good_path)
+            _write_batch(s.where(~ok), batch_id, bad_path)
+        finally:
+            s.unpersist()
     return sink
 
 
