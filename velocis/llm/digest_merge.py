@@ -83,7 +83,8 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = materialise(_with_digests(docs, id_col, text_col), "digest-docs")
     keep = materialise(merge_runs(rows.select("__run", *_KEY, "__best"), fan_in)
                        .select(F.col("__best")["r"].alias("__rid")), "digest-keep")
-    return rows.join(keep, "__rid", "left_semi").select(*cols)
+    # the same plan at every size: whole rows are shuffled once, by their own number
+    return rows.join(keep.hint("merge"), "__rid", "left_semi").select(*cols)
 
 
 ORACLE = r"""

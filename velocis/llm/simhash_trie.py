@@ -250,4 +250,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = materialise(rows.withColumn("__best", _best(id_col, F.col("__rid").alias("r"))), "simhash-docs")
     groups = near_groups(rows.select("__fp", "__best"), budget, leaves)
     keep = groups.select(F.col("best")["r"].alias("__rid")).distinct()
-    return rows.join(keep, "__rid", "left_semi").select(*cols)
+    # the same plan at every size: whole rows are shuffled once, by their own number
+    return rows.join(keep.hint("merge"), "__rid", "left_semi").select(*cols)
