@@ -19,7 +19,8 @@ def txn_df(spark, rows):
         mer = r[4] if len(r) > 4 else "m1"
         lat, lon = (r[5], r[6]) if len(r) > 6 else (0.0, 0.0)
         cat = r[7] if len(r) > 7 else "other"
-        out.append((e, tid, float(amt), mer, cat, float(lat), float(lon), int(round(ts * 1_000_000))))
+        num = lambda v: None if v is None else float(v)
+        out.append((e, tid, num(amt), mer, cat, num(lat), num(lon), int(round(ts * 1_000_000))))
     df = spark.createDataFrame(out, "entity_id string, transaction_id string, amount double, merchant_id string, "
                                     "merchant_category string, latitude double, longitude double, us long")
     return df.withColumn("event_ts", F.timestamp_micros("us"))

@@ -15,9 +15,11 @@ from velocis.schemas import DEFAULT, HOURLY, WindowSet
 from velocis.sources.tables import requests_from_transactions, transactions
 
 DELAY_S = 600
-# Snapshot table state as of this instant for the snapshot-tier queries.
-CUTOFF = "2024-01-16 00:00:00"
-CUTOFF_US = 1705363200000000
+# State of the snapshot table that J1 serves from, a parameter of the query:
+# early enough that some entities have no snapshot yet.
+AS_OF = "2024-01-02 00:00:00"
+AS_OF_US = 1704153600000000
+END_OF_TIME_US = 9_000_000_000_000_000
 
 
 def requests_sql(delay_s: float = DELAY_S) -> str:
@@ -111,27 +113,27 @@ def _latest_snapshot_sql(cutoff_us: int) -> str:
   QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY us DESC, transaction_id DESC) = 1)"""
 
 
-def _latest_snapshot(spark, sf_dir):
-    # the snapshot table as of the cutoff only needs events before it: the
+def _latest_snapshot(spark, sf_dir, as_of=None):
+    # the snapshot table as of an instant only needs events before it: the
     # bound goes to the parquet scan instead of filtering the feature log
-    flog = rolling_features(transactions(spark, sf_dir, until=CUTOFF), HOURLY)
-    return transactions(spark, sf_dir), latest_per_entity(flog)
+    txn = transactions(spark, sf_dir, until=as_of) if as_of else transactions(spark, sf_dir)
+    return latest_per_entity(rolling_features(txn, HOURLY))
 
 
-@register("latest_snapshot", f"""WITH {TXN}, {_feature_log_sql()}, {_latest_snapshot_sql(CUTOFF_US)}
+@register("latest_snapshot", f"""WITH {TXN}, {_feature_log_sql()}, {_latest_snapshot_sql(END_OF_TIME_US)}
 SELECT 'fs:v1:' || entity_id AS key, entity_id, transaction_id, us AS computed_at_us,
   (us + 300000000) AS expires_at_us, {', '.join(feature_sql(HOURLY))}
 FROM latest""")
 def q_latest_snapshot(spark, sf_dir):
     """S6 (batch form): newest snapshot per entity with key and expiry."""
-    _, latest = _latest_snapshot(spark, sf_dir)
+    latest = _latest_snapshot(spark, sf_dir)
     from velocis.sources.sinks import snapshot_records
     rec = snapshot_records(latest, HOURLY, ttl_s=300)
     return rounded(rec.select("key", "entity_id", "transaction_id", "computed_at_us", "expires_at_us",
                               *HOURLY.feature_columns()))
 
 
-@register("serve_snapshot", f"""WITH {TXN}, {_feature_log_sql()}, {_latest_snapshot_sql(CUTOFF_US)},
+@register("serve_snapshot", f"""WITH {TXN}, {_feature_log_sql()}, {_latest_snapshot_sql(AS_OF_US)},
 {requests_sql()}
 SELECT r.request_id, r.transaction_id, r.entity_id,
   {', '.join(c for c in feature_sql(HOURLY, amount='r.amount', src_alias='l')
@@ -145,11 +147,11 @@ FROM req r LEFT JOIN (
       AS amount_zscore_s,
     CAST(txn_count_3600s AS DOUBLE) / CAST(greatest(txn_count_86400s, 1) AS DOUBLE) * 60.0 AS velocity_s
   FROM latest) l ON r.entity_id = l.entity_id""")
-def q_serve_snapshot(spark, sf_dir):
-    """J1 + P5: requests served from the snapshot table (as of the cutoff)."""
-    txn, latest = _latest_snapshot(spark, sf_dir)
-    req = requests_from_transactions(txn)
-    out = serve_from_snapshot(req, latest, HOURLY)
+def q_serve_snapshot(spark, sf_dir, as_of=AS_OF):
+    """J1 + P5: requests served from the snapshot table as of ``as_of``;
+    entities without a snapshot get zeros."""
+    req = requests_from_transactions(transactions(spark, sf_dir))
+    out = serve_from_snapshot(req, _latest_snapshot(spark, sf_dir, as_of), HOURLY)
     return rounded(out.select("request_id", "transaction_id", "entity_id", *HOURLY.feature_columns(),
                               "merchant_category", "snapshot_found"))
 

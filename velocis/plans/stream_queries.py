@@ -195,3 +195,36 @@ def q_stream_rolling_incremental(spark, sf_dir):
            foreach=inc)
     f = spark.read.parquet(inc.output_path)
     return rounded(f.select("transaction_id", "entity_id", *HOURLY.feature_columns(), "merchant_category"))
+
+
+DELAY_US = 3 * 86400 * 1_000_000
+
+
+@register("stream_late_rows", f"""WITH {TXN},
+a AS (SELECT *, us + CASE WHEN event_id % 50 = 0 THEN {DELAY_US} ELSE 0 END AS arrival FROM txn),
+c AS (SELECT a.*, (arrival - lo) // step AS chunk FROM a,
+  (SELECT min(arrival) AS lo, (max(arrival) - min(arrival)) // {CHUNKS} + 1 AS step FROM a)),
+m AS (SELECT chunk, max(us) AS top FROM c GROUP BY 1),
+s AS (SELECT c.*, coalesce(us < (SELECT max(top) FROM m WHERE m.chunk < c.chunk), false) AS late FROM c)
+SELECT transaction_id, true AS late, CAST(0 AS BIGINT) AS txn_count_86400s, 0.0::DOUBLE AS amount_sum_86400s
+FROM s WHERE late
+UNION ALL
+SELECT transaction_id, false, CAST(count(amount) OVER w AS BIGINT), round(sum(amount) OVER w, {ROUND}) FROM s
+WHERE NOT late
+WINDOW w AS (PARTITION BY entity_id ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW)""")
+def q_stream_late_rows(spark, sf_dir):
+    """Every 50th event arrives three days late. Rows older than the
+    history that is kept are set apart; all others have their features."""
+    import uuid
+    from velocis.streaming.incremental import IncrementalRolling
+    txn = _txn(spark, sf_dir)
+    late = F.col("transaction_id").cast("long") % 50 == 0
+    txn = txn.withColumn("arrival", F.col("us") + F.when(late, F.lit(DELAY_US)).otherwise(F.lit(0)))
+    inc = IncrementalRolling(scratch_path(spark, f"streams/late-{uuid.uuid4().hex[:12]}"), HOURLY)
+    replay(txn, "arrival", CHUNKS, lambda src: parquet_source(spark, src, txn.schema), "stream-late", foreach=inc)
+    done = spark.read.parquet(inc.output_path).select(
+        "transaction_id", F.lit(False).alias("late"), "txn_count_86400s", "amount_sum_86400s")
+    apart = spark.read.parquet(inc.late_path).select(
+        "transaction_id", F.lit(True).alias("late"), F.lit(0).alias("txn_count_86400s"),
+        F.lit(0.0).alias("amount_sum_86400s"))
+    return rounded(done.unionByName(apart))

@@ -78,50 +78,81 @@ def read_snapshots(records: DataFrame, as_of_us, windows: WindowSet = DEFAULT) -
 
 
 class SnapshotTable:
-    """Versionless latest-snapshot table, bucketed by entity hash."""
+    """Versioned latest-snapshot table, bucketed by entity hash.
+
+    A version writes the buckets it touches to ``data/version=v`` (one file a
+    bucket) and then one manifest: for every bucket the version that holds it.
+    Nothing is overwritten, and a version exists only once its manifest is
+    committed, so a writer that dies leaves the table as it was. Size
+    ``n_buckets`` so that a bucket fits a task.
+    """
 
     def __init__(self, spark: SparkSession, path: str, windows: WindowSet = DEFAULT,
                  n_buckets: int = 64, ttl_s: float = SNAPSHOT_TTL_SECONDS):
-        self.spark, self.path, self.windows = spark, path, windows
+        self.spark, self.path, self.windows = spark, path.rstrip("/"), windows
         self.n_buckets, self.ttl_s = n_buckets, ttl_s
 
     def _bucket(self) -> F.Column:
         return F.pmod(F.hash(F.col("entity_id")), F.lit(self.n_buckets)).cast("int")
 
-    def exists(self) -> bool:
+    def manifest(self) -> tuple[int, dict[int, int]]:
+        """Newest committed version (0: none) and the version of each bucket (at most n_buckets rows)."""
         from pyspark.errors import AnalysisException
         try:
-            self.spark.read.parquet(self.path).schema
-            return True
-        except AnalysisException:
-            return False
-
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
-
-    def upsert(self, features: DataFrame) -> None:
-        """Merge new snapshots (any number per entity) into the table.
-
-        Rows of the touched buckets are read, unioned with the new rows,
-        reduced to the newest per entity and written back with dynamic
-        partition overwrite. The merge is idempotent, so a replayed
-        micro-batch gives the same table.
-        """
+            m = self.spark.read.schema("version long, bucket int, held_by long").parquet(f"{self.path}/manifest")
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" in str(e):
+                return 0, {}
+            raise
+        newest = m.agg(F.max("version")).first()[0]
+        rows = m.where(F.col("version") == newest).collect() if newest else []
+        return newest or 0, {r["bucket"]: r["held_by"] for r in rows}
+
+    def exists(self) -> bool:
+        return self.manifest()[0] > 0
+
+    def read(self, buckets: list[int] | None = None) -> DataFrame:
+        """The newest committed version, or some buckets of it."""
+        version, held = self.manifest()
+        wanted = {b: v for b, v in held.items() if buckets is None or b in buckets}
+        if not version:
+            raise ValueError(f"no snapshot table at {self.path}")
+        t = self.spark.read.parquet(f"{self.path}/data")
+        on = F.lit(False)
+        for v in sorted(set(wanted.values())):  # partition filters: only these folders are read
+            on = on | ((F.col("version") == v) & F.col("bucket").isin([b for b, x in wanted.items() if x == v]))
+        return t.where(on).drop("version")
+
+    def upsert(self, features: DataFrame) -> int:
+        """Merge new snapshots (any number per entity) into the table and
+        return the new version: the touched buckets, with the new rows, reduced
+        to the newest row per entity. Merging the same rows again (a replayed
+        micro-batch) gives the same content."""
         cols = ["entity_id", "transaction_id", "us"] + self.windows.feature_columns() + ["merchant_category"]
         new = latest_per_entity(features.select(*cols), order=("us", "transaction_id"))
-        new = snapshot_records(new, self.windows, self.ttl_s).withColumn("bucket", self._bucket())
-        if self.exists():
-            cur = self.read()
-            touched = new.select("bucket").distinct()
-            cur = cur.join(F.broadcast(touched), "bucket", "left_semi")  # <= n_buckets rows
-            merged = cur.unionByName(new.select(*cur.columns))
-            ordk = ("computed_at_us", "transaction_id")
-            merged = latest_per_entity(merged.drop("bucket"), order=ordk).withColumn("bucket", self._bucket())
-            merged = merged.checkpoint(eager=True)   # cut lineage before overwriting what we read
-        else:
+        new = snapshot_records(new, self.windows, self.ttl_s).withColumn("bucket", self._bucket()).persist()
+        try:
+            touched = [r[0] for r in new.select("bucket").distinct().collect()]  # at most n_buckets
+            version, held = self.manifest()
             merged = new
-        (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("bucket").parquet(self.path))
+            if version and any(b in held for b in touched):
+                cur = self.read(touched)
+                merged = latest_per_entity(cur.unionByName(new.select(*cur.columns)),
+                                           order=("computed_at_us", "transaction_id"))
+            version += 1
+            merged.repartition(max(1, min(len(touched), self.n_buckets)), "bucket") \
+                .withColumn("version", F.lit(version)).write.mode("overwrite") \
+                .option("partitionOverwriteMode", "dynamic").partitionBy("version", "bucket") \
+                .parquet(f"{self.path}/data")
+            self._commit(version, held | {b: version for b in touched})
+            return version
+        finally:
+            new.unpersist()
+
+    def _commit(self, version: int, held: dict[int, int]) -> None:
+        rows = [(version, b, v) for b, v in sorted(held.items())]
+        self.spark.createDataFrame(rows, "version long, bucket int, held_by long").coalesce(1) \
+            .write.mode("append").parquet(f"{self.path}/manifest")
 
     def lookup(self, as_of_us) -> DataFrame:
         return read_snapshots(self.read(), as_of_us, self.windows)

@@ -67,13 +67,17 @@ class IncrementalRolling:
         # lost cached block is cheap to recompute
         new = batch.select(*TXN_COLS).persist()
         try:
-            tail = spark.read.parquet(self._slot(batch_id - 1)).select(*TXN_COLS) if batch_id > 0 else new.limit(0)
+            tail = (spark.read.parquet(self._slot(batch_id - 1)) if batch_id > 0
+                    else new.limit(0).withColumn("written_by", F.lit(0)))
             return self._process(new, tail, batch_id)
         finally:
             new.unpersist()
 
     def _process(self, new: DataFrame, tail: DataFrame, batch_id: int) -> tuple[DataFrame, DataFrame]:
-        seen = tail.agg(F.max("us")).first()[0]
+        seen, written_by = tail.agg(F.max("us"), F.max("written_by")).first()
+        if written_by is not None and written_by != batch_id - 1:
+            raise RuntimeError(f"the tail of batch {batch_id - 1} is missing: found that of batch {written_by}")
+        tail = tail.select(*TXN_COLS)
         late = F.lit(False) if seen is None else F.coalesce(F.col("us") < F.lit(seen - self.lateness_us), F.lit(False))
         _write_batch(new.where(late), batch_id, self.late_path)
         fresh = new.where(~late)
@@ -87,7 +91,8 @@ class IncrementalRolling:
         top = max(x for x in (top, seen, 0) if x is not None)
         recent = F.col("us") >= F.lit(top - self.reach_us)
         newest = latest_per_entity(kept, order=("us", "transaction_id")).where(~recent)
-        kept.where(recent).unionByName(newest.select(*TXN_COLS)).write.mode("overwrite").parquet(self._slot(batch_id))
+        kept.where(recent).unionByName(newest.select(*TXN_COLS)).withColumn("written_by", F.lit(batch_id)) \
+            .write.mode("overwrite").parquet(self._slot(batch_id))
         written = new.sparkSession.read.schema(feats.withColumn("batch_id", F.lit(0)).schema).parquet(self.output_path)
         return written.where(F.col("batch_id") == batch_id).drop("batch_id"), new.where(late)
 
