@@ -10,7 +10,7 @@ from velocis.functions.scalar import (  # noqa: F401
 )
 from velocis.functions.sql import register_sql_functions  # noqa: F401
 from velocis.operators.monitoring import (  # noqa: F401
-    batch_summary, class_balance, cumulative_histogram, decision_counts, engine_totals, fraud_rate,
+    batch_summary, class_balance, cumulative_histogram, decision_counts, detected_vs_actual, engine_totals, fraud_rate,
     histogram_quantile, latency_report, rate_per_window, serving_coverage, throughput_report,
 )
 from velocis.operators.ordering import nearest_rank_report, ranked  # noqa: F401

@@ -124,9 +124,17 @@ def throughput_report(df: DataFrame, ts_us: str = "us", group: Sequence[str] = (
 
 
 def rate_per_window(df: DataFrame, ts: str, window: str = "1 minute",
-                    by: Sequence[str] = ("decision",)) -> DataFrame:
-    """Count and per-second rate per fixed window, total and by ``by``."""
+                    by: Sequence[str] = ("decision",), total: str | None = None) -> DataFrame:
+    """Count and per-second rate per fixed window and ``by`` (A11); with
+    ``total`` also one row per window over all of them, named so in every
+    ``by`` column. The totals add up the groups, the input is read once."""
     g = df.groupBy(F.window(ts, window).alias("w"), *by).agg(F.count(F.lit(1)).alias("n"))
+    if total is not None:
+        names = F.array(*[F.struct(F.col(c).cast("string").alias("k"), F.lit(c).alias("c")) for c in by])
+        g = g.withColumn("_keep", F.explode(F.array(F.lit(True), F.lit(False)))).select(
+            "w", "n", *[F.when(F.col("_keep"), names[i]["k"]).otherwise(F.lit(total)).alias(c)
+                        for i, c in enumerate(by)])
+        g = g.groupBy("w", *by).agg(F.sum("n").alias("n"))
     length_s = _window_seconds(window)
     return g.select(F.unix_micros(F.col("w.start")).alias("window_start_us"), *by, "n",
                     (F.col("n") / F.lit(float(length_s))).alias("rate_per_s"))
@@ -163,6 +171,16 @@ def batch_summary(scored: DataFrame, batch: str = "batch_id") -> DataFrame:
         F.sum(lat).cast("long").alias("total_latency_us"))
 
 
+def detected_vs_actual(scored: DataFrame, truth: DataFrame, key: str = "transaction_id",
+                       label: str = "actual_fraud") -> DataFrame:
+    """Scored rows joined to a separate truth table by id, counted per
+    decision, prediction and label (J6). Truth that is delivered twice counts
+    once; scored rows without truth are left out."""
+    t = truth.groupBy(key).agg(F.max(label).alias(label))
+    j = scored.select(key, "decision", F.col("is_fraud").alias("predicted_fraud")).join(t, key)
+    return j.groupBy("decision", "predicted_fraud", label).agg(F.count(F.lit(1)).alias("transactions"))
+
+
 def class_balance(df: DataFrame, label: str = "label") -> DataFrame:
     """Rows, positives, negatives, positive rate and neg/pos weight."""
     y = F.col(label).cast("int")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from velocis.operators.monitoring import (
     batch_summary, cumulative_histogram, decision_counts, engine_totals, fraud_rate, histogram_quantile,
     latency_report, rate_per_window, throughput_report,
@@ -11,7 +13,7 @@ from velocis.operators.scoring import LinearScorer, batch_score, score
 from velocis.plans.catalog import ROUND, feature_exprs, register, rounded
 from velocis.plans.oracle import TXN, haversine_sql, rolling_select
 from velocis.plans.serving_queries import TIER_MAX_AGE, _tiered_sql
-from velocis.schemas import HOURLY, SCORE_BUCKETS
+from velocis.schemas import FEATURE_LATENCY_BUCKETS, HOURLY, INFERENCE_LATENCY_BUCKETS, SCORE_BUCKETS
 from velocis.sources.tables import read_table, requests_from_transactions, transactions
 
 # Coefficients of the fixed demonstration scorer (our own values, not a
@@ -229,3 +231,45 @@ def q_engine_totals(spark, sf_dir):
     return engine_totals(txn, flog, served)
 
 
+def _latency_events(spark, sf_dir, unit: float):
+    """``events.value`` as a latency in seconds (``unit`` values a second)."""
+    return read_table(spark, sf_dir, "events").select((F.col("value") / F.lit(unit)).alias("seconds"), "event_type",
+                                                      "event_id")
+
+
+for _name, _bounds, _unit in (("latency_histogram", INFERENCE_LATENCY_BUCKETS, 1000.0),
+                              ("feature_latency_histogram", FEATURE_LATENCY_BUCKETS, 50000.0)):
+    def _latency_query(spark, sf_dir, bounds=_bounds, unit=_unit):
+        """A10: cumulative latency histogram with +Inf, sum and count."""
+        return rounded(cumulative_histogram(_latency_events(spark, sf_dir, unit), "seconds", bounds))
+
+    register(_name, f"WITH lat AS (SELECT value / {_unit!r} AS seconds FROM events) "
+                    f"{_hist_sql('lat', 'seconds', _bounds)}")(_latency_query)
+
+
+@register("rate_per_window_total", f"""WITH {SCORED_LINEAR_SQL},
+d AS (SELECT (us // 60000000) * 60000000 AS window_start_us,
+  CASE WHEN p < 0.2 THEN 'APPROVE' WHEN p < 0.5 THEN 'REVIEW' ELSE 'DECLINE' END AS decision FROM sc)
+SELECT window_start_us, decision, CAST(count(*) AS BIGINT) AS n, round(count(*) / 60.0, {ROUND}) AS rate_per_s
+FROM d GROUP BY 1, 2
+UNION ALL SELECT window_start_us, 'all', CAST(count(*) AS BIGINT), round(count(*) / 60.0, {ROUND}) FROM d GROUP BY 1""")
+def q_rate_per_window_total(spark, sf_dir):
+    """Scored rows per minute, by decision and in total."""
+    s = score(rolling_features(transactions(spark, sf_dir), HOURLY), demo_scorer(), HOURLY)
+    return rounded(rate_per_window(s, "computed_at", "1 minute", ("decision",), total="all"))
+
+
+@register("batch_summary_failures", """SELECT 'b' || CAST(event_id // 100 AS VARCHAR) AS batch_id,
+  CAST(count(*) AS BIGINT) AS total, CAST(sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) AS BIGINT) AS succeeded,
+  CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS failed,
+  CAST(sum(CASE WHEN event_type <> 'error' THEN CAST(round(value * 1000) AS BIGINT) END) AS BIGINT) AS total_latency_us
+FROM events GROUP BY 1""")
+def q_batch_summary_failures(spark, sf_dir):
+    """A16 with failures and latency: error events are failed requests,
+    ``value`` the milliseconds the others took."""
+    e = read_table(spark, sf_dir, "events")
+    failed = F.col("event_type") == "error"
+    return batch_summary(e.select(
+        F.concat(F.lit("b"), F.floor(F.col("event_id") / 100).cast("string")).alias("batch_id"),
+        F.when(failed, F.lit("scoring failed")).alias("error"),
+        F.when(~failed, F.round(F.col("value") * 1000).cast("long")).alias("inference_latency_us")))

@@ -171,16 +171,12 @@ SELECT CASE WHEN p < 0.2 THEN 'APPROVE' WHEN p < 0.5 THEN 'REVIEW' ELSE 'DECLINE
   p > 0.5 AS predicted_fraud, label AS actual_fraud, CAST(count(*) AS BIGINT) AS transactions
 FROM sc GROUP BY ALL""")
 def q_detected_vs_actual(spark, sf_dir):
-    """Scored transactions joined to ground truth by transaction id."""
+    """Scored transactions joined to the ground-truth table by id."""
+    from velocis.operators.monitoring import detected_vs_actual
     from velocis.operators.scoring import score
-    txn = transactions(spark, sf_dir).withColumnRenamed("is_fraud", "actual_fraud")
-    # ground truth rides along with its transaction through the feature pass;
-    # a separate truth table would be an equi-join on the unique id
-    scored = score(rolling_features(txn, HOURLY, carry=("actual_fraud",)), demo_scorer(), HOURLY)
-    j = scored.select("decision", F.col("is_fraud").alias("predicted_fraud"), "actual_fraud")
-    return j.groupBy("decision", "predicted_fraud", "actual_fraud").agg(F.count(F.lit(1)).alias("transactions"))
-
-
+    txn = transactions(spark, sf_dir)
+    truth = txn.select("transaction_id", F.col("is_fraud").alias("actual_fraud"))
+    return detected_vs_actual(score(rolling_features(txn, HOURLY), demo_scorer(), HOURLY), truth)
 
 
 @register("stream_rolling_incremental", _features_sql(HOURLY))
