@@ -4,6 +4,7 @@ import glob
 import hashlib
 import random
 import re
+import uuid
 
 import duckdb
 import numpy as np
@@ -90,7 +91,7 @@ def test_warc_round_trip_edges(spark):
 def test_archives_are_plain_warc_files(spark, tmp_path):
     many = spark.range(600).selectExpr("id AS page_id", "concat('http://h/', id) AS url",
                                        "repeat(concat('<p>text ', id % 500, '</p> and more '), 60) AS html")
-    path = warc_zst.write_archives(many, scratch_path(spark, "llm/warc-files-test"))
+    path = warc_zst.write_archives(many, scratch_path(spark, f"llm/warc-files-test-{uuid.uuid4().hex}"))
     files = glob.glob(path.removeprefix("file:") + "/part-*")
     data = [open(f, "rb").read() for f in files]
     data = [d for d in data if d]

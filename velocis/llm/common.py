@@ -29,6 +29,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def about(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """At most about ``rows`` rows of ``df``, the same on every run: those whose
+    hash of ``keys`` falls below a threshold that a count of ``df`` fixes, of
+    rows with equal keys one. Nothing is sorted or gathered in one task, and a
+    group of copies that is picked does not swell the sample."""
+    steps = 1 << 30
+    total = df.count()
+    take = steps if total <= rows else -(-rows * steps // total)
+    h = F.xxhash64(F.lit("sample"), *keys)
+    return df.where(F.pmod(h, F.lit(steps)) < take).withColumn("__h", h).dropDuplicates(["__h"]).drop("__h")
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velocis.llm.common import materialise, shuffle_partitions
+from velocis.llm.common import about, materialise, shuffle_partitions
 from velocis.session import scratch_path, ship_code
 
 # Fixed values of the formats.
@@ -28,7 +28,7 @@ SEPARATOR = "P*M\x18\x00\x00\x00\x00"  # an empty skippable frame, 0x184D2A50
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 ARCHIVE_BYTES = 32 << 20
-#: The dictionary is trained on so many pages (smallest hash first), of each so many bytes.
+#: The dictionary is trained on about so many pages (by hash), of each so many bytes.
 DICTIONARY_PAGES, DICTIONARY_SAMPLE, DICTIONARY_BYTES = 256, 16 << 10, 32 << 10
 #: Payloads shorter than this are never replaced by a revisit.
 REVISIT_FROM = 100
@@ -204,9 +204,9 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     p = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"),
                      F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload"))
     total = p.agg(F.coalesce(F.sum(F.octet_length("payload")), F.lit(0))).first()[0]
-    sample = p.where(F.octet_length("payload") > 0).orderBy(F.xxhash64("payload", "page_id")) \
-        .limit(DICTIONARY_PAGES).select(F.expr(f"substring(payload, 1, {DICTIONARY_SAMPLE})").alias("s")).collect()
-    dictionary = train_dictionary([bytes(r["s"]) for r in sample])
+    sample = about(p.where(F.octet_length("payload") > 0), DICTIONARY_PAGES, "payload", "page_id") \
+        .select(F.expr(f"substring(payload, 1, {DICTIONARY_SAMPLE})").alias("s")).collect()
+    dictionary = train_dictionary(sorted(bytes(r["s"]) for r in sample))
     files = max(shuffle_partitions(spark), -(-total // archive_bytes))
 
     def records(batches):
