@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velocis.llm.common import text_or_empty
+from velocis.llm.common import about, text_or_empty
 from velocis.session import ship_code
 
 #: The kinds, in the order of the contract.
@@ -36,7 +36,7 @@ _TRIGGER = re.compile(r"[0-9@]+")
 _DIGITS = re.compile(r"[0-9]+")
 
 WINDOW, STRIDE = 64, 32
-#: The model is trained on so many documents (with a digit or @, smallest hash first) and windows.
+#: The model is trained on about so many documents (with a digit or @, by hash) and windows.
 TRAIN_DOCS, TRAIN_WINDOWS = 1500, 3000
 
 
@@ -415,10 +415,10 @@ def find_in(texts: list, model: dict | None) -> list:
 
 def fit(docs: DataFrame, text_col: str = "text", train_docs: int = TRAIN_DOCS,
         train_windows: int = TRAIN_WINDOWS) -> dict | None:
-    """Train on at most ``train_windows`` windows of at most ``train_docs`` documents; None without any."""
+    """Train on at most ``train_windows`` windows of about ``train_docs`` documents; None without any."""
     ship_code(docs.sparkSession)
     d = docs.select(text_or_empty(text_col).alias("text")).where(F.col("text").rlike("[0-9@]"))
-    d = d.withColumn("h", F.xxhash64(F.lit("pii"), "text")).orderBy("h", "text").limit(train_docs)
+    d = about(d, train_docs, "text").withColumn("h", F.xxhash64("text"))
 
     def emit(batches):
         import pyarrow as pa
