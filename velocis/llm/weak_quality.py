@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velocis.llm.common import text_or_empty
+from velocis.llm.common import about, text_or_empty
 from velocis.session import ship_code
 
 #: About so many documents (by hash) train the scorer; the votes count over all documents.
@@ -215,8 +215,6 @@ def fit(docs: DataFrame, text_col: str = "text", train_rows: int = TRAIN_ROWS) -
               .agg(F.sum("n")).collect()}  # at most 3^9 rows
     share, table = estimate(counts)
     total = sum(counts.values())
-    steps = 1 << 20
-    take = min(steps, -(-train_rows * steps // max(total, 1)))
 
     def sample(batches):
         import pyarrow as pa
@@ -234,8 +232,8 @@ def fit(docs: DataFrame, text_col: str = "text", train_rows: int = TRAIN_ROWS) -
                 [pa.array(idx, pa.list_(pa.int64())), pa.array(val, pa.list_(pa.float64())),
                  pa.array(y, pa.float64())], names=["idx", "val", "y"])
 
-    picked = d.where(F.pmod(F.xxhash64(F.lit("train"), "text"), F.lit(steps)) < take) \
-        .mapInArrow(sample, "idx array<long>, val array<double>, y double").collect()
+    picked = about(d, train_rows, "text").mapInArrow(
+        sample, "idx array<long>, val array<double>, y double").collect()
     # a fixed order, so that reruns agree
     rows = sorted(((np.array(r["idx"], np.int64), np.array(r["val"]), r["y"]) for r in picked),
                   key=lambda r: (r[0].tobytes(), r[1].tobytes()))
