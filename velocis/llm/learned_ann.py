@@ -20,10 +20,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from velocis.llm.common import materialise
+from velocis.llm.common import about, materialise
 from velocis.session import ship_code
 
-#: Rows the partitions are learned on (by hash of the vector); the index itself holds every row.
+#: About so many rows (by hash of the vector) the partitions are learned on; the index itself holds every row.
 SAMPLE = 4096
 CELL, CELL_QUERIES = 4096, 1024
 PART_ROWS, MAX_PARTS = 1500, 64
@@ -165,8 +165,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
         F.first("emb").alias("emb"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
     classes = materialise(classes, "ann-classes")
     n = classes.count()
+    picked = sorted(about(classes, sample, *_KEY).select(*_KEY, "emb").collect(), key=lambda r: (r["k1"], r["k2"]))
     parts = 1 << int(np.clip(np.round(np.log2(max(n, 1) / PART_ROWS)), 0, np.log2(MAX_PARTS)))
-    picked = classes.orderBy("k1", "k2").limit(sample).select("emb").collect()
     model, parts, visits = fit(np.array([r["emb"] for r in picked], np.float64), parts, k, recall)
 
     def route_all(take):
@@ -207,15 +207,16 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     ask = cells(queries, "nq", "nb").select("cell", *_KEY, "emb")
 
     def rank_cell(left, right):
+        """One row per query of the cell, with its best k + 1 ids there."""
         import pandas as pd
-        names = ["k1", "k2", "score", "ids"]
         if not len(left) or not len(right):
-            return pd.DataFrame({c: [] for c in names})
+            return pd.DataFrame({c: [] for c in ("k1", "k2", "scores", "ids")})
         c, q = np.stack(left["emb"].to_list()), np.stack(right["emb"].to_list())
-        low = np.array([i[0] for i in left["ids"]])
-        by_id = np.argsort(low, kind="stable")
-        c, ids = c[by_id], left["ids"].to_numpy()[by_id]
-        best, at = [], []
+        by_id = np.argsort([i[0] for i in left["ids"]], kind="stable")
+        c, ids = c[by_id], [left["ids"].iloc[i] for i in by_id]
+        low = np.array([i[0] for i in ids])
+        several = np.array([len(i) > 1 for i in ids])
+        scores, found = [], []
         for i in range(0, len(q), 256):
             s = q[i:i + 256] @ c.T
             m = min(k + 1, s.shape[1])
@@ -223,20 +224,23 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
             for row, low_score in zip(s, last):
                 near = np.flatnonzero(row >= low_score)
                 near = near[np.argsort(-row[near], kind="stable")[:m]]
-                best.append(row[near])
-                at.append(near)
-        best, at = np.stack(best), np.stack(at)
-        m = at.shape[1]
-        return pd.DataFrame({"k1": np.repeat(right["k1"].to_numpy(), m), "k2": np.repeat(right["k2"].to_numpy(), m),
-                             "score": best.reshape(-1), "ids": ids[at.reshape(-1)]})
+                if several[near].any():  # classes of copies: their ids, ties to the smaller
+                    pairs = sorted((-row[x], v) for x in near for v in ids[x])[:k + 1]
+                    scores.append([-x for x, _ in pairs])
+                    found.append([v for _, v in pairs])
+                else:
+                    scores.append(row[near])
+                    found.append(low[near])
+        return pd.DataFrame({"k1": right["k1"], "k2": right["k2"], "scores": scores, "ids": found})
 
     found = cand.groupBy("cell").cogroup(ask.groupBy("cell")).applyInPandas(
-        rank_cell, "k1 long, k2 long, score double, ids array<long>")
-    # the best k + 1 ids of each class of queries, then of each query without itself
-    best = Window.partitionBy(*_KEY).orderBy(F.desc("score"), "vec_id")
-    per_class = found.select(*_KEY, "score", F.explode("ids").alias("vec_id")) \
-        .withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
-    per_class = materialise(per_class, "ann-found")
+        rank_cell, "k1 long, k2 long, scores array<double>, ids array<long>")
+    # the best k + 1 ids of each class of queries (a list per visited cell), then of each query without itself
+    ordered = F.array_sort(F.flatten(F.collect_list(F.transform(
+        F.arrays_zip("scores", "ids"), lambda x: F.struct((-x["scores"]).alias("s"), x["ids"].alias("v"))))))
+    per_class = found.groupBy(*_KEY).agg(F.slice(ordered, 1, k + 1).alias("best"))
+    per_class = materialise(per_class, "ann-found").select(*_KEY, F.explode("best").alias("b")) \
+        .select(*_KEY, (-F.col("b")["s"]).alias("score"), F.col("b")["v"].alias("vec_id"))
     answers = asked.select(F.col("vec_id").alias("query_id"), *_KEY).join(per_class, _KEY) \
         .where("vec_id != query_id")
     mine = Window.partitionBy("query_id", *_KEY).orderBy(F.desc("score"), "vec_id")
