@@ -32,8 +32,8 @@ CHUNK = 1 << 15
 OVERLAP = 1 << 10
 #: Boundaries so near a chunk's end may be an effect of the cut (longest contraction: 3 characters).
 MARGIN = 4
-#: Units a worker remembers before it starts anew; a bound on memory only.
-REMEMBER = 300_000
+#: Units, and pieces, a worker remembers before it starts anew; a bound on memory only.
+REMEMBER = 150_000
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -111,6 +111,11 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Give the memory back: the worker process stays when its task is done."""
+        self.known.clear()
+        self.pieces.clear()
+
     def boundaries(self, text: str) -> list:
         """Ends of the pre-tokens."""
         return [m.end() for m in self.pattern.finditer(text)]
@@ -192,6 +197,7 @@ def encode_texts(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "d
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(sha, pa.string())],
                 names=["doc_id", "n_tokens", "ids", "decoded_sha256"])
+        enc.forget()
 
     schema = f"doc_id {id_type}, n_tokens long, ids binary, decoded_sha256 string"
     short = d.where(F.char_length("text") <= chunk).mapInArrow(whole, schema)
@@ -251,6 +257,7 @@ def encode_texts(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "d
             yield pa.RecordBatch.from_arrays(
                 [b.column("rid"), b.column("piece"), b.column("doc_id"), pa.array(ids, pa.binary())],
                 names=["rid", "piece", "doc_id", "ids"])
+        enc.forget()
 
     encoded = pieces.mapInArrow(encode_pieces, f"rid long, piece long, doc_id {id_type}, ids binary")
     joined = encoded.groupBy("rid").agg(F.first("doc_id").alias("doc_id"),

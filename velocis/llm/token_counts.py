@@ -97,6 +97,11 @@ class Counter:
             n += self._unit(u) if k is None else k
         return n
 
+    def forget(self) -> None:
+        """Give the memory back: the worker process stays when its task is done."""
+        self.known.clear()
+        self.pieces.clear()
+
     def count(self, text: str) -> int:
         if self.added is None:
             return self._plain(text)
@@ -139,6 +144,7 @@ def token_counts(docs: DataFrame, tokenizer_file: str, pattern: str, id_col: str
             n = [c.count(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(n, pa.int64())],
                                              names=["doc_id", "n_bytes", "n_tokens"])
+        c.forget()
 
     text = text_or_empty(text_col)
     d = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"),

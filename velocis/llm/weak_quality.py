@@ -28,7 +28,7 @@ ABSTAIN = 2
 _TAIL = re.compile(r"[^\w\s.,;:?'\")\]]{2,}[.,]?$")
 _KINDS = re.compile(r"[^\W\d_]+|\d+|_+|\s+")
 #: Shapes a worker remembers; a bound on memory only.
-REMEMBER = 200_000
+REMEMBER = 100_000
 
 
 class Shapes(dict):
@@ -43,10 +43,14 @@ class Shapes(dict):
         self.flat.extend(word_row(word))
         return at
 
+    def forget(self) -> None:
+        """Give the memory back: the worker process stays when its task is done."""
+        self.clear()
+        self.flat = array("q")
+
     def rows(self, words: list) -> np.ndarray:
         if len(self) > REMEMBER:
-            self.clear()
-            self.flat = array("q")
+            self.forget()
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         return np.frombuffer(self.flat, np.int64).reshape(-1, len(COLUMNS))[at]
 
@@ -81,6 +85,10 @@ def word_row(word: str) -> tuple:
 _SHAPES = Shapes()
 
 
+def forget() -> None:
+    _SHAPES.forget()
+
+
 def look(text: str) -> np.ndarray:
     """A row per word of the text, see COLUMNS."""
     return _SHAPES.rows(text.split())
@@ -204,10 +212,11 @@ def fit(docs: DataFrame, text_col: str = "text", train_rows: int = TRAIN_ROWS) -
         from collections import Counter
 
         import pyarrow as pa
-        from velocis.llm.weak_quality import look, pattern_of, votes
+        from velocis.llm.weak_quality import forget, look, pattern_of, votes
         c = Counter()
         for b in batches:
             c.update(pattern_of(votes(look(t))) for t in b.column("text").to_pylist())
+        forget()
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()), pa.array(list(c.values()), pa.int64())],
                                          names=["pattern", "n"])
 
@@ -251,7 +260,7 @@ def classify(docs: DataFrame, model: dict | None = None, text_col: str = "text",
 
     def run(batches):
         import pyarrow as pa
-        from velocis.llm.weak_quality import features, look, posterior, score, votes
+        from velocis.llm.weak_quality import features, forget, look, posterior, score, votes
         for b in batches:
             n, weak, sc = [], [], []
             for t in b.column("__t").to_pylist():
@@ -265,6 +274,7 @@ def classify(docs: DataFrame, model: dict | None = None, text_col: str = "text",
                  pa.array(weak, pa.float64()), pa.array(sc, pa.float64()),
                  pa.array([s < threshold for s in sc], pa.bool_())],
                 names=[*[f for f in b.schema.names if f != "__t"], "__words", "__weak", "__score", "__kept"])
+        forget()
 
     return d.mapInArrow(run, f"{fields},__words:bigint,__weak:double,__score:double,__kept:boolean")
 
