@@ -228,3 +228,13 @@ def test_oracles_agree_on_fixture(spark, tmp_path):
     got = result10(cover_substring.substring_dedup(docs))
     want = con.execute(f"SELECT doc_id, n_words, n_removed, kept_sha256 FROM ({cover_substring.ORACLE})").fetchall()
     assert got == sorted(want, key=lambda t: tuple((x is not None, x) for x in t))
+
+
+def test_sample_is_bounded_under_a_hot_group(spark):
+    from velocis.llm.common import about
+    df = spark.range(6000).selectExpr("if(id % 3 = 0, 'hot', concat('t', id)) AS text")
+    for rows in (10, 400):
+        got = about(df, rows, "text")
+        n = got.count()
+        assert n == got.distinct().count() and n <= 2 * rows + 10
+    assert about(df.limit(5), 10, "text").count() <= 5
