@@ -2,6 +2,7 @@
 
 import glob
 import hashlib
+import math
 import random
 import re
 import uuid
@@ -38,6 +39,83 @@ def test_mix_matches_sql(spark):
     assert all(abs(a - b) <= max(2, 0.01 * a) for a, b in by.values() if a > 500)
 
 
+def brute_force_mix(rows, cap=3.0):
+    """``rows(doc_id, size, source)`` -> copies per row: targets, whole copies and order in plain Python."""
+    names = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(n for _, n, x in rows if x == s) for s in names}
+    weight = {s: float(i % 3 + 1) for i, s in enumerate(names)}
+    left, rest = dict(weight), float(sum(size.values()))
+    target = {}
+    while left:  # the water level: full sources leave, the others share what they leave over
+        level = rest / sum(left.values())
+        full = [s for s in left if cap * size[s] < level * left[s]]
+        target.update({s: cap * size[s] for s in full} or {s: level * w for s, w in left.items()})
+        left = {s: w for s, w in left.items() if s not in target}
+        rest -= sum(target[s] for s in full)
+    copies = [0] * len(rows)
+    for s in names:
+        mine = [i for i, r in enumerate(rows) if r[2] == s]
+        if not size[s]:
+            continue
+        whole = math.floor(target[s] / size[s])
+        gap = target[s] - whole * size[s]
+        for i in mine:
+            copies[i] = whole
+        if gap <= 0:
+            continue
+        mean, y = size[s] / len(mine), {}
+        for i in mine:
+            doc, n, _ = rows[i]
+            h = hashlib.md5(f"pareto-1|{'null' if doc is None else doc}".encode()).hexdigest()
+            u = (int(h[:13], 16) + 0.5) / (1 << 52)
+            r = gap / size[s]
+            q = u / (1 - u) / (r / (1 - r) * (min(2.0, max(0.5, mean / n)) if n else 2.0))
+            y[i] = q / (1 + q)
+        order = sorted(mine, key=lambda i: (y[i], rows[i][0] is None, rows[i][0] or 0, rows[i][1]))
+
+        def nearest(gap, among):
+            fits = [i for i in among if rows[i][1] and abs(rows[i][1] - gap) < gap]
+            best = min(fits, key=lambda i: (abs(rows[i][1] - gap), y[i], rows[i][0] is None, rows[i][0] or 0),
+                       default=None)
+            return ([best], abs(rows[best][1] - gap)) if best is not None else ([], gap)
+
+        n = 0
+        while n < len(order) and rows[order[n]][1] <= gap:
+            gap -= rows[order[n]][1]
+            n += 1
+        extra, miss = nearest(gap, order[n:])
+        if miss > 0.05 * target[s]:
+            more = []
+            for i in order[n:]:
+                if 0 < rows[i][1] <= gap:
+                    gap -= rows[i][1]
+                    more.append(i)
+            last, again = nearest(gap, [i for i in order[n:] if i not in more])
+            if again < miss:
+                extra = more + last
+        for i in order[:n] + extra:
+            copies[i] += 1
+    return copies
+
+
+def test_mix_goes_on_behind_a_long_document(spark):
+    r = random.Random(5)
+    rows = [(i, r.randrange(5, 60), r.choice("abcde")) for i in range(1500)]
+    held = {s: sum(n for _, n, x in rows if x == s) for s in "abcde"}
+    # ids that come first, in the middle and last in the order; two long documents in one source
+    far = 0
+    for first in range(5000, 5006):
+        mixed = rows + [(first, held["a"] // 2, "a"), (first + 50, held["d"] // 4, "d"), (first + 90, held["d"] // 5, "d")]
+        docs = spark.createDataFrame([row(i, "w " * n, s) for i, n, s in mixed], SCHEMA)
+        got = {x["doc_id"]: (x["size"], x["target"], x["taken"]) for x in pareto_mix.mix(docs).collect()}
+        want = brute_force_mix(mixed)
+        assert [got[i][2] for i, _, _ in mixed] == [n * c for (_, n, _), c in zip(mixed, want)]
+        for s in "abcde":
+            target = next(got[i][1] for i, _, x in mixed if x == s)
+            far += abs(sum(got[i][2] for i, _, x in mixed if x == s) - target) > 0.05 * target
+    assert far == 0
+
+
 def test_targets_reshare_the_excess(spark):
     sizes = spark.createDataFrame([("a", 1000), ("b", 10), ("c", 10), ("d", 980)], "source string, size long")
     got = {r["source"]: r["target"] for r in pareto_mix.source_targets(sizes).collect()}
