@@ -6,10 +6,12 @@ import math
 import random
 import re
 import uuid
+from collections import Counter
 
 import duckdb
 import numpy as np
 import zstandard
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from tests.conftest import SF001
@@ -116,6 +118,20 @@ def test_mix_goes_on_behind_a_long_document(spark):
     assert far == 0
 
 
+def test_no_slice_holds_much_of_a_source(spark):
+    for r in (1e-9, 1e-7, 0.3, 1 - 1e-7, 1 - 1e-9):
+        odds = F.lit(r) / (F.lit(1.0) - F.lit(r))
+        u = pareto_mix.uniform(F.col("id"))
+        q = u / (F.lit(1.0) - u) / (odds * F.when(F.col("id") % 2 == 0, 2.0).otherwise(0.5))
+        rows = spark.range(50_000).withColumn("y", q / (F.lit(1.0) + q)) \
+            .withColumn("k", pareto_mix.rank_slice(F.col("y"), odds)).select("y", "k").collect()
+        assert max(Counter(x["k"] for x in rows).values()) <= 8
+        in_order = [x["k"] for x in sorted(rows)]
+        assert in_order == sorted(in_order) and 0 <= in_order[0] and in_order[-1] < 1 << 20
+    one = spark.range(1).select(pareto_mix.rank_slice(F.lit(1.0), F.lit(1e-17)).alias("k")).first()
+    assert one["k"] == (1 << 20) - 1
+
+
 def test_targets_reshare_the_excess(spark):
     sizes = spark.createDataFrame([("a", 1000), ("b", 10), ("c", 10), ("d", 980)], "source string, size long")
     got = {r["source"]: r["target"] for r in pareto_mix.source_targets(sizes).collect()}

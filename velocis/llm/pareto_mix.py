@@ -18,10 +18,13 @@ others taken in their order, until none fits; then again the nearest one. The
 outcome nearer to the target counts. The DuckDB twin does not carry on: it
 agrees where its own sums come within ``NEAR`` or carrying on gains nothing.
 
-Order without a sort of a whole source: the rank value is cut into 2^10 and
-then 2^20 slices; sums per slice find the slice where the words run out, and
-only that slice's rows are put in order. So a source with a third of all rows
-is never in one task.
+Order without a sort of a whole source: the rank value, scaled back by the
+odds of its source, is cut into 2^10 and then 2^20 slices; sums per slice find
+the slice where the words run out, and only that slice's rows are put in order.
+Under the default preference a slice holds about 2^-18 of its source's ids, whatever the
+target; rows that repeat an id (null is one id) and its size rank equal and share
+a slice. The targets are found in one task, from one row per source: they are
+meant for up to some million sources.
 """
 
 from __future__ import annotations
@@ -54,10 +57,20 @@ def short_first(size: Column, mean: Column) -> Column:
         F.least(F.lit(2.0), F.greatest(F.lit(0.5), mean / size)))
 
 
+def rank_slice(y: Column, odds: Column) -> Column:
+    """Slice of a rank value ``y``, rising with it, of a source with inclusion odds ``odds`` before the
+    preference. ``y`` crowds at 0 or 1 if the odds are large or small; y / (1 - y) * odds does not.
+    All its steps round without changing order, so a larger ``y`` is never in a lower slice."""
+    half = 1 << (2 * BITS - 1)
+    x = F.try_divide(y, F.lit(1.0) - y) * odds
+    return F.when(y >= 1, F.lit(2 * half - 1)).when(x <= 1, F.floor(x * half)) \
+        .otherwise(F.lit(2 * half - 1) - F.floor(F.try_divide(F.lit(float(half)), x))).cast("long")
+
+
 def source_targets(sizes: DataFrame, cap: float = 3.0, weight=None) -> DataFrame:
     """``sizes(source, size)`` -> one row per source: ``source_size, target, whole, rest, mean``.
     ``weight(index)`` gives the weight of the 0-based source in code-point order (null last);
-    default 1, 2, 3, repeating. One row per source, so its windows are small."""
+    default 1, 2, 3, repeating. Its windows hold one row per source, in one task."""
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("__rows"))
     order = Window.orderBy(F.col("source").asc_nulls_last())
     everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -88,14 +101,14 @@ def decide_copies(rows: DataFrame, cap: float = 3.0, weight=None, preference=sho
     targets = materialise(source_targets(rows.select("source", "size"), cap, weight), "mix-targets")
     r = F.col("rest") / F.col("source_size")
     u = uniform(F.col("doc_id"), seed)
-    odds = r / (F.lit(1.0) - r) * preference(F.col("size"), F.col("mean"))
+    plain = r / (F.lit(1.0) - r)
+    odds = plain * preference(F.col("size"), F.col("mean"))
     # ranked by y = q / (1 + q) of q = random odds / inclusion odds: the same order, in (0, 1)
     q = u / (F.lit(1.0) - u) / odds
     y = F.when((F.col("source_size") > 0) & (F.col("rest") > 0), q / (F.lit(1.0) + q))
-    steps = 1 << (2 * BITS)
     ranked = rows.join(targets, rows["source"].eqNullSafe(targets["source"])).drop(targets["source"]) \
         .withColumn("__y", y) \
-        .withColumn("__k", F.least(F.floor(F.col("__y") * steps), F.lit(steps - 1)).cast("long"))
+        .withColumn("__k", F.when(F.col("__y").isNotNull(), rank_slice(F.col("__y"), plain)))
     ranked = materialise(ranked, "mix-ranked")
 
     flagged = materialise(_up_to_rest(ranked).withColumnRenamed("__now", "__picked"), "mix-picked")
