@@ -238,3 +238,12 @@ def test_sample_is_bounded_under_a_hot_group(spark):
         n = got.count()
         assert n == got.distinct().count() and n <= 2 * rows + 10
     assert about(df.limit(5), 10, "text").count() <= 5
+
+
+def test_sample_does_not_shrink_under_copies(spark):
+    from velocis.llm.common import about
+    df = spark.range(200_000).selectExpr("concat('t', id % 1000) AS text")
+    for rows in (100, 400):
+        got = about(df, rows, "text")
+        assert got.count() == got.distinct().count() and 0.7 * rows <= got.count() <= 1.3 * rows
+    assert about(df, 5000, "text").count() == 1000
