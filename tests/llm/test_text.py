@@ -139,6 +139,17 @@ def test_pii_edges(spark):
     assert pii_bilstm.fit(empty_docs(spark)) is None
 
 
+def test_training_windows_are_drawn_from_the_whole_text():
+    text = " ".join(f"call +1 415 555 {i:04d} or then" for i in range(300))
+    plain = [pii_bilstm.cut(pii_bilstm.char_ids(text), [w])[0].tolist() for w in pii_bilstm.windows(text)]
+    got = [c for c, _ in pii_bilstm.sample_windows(text)]
+    assert len(got) == 64 and got == [c for c, _ in pii_bilstm.sample_windows(text)]
+    assert sum(c not in plain for c in got) >= 16
+    assert sum(c in plain[len(plain) // 2:] for c in got) >= 8
+    short = text[:200]
+    assert len(pii_bilstm.sample_windows(short)) > len(pii_bilstm.windows(short))
+
+
 def test_spans_are_reconciled():
     t = "0123456789 4300.6721.9352.7194 and"
     found = [(11, 2, 30, 3), (11, 2, 20, 1), (11, 2, 30, 9)]

@@ -313,17 +313,17 @@ def rewrite(text: str, spans: list, rng) -> tuple:
     return "".join(out), new
 
 
-def sample_windows(text: str) -> list:
-    """Training windows of a text: ``(characters, tags)`` as lists, plain and rewritten."""
+def sample_windows(text: str, most: int = 64) -> list:
+    """Training windows of a text: ``(characters, tags)`` as lists, plain and rewritten. Of a text with
+    more than ``most``, so many are drawn over all of them by the text's hash: only a training sample."""
     rng = np.random.default_rng(int.from_bytes(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()[:8],
                                                "little"))
-    out = []
     spans = base_spans(text)
-    for t, s in ((text, spans), rewrite(text, spans, rng) if spans else ("", [])):
-        ids = char_ids(t)
-        for w in windows(t):
-            out.append((cut(ids, [w])[0].tolist(), tags_of(s, w).tolist()))
-    return out
+    forms = [(char_ids(t), s, t) for t, s in ((text, spans), rewrite(text, spans, rng) if spans else ("", []))]
+    at = [(i, w) for i, (_, _, t) in enumerate(forms) for w in windows(t)]
+    if len(at) > most:
+        at = [at[j] for j in sorted(rng.permutation(len(at))[:most])]
+    return [(cut(forms[i][0], [w])[0].tolist(), tags_of(forms[i][1], w).tolist()) for i, w in at]
 
 
 # ---- decoding a text --------------------------------------------------------
@@ -425,7 +425,7 @@ def fit(docs: DataFrame, text_col: str = "text", train_docs: int = TRAIN_DOCS,
         from velocis.llm.pii_bilstm import sample_windows
         for b in batches:
             for h, t in zip(b.column("h").to_pylist(), b.column("text").to_pylist()):
-                rows = sample_windows(t)[:64]  # of one document at most so many: only a training sample
+                rows = sample_windows(t)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([h] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.list_(pa.int64())),
                      pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=["h", "chars", "tags"])
