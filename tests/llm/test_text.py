@@ -150,6 +150,16 @@ def test_training_windows_are_drawn_from_the_whole_text():
     assert len(pii_bilstm.sample_windows(short)) > len(pii_bilstm.windows(short))
 
 
+def test_spans_longer_than_a_window_are_joined(monkeypatch):
+    marks = {ord("#") - 31: 3, ord("=") - 31: 4, ord("1") - 31: 4}  # as a model that knows this one form
+    monkeypatch.setattr(pii_bilstm, "viterbi", lambda m, chars: np.vectorize(lambda c: marks.get(c, 0))(chars))
+    for size in (10, 31, 32, 33, 45, 62, 63, 64, 65, 100, 250):
+        span = "#1" + "=" * (size - 8) + "1==1=1"
+        for lead in range(0, 66):
+            text = "x" * lead + span + " and then " * 10
+            assert pii_bilstm.find_in([text], {})[0] == ([], [(lead, 1, lead + size)]), (size, lead)
+
+
 def test_spans_are_reconciled():
     t = "0123456789 4300.6721.9352.7194 and"
     found = [(11, 2, 30, 3), (11, 2, 20, 1), (11, 2, 30, 9)]

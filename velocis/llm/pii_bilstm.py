@@ -7,8 +7,8 @@ rewritten into forms the rules do not know. It reads the whole text in
 overlapping windows; a window without a digit or ``@`` cannot hold any of the
 four kinds and is all "outside" without being run. Each window is decoded by
 Viterbi and the windows are reconciled over the text: a span counts from the
-window in which it lies farthest from the edges. Spans the rules have stay as
-they are; the model only adds spans that do not touch them and have the digits
+window in which it lies farthest from the edges, and one cut by the edges of all
+its windows is joined from them. Spans the rules have stay as they are; the model only adds spans that do not touch them and have the digits
 of their kind.
 """
 
@@ -220,9 +220,8 @@ def gradients(m: dict, chars: np.ndarray, tags: np.ndarray) -> tuple:
     e = emissions(m, chars, kept)
     t, n, _ = e.shape
     a = m["trans"] + _allowed()
-    start = _allowed()[0]
     alpha, beta = np.empty_like(e), np.zeros_like(e)
-    alpha[0] = e[0] + start
+    alpha[0] = e[0]  # a window may start inside a span
     for i in range(1, t):
         alpha[i] = _logsum(alpha[i - 1][:, :, None] + a[None], 1) + e[i]
     for i in range(t - 2, -1, -1):
@@ -230,7 +229,7 @@ def gradients(m: dict, chars: np.ndarray, tags: np.ndarray) -> tuple:
     z = _logsum(alpha[-1], 1)
     y = tags.T
     rows = np.arange(n)
-    gold = e[np.arange(t)[:, None], rows[None], y].sum(0) + a[y[:-1], y[1:]].sum(0) + start[y[0]]
+    gold = e[np.arange(t)[:, None], rows[None], y].sum(0) + a[y[:-1], y[1:]].sum(0)
     de = np.exp(alpha + beta - z[None, :, None])
     pair = np.exp(alpha[:-1][:, :, :, None] + a + (e[1:] + beta[1:])[:, :, None, :] - z[None, :, None, None])
     da = pair.sum((0, 1))
@@ -270,7 +269,7 @@ def viterbi(m: dict, chars: np.ndarray) -> np.ndarray:
     t, n, _ = e.shape
     a = m["trans"] + _allowed()
     back = np.zeros((t, n, TAGS), np.int64)
-    s = e[0] + _allowed()[0]
+    s = e[0]
     for i in range(1, t):
         all_s = s[:, :, None] + a[None]
         back[i] = all_s.argmax(1)
@@ -382,33 +381,59 @@ def spans_of(path: np.ndarray, start: int, length: int) -> list:
     return out
 
 
+def joined(paths: dict, length: int) -> list:
+    """Spans too long to lie inside one window for certain, from the tags of all windows of a text
+    (``{start: path}``): each character has the tag of the window in whose middle half it lies. They
+    count behind the spans seen in one window."""
+    out, starts, side = [], sorted(paths), (WINDOW - STRIDE) // 2
+    i = 0
+    while i < len(starts):
+        j = i + 1
+        while j < len(starts) and starts[j] == starts[j - 1] + STRIDE:
+            j += 1
+        if j - i > 1 and any(paths[s].any() for s in starts[i:j]):
+            tags = np.concatenate([paths[starts[i]][:WINDOW - side],
+                                   *[paths[s][side:WINDOW - side] for s in starts[i + 1:j - 1]],
+                                   paths[starts[j - 1]][side:]])
+            for s, k, e, _ in spans_of(tags, starts[i], length):
+                # at a seam the window before must see the end there too
+                before = e - side - STRIDE
+                cut_off = before in paths and before + STRIDE in paths and paths[before][e - before] == 2 + 2 * k
+                if e - s >= STRIDE - 1 and not cut_off:
+                    out.append((s, k, e, 0))
+        i = j
+    return out
+
+
 def find_in(texts: list, model: dict | None) -> list:
     """``(base spans, added spans)`` of each text."""
     base = [base_spans(t) for t in texts]
-    added: list = [[] for _ in texts]
     if model is None:
-        return list(zip(base, added))
-    held, owner = [], []
-
-    def run():
-        for (i, s), path in zip(owner, viterbi(model, np.stack(held))):
-            if path.any():
-                added[i] += spans_of(path, s, len(texts[i]))
-        held.clear()
-        owner.clear()
-
-    for i, t in enumerate(texts):
-        starts = windows(t)
-        if starts:
-            ids = char_ids(t)
-            for s in starts:
+        return [(b, []) for b in base]
+    paths: list = [{} for _ in texts]
+    todo = [(i, s) for i, t in enumerate(texts) for s in windows(t)]
+    while todo:
+        more = set()
+        at, ids = -1, None
+        for n in range(0, len(todo), 512):
+            held = []
+            for i, s in todo[n:n + 512]:
+                if i != at:
+                    at, ids = i, char_ids(texts[i])
                 held.append(cut(ids, [s])[0])
-                owner.append((i, s))
-                if len(held) >= 512:
-                    run()
-    if held:
-        run()
-    return [(b, reconcile(t, b, a)) for t, b, a in zip(texts, base, added)]
+            for (i, s), path in zip(todo[n:n + 512], viterbi(model, np.stack(held))):
+                paths[i][s] = path.astype(np.int8)
+                # a span cut by an edge goes on in the next window, even one without a digit or @
+                if path[-1] and s + WINDOW < len(texts[i]):
+                    more.add((i, s + STRIDE))
+                if path[0] and path[0] % 2 == 0 and s:
+                    more.add((i, s - STRIDE))
+        todo = sorted((i, s) for i, s in more if s not in paths[i])
+    out = []
+    for t, b, p in zip(texts, base, paths):
+        found = [x for s, path in p.items() if path.any() for x in spans_of(path, s, len(t))]
+        out.append((b, reconcile(t, b, found + joined(p, len(t)))))
+    return out
 
 
 # ---- over the cluster -------------------------------------------------------
