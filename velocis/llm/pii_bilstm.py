@@ -284,7 +284,8 @@ def viterbi(m: dict, chars: np.ndarray) -> np.ndarray:
 # ---- labelled spans ---------------------------------------------------------
 
 def rewrite(text: str, spans: list, rng) -> tuple:
-    """The text with some spans in a form the base rules miss (no country code, other separators)."""
+    """The text with some spans in a form the base rules miss (no country code, other separators,
+    spaces around @ and dots, a host that is not ASCII)."""
     out, at, new = [], 0, []
     size = 0
 
@@ -305,6 +306,13 @@ def rewrite(text: str, spans: list, rng) -> tuple:
                  f"{mid} {last}")[rng.integers(0, 4)]
         elif k == 2 and rng.random() < 0.5:
             v = ("." if rng.random() < 0.6 else "/").join(d[i:i + 4] for i in range(0, len(d), 4))
+        elif k == 0 and rng.random() < 0.5:
+            user, _, host = v.partition("@")
+            apart = host.replace(".", " . ")
+            v = (f"{user} @ {host}", f"{user}@{apart}", f"{user} @ {apart}",
+                 f"{user}@{'éüøñж'[rng.integers(0, 5)]}{host[1:]}")[rng.integers(0, 4)]
+        elif k == 1 and rng.random() < 0.5:
+            v = (" . ", "-", ", ", " ")[rng.integers(0, 4)].join(_DIGITS.findall(v))
         new.append((size, k, size + len(v)))
         put(v)
         at = e
@@ -332,7 +340,7 @@ def plausible(kind: int, v: str) -> bool:
     d = "".join(_DIGITS.findall(v))
     if kind == 0:
         user, at, host = v.partition("@")
-        return bool(at) and user[-1:].isalnum() and "." in host and host[-1:].isalnum() and "@" not in host
+        return bool(at) and user.rstrip()[-1:].isalnum() and "." in host and host[-1:].isalnum() and "@" not in host
     if kind == 1:
         parts = _DIGITS.findall(v)
         return len(parts) == 4 and all(map(_small, parts)) and not re.search(r"[^\W\d_]", v)
