@@ -248,6 +248,23 @@ def test_recall_with_many_partitions(spark):
     assert hit / (400 * 20) >= 0.9
 
 
+def test_a_query_in_a_small_part_finds_all_its_rows(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.c_[rng.random(150), rng.standard_normal(150)]
+    x[[0, 7, 20, 33]] += [10, 0]  # a part of four rows, two of them queries
+    model = (1.0, np.array([[1.0], [0.0]]), np.array([-5.0]), np.array([[0.0, 10.0]]), np.array([1.0, 0.0]))
+    monkeypatch.setattr(learned_ann, "fit", lambda *a: (model, 2, 1))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for r in learned_ann.nearest(df).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    for q in (0, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert [got[q][i] for i in range(1, 21)] == np.argsort(-s)[:20].tolist()
+    assert set(got) == set(range(0, 150, 20)) and all(len(v) == 20 for v in got.values())
+
+
 def test_parts_are_balanced():
     rng = np.random.default_rng(3)
     x = rng.standard_normal((600, 6))

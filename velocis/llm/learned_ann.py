@@ -6,7 +6,8 @@ eigenvector, then swaps that cut fewer edges), and a small network learns to
 tell from a vector in which parts its neighbours lie. Every vector is then
 indexed in its most probable part; a query is routed to its several most
 probable parts, as many as the sample needs for the wanted recall, and all
-vectors there are ranked by the exact inner product.
+vectors there are ranked by the exact inner product. A query that finds fewer
+than ``k`` there is sought in all other parts too.
 
 Equal vectors are one class with its ``k + 1`` smallest ids, for queries and
 candidates alike, so copies cost nothing. A part is searched in cells of at
@@ -190,21 +191,6 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     index = materialise(routed(classes, 1).withColumn("part", F.col("parts")[0]).drop("parts"), "ann-index")
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
     queries = asked.groupBy(*_KEY).agg(F.first("emb").alias("emb"))
-    queries = materialise(routed(queries, visits).withColumn("part", F.explode("parts")).drop("parts"), "ann-queries")
-
-    # cells: at most CELL candidates and CELL_QUERIES queries of one part (a row per part: small)
-    shape = index.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("nb")).join(
-        queries.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / CELL_QUERIES).alias("nq")), "part")
-    shape = materialise(shape, "ann-cells")
-
-    def cells(df, own, others):
-        mine = F.pmod("k1", F.col(own)).alias(own)
-        out = df.join(shape, "part").withColumns({f"_{own}": mine, f"_{others}": F.explode(
-            F.sequence(F.lit(0).cast("long"), F.col(others) - 1))})
-        return out.withColumn("cell", F.struct("part", F.col("_nb").alias("b"), F.col("_nq").alias("q")))
-
-    cand = cells(index, "nb", "nq").select("cell", "emb", "ids")
-    ask = cells(queries, "nq", "nb").select("cell", *_KEY, "emb")
 
     def rank_cell(left, right):
         """One row per query of the cell, with its best k + 1 ids there."""
@@ -233,13 +219,38 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
                     found.append(low[near])
         return pd.DataFrame({"k1": right["k1"], "k2": right["k2"], "scores": scores, "ids": found})
 
-    found = cand.groupBy("cell").cogroup(ask.groupBy("cell")).applyInPandas(
-        rank_cell, "k1 long, k2 long, scores array<double>, ids array<long>")
     # the best k + 1 ids of each class of queries (a list per visited cell), then of each query without itself
-    ordered = F.array_sort(F.flatten(F.collect_list(F.transform(
-        F.arrays_zip("scores", "ids"), lambda x: F.struct((-x["scores"]).alias("s"), x["ids"].alias("v"))))))
-    per_class = found.groupBy(*_KEY).agg(F.slice(ordered, 1, k + 1).alias("best"))
-    per_class = materialise(per_class, "ann-found").select(*_KEY, F.explode("best").alias("b")) \
+    def search(queries, name):
+        # cells: at most CELL candidates and CELL_QUERIES queries of one part (a row per part: small)
+        queries = materialise(queries, "ann-queries")
+        shape = index.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("nb")).join(
+            queries.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / CELL_QUERIES).alias("nq")), "part")
+        shape = materialise(shape, "ann-cells")
+
+        def cells(df, own, others):
+            mine = F.pmod("k1", F.col(own)).alias(own)
+            out = df.join(shape, "part").withColumns({f"_{own}": mine, f"_{others}": F.explode(
+                F.sequence(F.lit(0).cast("long"), F.col(others) - 1))})
+            return out.withColumn("cell", F.struct("part", F.col("_nb").alias("b"), F.col("_nq").alias("q")))
+
+        cand = cells(index, "nb", "nq").select("cell", "emb", "ids")
+        ask = cells(queries, "nq", "nb").select("cell", *_KEY, "emb")
+        found = cand.groupBy("cell").cogroup(ask.groupBy("cell")).applyInPandas(
+            rank_cell, "k1 long, k2 long, scores array<double>, ids array<long>")
+        ordered = F.array_sort(F.flatten(F.collect_list(F.transform(
+            F.arrays_zip("scores", "ids"), lambda x: F.struct((-x["scores"]).alias("s"), x["ids"].alias("v"))))))
+        return materialise(found.groupBy(*_KEY).agg(F.slice(ordered, 1, k + 1).alias("best")), name)
+
+    per_class = search(routed(queries, visits).withColumn("part", F.explode("parts")).drop("parts"), "ann-found")
+    short = per_class.where(F.size("best") < k + 1)
+    if visits < parts and not short.isEmpty():
+        # too few candidates in the visited parts: these classes, and no others, are sought in all the rest
+        rest = routed(queries.join(short.select(*_KEY), _KEY, "left_semi"), parts) \
+            .withColumn("part", F.explode(F.slice("parts", visits + 1, parts))).drop("parts")
+        both = per_class.unionByName(search(rest, "ann-more"))
+        per_class = both.groupBy(*_KEY).agg(
+            F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k + 1).alias("best"))
+    per_class = per_class.select(*_KEY, F.explode("best").alias("b")) \
         .select(*_KEY, (-F.col("b")["s"]).alias("score"), F.col("b")["v"].alias("vec_id"))
     answers = asked.select(F.col("vec_id").alias("query_id"), *_KEY).join(per_class, _KEY) \
         .where("vec_id != query_id")
