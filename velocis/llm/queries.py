@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from velocis.llm import (
-    byte_bpe, cover_substring, digest_merge, learned_ann, pareto_mix, pii_bilstm, simhash_trie, token_counts,
-    warc_zst, weak_quality,
+    byte_bpe, cover_substring, digest_merge, gram_spelling, learned_ann, pareto_mix, pii_bilstm, simhash_trie,
+    token_counts, vector_pack, warc_zst, weak_quality,
 )
 from velocis.sources.tables import read_table
 
@@ -57,10 +57,21 @@ def op10_cover_substring(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_vector_pack(spark, sf_dir):
+    out = vector_pack.pack_documents(read_table(spark, sf_dir, "documents"),
+                                     public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
+                      "offset")
+
+
+def op12_gram_spelling(spark, sf_dir):
+    return gram_spelling.spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_weak_quality, op2_simhash_trie, op3_warc_zst, op4_token_counts, op5_byte_bpe,
     op6_learned_ann, op7_pii_bilstm, op8_digest_merge, op9_pareto_mix,
-    op10_cover_substring)}
+    op10_cover_substring, op11_vector_pack, op12_gram_spelling)}
 
 ORACLE = {
     "op3_warc_zst": warc_zst.ORACLE,
