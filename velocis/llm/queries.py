@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from velocis.llm import (
-    byte_bpe, cover_substring, digest_merge, gram_spelling, learned_ann, pareto_mix, pii_bilstm, simhash_trie,
-    token_counts, vector_pack, warc_zst, weak_quality,
+    byte_bpe, cover_substring, digest_merge, gram_spelling, jump_align, learned_ann, pareto_mix, pii_bilstm,
+    simhash_trie, token_counts, vector_pack, warc_zst, weak_quality,
 )
 from velocis.sources.tables import read_table
 
@@ -68,10 +68,17 @@ def op12_gram_spelling(spark, sf_dir):
     return gram_spelling.spelling_variants(read_table(spark, sf_dir, "documents"))
 
 
+def op13_jump_align(spark, sf_dir):
+    return jump_align.align_tokenizers(read_table(spark, sf_dir, "documents"),
+                                       public_tokenizers.path("byte_bpe_50k.json"),
+                                       public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_weak_quality, op2_simhash_trie, op3_warc_zst, op4_token_counts, op5_byte_bpe,
     op6_learned_ann, op7_pii_bilstm, op8_digest_merge, op9_pareto_mix,
-    op10_cover_substring, op11_vector_pack, op12_gram_spelling)}
+    op10_cover_substring, op11_vector_pack, op12_gram_spelling,
+    op13_jump_align)}
 
 ORACLE = {
     "op3_warc_zst": warc_zst.ORACLE,
