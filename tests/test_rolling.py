@@ -276,3 +276,88 @@ def test_since_recompute_equals_full_history(spark, hot_rows, cap):
     cols = [F.round(c, 9).alias(c) if t_ == "double" else F.col(c) for c, t_ in a.dtypes]
     assert a.count() == b.count() > 0
     assert a.select(cols).exceptAll(b.select(cols)).count() == 0
+
+
+def _mixed_rows(n, seed, span_s=80):
+    r = random.Random(seed)
+    rows = []
+    for i in range(n):
+        e = r.choice(["a", "a", "a", None, None, "b"])
+        ts = T0 + (r.randrange(0, span_s * 1_000_000) / 1e6 if r.random() < .7 else r.randrange(0, 5 * span_s))
+        if e == "b":
+            ts += r.randrange(10_000)
+        rows.append((e, f"t{i:04d}", ts, None if r.random() < .1 else round(r.uniform(1, 99), 2),
+                     None if r.random() < .1 else f"m{r.randrange(12)}", r.uniform(1, 50), r.uniform(1, 50)))
+    return rows
+
+
+def assert_same(got, want):
+    got, want = rows_by_tid(got), rows_by_tid(want)
+    assert set(got) == set(want)
+    for k, w in want.items():
+        for c in w.asDict():
+            assert got[k][c] == w[c] or got[k][c] == pytest.approx(w[c], rel=1e-9, abs=1e-7), (k, c)
+
+
+@pytest.mark.parametrize("hot_rows", [100, 3])
+def test_cells_equal_one_slice(spark, hot_rows):
+    """Dense entities, the null entity among them, in cells narrower than a window."""
+    df = txn_df(spark, _mixed_rows(500, 3))
+    kw = {"unique_all": True, "stats": "all"}
+    for ws in (DEFAULT, WindowSet(2, 3, 60)):
+        assert_same(rolling_features(df, ws, hot_rows=hot_rows, **kw), rolling_features(df, ws, hot_rows=None, **kw))
+
+
+def test_cells_of_far_apart_bursts(spark):
+    """Whole cells between two bursts are empty; cells of second-level groups far apart."""
+    rows = [("e", f"t{b}{i:03d}", T0 + b * 30 + i * 0.011, float(i), f"m{i % 7}", 1.0 + i, 2.0 + b)
+            for b in (0, 1, 900, 90_000) for i in range(90)]
+    df = txn_df(spark, rows)
+    assert_same(rolling_features(df, hot_rows=5, emit=None), rolling_features(df, hot_rows=None))
+    assert_same(rolling_features(df, hot_rows=5, idle_ttl_s=100), rolling_features(df, hot_rows=None, idle_ttl_s=100))
+
+
+def test_one_entity_inside_one_window_is_spread(spark):
+    rows = [("e", f"t{i:05d}", T0 + i * 0.007, float(i % 13), f"m{i % 31}") for i in range(8000)]
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        f = rolling_features(txn_df(spark, rows), hot_rows=20)
+        per = sorted(r["count"] for r in f.groupBy(F.spark_partition_id()).count().collect())
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert len(per) == 8 and per[-1] < 3 * per[len(per) // 2]
+
+
+def test_a_hot_null_entity_is_cut(spark):
+    from velocis.operators import skew
+    df = txn_df(spark, [(None, f"t{i}", T0 + i * 100, 1.0) for i in range(90)] + [("e", "x", T0, 1.0)])
+    rows = df.withColumn("tid", F.col("transaction_id"))
+    plan = skew.plan_splits(rows, "entity_id", 60_000_000, 30)
+    cut = skew.assign_split(rows, plan, replicate=False).where("entity_id IS NULL").select("split").distinct().count()
+    assert cut == 3
+    entry = skew.entry_table(rows, plan, ["latitude"])
+    assert entry.where("entity_id IS NULL").count() >= 2
+
+
+@pytest.mark.parametrize("n", [1, 2, 37])
+def test_capped_frames_equal_brute_force(spark, n):
+    r = random.Random(n)
+    rows = [(r.choice("ab"), f"t{i:03d}", T0 + r.randrange(0, 90), float(r.randrange(99)), f"m{r.randrange(9)}")
+            for i in range(260)]
+    f = rows_by_tid(rolling_features(txn_df(spark, rows), max_events=n))
+    ev = [{"e": e, "tid": t, "us": int(s * 1e6), "amount": a, "m": m} for e, t, s, a, m in rows]
+    for x in ev:
+        mine = sorted((y for y in ev if y["e"] == x["e"]), key=lambda y: (y["us"], y["tid"]))
+        fr = [y for y in mine if x["us"] - 60_000_000 <= y["us"] <= x["us"]]
+        if len(fr) > n:
+            fr = [y for y in mine if (y["us"], y["tid"]) <= (x["us"], x["tid"])][-n:]
+        got = f[x["tid"]]
+        a = [y["amount"] for y in fr]
+        mean = sum(a) / len(a)
+        assert (got["txn_count_60s"], got["amount_sum_60s"], got["amount_max_60s"], got["amount_min_60s"]) == \
+            (len(a), sum(a), max(a), min(a))
+        assert got["unique_merchants_60s"] == len({y["m"] for y in fr})
+        assert got["amount_std_60s"] == pytest.approx(math.sqrt(sum((v - mean) ** 2 for v in a) / len(a)), abs=1e-9)

@@ -51,23 +51,23 @@ def with_frames(rows: DataFrame, windows: WindowSet, key: str, amount: Column, m
     the frame unless it lies between its last copy and its first own row, so
     the distinct count is a running sum of those marks.
 
-    ``max_events`` (W2) looks at the last N rows only, N rows of work per row.
+    ``max_events`` (W2): a frame of more than N rows ends at the last N. That is
+    the frame ``[rank - (N - 1), rank]`` of row ranks, cut into blocks of ranks
+    and summed in the same way, so the work does not depend on N.
+
     The caller has already partitioned ``rows`` by (key, split) for the
     previous-event chain; every window here is finer and reuses that exchange.
     """
     base = rows.columns
     roles = [0, *range(1, len(windows.lengths) + 1)]
     counts = amount.isNotNull() | merchant.isNotNull()
-    if max_events:
-        wc = (Window.partitionBy(key, "split").orderBy("us", "side", "tid")
-              .rowsBetween(-(max_events - 1), 0))
-        rows = rows.withColumns({
-            "_c_count": F.count(amount).over(wc), "_c_sum": F.sum(amount).over(wc),
-            "_c_mean": F.avg(amount).over(wc), "_c_std": F.stddev_pop(amount).over(wc),
-            "_c_max": F.max(amount).over(wc), "_c_min": F.min(amount).over(wc),
-            "_c_uniq": F.size(F.collect_set(merchant).over(wc))})
     rows = rows.withColumns({"_x": amount, "_m": merchant, "_rid": F.monotonically_increasing_id()})
-    rows = rows.withColumn("_role", F.explode(F.when(counts, F.array(*[F.lit(r) for r in roles]))
+    cap_role = len(roles)
+    if max_events:
+        order = Window.partitionBy(key, "split").orderBy("us", "side", "tid").rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumn("_rank", F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).over(order))
+    copied = roles + ([cap_role] if max_events and max_events > 1 else [])
+    rows = rows.withColumn("_role", F.explode(F.when(counts, F.array(*[F.lit(r) for r in copied]))
                                               .otherwise(F.array(F.lit(0)))))
     moved = F.lit(0).cast("long")
     for r, w in zip(roles[1:], windows.lengths):
@@ -75,65 +75,104 @@ def with_frames(rows: DataFrame, windows: WindowSet, key: str, amount: Column, m
     rows = rows.withColumn("_vt", F.col("us") + moved)
     own = F.col("_role") == 0
     out: list[str] = []
-    unlimited = Window.unboundedPreceding
+    if max_events:
+        # the last N rows are the frame [rank - (N - 1), rank]: the same sums with ranks for times
+        reach = max_events - 1
+        rows = rows.withColumn("_vr", F.col("_rank") + F.when(F.col("_role") == cap_role, F.lit(reach)).otherwise(0))
+        rows = rows.withColumn("_br", F.floor(F.col("_vr") / max(reach, 1)))
+        rows, (p, q), uniq = running_parts(rows, [key, "split", "_br"], "_vr", own, F.col("_role") == cap_role,
+                                           {"n", "s", "a", "v", "hi", "lo"}, True)
+        capped = statistics(merge_parts(p, q))
+        rows = rows.withColumns({f"_c_{k}": c for k, c in capped.items()} | {"_c_uniq": uniq})
     for r, w in zip(roles[1:], windows.lengths):
         wanted = ALL_STATS if stats == "all" else windows.stats_for(w)
-        block = [key, "split", f"_b{r}"]
         rows = rows.withColumn(f"_b{r}", F.floor(F.col("_vt") / (w * MICROS)))
-        copy = F.col("_role") == r
-        upto = Window.partitionBy(*block).orderBy("_vt").rangeBetween(unlimited, 0)
-        onward = Window.partitionBy(*block).orderBy(F.desc("_vt")).rangeBetween(unlimited, 0)
         want_uniq = unique_all or w == windows.long
-        if want_uniq:
-            per = Window.partitionBy(*block, "_m")
-            place = F.struct("_vt", "_rid")
-            rows = rows.withColumns({
-                "_last": F.max(F.when(copy & F.col("_m").isNotNull(), place)).over(per),
-                "_first": F.min(F.when(own & F.col("_m").isNotNull(), place)).over(per)})
-            apart = F.col("_last").isNull() | F.col("_first").isNull() | (F.col("_last._vt") < F.col("_first._vt"))
-            is_last = copy & (F.col("_last") == place)
-            is_first = own & (F.col("_first") == place)
-            rows = rows.withColumns({
-                "_there": F.when(is_last, 1).otherwise(0),
-                "_gone": F.when(is_last & apart, 1).otherwise(0),
-                "_come": F.when(is_first & apart, 1).otherwise(0)}).drop("_last", "_first")
-        agg = {"n": F.count, "s": F.sum, "a": F.avg, "v": F.var_pop, "hi": F.max, "lo": F.min}
         need = {"n", "s", "a", "v"} | ({"hi"} if "max" in wanted else set()) | ({"lo"} if "min" in wanted else set())
-        cols = {}
-        for part, spec, pick in (("p", upto, own), ("q", onward, copy)):
-            x = F.when(pick, F.col("_x"))
-            cols |= {f"_{part}{k}": agg[k](x).over(spec) for k in sorted(need)}
-        if want_uniq:
-            before = Window.partitionBy(*block).orderBy("_vt").rangeBetween(unlimited, -1)
-            cols |= {"_u": F.sum("_there").over(Window.partitionBy(*block))
-                     + F.sum("_come").over(upto) - F.coalesce(F.sum("_gone").over(before), F.lit(0))}
-        rows = rows.withColumns(cols)
-        n = F.col("_pn") + F.col("_qn")
-        total = F.coalesce("_ps", F.lit(0.0)) + F.coalesce("_qs", F.lit(0.0))
-        gap = F.col("_pa") - F.col("_qa")
-        spread = (F.coalesce(F.col("_pv") * F.col("_pn"), F.lit(0.0)) + F.coalesce(F.col("_qv") * F.col("_qn"), F.lit(0.0))
-                  + F.coalesce(gap * gap * F.col("_pn") * F.col("_qn") / n, F.lit(0.0)))
-        frame = {"count": n, "sum": total, "mean": F.when(n > 0, total / n), "std": F.when(n > 0, F.sqrt(spread / n))}
-        if "max" in wanted:
-            frame["max"] = F.greatest("_phi", "_qhi")
-        if "min" in wanted:
-            frame["min"] = F.least("_plo", "_qlo")
-        uniq = F.col("_u") if want_uniq else None
+        rows, (p, q), uniq = running_parts(rows, [key, "split", f"_b{r}"], "_vt", own, F.col("_role") == r, need,
+                                           want_uniq)
+        frame = statistics(merge_parts(p, q))
         if max_events:
-            over = n > F.lit(max_events)
+            over = frame["count"] > F.lit(max_events)
             frame = {k: F.when(over, F.col(f"_c_{k}")).otherwise(v) for k, v in frame.items()}
             uniq = F.when(over, F.col("_c_uniq")).otherwise(uniq) if want_uniq else None
-        final = {}
-        for s in wanted:
-            final[stat_column(s, w)] = (frame[s].cast("int") if s == "count"
-                                        else F.coalesce(frame[s], F.lit(0.0)).cast("double"))
-        if want_uniq:
-            final[f"unique_merchants_{w}s"] = uniq.cast("int")
+        final = feature_columns(frame, uniq, wanted, w)
         rows = rows.withColumns(final)
         out += list(final)
     return rows.where(own).select(*base, *out), out
 
 
+#: Aggregates of a part of a frame: count, sum, mean, population variance, extremes.
+PART = {"n": F.count, "s": F.sum, "a": F.avg, "v": F.var_pop, "hi": F.max, "lo": F.min}
+
+
+def running_parts(rows: DataFrame, block: list[str], pos: str, own: Column, copy: Column, need: set[str],
+                  want_uniq: bool, m_own: str = "_m", m_copy: str = "_m") -> tuple[DataFrame, tuple[dict, dict], Column]:
+    """Running aggregates of ``_x`` in the order of ``pos`` inside a block: of
+    the ``own`` rows up to each position and of the moved ``copy`` rows from it
+    on, both as dictionaries of columns, and the number of distinct merchants
+    (``m_own`` of own rows, ``m_copy`` of copies) in either."""
+    unlimited = Window.unboundedPreceding
+    upto = Window.partitionBy(*block).orderBy(pos).rangeBetween(unlimited, 0)
+    onward = Window.partitionBy(*block).orderBy(F.desc(pos)).rangeBetween(unlimited, 0)
+    if want_uniq:
+        rows = rows.withColumn("_mm", F.when(own, F.col(m_own)).when(copy, F.col(m_copy)))
+        per = Window.partitionBy(*block, "_mm")
+        place = F.struct(F.col(pos).alias("at"), F.col("_rid").alias("rid"))
+        rows = rows.withColumns({
+            "_last": F.max(F.when(copy & F.col("_mm").isNotNull(), place)).over(per),
+            "_first": F.min(F.when(own & F.col("_mm").isNotNull(), place)).over(per)})
+        apart = F.col("_last").isNull() | F.col("_first").isNull() | (F.col("_last.at") < F.col("_first.at"))
+        is_last = copy & (F.col("_last") == place)
+        is_first = own & (F.col("_first") == place)
+        rows = rows.withColumns({
+            "_there": F.when(is_last, 1).otherwise(0),
+            "_gone": F.when(is_last & apart, 1).otherwise(0),
+            "_come": F.when(is_first & apart, 1).otherwise(0)}).drop("_last", "_first", "_mm")
+    cols = {}
+    for part, spec, pick in (("p", upto, own), ("q", onward, copy)):
+        x = F.when(pick, F.col("_x"))
+        cols |= {f"_{part}{k}": PART[k](x).over(spec) for k in sorted(need)}
+    if want_uniq:
+        before = Window.partitionBy(*block).orderBy(pos).rangeBetween(unlimited, -1)
+        cols |= {"_u": F.sum("_there").over(Window.partitionBy(*block))
+                 + F.sum("_come").over(upto) - F.coalesce(F.sum("_gone").over(before), F.lit(0))}
+    rows = rows.withColumns(cols)
+    p, q = ({k: F.col(f"_{part}{k}") for k in need} for part in "pq")
+    return rows, (p, q), F.col("_u") if want_uniq else None
+
+
+def merge_parts(p: dict, q: dict) -> dict:
+    """Two parts of a frame as one: pairwise rule for mean and squared deviations, nothing subtracted."""
+    zero = F.lit(0.0)
+    n = p["n"] + q["n"]
+    total = F.coalesce(p["s"], zero) + F.coalesce(q["s"], zero)
+    gap = p["a"] - q["a"]
+    spread = (F.coalesce(p["v"] * p["n"], zero) + F.coalesce(q["v"] * q["n"], zero)
+              + F.coalesce(gap * gap * p["n"] * q["n"] / n, zero))
+    out = {"n": n, "s": total, "a": F.when(n > 0, total / n), "v": F.when(n > 0, spread / n)}
+    if "hi" in p:
+        out["hi"] = F.greatest(p["hi"], q["hi"])
+    if "lo" in p:
+        out["lo"] = F.least(p["lo"], q["lo"])
+    return out
+
+
+def statistics(part: dict) -> dict:
+    """The part's aggregates by the names of the statistics."""
+    named = {"count": part["n"], "sum": part["s"], "mean": part["a"], "std": F.sqrt(part["v"])}
+    return named | {k: part[s] for k, s in (("max", "hi"), ("min", "lo")) if s in part}
+
+
+def feature_columns(frame: dict, uniq: Column | None, wanted: tuple[str, ...], w: int) -> dict:
+    """Feature columns of one window length; an empty frame gives zeros."""
+    final = {stat_column(s, w): (frame[s].cast("int") if s == "count"
+                                 else F.coalesce(frame[s], F.lit(0.0)).cast("double")) for s in wanted}
+    if uniq is not None:
+        final[f"unique_merchants_{w}s"] = uniq.cast("int")
+    return final
+
+
 def _prev_chain(key: str) -> Column:
     """Last event (struct tid, lat, lon, us) strictly before this row."""
     w_prev = (Window.partitionBy(key, "split").orderBy("us", "side", "tid")
@@ -177,30 +216,26 @@ def rolling_features(txn: DataFrame, windows: WindowSet = DEFAULT, key: str = "e
     nothing has to be joined back by transaction id afterwards.
     """
     rows = _frame_rows(txn, key, emit, tuple(carry))
-    long_us = max(windows.lengths) * MICROS
-    plan = skew.plan_splits(rows, key, long_us, hot_rows)
-    rows = skew.assign_split(rows, plan, replicate=True)
-    entry = skew.entry_table(rows.where(~F.col("is_ctx")), plan, ["latitude", "longitude"])
-
-    rows = rows.withColumn("_prev", _prev_chain(key))
-    rows, feats = with_frames(rows, windows, key, F.col("amount"), F.col("merchant_id"), stats,
-                              max_events, unique_all)
-    rows = rows.where(~F.col("is_ctx"))
+    if idle_ttl_s is not None and idle_ttl_s < max(windows.lengths):
+        raise ValueError("idle_ttl_s must be at least the longest window")
+    plan = skew.plan_splits(rows, key, max(windows.lengths) * MICROS, hot_rows)
+    # capped frames end at a number of rows, not at a time: they keep to slices
+    dense = None if max_events else skew.dense_entities(rows, plan, windows, hot_rows)
+    if dense is not None:
+        rows = skew.join_null_safe(rows, dense, [key], "left", plan.broadcast)
+        dense_rows, rows = rows.where(F.col("cell_us").isNotNull()), rows.where(F.col("cell_us").isNull()).drop("cell_us")
+    out, feats = _sliced_frames(rows, plan, windows, key, stats, max_events, unique_all)
+    if dense is not None:
+        from velocis.operators.cells import with_cell_frames
+        cells, _ = with_cell_frames(dense_rows, windows, key, stats, unique_all)
+        cells = cells.withColumns({f"_prev_{c}": F.col(f"_prev.{c}") for c in ("lat", "lon", "us")})
+        out = out.unionByName(cells.select(*out.columns))
+    rows = out
     if emit:
         rows = rows.where(F.col("_emit"))
-    if entry is not None:
-        e = entry.select(key, "split", *[F.col(f"d1.{c}").alias(f"_d1_{c}") for c in ("us", "latitude", "longitude")])
-        # at most one row per slice; broadcast only under the checked bound
-        rows = rows.join(F.broadcast(e) if plan.broadcast else e, [key, "split"], "left")
-        prev_lat = F.coalesce(F.col("_prev.lat"), F.col("_d1_latitude"))
-        prev_lon = F.coalesce(F.col("_prev.lon"), F.col("_d1_longitude"))
-        prev_us = F.coalesce(F.col("_prev.us"), F.col("_d1_us"))
-    else:
-        prev_lat, prev_lon, prev_us = F.col("_prev.lat"), F.col("_prev.lon"), F.col("_prev.us")
+    prev_lat, prev_lon = F.col("_prev_lat"), F.col("_prev_lon")
     if idle_ttl_s is not None:
-        if idle_ttl_s < max(windows.lengths):
-            raise ValueError("idle_ttl_s must be at least the longest window")
-        fresh = F.col("us") - prev_us <= F.lit(int(idle_ttl_s * MICROS))
+        fresh = F.col("us") - F.col("_prev_us") <= F.lit(int(idle_ttl_s * MICROS))
         prev_lat, prev_lon = F.when(fresh, prev_lat), F.when(fresh, prev_lon)
     rows = rows.withColumn("prev_latitude", prev_lat).withColumn("prev_longitude", prev_lon)
 
@@ -221,6 +256,28 @@ def rolling_features(txn: DataFrame, windows: WindowSet = DEFAULT, key: str = "e
                        *[c for c in carry if c not in ("merchant_category", "latitude", "longitude", key)])
 
 
+def _sliced_frames(rows: DataFrame, plan: skew.SplitPlan, windows: WindowSet, key: str, stats: str,
+                   max_events: int | None, unique_all: bool) -> tuple[DataFrame, list[str]]:
+    """Frames of entities in one slice, or in slices of at least the longest
+    window: the rows with their features and ``_prev_lat, _prev_lon, _prev_us``."""
+    base = rows.columns
+    rows = skew.assign_split(rows, plan, replicate=True)
+    entry = skew.entry_table(rows.where(~F.col("is_ctx")), plan, ["latitude", "longitude"])
+    rows = rows.withColumn("_prev", _prev_chain(key))
+    rows, feats = with_frames(rows, windows, key, F.col("amount"), F.col("merchant_id"), stats,
+                              max_events, unique_all)
+    rows = rows.where(~F.col("is_ctx"))
+    prev = {"lat": F.col("_prev.lat"), "lon": F.col("_prev.lon"), "us": F.col("_prev.us")}
+    if entry is not None:
+        e = entry.select(key, "split", *[F.col(f"d1.{c}").alias(f"_d1_{p}")
+                                         for p, c in (("us", "us"), ("lat", "latitude"), ("lon", "longitude"))])
+        # at most one row per slice; broadcast only under the checked bound
+        rows = skew.join_null_safe(rows, e, [key, "split"], "left", plan.broadcast)
+        inside = F.col("_prev").isNotNull()
+        prev = {c: F.when(inside, v).otherwise(F.col(f"_d1_{c}")) for c, v in prev.items()}
+    return rows.select(*base, *feats, *[v.alias(f"_prev_{c}") for c, v in prev.items()]), feats
+
+
 def rolling_features_since(recent: DataFrame, last_known: DataFrame | None, since_us: int,
                            windows: WindowSet = DEFAULT, **kw) -> DataFrame:
     """Features of the events at or after ``since_us`` without scanning the

@@ -54,7 +54,7 @@ def _union_pass(events: DataFrame, requests: DataFrame, windows: WindowSet, key:
                              F.col(f"{s}.longitude").alias("lon"), F.col(f"{s}.us").alias("us"))
     if entry is not None:
         e = entry.select(key, "split", loc("d1").alias("_d1"), loc("d2").alias("_d2"))
-        rows = rows.join(F.broadcast(e) if plan.broadcast else e, [key, "split"], "left")
+        rows = skew.join_null_safe(rows, e, [key, "split"], "left", plan.broadcast)
     else:
         null_loc = F.lit(None).cast("struct<tid:string,lat:double,lon:double,us:bigint>")
         rows = rows.withColumn("_d1", null_loc).withColumn("_d2", null_loc)
@@ -147,7 +147,7 @@ def asof_join(probe: DataFrame, build: DataFrame, key: str, probe_us: Column | s
             skew.assign_split(b.withColumn("tid", F.lit("")), plan, replicate=False),
             plan, ["_rec"])
         e = ent.select(key, "split", F.col("d1._rec").alias("_d1"))
-        rows = rows.join(F.broadcast(e) if plan.broadcast else e, [key, "split"], "left") \
+        rows = skew.join_null_safe(rows, e, [key, "split"], "left", plan.broadcast) \
                    .withColumn("_hit", F.coalesce("_hit", "_d1"))
     if max_age_us is not None:
         rows = rows.withColumn("_hit", F.when(F.col("us") - F.col("_hit.us") <= F.lit(max_age_us),

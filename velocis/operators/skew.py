@@ -47,9 +47,6 @@ class SplitPlan:
     context_us: int
     broadcast: bool
 
-    def _hot(self) -> DataFrame:
-        return F.broadcast(self.hot) if self.broadcast else self.hot
-
 
 def plan_splits(events: DataFrame, key: str, context_us: int,
                 hot_rows: int | str | None = AUTO,
@@ -85,6 +82,33 @@ def plan_splits(events: DataFrame, key: str, context_us: int,
     return SplitPlan(key, hot, context_us, slices <= broadcast_rows)
 
 
+def dense_entities(events: DataFrame, plan: SplitPlan, windows, hot_rows: int | str | None = AUTO) -> DataFrame | None:
+    """``key, cell_us`` of the hot entities whose slices would hold too many
+    rows, because slices are not narrower than the longest window: these are cut
+    into cells (``velocis.operators.cells``). None if there is no such entity.
+    """
+    from velocis.operators.cells import plan_widths
+    if plan.hot is None:
+        return None
+    budget = DEFAULT_HOT_ROWS if hot_rows == AUTO else int(hot_rows)
+    key = plan.key
+    full = join_null_safe(events.select(key, "us"), plan.hot.select(key), [key], "left_semi", plan.broadcast) \
+        .groupBy(key, F.floor(F.col("us") / plan.context_us).alias("_w")).count() \
+        .groupBy(key).agg(F.max("count").alias("_n")).where(F.col("_n") > budget)
+    dense = plan_widths(events, full, key, windows, budget).checkpoint(eager=True)
+    return None if dense.isEmpty() else dense
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner",
+                   small: bool = False) -> DataFrame:
+    """Equi-join on ``keys`` in which null equals null: a null entity is an
+    entity like others. ``right`` has no other column in common with ``left``;
+    ``small`` broadcasts it (a checked size)."""
+    r = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return left.join(F.broadcast(r) if small else r, on, how).drop(*[f"__{k}" for k in keys])
+
+
 def _raw_split(us_col) -> F.Column:
     return F.floor((us_col - F.col("split_origin")) / F.col("split_width")) + 1
 
@@ -97,7 +121,7 @@ def assign_split(rows: DataFrame, plan: SplitPlan, replicate: bool) -> DataFrame
     if plan.hot is None:
         return rows.withColumn("split", F.lit(0).cast("long")).withColumn("is_ctx", F.lit(False))
     cols = rows.columns
-    j = rows.join(plan._hot(), plan.key, "left")  # beyond the broadcast bound AQE splits a hot key's rows
+    j = join_null_safe(rows, plan.hot, [plan.key], "left", plan.broadcast)  # beyond the broadcast bound AQE splits a hot key's rows
     raw = _raw_split(F.col("us"))
     split = (F.when(F.col("split_origin").isNull(), F.lit(0))
              .otherwise(F.least(F.greatest(raw, F.lit(1)), F.col("split_last") + 1))).cast("long")
@@ -127,8 +151,7 @@ def entry_table(events: DataFrame, plan: SplitPlan, payload: list[str],
     if plan.hot is None:
         return None
     key = plan.key
-    hot = plan._hot()
-    ev = events.join(hot, key, "inner")
+    ev = join_null_safe(events, plan.hot, [key], "inner", plan.broadcast)
     ev = ev.withColumn("_g", F.least(_raw_split(F.col("us") + F.lit(plan.context_us)),
                                      F.col("split_last") + 1).cast("long"))
     rec = F.struct(F.col("us"), F.col("tid"), *[F.col(c) for c in payload])
@@ -136,18 +159,17 @@ def entry_table(events: DataFrame, plan: SplitPlan, payload: list[str],
     top1 = ev.groupBy(key, "_g").agg(F.max_by(rec, ordk).alias("t1"))
     if second:
         t1k = top1.select(key, "_g", F.col("t1.us").alias("_u1"), F.col("t1.tid").alias("_t1"))
-        t1k = F.broadcast(t1k) if plan.broadcast else t1k
-        rest = (ev.join(t1k, [key, "_g"], "inner")
+        rest = (join_null_safe(ev, t1k, [key, "_g"], "inner", plan.broadcast)
                 .where((F.col("us") < F.col("_u1")) | ((F.col("us") == F.col("_u1")) & (F.col("tid") < F.col("_t1")))))
         top2 = rest.groupBy(key, "_g").agg(F.max_by(rec, ordk).alias("t2"))
-        groups = top1.join(top2, [key, "_g"], "left")
+        groups = join_null_safe(top1, top2, [key, "_g"], "left")
     else:
         groups = top1.withColumn("t2", F.lit(None).cast(top1.schema["t1"].dataType))
     wg = Window.partitionBy(key).orderBy("_g")
     groups = (groups
               .withColumn("d2", F.coalesce(F.col("t2"), F.lag("t1").over(wg)))
               .withColumn("_next", F.lead("_g").over(wg)))
-    groups = groups.join(hot.select(key, "split_last"), key, "inner")
+    groups = join_null_safe(groups, plan.hot.select(key, "split_last"), [key], "inner", plan.broadcast)
     # group g serves splits g+1 .. next non-empty group (or the last probe slice)
     upto = F.coalesce(F.col("_next"), F.col("split_last") + 1)
     dense = groups.where(F.col("_g") + 1 <= upto).select(

@@ -65,6 +65,24 @@ def q_rolling_features_hot(spark, sf_dir):
     return rounded(f.select("transaction_id", "entity_id", *HOURLY.feature_columns(), "merchant_category"))
 
 
+# Every event on one entity and inside one long window: 30 days pressed into 18 hours.
+PRESSED = ONE_ENTITY.replace("epoch_us(ts) AS us", "epoch_us(ts) // 40 AS us")
+
+
+def _pressed(spark, sf_dir):
+    t = transactions(spark, sf_dir)
+    return t.withColumns({"entity_id": F.when(F.col("entity_id").isNotNull(), F.lit("all")),
+                          "us": F.floor(F.col("us") / 40).cast("long")})
+
+
+@register("rolling_features_dense", _off_tie_sql(_features_sql(HOURLY, txn=PRESSED)))
+def q_rolling_features_dense(spark, sf_dir):
+    """W1 with every event of one entity inside one window: time cells narrower than the windows."""
+    f = rolling_features(_pressed(spark, sf_dir), HOURLY, hot_rows=200)
+    f = f.withColumns({f"amount_mean_{w}s": F.col(f"amount_mean_{w}s") + F.lit(OFF_TIE) for w in H})
+    return rounded(f.select("transaction_id", "entity_id", *HOURLY.feature_columns(), "merchant_category"))
+
+
 def _one_stat_sql(exprs: list[str]) -> str:
     return f"""WITH {TXN}
 SELECT transaction_id, entity_id, {', '.join(exprs)} FROM txn"""
@@ -150,13 +168,15 @@ def q_velocity_ratio(spark, sf_dir):
 CAP = 2
 
 
-def _capped_sql(n: int) -> str:
+def _capped_sql(n: int, txn: str = TXN) -> str:
     rng = f"RANGE BETWEEN {H[2] * 1_000_000} PRECEDING AND CURRENT ROW"
     rws = f"ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW"
     part = "PARTITION BY entity_id ORDER BY us"
     part_rows = "PARTITION BY entity_id ORDER BY us, transaction_id"
-    return f"""WITH {TXN},
-f AS (SELECT *, count(amount) OVER ({part} {rng}) AS c_rng, count(amount) OVER ({part_rows} {rws}) AS c_rows,
+    return f"""WITH {txn},
+f AS (SELECT *, count(DISTINCT merchant_id) OVER ({part} {rng}) AS u_rng,
+  count(DISTINCT merchant_id) OVER ({part_rows} {rws}) AS u_rows,
+  count(amount) OVER ({part} {rng}) AS c_rng, count(amount) OVER ({part_rows} {rws}) AS c_rows,
   sum(amount) OVER ({part} {rng}) AS s_rng, sum(amount) OVER ({part_rows} {rws}) AS s_rows,
   max(amount) OVER ({part} {rng}) AS x_rng, max(amount) OVER ({part_rows} {rws}) AS x_rows,
   min(amount) OVER ({part} {rng}) AS n_rng, min(amount) OVER ({part_rows} {rws}) AS n_rows,
@@ -167,17 +187,31 @@ SELECT transaction_id, entity_id,
   round(CASE WHEN c_rng > {n} THEN s_rows ELSE s_rng END, {ROUND}) AS amount_sum_{H[2]}s,
   round(CASE WHEN c_rng > {n} THEN x_rows ELSE x_rng END, {ROUND}) AS amount_max_{H[2]}s,
   round(CASE WHEN c_rng > {n} THEN n_rows ELSE n_rng END, {ROUND}) AS amount_min_{H[2]}s,
-  round(CASE WHEN c_rng > {n} THEN d_rows ELSE d_rng END, {ROUND}) AS amount_std_{H[2]}s
+  round(CASE WHEN c_rng > {n} THEN d_rows ELSE d_rng END, {ROUND}) AS amount_std_{H[2]}s,
+  CAST(CASE WHEN c_rng > {n} THEN u_rows ELSE u_rng END AS BIGINT) AS unique_merchants_{H[2]}s
 FROM f"""
 
 
 @register("rolling_features_capped", _capped_sql(CAP))
 def q_rolling_features_capped(spark, sf_dir):
     """Every frame capped at the entity's last N events (here N = 2)."""
-    f = rolling_features(transactions(spark, sf_dir), HOURLY, max_events=CAP)
+    return _capped(transactions(spark, sf_dir), CAP)
+
+
+LONG_CAP = 1000
+
+
+@register("rolling_features_capped_1000", _capped_sql(LONG_CAP, PRESSED))
+def q_rolling_features_capped_1000(spark, sf_dir):
+    """W2 with a long cap: frames of N = 1,000 rows, in time that does not depend on N."""
+    return _capped(_pressed(spark, sf_dir), LONG_CAP)
+
+
+def _capped(txn, n):
+    f = rolling_features(txn, HOURLY, max_events=n)
     lg = H[2]
     return rounded(f.select("transaction_id", "entity_id", f"txn_count_{lg}s", f"amount_sum_{lg}s",
-                            f"amount_max_{lg}s", f"amount_min_{lg}s", f"amount_std_{lg}s"))
+                            f"amount_max_{lg}s", f"amount_min_{lg}s", f"amount_std_{lg}s", f"unique_merchants_{lg}s"))
 
 
 @register("latest_event", f"""WITH {TXN}
