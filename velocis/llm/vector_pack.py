@@ -162,7 +162,12 @@ def pack(examples: DataFrame, limits: Limits = Limits(), pool_rows: int = POOL_R
     """
     ship_code(examples.sparkSession)
     id_type = examples.schema["doc_id"].dataType.simpleString()
+    e = examples.select("doc_id", "ids", F.col("prompt_tokens").cast("long").alias("prompt_tokens"))
+    return e.mapInArrow(packing(limits, pool_rows, pool_tokens), f"doc_id {id_type}, {PIECES}")
+
 
+def packing(limits: Limits, pool_rows: int = POOL_ROWS, pool_tokens: int = POOL_TOKENS):
+    """The work of one task of :func:`pack`: batches of examples to batches of pieces."""
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
@@ -204,8 +209,7 @@ def pack(examples: DataFrame, limits: Limits = Limits(), pool_rows: int = POOL_R
         if kind is not None:
             yield from rows(packer.fill(everything=True))
 
-    e = examples.select("doc_id", "ids", F.col("prompt_tokens").cast("long").alias("prompt_tokens"))
-    return e.mapInArrow(run, f"doc_id {id_type}, {PIECES}")
+    return run
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
@@ -222,14 +226,15 @@ def sequences(pieces: DataFrame) -> DataFrame:
 class WordBpe:
     """Ids of a word-end BPE ``tokenizer.json`` (white space dropped, lower case).
 
-    White space is never part of a token, no letter composes with it, and added
-    tokens hold none: texts are cut there and the ids of each unit remembered.
-    Units of plain letters below U+0250 are lower-cased and split here and each
-    word goes to the library's merges; all other units go to the library whole.
+    A text of letters and signs below U+0250, none of which composes, is
+    lower-cased and split into words here; the library's merges encode each
+    word, and its ids are remembered. White space is never part of a token, no
+    letter composes with it and added tokens hold none, so other texts are cut
+    at spaces into units, and a unit that is not plain goes to the library whole.
     """
 
-    #: No white space or controls in the library's sense, nothing that composes; added tokens start with "<|".
-    PLAIN = re.compile("[!-~¡-ɏ]*")
+    #: No controls but white space, nothing that composes; added tokens start with "<|".
+    PLAIN = re.compile("[\t-\r -~\u00a0-\u024f]*")
 
     def __init__(self, spec_json: str):
         from tokenizers import Tokenizer
@@ -264,11 +269,19 @@ class WordBpe:
         return array("I", [t.id for t in self.merges.tokenize(word)]).tobytes()
 
     def _unit(self, unit: str) -> bytes:
-        if "<|" in unit or not self.PLAIN.fullmatch(unit):
-            return np.array(self.library.encode(unit, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return b"".join(map(self.words.__getitem__, self.pattern.findall(unit.lower())))
+        if self._plain(unit):
+            return self._words(unit)
+        return np.array(self.library.encode(unit, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _plain(self, text: str) -> bool:
+        return "<|" not in text and self.PLAIN.fullmatch(text) is not None
+
+    def _words(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, self.pattern.findall(text.lower())))
 
     def encode(self, text: str) -> bytes:
+        if self._plain(text):
+            return self._words(text)
         return b"".join(map(self.units.__getitem__, text.replace("\n", " ").split(" ")))
 
     def forget(self) -> None:
@@ -313,11 +326,22 @@ def encode_examples(rows: DataFrame, tokenizer_file: str, id_col: str = "doc_id"
     repeated rows are rows like others; other columns are ignored; an empty
     table gives an empty result.
     """
+    id_type = rows.schema[id_col].dataType.simpleString()
+    return _texts(rows, id_col, text_col, prompt_col) \
+        .mapInArrow(encoding(rows, tokenizer_file, end_id), f"doc_id {id_type}, ids binary, prompt_tokens long")
+
+
+def _texts(rows: DataFrame, id_col: str, text_col: str, prompt_col: str | None) -> DataFrame:
+    prompt = text_or_empty(prompt_col) if prompt_col else F.lit("")
+    return rows.select(F.col(id_col).alias("doc_id"), prompt.alias("prompt"), text_or_empty(text_col).alias("text"))
+
+
+def encoding(rows: DataFrame, tokenizer_file: str, end_id: int = 2):
+    """The work of one task of :func:`encode_examples`: batches of texts to batches of examples."""
     spark = rows.sparkSession
     ship_code(spark)
     with open(tokenizer_file, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
-    id_type = rows.schema[id_col].dataType.simpleString()
     end = end_id.to_bytes(4, "little")
 
     def encode(batches):
@@ -332,9 +356,7 @@ def encode_examples(rows: DataFrame, tokenizer_file: str, id_col: str = "doc_id"
                 names=["doc_id", "ids", "prompt_tokens"])
         bpe.forget()
 
-    prompt = text_or_empty(prompt_col) if prompt_col else F.lit("")
-    r = rows.select(F.col(id_col).alias("doc_id"), prompt.alias("prompt"), text_or_empty(text_col).alias("text"))
-    return r.mapInArrow(encode, f"doc_id {id_type}, ids binary, prompt_tokens long")
+    return encode
 
 
 def instruction_examples(conversations: DataFrame) -> DataFrame:
@@ -350,5 +372,8 @@ def instruction_examples(conversations: DataFrame) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer_file: str, limits: Limits = Limits()) -> DataFrame:
-    """Every document, all of whose tokens bear loss, packed; see :func:`pack`."""
-    return pack(encode_examples(docs, tokenizer_file), limits)
+    """Every document, all of whose tokens bear loss, packed; see :func:`pack`.
+    One task encodes and packs, so that ids do not leave Python in between."""
+    encode, run = encoding(docs, tokenizer_file), packing(limits)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return _texts(docs, "doc_id", "text", None).mapInArrow(lambda b: run(encode(b)), f"doc_id {id_type}, {PIECES}")
