@@ -340,7 +340,7 @@ def align_tokenizers(docs: DataFrame, a_file: str, b_file: str, id_col: str = "d
     blocks = materialise(aligned_blocks(docs, a_file, b_file, id_col, text_col, keep_groups), "aligned")
     totals = materialise(pair_counts(blocks), "pairs")
     asked = blocks.where("pairs IS NOT NULL").select("block", F.posexplode("pairs").alias("at", "pair"))
-    told = asked.join(totals, "pair").select("block", "at", "total", "best")
+    told = asked.join(totals, "pair").select(F.col("block").alias("of"), "at", "total", "best")
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def finish(documents, table):
@@ -362,6 +362,6 @@ def align_tokenizers(docs: DataFrame, a_file: str, b_file: str, id_col: str = "d
     rows = blocks.where("pairs IS NULL").select("block", "links", *kept)
     schema = (f"doc_id {id_type}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
               + ("groups binary, " if keep_groups else "") + "n_best long, count_sum long")
-    out = rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(finish, schema)
+    out = rows.groupBy("block").cogroup(told.groupBy("of")).applyInArrow(finish, schema)
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256",
                       *(["groups"] if keep_groups else []))
