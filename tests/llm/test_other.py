@@ -279,7 +279,7 @@ def test_parts_are_balanced():
 
 def test_registered():
     q, o = E.queries(), E.oracle_sql()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in q) == 1
     assert "pipeline" in q and {k for k in o if re.match(r"op\d+_", k)} == {
         "op3_warc_zst", "op8_digest_merge", "op9_pareto_mix", "op10_cover_substring"}

@@ -324,7 +324,7 @@ def pair_counts(blocks: DataFrame) -> DataFrame:
         .groupBy(F.col("p.pairs").alias("pair")).agg(F.sum("p.counts").alias("total"))
     per = per.withColumn("b", F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)))
     top = per.groupBy("b").agg(F.max("total").alias("top"))
-    return per.join(top, "b").select("pair", "total", (F.col("total") == F.col("top")).alias("best"))
+    return per.join(top.hint("merge"), "b").select("pair", "total", (F.col("total") == F.col("top")).alias("best"))
 
 
 def align_tokenizers(docs: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", text_col: str = "text",
@@ -340,7 +340,8 @@ def align_tokenizers(docs: DataFrame, a_file: str, b_file: str, id_col: str = "d
     blocks = materialise(aligned_blocks(docs, a_file, b_file, id_col, text_col, keep_groups), "aligned")
     totals = materialise(pair_counts(blocks), "pairs")
     asked = blocks.where("pairs IS NOT NULL").select("block", F.posexplode("pairs").alias("at", "pair"))
-    told = asked.join(totals, "pair").select(F.col("block").alias("of"), "at", "total", "best")
+    # a merge join at any size: the totals are never broadcast
+    told = asked.join(totals.hint("merge"), "pair").select(F.col("block").alias("of"), "at", "total", "best")
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def finish(documents, table):
