@@ -193,34 +193,65 @@ def q_stream_rolling_incremental(spark, sf_dir):
     return rounded(f.select("transaction_id", "entity_id", *HOURLY.feature_columns(), "merchant_category"))
 
 
-DELAY_US = 3 * 86400 * 1_000_000
+DAY_US = 86400 * 1_000_000
+#: Every 50th event arrives three days late, every 7th ten hours late.
+ARRIVAL = f"us + CASE WHEN event_id % 50 = 0 THEN {3 * DAY_US} WHEN event_id % 7 = 0 THEN {10 * DAY_US // 24} ELSE 0 END"
 
 
-@register("stream_late_rows", f"""WITH {TXN},
-a AS (SELECT *, us + CASE WHEN event_id % 50 = 0 THEN {DELAY_US} ELSE 0 END AS arrival FROM txn),
+def _late_sql(columns: str) -> str:
+    """Rows that arrive in a chunk are late if their frame begins before the
+    oldest bucket kept: two days before the newest event of earlier chunks."""
+    bucket = DAY_US // 4
+    return f"""WITH {TXN},
+a AS (SELECT *, {ARRIVAL} AS arrival FROM txn),
 c AS (SELECT a.*, (arrival - lo) // step AS chunk FROM a,
   (SELECT min(arrival) AS lo, (max(arrival) - min(arrival)) // {CHUNKS} + 1 AS step FROM a)),
 m AS (SELECT chunk, max(us) AS top FROM c GROUP BY 1),
-s AS (SELECT c.*, coalesce(us < (SELECT max(top) FROM m WHERE m.chunk < c.chunk), false) AS late FROM c)
+s AS (SELECT c.*, coalesce(us - {DAY_US} <
+    ((SELECT max(top) FROM m WHERE m.chunk < c.chunk) - {2 * DAY_US}) // {bucket} * {bucket}, false) AS late FROM c)
+{columns}"""
+
+
+def _arrivals(spark, sf_dir):
+    txn = _txn(spark, sf_dir)
+    event_id = F.col("transaction_id").cast("long")
+    return txn.withColumn("arrival", F.col("us") + F.when(event_id % 50 == 0, F.lit(3 * DAY_US))
+                          .when(event_id % 7 == 0, F.lit(10 * DAY_US // 24)).otherwise(F.lit(0)))
+
+
+@register("stream_late_rows", _late_sql(f"""
 SELECT transaction_id, true AS late, CAST(0 AS BIGINT) AS txn_count_86400s, 0.0::DOUBLE AS amount_sum_86400s
 FROM s WHERE late
 UNION ALL
-SELECT transaction_id, false, CAST(count(amount) OVER w AS BIGINT), round(sum(amount) OVER w, {ROUND}) FROM s
-WHERE NOT late
-WINDOW w AS (PARTITION BY entity_id ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW)""")
+SELECT x.transaction_id, false, CAST(count(y.amount) AS BIGINT), round(sum(y.amount), {ROUND})
+FROM s x JOIN s y ON x.entity_id = y.entity_id AND y.us BETWEEN x.us - {DAY_US} AND x.us
+  AND y.chunk <= x.chunk AND NOT y.late
+WHERE NOT x.late GROUP BY x.transaction_id"""))
 def q_stream_late_rows(spark, sf_dir):
-    """Every 50th event arrives three days late. Rows older than the
-    history that is kept are set apart; all others have their features."""
+    """Events out of order. Every row has features over what had arrived by
+    then, but for those whose history is no longer kept, which are set apart."""
     import uuid
     from velocis.streaming.incremental import IncrementalRolling
-    txn = _txn(spark, sf_dir)
-    late = F.col("transaction_id").cast("long") % 50 == 0
-    txn = txn.withColumn("arrival", F.col("us") + F.when(late, F.lit(DELAY_US)).otherwise(F.lit(0)))
+    txn = _arrivals(spark, sf_dir)
     inc = IncrementalRolling(scratch_path(spark, f"streams/late-{uuid.uuid4().hex[:12]}"), HOURLY)
     replay(txn, "arrival", CHUNKS, lambda src: parquet_source(spark, src, txn.schema), "stream-late", foreach=inc)
     done = spark.read.parquet(inc.output_path).select(
         "transaction_id", F.lit(False).alias("late"), "txn_count_86400s", "amount_sum_86400s")
-    apart = spark.read.parquet(inc.late_path).select(
+    apart = spark.read.parquet(inc.late_path).where("reason = 'late'").select(
         "transaction_id", F.lit(True).alias("late"), F.lit(0).alias("txn_count_86400s"),
         F.lit(0.0).alias("amount_sum_86400s"))
     return rounded(done.unionByName(apart))
+
+
+@register("stream_late_revisions", _features_sql(HOURLY))
+def q_stream_late_revisions(spark, sf_dir):
+    """The same arrivals with a history of four days, so that none is late,
+    and a changelog: its current rows are the batch features of all events."""
+    import uuid
+    from velocis.streaming.incremental import IncrementalRolling, current_rows
+    txn = _arrivals(spark, sf_dir)
+    inc = IncrementalRolling(scratch_path(spark, f"streams/revised-{uuid.uuid4().hex[:12]}"), HOURLY,
+                             lateness_s=4 * 86400, revisions=True)
+    replay(txn, "arrival", CHUNKS, lambda src: parquet_source(spark, src, txn.schema), "stream-revised", foreach=inc)
+    f = current_rows(spark.read.parquet(inc.changelog_path))
+    return rounded(f.select("transaction_id", "entity_id", *HOURLY.feature_columns(), "merchant_category"))

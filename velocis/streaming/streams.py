@@ -57,16 +57,20 @@ def parquet_source(spark: SparkSession, path: str, schema: T.StructType,
     return r.parquet(path)
 
 
-def decode_stream(raw: DataFrame, col: str = "value") -> DataFrame:
+def decode_stream(raw: DataFrame, col: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """Strict decode of a raw stream (S2): good rows get the transaction
-    columns plus ``event_ts``/``us``; bad rows keep ``raw`` and ``reason``."""
+    columns plus ``event_ts``/``us``; bad rows keep ``raw`` and ``reason``.
+    ``keep`` names further columns of the source to pass on."""
     v = validate(raw, col)
-    return v.select(F.col(col).alias("raw"), "reason", "txn.*")
+    return v.select(F.col(col).alias("raw"), "reason", "txn.*", *keep)
 
 
-def with_event_time(txn: DataFrame) -> DataFrame:
-    """``event_ts`` and ``us`` from ``timestamp_ms`` (S4: 0/null -> now)."""
-    ts = F.coalesce(F.timestamp_millis(F.nullif(F.col("timestamp_ms"), F.lit(0))), F.current_timestamp())
+def with_event_time(txn: DataFrame, arrival_col: str | None = None) -> DataFrame:
+    """``event_ts`` and ``us`` from ``timestamp_ms`` (S4: 0/null -> arrival).
+    The arrival is ``arrival_col`` (epoch micros, stamped by the source), or the
+    time of the batch, which differs when the batch is replayed."""
+    arrival = F.timestamp_micros(F.col(arrival_col)) if arrival_col else F.current_timestamp()
+    ts = F.coalesce(F.timestamp_millis(F.nullif(F.col("timestamp_ms"), F.lit(0))), arrival)
     return txn.withColumn("event_ts", ts).withColumn("us", F.unix_micros("event_ts"))
 
 
