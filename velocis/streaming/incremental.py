@@ -112,13 +112,16 @@ class Tail:
             latest_per_entity(every, order=("us", "transaction_id")).select(*TXN_COLS) \
                 .write.mode("overwrite").parquet(f"{self.base}/dropped/upto={dropped}")
             parts = [p for p in parts if p not in set(gone)]
-        for b in {b for b, _ in parts}:
+        written = [(b, str(batch_id)) for b in touched]
+        for b in sorted({b for b, _ in parts}):
             own = [p for p in parts if p[0] == b]
             if len(own) >= self.merge_parts:
                 name = f"{batch_id}-merged"
                 self._write(self.events(own).repartition("entity_id").withColumn("bucket", F.lit(b)).withColumn("part", F.lit(name)))
                 parts = [p for p in parts if p[0] != b] + [(b, name)]
-        self._commit(batch_id, {"clock": clock, "bound": bound, "dropped": dropped, "parts": parts})
+                written.append((b, name))
+        self._commit(batch_id, {"clock": clock, "bound": bound, "dropped": dropped, "parts": parts,
+                                "written": written})
         self._vacuum(batch_id)
 
     def _write(self, rows: DataFrame) -> None:
@@ -130,13 +133,14 @@ class Tail:
             .write.mode("overwrite").text(f"{self.base}/manifest/batch={batch_id}")
 
     def _vacuum(self, batch_id: int) -> None:
-        """Delete what the batch before last named and the last one no longer
-        does: a replay of this batch starts from the last manifest."""
+        """Delete the parts that the last two batches named or wrote and the
+        last manifest does not name: a replay of this batch starts from it."""
         old, last = (self.manifest(batch_id - k) if batch_id >= k else None for k in (2, 1))
         if not old or not last:
             return
         live = {tuple(p) for p in last["parts"]}
-        gone = [f"events/bucket={b}/part={p}" for b, p in map(tuple, old["parts"]) if (b, p) not in live]
+        known = {tuple(p) for p in old["parts"] + old["written"] + last["written"]}
+        gone = [f"events/bucket={b}/part={p}" for b, p in sorted(known - live)]
         if old["dropped"] not in (None, last["dropped"]):
             gone.append(f"dropped/upto={old['dropped']}")
         for path in [*gone, f"manifest/batch={batch_id - 2}"]:
