@@ -33,9 +33,51 @@ def with_event_micros(df: DataFrame) -> DataFrame:
     return df.withColumn("us", F.col("timestamp_ms") * 1000)
 
 
+#: Rows of an entity in one stretch of the longest window up to which frames
+#: are read row by row: at most twice as many a frame.
+SHORT_FRAME = 64
+
+
 def with_frames(rows: DataFrame, windows: WindowSet, key: str, amount: Column, merchant: Column,
                 stats: str = "snapshot", max_events: int | None = None,
-                unique_all: bool = False) -> tuple[DataFrame, list[str]]:
+                unique_all: bool = False, peak: int | None = None) -> tuple[DataFrame, list[str]]:
+    """Window aggregates of every length. Where a frame is known to hold few
+    rows (``peak``, counted by the skew plan, up to ``SHORT_FRAME``) Spark's
+    sliding frames read them, in one sort; else, or if it is not known, running
+    aggregates in time linear in the rows. Both give the same statistics, in
+    another order of addition."""
+    if peak is not None and peak <= SHORT_FRAME and (max_events or 1) <= SHORT_FRAME:
+        return _sliding_frames(rows, windows, key, amount, merchant, stats, max_events, unique_all)
+    return _block_frames(rows, windows, key, amount, merchant, stats, max_events, unique_all)
+
+
+def _sliding_frames(rows: DataFrame, windows: WindowSet, key: str, amount: Column, merchant: Column, stats: str,
+                    max_events: int | None, unique_all: bool) -> tuple[DataFrame, list[str]]:
+    """Every frame read on its own: work per row grows with the rows in its frames."""
+    base = rows.columns
+    over = Window.partitionBy(key, "split")
+    last = over.orderBy("us", "side", "tid").rowsBetween(-(max_events - 1), 0) if max_events else None
+
+    def read(spec, wanted, uniq):
+        agg = {"count": F.count, "sum": F.sum, "mean": F.avg, "std": F.stddev_pop, "max": F.max, "min": F.min}
+        out = {s: agg[s](amount).over(spec) for s in {*wanted, "count"}}
+        return out | ({"uniq": F.size(F.collect_set(merchant).over(spec))} if uniq else {})
+
+    cols: dict[str, Column] = {}
+    for w in windows.lengths:
+        wanted = ALL_STATS if stats == "all" else windows.stats_for(w)
+        want_uniq = unique_all or w == windows.long
+        f = read(over.orderBy("us").rangeBetween(-w * MICROS, 0), wanted, want_uniq)
+        if max_events:
+            capped, too_many = read(last, wanted, want_uniq), f["count"] > max_events
+            f = {k: F.when(too_many, capped[k]).otherwise(v) for k, v in f.items()}
+        uniq = f.pop("uniq", None)
+        cols |= feature_columns(f, uniq, wanted, w)
+    return rows.withColumns(cols).select(*base, *cols), list(cols)
+
+
+def _block_frames(rows: DataFrame, windows: WindowSet, key: str, amount: Column, merchant: Column, stats: str,
+                  max_events: int | None, unique_all: bool) -> tuple[DataFrame, list[str]]:
     """Window aggregates of every length, in time linear in the rows.
 
     ``amount``/``merchant`` are null on rows that must not count (probe rows).
@@ -265,7 +307,7 @@ def _sliced_frames(rows: DataFrame, plan: skew.SplitPlan, windows: WindowSet, ke
     entry = skew.entry_table(rows.where(~F.col("is_ctx")), plan, ["latitude", "longitude"])
     rows = rows.withColumn("_prev", _prev_chain(key))
     rows, feats = with_frames(rows, windows, key, F.col("amount"), F.col("merchant_id"), stats,
-                              max_events, unique_all)
+                              max_events, unique_all, plan.peak)
     rows = rows.where(~F.col("is_ctx"))
     prev = {"lat": F.col("_prev.lat"), "lon": F.col("_prev.lon"), "us": F.col("_prev.us")}
     if entry is not None:

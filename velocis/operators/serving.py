@@ -66,7 +66,8 @@ def _union_pass(events: DataFrame, requests: DataFrame, windows: WindowSet, key:
     cand = F.when(is_ev, F.struct(F.col("tid"), F.col("latitude").alias("lat"),
                                   F.col("longitude").alias("lon"), F.col("_p1").alias("p")))
     rows = rows.withColumn("_c", F.last(cand, ignorenulls=True).over(w_prev))
-    rows, _ = with_frames(rows, windows, key, F.when(is_ev, F.col("amount")), F.when(is_ev, F.col("merchant_id")))
+    rows, _ = with_frames(rows, windows, key, F.when(is_ev, F.col("amount")), F.when(is_ev, F.col("merchant_id")),
+                          peak=plan.peak)
 
     # requests: newest event before t, in this slice (_c) or before it (_d1,
     # whose own predecessor is _d2), skipped once if it is the scored

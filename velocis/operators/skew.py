@@ -40,12 +40,16 @@ DEFAULT_BROADCAST_ROWS = 250_000
 
 @dataclass
 class SplitPlan:
-    """Slices of the hot entities; ``hot`` is None when no entity is hot."""
+    """Slices of the hot entities; ``hot`` is None when no entity is hot.
+    ``peak`` is the largest number of rows of an entity in one stretch of
+    ``context_us`` (None: not counted), so a frame of that length holds at most
+    twice as many."""
 
     key: str
     hot: DataFrame | None
     context_us: int
     broadcast: bool
+    peak: int | None = None
 
 
 def plan_splits(events: DataFrame, key: str, context_us: int,
@@ -62,24 +66,29 @@ def plan_splits(events: DataFrame, key: str, context_us: int,
     if broadcast_rows is None:
         broadcast_rows = DEFAULT_BROADCAST_ROWS
     floor_width = max(int(context_us), 1)
-    per = (events.groupBy(key)
-           .agg(F.count(F.lit(1)).alias("_n"), F.min("us").alias("_lo"), F.max("us").alias("_hi")))
-    budget = F.lit(float(DEFAULT_HOT_ROWS if hot_rows == AUTO else hot_rows))
-    stats = per.where(F.col("_n") > budget)
+    # without a window there is no frame to count: one stretch
+    stretch = F.floor(F.col("us") / floor_width) if context_us else F.lit(0)
+    per = (events.groupBy(key, stretch.alias("_w"))
+           .agg(F.count(F.lit(1)).alias("_n"), F.min("us").alias("_lo"), F.max("us").alias("_hi"))
+           .groupBy(key).agg(F.sum("_n").alias("_n"), F.max("_n").alias("_peak"), F.min("_lo").alias("_lo"),
+                             F.max("_hi").alias("_hi")))
+    rows = DEFAULT_HOT_ROWS if hot_rows == AUTO else hot_rows
+    budget = F.lit(float(rows))
+    # one counting job; nothing is written when no entity is hot
+    peak, n_hot = per.agg(F.max("_peak"), F.count_if(F.col("_n") > budget)).first()
+    if not n_hot:
+        return SplitPlan(key, None, context_us, False, peak or 0)
     width = F.greatest(F.lit(floor_width).cast("long"),
                        F.ceil((F.col("_hi") - F.col("_lo") + 1) * budget / F.col("_n")).cast("long"))
-    hot = stats.select(
+    hot = per.where(F.col("_n") > budget).select(
         key, F.col("_lo").alias("split_origin"), width.alias("split_width"),
         F.col("_hi").alias("_hi"),
     ).select(key, "split_origin", "split_width",
              (F.floor((F.col("_hi") - F.col("split_origin")) / F.col("split_width")) + 1)
              .cast("long").alias("split_last"))
-    # common case first: one counting job, nothing written when no entity is hot
-    if stats.count() == 0:
-        return SplitPlan(key, None, context_us, False)
     hot = hot.checkpoint(eager=True)
     slices = hot.agg(F.coalesce(F.sum(F.col("split_last") + 1), F.lit(0))).first()[0]
-    return SplitPlan(key, hot, context_us, slices <= broadcast_rows)
+    return SplitPlan(key, hot, context_us, slices <= broadcast_rows, peak)
 
 
 def dense_entities(events: DataFrame, plan: SplitPlan, windows, hot_rows: int | str | None = AUTO) -> DataFrame | None:

@@ -179,6 +179,48 @@ def q_detected_vs_actual(spark, sf_dir):
     return detected_vs_actual(score(rolling_features(txn, HOURLY), demo_scorer(), HOURLY), truth)
 
 
+TRUTH_DELAY_US = 300 * 1_000_000
+
+
+@register("stream_detected_vs_actual", f"""WITH {SCORED_LINEAR_SQL}
+SELECT transaction_id,
+  CASE WHEN p < 0.2 THEN 'APPROVE' WHEN p < 0.5 THEN 'REVIEW' ELSE 'DECLINE' END AS decision,
+  p > 0.5 AS predicted_fraud,
+  CASE WHEN CAST(transaction_id AS BIGINT) % 3 <> 0 THEN label END AS actual_fraud
+FROM sc""")
+def q_stream_detected_vs_actual(spark, sf_dir):
+    """J6 on two streams, outer: scored rows and a truth stream five minutes
+    behind that lacks every third transaction. Matched and unmatched rows
+    together are the scored rows."""
+    from velocis.operators.scoring import score
+    from velocis.streaming.streams import detected_vs_actual_stream, replay_together
+    txn = transactions(spark, sf_dir)
+    scored = score(rolling_features(txn, HOURLY), demo_scorer(), HOURLY) \
+        .select("transaction_id", "decision", "is_fraud", F.timestamp_micros("us").alias("scored_ts"), "us")
+    scored = spark.read.schema(scored.schema).parquet(_written(scored, "scored"))
+    known = txn.where(F.col("transaction_id").cast("long") % 3 != 0)
+    truth = known.select("transaction_id", F.col("is_fraud").alias("actual_fraud"),
+                         (F.col("us") + TRUTH_DELAY_US).alias("us")).withColumn("truth_ts", F.timestamp_micros("us"))
+    end = txn.agg((F.max("us") + 86_400_000_000).alias("us"))
+    close = {"scored": end.select(F.lit("").alias("transaction_id"), F.lit("").alias("decision"),
+                                  F.lit(False).alias("is_fraud"), F.timestamp_micros("us").alias("scored_ts"), "us"),
+             "truth": end.select(F.lit("-").alias("transaction_id"), F.lit(False).alias("actual_fraud"), "us",
+                                 F.timestamp_micros("us").alias("truth_ts"))}
+    out = replay_together(
+        {"scored": (scored, "us"), "truth": (truth, "us")}, CHUNKS,
+        lambda src: detected_vs_actual_stream(parquet_source(spark, src["scored"], scored.schema),
+                                              parquet_source(spark, src["truth"], truth.schema), how="leftOuter"),
+        "stream-truth", close)
+    return spark.read.parquet(out).where("transaction_id != ''").withColumnRenamed("is_fraud", "predicted_fraud")
+
+
+def _written(df, name):
+    import uuid
+    path = scratch_path(df.sparkSession, f"streams/{name}-{uuid.uuid4().hex[:12]}")
+    df.write.parquet(path)
+    return path
+
+
 @register("stream_rolling_incremental", _features_sql(HOURLY))
 def q_stream_rolling_incremental(spark, sf_dir):
     """T1, skew-safe form: each micro-batch runs the batch operator (with

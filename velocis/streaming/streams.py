@@ -77,14 +77,23 @@ def with_event_time(txn: DataFrame, arrival_col: str | None = None) -> DataFrame
 def sliding_aggregates(txn: DataFrame, size: str, slide: str | None = None,
                        watermark: str = "0 seconds") -> DataFrame:
     """Windowed aggregates on a fixed grid per entity (T2), append mode:
-    a window is emitted once the watermark passes its end."""
+    a window is emitted once the watermark passes its end.
+
+    Distinct merchants are exact and no set is kept: a first stateful step lets
+    each (entity, window, merchant) through once, a second one counts them. Its
+    state is one row per (entity, window), that of the first one key per
+    merchant, so a window with many merchants is spread over tasks."""
     w = F.window("event_ts", size, slide) if slide else F.window("event_ts", size)
-    return (txn.withWatermark("event_ts", watermark)
-            .groupBy("entity_id", w.alias("w"))
-            .agg(F.count(F.lit(1)).alias("txn_count"), F.sum("amount").alias("amount_sum"),
+    rows = txn.withWatermark("event_ts", watermark).select("entity_id", "merchant_id", "amount", w.alias("w"))
+    none = F.lit(None)
+    once = rows.where("merchant_id IS NOT NULL").select("entity_id", "merchant_id", "w").dropDuplicates() \
+        .select("entity_id", "w", F.lit(1).alias("merchant"), none.cast("double").alias("amount"))
+    every = rows.select("entity_id", "w", none.cast("int").alias("merchant"), "amount")
+    return (every.unionByName(once).groupBy("entity_id", "w")
+            .agg(F.count_if(F.col("merchant").isNull()).alias("txn_count"), F.sum("amount").alias("amount_sum"),
                  F.avg("amount").alias("amount_mean"), F.stddev_pop("amount").alias("amount_std"),
                  F.max("amount").alias("amount_max"), F.min("amount").alias("amount_min"),
-                 F.size(F.collect_set("merchant_id")).alias("unique_merchants"))
+                 F.count("merchant").alias("unique_merchants"))
             .select("entity_id", F.unix_micros("w.start").alias("window_start_us"),
                     F.unix_micros("w.end").alias("window_end_us"), "txn_count", "amount_sum", "amount_mean",
                     F.coalesce("amount_std", F.lit(0.0)).alias("amount_std"), "amount_max", "amount_min",
@@ -101,16 +110,19 @@ def delayed_requests(txn: DataFrame, delay_s: float) -> DataFrame:
     return txn.withColumn("request_ts", F.timestamp_micros(F.col("us") + F.lit(int(delay_s * 1_000_000))))
 
 
-def detected_vs_actual_stream(scored: DataFrame, truth: DataFrame, bound: str = "10 minutes") -> DataFrame:
-    """Stream-stream inner join of scored rows and ground truth by
-    transaction id, bounded in event time by the watermarks (J6 stream)."""
+def detected_vs_actual_stream(scored: DataFrame, truth: DataFrame, bound: str = "10 minutes",
+                              how: str = "inner") -> DataFrame:
+    """Stream-stream join of scored rows and ground truth by transaction id,
+    bounded in event time by the watermarks (J6 stream). With ``leftOuter`` a
+    scored row that finds no truth within ``bound`` is given out without one
+    when the watermark evicts it, so every scored row ends in the result."""
     s = scored.withWatermark("scored_ts", bound).alias("s")
     t = truth.withWatermark("truth_ts", bound).alias("t")
     cond = (F.col("s.transaction_id") == F.col("t.transaction_id")) & \
         F.col("t.truth_ts").between(F.col("s.scored_ts") - F.expr(f"INTERVAL {bound}"),
                                     F.col("s.scored_ts") + F.expr(f"INTERVAL {bound}"))
-    return s.join(t, cond, "inner").select("s.transaction_id", "s.decision", "s.is_fraud",
-                                           F.col("t.actual_fraud"))
+    return s.join(t, cond, how).select("s.transaction_id", "s.decision", "s.is_fraud",
+                                       F.col("t.actual_fraud"))
 
 
 class CounterListener(StreamingQueryListener):
@@ -240,3 +252,24 @@ def replay(df: DataFrame, time_col: str, chunks: int, make_stream: Callable[[str
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", prev)
     return out
+
+
+def replay_together(tables: dict[str, tuple[DataFrame, str]], chunks: int,
+                    make_stream: Callable[[dict[str, str]], DataFrame], name: str,
+                    last: dict[str, DataFrame] | None = None) -> str:
+    """``replay`` of several tables (name -> table and its time column in epoch
+    micros) over the same time slices, feeding one query. ``last`` is a closing
+    slice (it moves the watermarks past all rows). Returns the output folder."""
+    spark = next(iter(tables.values()))[0].sparkSession
+    base = scratch_path(spark, f"streams/{name}-{uuid.uuid4().hex[:12]}")
+    src = {k: f"{base}/source-{k}" for k in tables}
+    spans = [df.agg(F.min(c), F.max(c)).first() for df, c in tables.values()]
+    lo, hi = min(int(s[0]) for s in spans), max(int(s[1]) for s in spans)
+    step = (hi - lo) // chunks + 1
+    slices = [{k: df.where((F.col(c) >= lo + i * step) & (F.col(c) < lo + (i + 1) * step))
+               for k, (df, c) in tables.items()} for i in range(chunks)]
+    for part in slices + ([last] if last else []):
+        for k, df in part.items():
+            df.write.mode("append").parquet(src[k])
+        run_to_table(make_stream(src), name, checkpoint=f"{base}/checkpoint", path=f"{base}/out")
+    return f"{base}/out"
