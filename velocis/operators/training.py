@@ -2,7 +2,7 @@
 
 The training set is the same feature log that is served (decision Q18):
 features as of each transaction joined to its label. Splits and sampling
-are hash-based (``xxhash64`` of the id and a seed), so they need no sort
+are hash-based (md5 of the id and a seed), so they need no sort
 and are reproducible. Evaluation metrics are DataFrame aggregates; the
 ordered ones (AUC, average precision) use the distributed prefix sums of
 ``velocis.operators.ordering``.
@@ -24,7 +24,9 @@ HASH_BUCKETS = 10_000
 
 
 def _hash_bucket(id_col: str, seed: int) -> F.Column:
-    return F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), F.lit(HASH_BUCKETS))
+    """A number below ``HASH_BUCKETS`` from the first 32 bits of md5(id|seed); null for a null id."""
+    digest = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"|{seed}")))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.lit(HASH_BUCKETS)
 
 
 def training_set(feature_log: DataFrame, labels: DataFrame | None, windows: WindowSet = DEFAULT,
@@ -50,7 +52,8 @@ def stratified_split(df: DataFrame, test_fraction: float = 0.2, seed: int = 42,
                      id_col: str = "transaction_id") -> tuple[DataFrame, DataFrame]:
     """80/20 split by hash of the id (M2): each class goes 20 % to test in
     expectation; no shuffle, no sort."""
-    is_test = _hash_bucket(id_col, seed) < F.lit(int(test_fraction * HASH_BUCKETS))
+    # rows without an id stay in training
+    is_test = F.coalesce(_hash_bucket(id_col, seed) < F.lit(int(test_fraction * HASH_BUCKETS)), F.lit(False))
     return df.where(~is_test), df.where(is_test)
 
 

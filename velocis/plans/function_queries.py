@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from velocis.functions.scalar import (
@@ -9,7 +10,7 @@ from velocis.functions.scalar import (
 )
 from velocis.operators.rolling import rolling_features
 from velocis.operators.scoring import optional_outputs, request_defaults
-from velocis.plans.catalog import ROUND, feature_exprs, register, rounded
+from velocis.plans.catalog import ROUND, feature_exprs, feature_sql, register, rounded
 from velocis.plans.oracle import TXN, haversine_sql, rolling_select
 from velocis.schemas import HOURLY
 from velocis.sources.decode import decode_transactions, ingest_defaults, stamp_event_time, validate
@@ -81,26 +82,38 @@ def q_key_format(spark, sf_dir):
     return t.select("transaction_id", snapshot_key("entity_id").alias("snapshot_key"), "merchant_id")
 
 
-@register("stamp_event_time", f"""WITH {TXN}
-SELECT transaction_id, timestamp_ms, CAST(timestamp_ms * 1000 AS BIGINT) AS event_us,
-  epoch_us(ts) - (epoch_us(ts) // 1000) * 1000 AS sub_ms_us
-FROM txn JOIN events USING (event_id)""")
+# Every 5th event has no time, every 7th a zero.
+GIVEN_MS = "CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 7 = 0 THEN 0 ELSE timestamp_ms END"
+
+
+@register("stamp_event_time", f"""WITH {TXN}, g AS (SELECT *, {GIVEN_MS} AS given_ms FROM txn)
+SELECT transaction_id, given_ms IS NULL AS no_time, CAST(coalesce(given_ms, -1) AS BIGINT) AS timestamp_ms,
+  CAST(CASE WHEN coalesce(given_ms, 0) = 0 THEN us ELSE given_ms * 1000 END AS BIGINT) AS event_us
+FROM g""")
 def q_stamp_event_time(spark, sf_dir):
-    """Epoch ms -> timestamp (null/0 -> arrival) and back."""
-    t = transactions(spark, sf_dir)
+    """Epoch ms -> timestamp, null or 0 -> arrival, and back."""
+    t = transactions(spark, sf_dir).withColumn("timestamp_ms", F.expr(GIVEN_MS))
     s = stamp_event_time(t, "timestamp_ms", F.col("event_ts"), "stamped")
-    return s.select("transaction_id", "timestamp_ms", F.unix_micros("stamped").alias("event_us"),
-                    (F.col("us") - F.unix_millis("event_ts") * 1000).alias("sub_ms_us"))
+    return s.select("transaction_id", F.col("timestamp_ms").isNull().alias("no_time"),
+                    F.coalesce("timestamp_ms", F.lit(-1)).cast("long").alias("timestamp_ms"),
+                    F.unix_micros("stamped").alias("event_us"))
+
+
+def _holes(col: str, one_in: int) -> str:
+    return f"CASE WHEN event_id % {one_in} = 0 THEN NULL ELSE {col} END"
 
 
 @register("ingest_defaults", f"""WITH {TXN}
-SELECT transaction_id, coalesce(latitude, 0.0) AS latitude, coalesce(longitude, 0.0) AS longitude,
-  coalesce(merchant_id, 'unknown') AS merchant_id, coalesce(merchant_category, 'other') AS merchant_category
+SELECT transaction_id, coalesce({_holes('latitude', 5)}, 0.0) AS latitude,
+  coalesce({_holes('longitude', 3)}, 0.0) AS longitude, coalesce({_holes('merchant_id', 7)}, 'unknown') AS merchant_id,
+  coalesce({_holes('merchant_category', 11)}, 'other') AS merchant_category
 FROM txn""")
 def q_ingest_defaults(spark, sf_dir):
-    """Ingest defaults applied to every transaction."""
-    t = ingest_defaults(transactions(spark, sf_dir))
-    return t.select("transaction_id", "latitude", "longitude", "merchant_id", "merchant_category")
+    """Ingest defaults; every column is missing in some rows."""
+    t = transactions(spark, sf_dir)
+    for col, one_in in (("latitude", 5), ("longitude", 3), ("merchant_id", 7), ("merchant_category", 11)):
+        t = t.withColumn(col, F.expr(_holes(col, one_in)))
+    return ingest_defaults(t).select("transaction_id", "latitude", "longitude", "merchant_id", "merchant_category")
 
 
 def raw_messages(spark, sf_dir):
@@ -150,17 +163,36 @@ def q_decoded_good(spark, sf_dir):
     return rounded(good)
 
 
-@register("encode_keyed_json")
+MESSAGE = ("transaction_id string, entity_id string, amount double, merchant_id string, merchant_category string, "
+           "latitude double, longitude double, timestamp_ms long, is_fraud boolean, fraud_type string")
+
+
+@register("encode_keyed_json", f"""WITH {TXN}
+SELECT entity_id AS key, 10 AS n_fields, transaction_id, entity_id, round(amount, {ROUND}) AS amount, merchant_id,
+  merchant_category, round(latitude, {ROUND}) AS latitude, round(longitude, {ROUND}) AS longitude, timestamp_ms,
+  is_fraud, 'none' AS fraud_type
+FROM txn""")
 def q_encode_keyed_json(spark, sf_dir):
-    """S3: key = entity id, value = JSON of the transaction."""
+    """S3: key = entity id, value = JSON of the transaction, parsed again."""
     t = transactions(spark, sf_dir).drop("event_ts", "us", "event_id")
-    return keyed_json(t)
+    k = keyed_json(t).select("key", F.size(F.json_object_keys("value")).alias("n_fields"),
+                             F.from_json("value", MESSAGE, {"mode": "FAILFAST"}).alias("v"))
+    return rounded(k.select("key", "n_fields", "v.*"))
+
+
+def _snapshot_json_sql() -> str:
+    return f"""WITH {_flog_geo_sql()}
+SELECT entity_id, entity_id AS in_payload, us // 1000 AS computed_at_ms, {', '.join(feature_sql(HOURLY))},
+  merchant_category FROM flog"""
 
 
-@register("snapshot_json")
 def q_snapshot_json(spark, sf_dir):
-    """Snapshot rows as JSON documents with computed_at_ms."""
-    return snapshot_json(rolling_features(transactions(spark, sf_dir), HOURLY), HOURLY)
+    """Snapshot rows as JSON documents with computed_at_ms, parsed again."""
+    from velocis.sources.sinks import payload_schema
+    j = snapshot_json(rolling_features(transactions(spark, sf_dir), HOURLY), HOURLY)
+    p = j.select("entity_id", F.from_json("payload", payload_schema(HOURLY), {"mode": "FAILFAST"}).alias("p"))
+    return rounded(p.select("entity_id", F.col("p.entity_id").alias("in_payload"), "p.computed_at_ms",
+                            *[f"p.{c}" for c in HOURLY.feature_columns()], "p.merchant_category"))
 
 
 def _flog_geo_sql() -> str:
@@ -169,6 +201,9 @@ def _flog_geo_sql() -> str:
 flog AS (SELECT *, {geo} AS geo_distance_delta FROM flog0)"""
 
 
+register("snapshot_json", _snapshot_json_sql())(q_snapshot_json)
+
+
 def _vec_sql() -> list[str]:
     return [f"CAST(CAST({e} AS FLOAT) AS DOUBLE)" for e in feature_exprs(HOURLY).values()]
 
@@ -186,14 +221,29 @@ def q_model_vector(spark, sf_dir):
 
 
 @register("request_defaults", f"""WITH {TXN}
-SELECT 'req-' || transaction_id AS request_id, transaction_id, latitude, longitude, merchant_category,
-  (event_id % 3 = 0) AS include_features, (event_id % 4 = 0) AS explain
+SELECT CASE WHEN event_id % 6 = 0 THEN 'made' ELSE 'req-' || transaction_id END AS request_id,
+  CASE WHEN event_id % 4 = 0 THEN 'made' ELSE transaction_id END AS transaction_id,
+  coalesce({_holes('latitude', 5)}, 0.0) AS latitude, coalesce({_holes('longitude', 3)}, 0.0) AS longitude,
+  coalesce({_holes('merchant_category', 7)}, 'other') AS merchant_category,
+  coalesce(CASE WHEN event_id % 8 <> 0 THEN event_id % 3 = 0 END, false) AS include_features,
+  coalesce(CASE WHEN event_id % 9 <> 0 THEN event_id % 4 = 0 END, false) AS explain,
+  CAST(1 AS BIGINT) AS requests_with_the_id
 FROM txn""")
 def q_request_defaults(spark, sf_dir):
-    """Request defaults applied to one request per transaction."""
-    r = request_defaults(requests_from_transactions(transactions(spark, sf_dir)))
-    return r.select("request_id", "transaction_id", "latitude", "longitude", "merchant_category",
-                    "include_features", "explain")
+    """Request defaults; ids, places, categories and flags are missing in
+    some requests. Made ids are shown as such; each belongs to one request."""
+    t = transactions(spark, sf_dir)
+    r = requests_from_transactions(t).withColumn("event_id", F.col("transaction_id").cast("long"))
+    for col, one_in in (("request_id", 6), ("transaction_id", 4), ("latitude", 5), ("longitude", 3),
+                        ("merchant_category", 7), ("include_features", 8), ("explain", 9)):
+        r = r.withColumn(col, F.expr(_holes(col, one_in)))
+    r = request_defaults(r)
+    n = F.count(F.lit(1)).over(Window.partitionBy("request_id"))
+    made = {c: F.when(F.col(c).rlike("^(req|txn)-[0-9a-f]{16}$"), F.lit("made")).otherwise(F.col(c))
+            for c in ("request_id", "transaction_id")}
+    return r.withColumn("requests_with_the_id", n).select(
+        made["request_id"].alias("request_id"), made["transaction_id"].alias("transaction_id"), "latitude",
+        "longitude", "merchant_category", "include_features", "explain", "requests_with_the_id")
 
 
 @register("optional_outputs", f"""WITH {TXN}

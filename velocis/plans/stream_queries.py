@@ -15,6 +15,7 @@ from velocis.plans.catalog import ROUND, feature_sql, register, rounded
 from velocis.plans.function_queries import raw_messages
 from velocis.plans.oracle import CATEGORY_CASE, TXN, haversine_sql, rolling_select
 from velocis.plans.rolling_queries import _features_sql
+from velocis.plans.serving_queries import TIER_MAX_AGE, _tiered_sql
 from velocis.plans.scoring_queries import SCORED_LINEAR_SQL, _decide_sql, _prob_sql, demo_scorer
 from velocis.plans.catalog import feature_exprs
 from velocis.schemas import HOURLY
@@ -27,6 +28,7 @@ from velocis.streaming.streams import (
 )
 
 CHUNKS = 4
+DAY_US = 86400 * 1_000_000
 TXN_COLS = ["entity_id", "transaction_id", "us", "event_ts", "amount", "merchant_id", "merchant_category",
             "latitude", "longitude"]
 
@@ -214,6 +216,31 @@ def q_stream_detected_vs_actual(spark, sf_dir):
     return spark.read.parquet(out).where("transaction_id != ''").withColumnRenamed("is_fraud", "predicted_fraud")
 
 
+@register("stream_serve_tiered", _tiered_sql(TIER_MAX_AGE, 4 * 3600))
+def q_stream_serve_tiered(spark, sf_dir):
+    """J4 on two streams: requests four hours behind their events are held
+    until the watermark has passed them, then answered as in batch."""
+    import uuid
+    from velocis.sources.tables import requests_from_transactions
+    from velocis.streaming.serving import REQUEST_COLS, ServingStream, tagged
+    from velocis.streaming.streams import replay_together
+    txn = _txn(spark, sf_dir)
+    req = requests_from_transactions(txn, 4 * 3600).select(*REQUEST_COLS).withColumn("us", F.unix_micros("request_ts"))
+    # an event a day after all others moves the watermark past the last request
+    end = txn.agg((F.max("us") + DAY_US).alias("us"))
+    close = {"event": txn.limit(0).unionByName(end.withColumn("entity_id", F.lit("-")), allowMissingColumns=True),
+             "request": req.limit(0)}
+    serving = ServingStream(scratch_path(spark, f"streams/serving-{uuid.uuid4().hex[:12]}"), HOURLY,
+                            max_age_s=TIER_MAX_AGE)
+    replay_together({"event": (txn, "us"), "request": (req, "us")}, CHUNKS,
+                    lambda src: tagged(parquet_source(spark, src["event"], txn.schema),
+                                       parquet_source(spark, src["request"], req.schema)),
+                    "stream-serving", close, foreach=serving)
+    out = spark.read.parquet(serving.output_path)
+    return rounded(out.select("request_id", "transaction_id", "entity_id", *HOURLY.feature_columns(),
+                              "merchant_category", "served_from", "snapshot_age_s"))
+
+
 def _written(df, name):
     import uuid
     path = scratch_path(df.sparkSession, f"streams/{name}-{uuid.uuid4().hex[:12]}")
@@ -235,7 +262,6 @@ def q_stream_rolling_incremental(spark, sf_dir):
     return rounded(f.select("transaction_id", "entity_id", *HOURLY.feature_columns(), "merchant_category"))
 
 
-DAY_US = 86400 * 1_000_000
 #: Every 50th event arrives three days late, every 7th ten hours late.
 ARRIVAL = f"us + CASE WHEN event_id % 50 = 0 THEN {3 * DAY_US} WHEN event_id % 7 = 0 THEN {10 * DAY_US // 24} ELSE 0 END"
 

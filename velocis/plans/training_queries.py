@@ -11,6 +11,7 @@ from velocis.operators.training import (
     stratified_split, top_features, train_gbt, train_lr, training_set, union_shuffle,
 )
 from velocis.plans.catalog import ROUND, feature_exprs, register, rounded
+from velocis.plans.oracle import TXN
 from velocis.plans.scoring_queries import SCORED_LINEAR_SQL, _flog_sql, demo_scorer
 from velocis.schemas import HOURLY
 from velocis.sources.tables import transactions
@@ -109,7 +110,9 @@ def q_classification_report(spark, sf_dir):
     return rounded(classification_report(_scored_labels(spark, sf_dir)))
 
 
-@register("stratified_split")
+@register("stratified_split", f"""WITH {TXN}
+SELECT transaction_id, CAST(is_fraud AS INTEGER) AS label FROM txn
+WHERE CAST('0x' || substr(md5(transaction_id || '|42'), 1, 8) AS BIGINT) % 10000 < 2000""")
 def q_stratified_split(spark, sf_dir):
     """M2: the 20 % test side of the hash split, with labels."""
     _, test = stratified_split(_train_set(spark, sf_dir))
@@ -165,3 +168,15 @@ def q_train_lr(spark, sf_dir):
     coef = model.stages[-1].coefficients.toArray().tolist()
     rows = [(n, float(c)) for n, c in zip(HOURLY.feature_columns(), coef)]
     return spark.createDataFrame(rows, "feature string, coefficient double")
+
+
+@register("train_lr_newton", "SELECT feature, 0.0::DOUBLE AS gradient FROM (VALUES "
+          + ", ".join(f"('{n}')" for n in [*HOURLY.feature_columns(), "(intercept)"]) + ") AS v(feature)")
+def q_train_lr_newton(spark, sf_dir):
+    """M5 by Newton's method: the gradient of the objective at the solution,
+    from aggregates of its own, is zero in every coordinate."""
+    from velocis.operators.newton import lr_gradient, train_lr_newton
+    train, _ = stratified_split(_train_set(spark, sf_dir))
+    train = train.checkpoint(eager=True)
+    g = lr_gradient(train, train_lr_newton(train, HOURLY))
+    return rounded(g).withColumn("gradient", F.col("gradient") + F.lit(0.0))

@@ -256,7 +256,8 @@ def replay(df: DataFrame, time_col: str, chunks: int, make_stream: Callable[[str
 
 def replay_together(tables: dict[str, tuple[DataFrame, str]], chunks: int,
                     make_stream: Callable[[dict[str, str]], DataFrame], name: str,
-                    last: dict[str, DataFrame] | None = None) -> str:
+                    last: dict[str, DataFrame] | None = None,
+                    foreach: Callable[[DataFrame, int], None] | None = None) -> str:
     """``replay`` of several tables (name -> table and its time column in epoch
     micros) over the same time slices, feeding one query. ``last`` is a closing
     slice (it moves the watermarks past all rows). Returns the output folder."""
@@ -271,5 +272,5 @@ def replay_together(tables: dict[str, tuple[DataFrame, str]], chunks: int,
     for part in slices + ([last] if last else []):
         for k, df in part.items():
             df.write.mode("append").parquet(src[k])
-        run_to_table(make_stream(src), name, checkpoint=f"{base}/checkpoint", path=f"{base}/out")
+        run_to_table(make_stream(src), name, foreach=foreach, checkpoint=f"{base}/checkpoint", path=f"{base}/out")
     return f"{base}/out"
