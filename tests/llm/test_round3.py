@@ -172,11 +172,12 @@ def test_spelling_of_random_words(spark, block_rows):
             w = "".join(r.choice("abcé") for _ in range(r.choice([4, 5, 6, 7])))
             ws.append(w.upper() if r.random() < .1 else w)
         ws += ["Grammar"] * 8 + ["gramar"] * 2 + ["grammer"] + ["x" * 900] * 2 + ["x" * 901 + "é"]
+        ws += ["planet"] + ["planets"] * (d < 24) + ["planetss"] * (d < 8)  # a chain of forms
         rows.append((d, " ".join(ws)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = tuples(gram_spelling.spelling_variants(docs, block_rows=block_rows), *COLS)
     want = sorted_rows(brute_spelling(rows))
-    assert got == want and sum(w[4] for w in want) > 1000 and any(w[2] != w[1] for w in want if w[1])
+    assert got == want and sum(w[4] for w in want) > 500 and any(w[2] != w[1] for w in want if w[1])
 
 
 def test_spelling_edges(spark):
