@@ -107,3 +107,31 @@ def test_n_requests_in_n_rows_out_without_ids(spark):
         assert len({r["transaction_id"] for r in out}) == 4
         assert sorted(r["request_id"] == "r1" for r in out) == [False, False, True, True]
         assert len({r["request_id"] for r in out}) == 3
+
+
+def test_newton_logistic_regression_equals_train_lr(spark):
+    """Same coefficients as the quasi-Newton solver; zero gradient; constant and null features."""
+    from velocis.operators.newton import lr_gradient, train_lr_newton
+    from velocis.operators.training import train_lr
+    from velocis.schemas import DEFAULT
+    rnd = __import__("random").Random(5)
+    cols = DEFAULT.feature_columns()
+    rows = []
+    for i in range(400):
+        x = [rnd.gauss(0, 1 + k) + 100 * (k == 3) for k in range(len(cols))]
+        x[7] = 4.0  # constant
+        y = int(0.8 * x[0] - 0.3 * x[1] + 0.1 * x[5] + rnd.gauss(0, 1) > 1.2)
+        rows.append((f"t{i}", *x, y))
+    schema = "transaction_id string, " + ", ".join(f"{c} double" for c in cols) + ", label int"
+    train = spark.createDataFrame(rows, schema).repartition(3)
+    model = train_lr_newton(train)
+    lr = train_lr(train, max_iter=2000)[0].stages[-1]
+    assert model.coefficients == pytest.approx(list(lr.coefficients), abs=1e-4)
+    assert model.intercept == pytest.approx(lr.intercept, abs=1e-4) and model.rounds < 20
+    assert max(abs(r["gradient"]) for r in lr_gradient(train, model).collect()) < 1e-9
+    holes = train.unionByName(spark.createDataFrame([("n", *[None] * len(cols), 1)], schema))
+    assert train_lr_newton(holes).coefficients == pytest.approx(model.coefficients, abs=1e-9)
+    with pytest.raises(ValueError):
+        train_lr_newton(train.where("label = 1"))
+    with pytest.raises(ValueError):
+        train_lr_newton(train.where("false"))
