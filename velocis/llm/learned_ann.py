@@ -27,7 +27,10 @@ from velocis.session import ship_code
 #: About so many rows (by hash of the vector) the partitions are learned on; the index itself holds every row.
 SAMPLE = 4096
 CELL, CELL_QUERIES = 4096, 1024
-PART_ROWS, MAX_PARTS = 1500, 64
+#: Rows of a part; small tables are cut finer, up to ``FINE_PARTS`` parts.
+PART_ROWS, FINE_ROWS, FINE_PARTS = 1500, 64, 64
+#: Rows of the sample that a part is learned from at least.
+LEARN_ROWS = 8
 _KEY = ["k1", "k2"]
 
 
@@ -113,9 +116,17 @@ def route(model: tuple, x: np.ndarray) -> np.ndarray:
     return np.maximum((x * scale) @ w0 + b0, 0) @ w1 + b1
 
 
+def part_count(n: int, sample: int) -> int:
+    """A power of two, at least 2, that grows with the ``n`` rows as long as the
+    sample can teach so many parts."""
+    wanted = max(min(n / FINE_ROWS, FINE_PARTS), n / PART_ROWS, 2)
+    return 1 << int(min(round(np.log2(wanted)), max(np.log2(max(sample, 1) / LEARN_ROWS), 1)))
+
+
 def fit(x: np.ndarray, parts: int, k: int, recall: float) -> tuple:
-    """Router and number of parts a query visits to find ``recall`` of the sample's own neighbours."""
-    if len(x) < 4 * parts or parts < 2:
+    """Router and number of parts a query visits to find ``recall`` of the
+    sample's own neighbours. Fewer than four rows make one part."""
+    if len(x) < 4:
         return None, 1, 1
     near, src, dst = neighbour_graph(x)
     label = balanced_parts(len(x), src, dst, parts)
@@ -141,7 +152,7 @@ def _valid(emb: Column) -> Column:
 
 
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding",
-            sample: int = SAMPLE, recall: float = 0.93) -> DataFrame:
+            sample: int = SAMPLE, recall: float = 0.95) -> DataFrame:
     """For each row whose id is divisible by ``every``, its ``k`` nearest other
     rows: ``query_id, rank, vec_id, score``.
 
@@ -167,8 +178,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     classes = materialise(classes, "ann-classes")
     n = classes.count()
     picked = sorted(about(classes, sample, *_KEY).select(*_KEY, "emb").collect(), key=lambda r: (r["k1"], r["k2"]))
-    parts = 1 << int(np.clip(np.round(np.log2(max(n, 1) / PART_ROWS)), 0, np.log2(MAX_PARTS)))
-    model, parts, visits = fit(np.array([r["emb"] for r in picked], np.float64), parts, k, recall)
+    x = np.array([r["emb"] for r in picked], np.float64)
+    model, parts, visits = fit(x, part_count(n, len(x)), k, recall)
 
     def route_all(take):
         def run(batches):
