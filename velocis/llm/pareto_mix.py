@@ -232,7 +232,8 @@ def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     copies = materialise(decide_copies(rows, cap, weight, preference).where("copies > 0")
                          .select("__rid", F.col("copies").alias("__copies")),
                          "mix-copies")
-    joined = full.join(copies, "__rid")
+    # a merge join at any size: the table of copies grows with the documents
+    joined = full.join(copies.hint("merge"), "__rid")
     return joined.withColumn("__c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*cols)
 
 
