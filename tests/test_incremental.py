@@ -85,8 +85,8 @@ def arrived_by_then(spark, rows, batches):
 
 def test_out_of_order_rows_are_scored_as_of_their_own_time(spark):
     rows = random_rows(90, 4, 45)
-    batches = [rows[i:i + 24] for i in range(0, len(rows), 24)]
-    inc = new(spark, hot_rows=10)
+    batches = [rows[i:i + 32] for i in range(0, len(rows), 32)]
+    inc = new(spark)
     for k, b in enumerate(batches):
         inc(txn_df(spark, b), k)
     got = spark.read.parquet(inc.output_path)
@@ -103,26 +103,26 @@ def parts_of(inc):
 
 def test_tail_is_append_only_merged_and_dropped(spark):
     inc = new(spark, lateness_s=30, bucket_s=30, merge_parts=2)
-    rows = [(f"e{i % 3}", f"t{i:03d}", T0 + i * 4, float(i), f"m{i % 4}", 1.0 + i, 2.0) for i in range(64)]
+    rows = [(f"e{i % 3}", f"t{i:03d}", T0 + i * 4, float(i), f"m{i % 4}", 1.0 + i, 2.0) for i in range(40)]
     written, parts = [], []
-    for k in range(16):
+    for k in range(10):
         before = set(parts_of(inc)) if k else set()
         inc(txn_df(spark, rows[4 * k:4 * k + 4]), k)
         parts.append(len(parts_of(inc)))
         written.append(set(parts_of(inc)) - before)
     # a batch adds its own parts (and merged ones); what is kept does not grow
     assert all(all(f"part={k}" in p for p in w) for k, w in enumerate(written))
-    assert max(parts[8:]) <= max(parts[:8]) and any("merged" in p for w in written for p in w)
+    assert max(parts[6:]) <= max(parts[:6]) and any("merged" in p for w in written for p in w)
     oldest = min(int(p.split("/")[0].split("=")[1]) for p in parts_of(inc))
-    assert oldest * 30 >= T0 + 63 * 4 - 60 - 30 - 3 * 30
+    assert oldest * 30 >= T0 + 39 * 4 - 60 - 30 - 3 * 30
     assert len(os.listdir(f"{inc.base}/tail/dropped")) <= 3 and len(os.listdir(f"{inc.base}/taken")) <= 2
     want = rolling_features(txn_df(spark, rows), DEFAULT)
     assert norm(spark.read.parquet(inc.output_path)) == norm(want)
     # an entity that comes back finds its previous location in the dropped events
-    inc(txn_df(spark, [("e0", "back", T0 + 5000, 1.0, "m", 5.0, 5.0)]), 16)
-    inc(txn_df(spark, [("e1", "again", T0 + 5001, 1.0, "m", 5.0, 5.0)]), 17)
+    inc(txn_df(spark, [("e0", "back", T0 + 5000, 1.0, "m", 5.0, 5.0)]), 10)
+    inc(txn_df(spark, [("e1", "again", T0 + 5001, 1.0, "m", 5.0, 5.0)]), 11)
     got = features(inc, spark)
-    assert (got["back"]["prev_latitude"], got["again"]["prev_latitude"]) == (1.0 + 63, 1.0 + 61)
+    assert (got["back"]["prev_latitude"], got["again"]["prev_latitude"]) == (1.0 + 39, 1.0 + 37)
 
 
 def test_a_killed_batch_is_replayed(spark, monkeypatch):
@@ -156,11 +156,11 @@ def test_empty_first_batch(spark):
 
 @pytest.mark.parametrize("seed,hot_rows", [(1, None), (2, 6)])
 def test_revisions_lead_to_the_batch_result(spark, seed, hot_rows):
-    rows = random_rows(70, seed, 300)
+    rows = random_rows(60, seed, 300)
     r = random.Random(seed)
     r.shuffle(rows)  # any order at all
     inc = new(spark, lateness_s=10_000, revisions=True, hot_rows=hot_rows)
-    cuts = [0, 30, 31, 55, len(rows)]
+    cuts = [0, 30, 31, len(rows)]
     for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
         inc(txn_df(spark, rows[a:b]), k)
     inc(txn_df(spark, rows[cuts[-2]:]), len(cuts) - 2)  # replay

@@ -129,3 +129,25 @@ def test_ranked_does_not_rest_on_exchange_reuse(spark):
             cum += r[2]
             assert r[4] == cum
         assert {r[6] for r in part} == {cum}
+
+
+def test_bounds_below_is_a_binary_search(spark):
+    import bisect
+    import random
+    from velocis.operators.ordering import bounds_below
+    r = random.Random(3)
+    values = [r.uniform(-5, 5) for _ in range(60)] + [-9.0, 9.0, 0.0, float("nan"), float("inf")]
+    for n in (0, 1, 2, 3, 7, 8, 100):
+        bounds = sorted({round(r.uniform(-5, 5), 1) for _ in range(n)} | ({0.0} if n else set()))
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        got = [x[0] for x in df.select(bounds_below(F.col("v"), bounds)).collect()]
+        assert got == [len(bounds) if v != v else bisect.bisect_left(bounds, v) for v in values]
+
+
+def test_made_request_ids_are_unique_and_the_same_again(spark):
+    from velocis.operators.scoring import request_defaults
+    from fixtures import request_df
+    req = request_df(spark, [("r1", "e", 5.0, 1.0, 1.0, 2.0, "t1"), (None, "e", 5.0, 1.0), (None, "e", 5.0, 1.0)])
+    ids = sorted(r["request_id"] for r in request_defaults(req).collect())
+    assert len(set(ids)) == 3 and "r1" in ids
+    assert ids == sorted(r["request_id"] for r in request_defaults(req.repartition(3)).collect())

@@ -31,6 +31,17 @@ def value_bounds(df: DataFrame, value: str, buckets: int) -> list[float]:
     return sorted(set(got or []))
 
 
+def bounds_below(value: F.Column, bounds: Sequence[float]) -> F.Column:
+    """How many of the ascending ``bounds`` are below ``value``: a binary search,
+    a fold over the halving steps, so the work per row grows with the logarithm
+    of their number."""
+    limits = F.array(*[F.lit(float(b)) for b in bounds]).cast("array<double>")
+    steps = [1 << k for k in reversed(range(max(len(bounds), 1).bit_length()))]
+    # a step beyond the last bound reads null and is not taken
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, step: F.when(
+        F.get(limits, at + step - 1) < value, at + step).otherwise(at))
+
+
 def ranked(df: DataFrame, value: str, weights: dict[str, F.Column] | None = None,
            group: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """Distinct ``(group, value)`` rows with, for every weight ``w``:
@@ -49,8 +60,7 @@ def ranked(df: DataFrame, value: str, weights: dict[str, F.Column] | None = None
     d.write.parquet(path)
     d = spark.read.schema(d.schema).parquet(path)
     bounds = value_bounds(d, value, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    limits = F.array(*[F.lit(b) for b in bounds]).cast("array<double>")
-    d = d.withColumn("_b", F.size(F.filter(limits, lambda x: x < F.col(value).cast("double"))))
+    d = d.withColumn("_b", bounds_below(F.col(value).cast("double"), bounds))
     own = Window.partitionBy(*group, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     local = d.withColumns({f"_cum_{w}": F.sum(w).over(own) for w in names})
     tot = d.groupBy(*group, "_b").agg(*[F.sum(w).alias(f"_t_{w}") for w in names])

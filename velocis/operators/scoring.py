@@ -39,13 +39,13 @@ def request_defaults(requests: DataFrame) -> DataFrame:
     cols = ["entity_id", "amount", "request_ts", "request_id", "transaction_id", "latitude", "longitude",
             "merchant_category", "include_features", "explain", "batch_id"]
     rid = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in cols]), 256)
-    # only rows without an id are numbered; the rest do not meet in the window
+    # only rows without an id are numbered, and so exchanged
     absent = F.col("request_id").isNull() | F.col("transaction_id").isNull()
-    spread = F.when(absent, F.lit(0)).otherwise(F.monotonically_increasing_id())
-    n = F.row_number().over(Window.partitionBy("_rid", "_spread").orderBy("_rid"))
-    requests = requests.withColumns({"_rid": rid, "_spread": spread})
-    requests = requests.withColumn("_rid", F.concat(F.substring("_rid", 1, 16), F.when(n > 1, F.concat(
+    n = F.row_number().over(Window.partitionBy("_rid").orderBy("_rid"))
+    made = requests.where(absent).withColumn("_rid", rid)
+    made = made.withColumn("_rid", F.concat(F.substring("_rid", 1, 16), F.when(n > 1, F.concat(
         F.lit("-"), n.cast("string"))).otherwise(F.lit(""))))
+    requests = requests.where(~absent).withColumn("_rid", F.lit(None).cast("string")).unionByName(made)
     return requests.select(
         F.coalesce("request_id", F.concat(F.lit("req-"), "_rid")).alias("request_id"),
         F.coalesce("transaction_id", F.concat(F.lit("txn-"), "_rid")).alias("transaction_id"),

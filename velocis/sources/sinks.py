@@ -1,11 +1,10 @@
 """Sinks and the latest-snapshot table.
 
-The snapshot table replaces the reference's key/value store: one row per
-entity with the newest feature snapshot, its key ``fs:v1:<entity>``, the JSON
-payload and an expiry. It is a parquet directory partitioned by
-``bucket = pmod(hash(entity_id), n_buckets)``; an upsert rewrites only the
-buckets touched by the incoming rows (dynamic partition overwrite), so a
-micro-batch costs in proportion to the entities it touches, not the table.
+The snapshot table holds one row per entity with its newest feature snapshot: the
+key ``fs:v1:<entity>``, the JSON payload and an expiry. It is a parquet directory
+in ``bucket = pmod(hash(entity_id), n_buckets)``; an upsert writes only the
+buckets touched by the incoming rows, to a new version, so a micro-batch costs in
+proportion to the entities it touches, not the table.
 """
 
 from __future__ import annotations
@@ -96,24 +95,39 @@ class SnapshotTable:
         return F.pmod(F.hash(F.col("entity_id")), F.lit(self.n_buckets)).cast("int")
 
     def manifest(self) -> tuple[int, dict[int, int]]:
-        """Newest committed version (0: none) and the version of each bucket (at most n_buckets rows)."""
-        from pyspark.errors import AnalysisException
-        try:
-            m = self.spark.read.schema("version long, bucket int, held_by long").parquet(f"{self.path}/manifest")
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return 0, {}
-            raise
-        newest = m.agg(F.max("version")).first()[0]
-        rows = m.where(F.col("version") == newest).collect() if newest else []
-        return newest or 0, {r["bucket"]: r["held_by"] for r in rows}
+        """Newest committed version (0: none) and the version of each bucket
+        (at most n_buckets rows). Only the newest manifest is read."""
+        versions = self.versions()
+        return (versions[-1], self._held(versions[-1])) if versions else (0, {})
+
+    def versions(self) -> list[int]:
+        """Committed versions that are kept, ascending."""
+        fs = self._fs()
+        return [v for v in self._numbers("manifest", "version")
+                if fs.exists(self._path(f"manifest/version={v}/_SUCCESS"))]
+
+    def _held(self, version: int) -> dict[int, int]:
+        m = self.spark.read.schema("bucket int, held_by long").parquet(f"{self.path}/manifest/version={version}")
+        return {r["bucket"]: r["held_by"] for r in m.collect()}
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def _fs(self):
+        return self._path("data").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _numbers(self, folder: str, key: str) -> list[int]:
+        """The numbers of the sub-folders ``key=<number>``."""
+        fs, path = self._fs(), self._path(folder)
+        names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{key}="))
 
     def exists(self) -> bool:
         return self.manifest()[0] > 0
 
-    def read(self, buckets: list[int] | None = None) -> DataFrame:
-        """The newest committed version, or some buckets of it."""
-        version, held = self.manifest()
+    def read(self, buckets: list[int] | None = None, version: int | None = None) -> DataFrame:
+        """The newest committed version (or a kept older one), or some buckets of it."""
+        version, held = self.manifest() if version is None else (version, self._held(version))
         wanted = {b: v for b, v in held.items() if buckets is None or b in buckets}
         if not version:
             raise ValueError(f"no snapshot table at {self.path}")
@@ -138,7 +152,7 @@ class SnapshotTable:
             if version and any(b in held for b in touched):
                 cur = self.read(touched)
                 merged = latest_per_entity(cur.unionByName(new.select(*cur.columns)),
-                                           order=("computed_at_us", "transaction_id"))
+                                           order=("computed_at_us", "transaction_id")).select(*new.columns)
             version += 1
             merged.repartition(max(1, min(len(touched), self.n_buckets)), "bucket") \
                 .withColumn("version", F.lit(version)).write.mode("overwrite") \
@@ -150,9 +164,35 @@ class SnapshotTable:
             new.unpersist()
 
     def _commit(self, version: int, held: dict[int, int]) -> None:
-        rows = [(version, b, v) for b, v in sorted(held.items())]
-        self.spark.createDataFrame(rows, "version long, bucket int, held_by long").coalesce(1) \
-            .write.mode("append").parquet(f"{self.path}/manifest")
-
-    def lookup(self, as_of_us) -> DataFrame:
-        return read_snapshots(self.read(), as_of_us, self.windows)
+        self.spark.createDataFrame(sorted(held.items()), "bucket int, held_by long").coalesce(1) \
+            .write.mode("overwrite").parquet(f"{self.path}/manifest/version={version}")
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Drop all but the newest ``keep`` versions; returns the number of
+        bucket folders deleted.
+
+        Manifests go first: a bucket folder is deleted only when no manifest
+        names it, so a vacuum that dies leaves every kept version whole and the
+        next one finds the rest. Folders of a version that is being written (above
+        the newest manifest) are left alone. Readers of an older version need it
+        kept until they are done."""
+        versions = self.versions()
+        if not versions or keep < 1:
+            return 0
+        fs, live = self._fs(), {(v, b) for k in versions[-keep:] for b, v in self._held(k).items()}
+        for v in versions[:-keep]:
+            fs.delete(self._path(f"manifest/version={v}"), True)
+        gone = [(v, b) for v in self._numbers("data", "version") if v <= versions[-1]
+                for b in self._numbers(f"data/version={v}", "bucket") if (v, b) not in live]
+        for v, b in gone:
+            fs.delete(self._path(f"data/version={v}/bucket={b}"), True)
+        return len(gone)
+
+    def lookup(self, as_of_us, entities: DataFrame | None = None) -> DataFrame:
+        """Snapshots valid at ``as_of_us``, of all entities or of those in
+        ``entities(entity_id)``: only their buckets are read."""
+        if entities is None:
+            return read_snapshots(self.read(), as_of_us, self.windows)
+        keys = entities.select(F.col("entity_id").cast("string").alias("entity_id")).distinct()
+        buckets = [r[0] for r in keys.select(self._bucket()).distinct().collect()]  # at most n_buckets
+        return read_snapshots(self.read(buckets).join(keys, "entity_id", "left_semi"), as_of_us, self.windows)
