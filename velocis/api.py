@@ -15,6 +15,7 @@ from velocis.operators.monitoring import (  # noqa: F401
 )
 from velocis.operators.ordering import nearest_rank_report, ranked  # noqa: F401
 from velocis.operators.rolling import latest_per_entity, rolling_features, snapshot_view  # noqa: F401
+from velocis.operators.newton import NewtonModel, lr_gradient, train_lr_newton  # noqa: F401
 from velocis.operators.scoring import (  # noqa: F401
     LinearScorer, batch_score, decide, model_vector, optional_outputs, request_defaults, score, score_with,
     with_vector,
@@ -35,10 +36,11 @@ from velocis.sources.sinks import (  # noqa: F401
 from velocis.sources.tables import (  # noqa: F401
     read_table, requests_from_transactions, transactions, transactions_from_events,
 )
-from velocis.streaming.incremental import IncrementalRolling, ScoringStream  # noqa: F401
+from velocis.streaming.incremental import IncrementalRolling, ScoringStream, current_rows  # noqa: F401
+from velocis.streaming.serving import ServingStream, tagged  # noqa: F401
 from velocis.streaming.stateful import RollingFeatureProcessor, rolling_features_stateful  # noqa: F401
 from velocis.streaming.streams import (  # noqa: F401
     CounterListener, decode_stream, dedup, detected_vs_actual_stream, kafka_source, observe_counters,
-    parquet_source, replay, run_to_table, score_stream_sinks, sliding_aggregates, snapshot_sink, text_source,
-    with_event_time,
+    parquet_source, replay, replay_together, run_to_table, score_stream_sinks, sliding_aggregates, snapshot_sink,
+    text_source, with_event_time,
 )
