@@ -361,3 +361,36 @@ def test_capped_frames_equal_brute_force(spark, n):
             (len(a), sum(a), max(a), min(a))
         assert got["unique_merchants_60s"] == len({y["m"] for y in fr})
         assert got["amount_std_60s"] == pytest.approx(math.sqrt(sum((v - mean) ** 2 for v in a) / len(a)), abs=1e-9)
+
+
+@pytest.mark.parametrize("cap", [1, 2, 7, 300])
+def test_capped_cells_equal_one_slice(spark, cap):
+    """Capped frames of dense entities, the null entity among them, are cut into cells and blocks of ranks."""
+    df = txn_df(spark, _mixed_rows(400, 5))
+    kw = {"unique_all": True, "stats": "all", "max_events": cap}
+    assert_same(rolling_features(df, hot_rows=20, **kw), rolling_features(df, hot_rows=None, **kw))
+
+
+def test_a_capped_entity_inside_one_window_is_spread(spark):
+    rows = [("e", f"t{i:05d}", T0 + i * 0.007, float(i % 13), f"m{i % 31}") for i in range(4000)]
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        f = rolling_features(txn_df(spark, rows), hot_rows=20, max_events=50)
+        per = sorted(r["count"] for r in f.groupBy(F.spark_partition_id()).count().collect())
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert len(per) > 1 and per[-1] < len(rows) // 2
+
+
+def test_partitions_of_copied_rows_follow_the_rows(spark, monkeypatch):
+    """A partition holds a bounded number of rows, however Spark would join partitions by their bytes."""
+    from velocis.operators import skew
+    monkeypatch.setattr(skew, "PARTITION_ROWS", 100)
+    rows = [(f"e{i % 20}", f"t{i:05d}", T0 + i * 0.01, 1.0) for i in range(4000)]
+    f = rolling_features(txn_df(spark, rows))
+    assert "REPARTITION_BY_NUM" in f._jdf.queryExecution().executedPlan().toString()
+    per = [r["count"] for r in f.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(per) > 8 and sum(per) == 4000

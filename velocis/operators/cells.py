@@ -16,6 +16,10 @@ counted in the opening balance: it entered with its cell and leaves with its
 next one or ``k - 1`` cells later, a running sum of marks over cells in two
 levels. Every cell is a group of its own for the exchange.
 
+A frame capped at N rows (W2) is ``[rank - (N - 1), rank]`` in the entity's
+order. Ranks count the rows of the cells before and those up to the row in its
+own cell; blocks of ``N - 1`` ranks are then the groups, with at most 2 N rows.
+
 Equal times cannot be parted: rows at one microsecond share a frame.
 """
 
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 from velocis.operators.rolling import (
     ALL_STATS, MICROS, feature_columns, merge_parts, running_parts, statistics,
 )
-from velocis.operators.skew import join_null_safe
+from velocis.operators.skew import SplitPlan, join_null_safe
 from velocis.schemas import WindowSet
 
 #: Cells a task scans in one group of the second level.
@@ -73,7 +77,7 @@ def _cells(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key, "cell", "cell_us").agg(
         F.count("amount").alias("n"), F.sum("amount").alias("s"), F.avg("amount").alias("a"),
         F.var_pop("amount").alias("v"), F.max("amount").alias("hi"), F.min("amount").alias("lo"),
-        F.max_by(event, place).alias("last"))
+        F.max_by(event, place).alias("last"), F.count(F.lit(1)).alias("rows"))
 
 
 def _scan(df: DataFrame, key: str, pos: str, total: Column, running: str) -> DataFrame:
@@ -157,8 +161,41 @@ def _opening_merchants(seen: DataFrame, cells: DataFrame, key: str, w: int) -> D
     return _scan(every, key, "at", F.col("d"), "u").where("ask").select(key, F.col("at").alias("cell"), "u")
 
 
+def _ranks_before(cells: DataFrame, key: str) -> DataFrame:
+    """``key, cell, ahead``: rows of the cells before each cell."""
+    c = _scan(cells.select(key, "cell", "rows"), key, "cell", F.col("rows"), "_upto")
+    return c.select(key, "cell", (F.col("_upto") - F.col("rows")).alias("ahead"))
+
+
+def _capped_frames(rows: DataFrame, key: str, max_events: int, plan: SplitPlan | None) -> DataFrame:
+    """Adds ``_c``: statistics and merchants (``uniq``) of the last
+    ``max_events`` rows by ``_rank``, from running aggregates in blocks of ranks.
+    Copies carry what the frames need, nothing else."""
+    reach = max_events - 1
+    need = {key, "amount", "merchant_id", "_rank"}
+    rest = [c for c in rows.columns if c not in need]
+    counts = F.col("amount").isNotNull() | F.col("merchant_id").isNotNull()
+    rows = rows.select(*need, F.struct(*rest).alias("_rest"))
+    rows = rows.withColumn("_role", F.explode(F.when(counts & F.lit(reach > 0), F.array(F.lit(0), F.lit(1)))
+                                              .otherwise(F.array(F.lit(0)))))
+    own, copy = F.col("_role") == 0, F.col("_role") == 1
+    rows = rows.withColumns({"_rest": F.when(own, F.col("_rest")), "_vr": F.col("_rank") + F.col("_role") * F.lit(reach)})
+    rows = rows.withColumn("_br", F.floor(F.col("_vr") / max(reach, 1)))
+    rows = _spread(rows, plan, key, "_br").withColumns({
+        "_x": F.col("amount"), "_m": F.col("merchant_id"), "_rid": F.monotonically_increasing_id()})
+    rows, (p, q), uniq = running_parts(rows, [key, "_br"], "_vr", own, copy, {"n", "s", "a", "v", "hi", "lo"}, True)
+    found = statistics(merge_parts(p, q)) | {"uniq": uniq}
+    rows = rows.withColumn("_c", F.struct(*[c.alias(k) for k, c in found.items()])).where(own)
+    return rows.select(*need, "_c", *[F.col(f"_rest.{c}").alias(c) for c in rest])
+
+
+def _spread(rows: DataFrame, plan: SplitPlan | None, *keys: str) -> DataFrame:
+    return rows.repartition(*keys) if plan is None or plan.rows is None else plan.spread(rows, *keys)
+
+
 def with_cell_frames(rows: DataFrame, windows: WindowSet, key: str, stats: str = "snapshot",
-                     unique_all: bool = False) -> tuple[DataFrame, list[str]]:
+                     unique_all: bool = False, max_events: int | None = None,
+                     plan: SplitPlan | None = None) -> tuple[DataFrame, list[str]]:
     """Feature columns of ``rows`` (event rows with ``cell_us``), and ``_prev``,
     the struct of the event before each row."""
     base = rows.columns
@@ -180,12 +217,16 @@ def with_cell_frames(rows: DataFrame, windows: WindowSet, key: str, stats: str =
     rows = rows.withColumns({"_wide": F.when(own, F.col("_wide")), "_vt": F.col("us") + moved, "_own_cell": F.col("cell")})
     rows = rows.withColumn("cell", F.floor(F.col("_vt") / F.col("cell_us")))
     block = [key, "cell"]
-    rows = rows.repartition(key, "cell").withColumns({"_x": F.col("amount"), "_rid": F.monotonically_increasing_id()})
+    rows = _spread(rows, plan, key, "cell").withColumns({"_x": F.col("amount"), "_rid": F.monotonically_increasing_id()})
     before = Window.partitionBy(*block).orderBy("_vt", "side", "tid").rowsBetween(Window.unboundedPreceding, -1)
     event = F.when(own, F.struct(F.col("tid"), F.col("_wide.latitude").alias("lat"), F.col("_wide.longitude").alias("lon"),
                                  F.col("us")))
     rows = rows.withColumn("_prev", F.last(event, ignorenulls=True).over(before))
     openings = _last_before(cells, key)
+    if max_events:
+        upto = Window.partitionBy(*block).orderBy("_vt", "side", "tid").rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumn("_rank", F.sum(F.when(own, 1).otherwise(0)).over(upto))
+        openings = join_null_safe(openings, _ranks_before(cells, key), [key, "cell"], "left")
     for r, w in zip(roles[1:], windows.lengths):
         wanted = ALL_STATS if stats == "all" else windows.stats_for(w)
         want_uniq = unique_all or w == windows.long
@@ -209,6 +250,8 @@ def with_cell_frames(rows: DataFrame, windows: WindowSet, key: str, stats: str =
         F.col("_prev"), F.when(F.col("before").isNotNull(), F.struct(
             F.lit(None).cast("string").alias("tid"), F.col("before.lat").alias("lat"), F.col("before.lon").alias("lon"),
             F.col("before.us").alias("us")))))
+    if max_events:
+        rows = _capped_frames(rows.withColumn("_rank", F.col("_rank") + F.col("ahead")), key, max_events, plan)
     final: dict[str, Column] = {}
     for r, w in zip(roles[1:], windows.lengths):
         wanted = ALL_STATS if stats == "all" else windows.stats_for(w)
@@ -216,6 +259,11 @@ def with_cell_frames(rows: DataFrame, windows: WindowSet, key: str, stats: str =
         f = {k: F.col(f"_f{r}.{k}") for k in keys}
         o = {k: F.col(f"_o{r}.{k}") for k in keys} | {"n": F.coalesce(F.col(f"_o{r}.n"), F.lit(0).cast("long"))}
         uniq = (F.col(f"_u{r}") + F.coalesce(f"_ou{r}", F.lit(0))) if unique_all or w == windows.long else None
-        final |= feature_columns(statistics(merge_parts(f, o)), uniq, wanted, w)
+        frame = statistics(merge_parts(f, o))
+        if max_events:
+            over = frame["count"] > F.lit(max_events)
+            frame = {k: F.when(over, F.col(f"_c.{k}")).otherwise(v) for k, v in frame.items()}
+            uniq = F.when(over, F.col("_c.uniq")).otherwise(uniq) if uniq is not None else None
+        final |= feature_columns(frame, uniq, wanted, w)
     rows = rows.withColumns(final)
     return rows.select(*[F.col(f"_wide.{c}").alias(c) if c in wide else F.col(c) for c in base], "_prev", *final), list(final)

@@ -40,17 +40,22 @@ SHORT_FRAME = 64
 
 def with_frames(rows: DataFrame, windows: WindowSet, key: str, amount: Column, merchant: Column,
                 stats: str = "snapshot", max_events: int | None = None,
-                unique_all: bool = False, peak: int | None = None) -> tuple[DataFrame, list[str]]:
+                unique_all: bool = False, plan: skew.SplitPlan | None = None) -> tuple[DataFrame, list[str]]:
     """Window aggregates of every length. Where a frame is known to hold few
-    rows (``peak``, counted by the skew plan, up to ``SHORT_FRAME``) Spark's
+    rows (the skew plan's ``peak`` up to ``SHORT_FRAME``) Spark's
     sliding frames read them, in one sort; else, or if it is not known, running
     aggregates in time linear in the rows. Both give the same statistics, in
     another order of addition."""
-    if peak is not None and peak <= SHORT_FRAME and (max_events or 1) <= SHORT_FRAME:
+    if is_short(plan, max_events):
         return _sliding_frames(rows, windows, key, amount, merchant, stats, max_events, unique_all)
     return _block_frames(rows, windows, key, amount, merchant, stats, max_events, unique_all)
 
 
+def is_short(plan: skew.SplitPlan | None, max_events: int | None = None) -> bool:
+    """Whether every frame is known to hold few rows."""
+    return plan is not None and plan.peak is not None and plan.peak <= SHORT_FRAME and (max_events or 1) <= SHORT_FRAME
+
+
 def _sliding_frames(rows: DataFrame, windows: WindowSet, key: str, amount: Column, merchant: Column, stats: str,
                     max_events: int | None, unique_all: bool) -> tuple[DataFrame, list[str]]:
     """Every frame read on its own: work per row grows with the rows in its frames."""
@@ -261,15 +266,14 @@ def rolling_features(txn: DataFrame, windows: WindowSet = DEFAULT, key: str = "e
     if idle_ttl_s is not None and idle_ttl_s < max(windows.lengths):
         raise ValueError("idle_ttl_s must be at least the longest window")
     plan = skew.plan_splits(rows, key, max(windows.lengths) * MICROS, hot_rows)
-    # capped frames end at a number of rows, not at a time: they keep to slices
-    dense = None if max_events else skew.dense_entities(rows, plan, windows, hot_rows)
+    dense = skew.dense_entities(rows, plan, windows, hot_rows)
     if dense is not None:
         rows = skew.join_null_safe(rows, dense, [key], "left", plan.broadcast)
         dense_rows, rows = rows.where(F.col("cell_us").isNotNull()), rows.where(F.col("cell_us").isNull()).drop("cell_us")
     out, feats = _sliced_frames(rows, plan, windows, key, stats, max_events, unique_all)
     if dense is not None:
         from velocis.operators.cells import with_cell_frames
-        cells, _ = with_cell_frames(dense_rows, windows, key, stats, unique_all)
+        cells, _ = with_cell_frames(dense_rows, windows, key, stats, unique_all, max_events, plan)
         cells = cells.withColumns({f"_prev_{c}": F.col(f"_prev.{c}") for c in ("lat", "lon", "us")})
         out = out.unionByName(cells.select(*out.columns))
     rows = out
@@ -305,9 +309,11 @@ def _sliced_frames(rows: DataFrame, plan: skew.SplitPlan, windows: WindowSet, ke
     base = rows.columns
     rows = skew.assign_split(rows, plan, replicate=True)
     entry = skew.entry_table(rows.where(~F.col("is_ctx")), plan, ["latitude", "longitude"])
+    if not is_short(plan, max_events):
+        rows = plan.spread(rows, key, "split")
     rows = rows.withColumn("_prev", _prev_chain(key))
     rows, feats = with_frames(rows, windows, key, F.col("amount"), F.col("merchant_id"), stats,
-                              max_events, unique_all, plan.peak)
+                              max_events, unique_all, plan)
     rows = rows.where(~F.col("is_ctx"))
     prev = {"lat": F.col("_prev.lat"), "lon": F.col("_prev.lon"), "us": F.col("_prev.us")}
     if entry is not None:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from velocis.functions.scalar import haversine_km, velocity_ratio, zscore
 from velocis.operators import skew
-from velocis.operators.rolling import MICROS, _frame_rows, _prev_chain, with_frames
+from velocis.operators.rolling import MICROS, _frame_rows, _prev_chain, is_short, with_frames
 from velocis.schemas import DEFAULT, WindowSet
 
 
@@ -59,6 +59,8 @@ def _union_pass(events: DataFrame, requests: DataFrame, windows: WindowSet, key:
         null_loc = F.lit(None).cast("struct<tid:string,lat:double,lon:double,us:bigint>")
         rows = rows.withColumn("_d1", null_loc).withColumn("_d2", null_loc)
 
+    if not is_short(plan):
+        rows = plan.spread(rows, key, "split")
     is_ev = F.col("side") == 0
     rows = rows.withColumn("_p1", F.coalesce(_prev_chain(key), F.col("_d1")))
     w_prev = (Window.partitionBy(key, "split").orderBy("us", "side", "tid")
@@ -67,7 +69,7 @@ def _union_pass(events: DataFrame, requests: DataFrame, windows: WindowSet, key:
                                   F.col("longitude").alias("lon"), F.col("_p1").alias("p")))
     rows = rows.withColumn("_c", F.last(cand, ignorenulls=True).over(w_prev))
     rows, _ = with_frames(rows, windows, key, F.when(is_ev, F.col("amount")), F.when(is_ev, F.col("merchant_id")),
-                          peak=plan.peak)
+                          plan=plan)
 
     # requests: newest event before t, in this slice (_c) or before it (_d1,
     # whose own predecessor is _d2), skipped once if it is the scored

@@ -32,7 +32,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_HOT_ROWS = 2_000_000
+#: A task sorts a group's rows several times, with a copy per window length:
+#: about 7 kB of memory a row.
+DEFAULT_HOT_ROWS = 50_000
+#: Rows (before copies) of one partition of the operators that copy rows.
+PARTITION_ROWS = 25_000
 AUTO = "auto"
 # ~50 bytes per slice row: 250k slices is ~12 MB per executor when broadcast
 DEFAULT_BROADCAST_ROWS = 250_000
@@ -43,13 +47,23 @@ class SplitPlan:
     """Slices of the hot entities; ``hot`` is None when no entity is hot.
     ``peak`` is the largest number of rows of an entity in one stretch of
     ``context_us`` (None: not counted), so a frame of that length holds at most
-    twice as many."""
+    twice as many. ``rows`` counts all rows (None: not counted)."""
 
     key: str
     hot: DataFrame | None
     context_us: int
     broadcast: bool
     peak: int | None = None
+    rows: int | None = None
+
+    def spread(self, df: DataFrame, *keys: str) -> DataFrame:
+        """``df`` dealt out by ``keys`` to partitions of ``PARTITION_ROWS`` rows:
+        more rows make more partitions, not larger ones. Sizes in bytes, by which
+        Spark joins partitions, tell little of the memory that sorted copies need."""
+        if self.rows is None:
+            return df
+        least = df.sparkSession.sparkContext.defaultParallelism
+        return df.repartition(max(least, -(-self.rows // PARTITION_ROWS)), *keys)
 
 
 def plan_splits(events: DataFrame, key: str, context_us: int,
@@ -75,9 +89,9 @@ def plan_splits(events: DataFrame, key: str, context_us: int,
     rows = DEFAULT_HOT_ROWS if hot_rows == AUTO else hot_rows
     budget = F.lit(float(rows))
     # one counting job; nothing is written when no entity is hot
-    peak, n_hot = per.agg(F.max("_peak"), F.count_if(F.col("_n") > budget)).first()
+    peak, n_hot, total = per.agg(F.max("_peak"), F.count_if(F.col("_n") > budget), F.sum("_n")).first()
     if not n_hot:
-        return SplitPlan(key, None, context_us, False, peak or 0)
+        return SplitPlan(key, None, context_us, False, peak or 0, total or 0)
     width = F.greatest(F.lit(floor_width).cast("long"),
                        F.ceil((F.col("_hi") - F.col("_lo") + 1) * budget / F.col("_n")).cast("long"))
     hot = per.where(F.col("_n") > budget).select(
@@ -88,7 +102,7 @@ def plan_splits(events: DataFrame, key: str, context_us: int,
              .cast("long").alias("split_last"))
     hot = hot.checkpoint(eager=True)
     slices = hot.agg(F.coalesce(F.sum(F.col("split_last") + 1), F.lit(0))).first()[0]
-    return SplitPlan(key, hot, context_us, slices <= broadcast_rows, peak)
+    return SplitPlan(key, hot, context_us, slices <= broadcast_rows, peak, total)
 
 
 def dense_entities(events: DataFrame, plan: SplitPlan, windows, hot_rows: int | str | None = AUTO) -> DataFrame | None:
@@ -104,7 +118,8 @@ def dense_entities(events: DataFrame, plan: SplitPlan, windows, hot_rows: int |
     full = join_null_safe(events.select(key, "us"), plan.hot.select(key), [key], "left_semi", plan.broadcast) \
         .groupBy(key, F.floor(F.col("us") / plan.context_us).alias("_w")).count() \
         .groupBy(key).agg(F.max("count").alias("_n")).where(F.col("_n") > budget)
-    dense = plan_widths(events, full, key, windows, budget).checkpoint(eager=True)
+    # many small cells make even partitions
+    dense = plan_widths(events, full, key, windows, min(budget, PARTITION_ROWS // 16)).checkpoint(eager=True)
     return None if dense.isEmpty() else dense
 
 

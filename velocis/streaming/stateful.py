@@ -58,13 +58,57 @@ def output_schema(windows: WindowSet = DEFAULT) -> T.StructType:
     return T.StructType(fs)
 
 
-def _haversine(lat1, lon1, lat2, lon2) -> float:
-    if any(v is None or v != v for v in (lat1, lon1, lat2, lon2)) or (lat1 == 0 and lon1 == 0) or (lat2 == 0 and lon2 == 0):
-        return 0.0
+def _haversine(lat1, lon1, lat2, lon2) -> np.ndarray:
     r = np.radians
     a = (np.sin(r(lat2 - lat1) / 2) ** 2
          + np.cos(r(lat1)) * np.cos(r(lat2)) * np.sin(r(lon2 - lon1) / 2) ** 2)
-    return float(2.0 * EARTH_RADIUS_KM * np.arcsin(np.sqrt(min(a, 1.0))))
+    km = 2.0 * EARTH_RADIUS_KM * np.arcsin(np.sqrt(np.minimum(a, 1.0)))
+    return np.where(np.isnan(km) | ((lat1 == 0) & (lon1 == 0)) | ((lat2 == 0) & (lon2 == 0)), 0.0, km)
+
+
+#: Values of frames looked at together.
+FRAME_VALUES = 1 << 20
+
+
+def frame_statistics(amount: np.ndarray, lo: np.ndarray, hi: np.ndarray, merchants: np.ndarray | None) -> dict:
+    """Statistics of the (non-empty) frames ``amount[lo:hi]``; nulls (nan) do
+    not count. ``merchants`` are codes, -1 for none, of which ``uniq`` counts the
+    different ones. Frames are laid end to end, ``FRAME_VALUES`` at a time."""
+    size = hi - lo
+    parts, k = [], 0
+    while k < len(lo):
+        z = max(k + 1, int(np.searchsorted(np.cumsum(size[k:]), FRAME_VALUES, side="right")) + k)
+        parts.append(_frame_statistics(amount, lo[k:z], size[k:z], merchants))
+        k = z
+    if len(parts) == 1:
+        return parts[0]
+    names = parts[0] if parts else _frame_statistics(amount, lo, size, merchants)
+    return {c: np.concatenate([p[c] for p in parts]) if parts else names[c] for c in names}
+
+
+def _frame_statistics(amount, lo, size, merchants) -> dict:
+    n = len(lo)
+    start = np.cumsum(size) - size
+    frame = np.repeat(np.arange(n), size)
+    at = np.arange(len(frame)) + np.repeat(lo - start, size)
+    x = amount[at]
+    there = ~np.isnan(x)
+    k = np.bincount(frame[there], minlength=n)
+    some = np.maximum(k, 1)
+    total = np.bincount(frame[there], weights=x[there], minlength=n)
+    mean = total / some
+    spread = np.bincount(frame[there], weights=(x[there] - mean[frame[there]]) ** 2, minlength=n)
+    out = {"count": k, "sum": total, "mean": mean, "std": np.where(k > 1, np.sqrt(spread / some), 0.0)}
+    if n:
+        out["max"] = np.where(k > 0, np.maximum.reduceat(np.where(there, x, -np.inf), start), 0.0)
+        out["min"] = np.where(k > 0, np.minimum.reduceat(np.where(there, x, np.inf), start), 0.0)
+    else:
+        out["max"] = out["min"] = np.zeros(0)
+    if merchants is not None:
+        code = merchants[at]
+        width = int(merchants.max(initial=0)) + 1
+        out["uniq"] = np.bincount(np.unique(frame[code >= 0] * width + code[code >= 0]) // width, minlength=n)
+    return out
 
 
 def _or_none(v) -> float | None:
@@ -91,16 +135,16 @@ class RollingFeatureProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows), ignore_index=True)
-        meta = self.meta.get() if self.meta.exists() else None
-        st = pd.DataFrame(list(self.events.get()) if self.events.exists() else [],
-                          columns=[f.name for f in EVENT_STATE.fields])
-        n_old = len(st)
-        us = np.concatenate([st["us"].to_numpy(dtype=np.int64), new["us"].to_numpy(dtype=np.int64)])
-        tid = np.concatenate([st["tid"].astype(str).to_numpy(), new["transaction_id"].astype(str).to_numpy()])
-        amt = np.concatenate([st["amount"].to_numpy(dtype=float), new["amount"].to_numpy(dtype=float)])
-        lat = np.concatenate([st["lat"].to_numpy(dtype=float), new["latitude"].to_numpy(dtype=float)])
-        lon = np.concatenate([st["lon"].to_numpy(dtype=float), new["longitude"].to_numpy(dtype=float)])
-        mer = np.concatenate([st["merchant"].to_numpy(dtype=object), new["merchant_id"].to_numpy(dtype=object)])
+        meta = self.meta.get()
+        # one pass over the kept rows: a DataFrame an entity costs more than its frames
+        st = dict(zip(EVENT_STATE.fieldNames(), zip(*self.events.get()))) or {f: () for f in EVENT_STATE.fieldNames()}
+        n_old = len(st["us"])
+        us = np.concatenate([np.array(st["us"], dtype=np.int64), new["us"].to_numpy(dtype=np.int64)])
+        tid = np.concatenate([np.array(st["tid"], dtype=object), new["transaction_id"].astype(str).to_numpy(dtype=object)])
+        amt = np.concatenate([np.array(st["amount"], dtype=float), new["amount"].to_numpy(dtype=float)])
+        lat = np.concatenate([np.array(st["lat"], dtype=float), new["latitude"].to_numpy(dtype=float)])
+        lon = np.concatenate([np.array(st["lon"], dtype=float), new["longitude"].to_numpy(dtype=float)])
+        mer = np.concatenate([np.array(st["merchant"], dtype=object), new["merchant_id"].to_numpy(dtype=object)])
         src = np.concatenate([np.full(n_old, -1), np.arange(len(new))])   # row of ``new`` or -1 for state
         # one sort per batch: kept and new rows in (time, id) order
         order = np.lexsort((tid, us))
@@ -117,49 +161,39 @@ class RollingFeatureProcessor(StatefulProcessor):
                 ev = (None, None, None, None)
         ws = self.windows
         lg, sh = ws.long, ws.short
-        bounds = {w: np.searchsorted(us, us - w * 1_000_000, side="left") for w in ws.lengths}
-        hi_all = np.searchsorted(us, us, side="right")          # RANGE peers included
-        out = []
-        for j in np.nonzero(src >= 0)[0]:
-            s0 = seg[j]
-            rec = {"entity_id": key[0], "transaction_id": tid[j], "us": int(us[j])}
-            for w_s in ws.lengths:
-                lo, hi = max(bounds[w_s][j], s0), hi_all[j]
-                if self.max_events and hi - lo > self.max_events:
-                    lo, hi = max(j - self.max_events + 1, 0), j + 1
-                a = amt[lo:hi]
-                a = a[~np.isnan(a)]          # null amounts do not count, as in batch
-                k = len(a)
-                stats = {"count": k, "sum": float(a.sum()) if k else 0.0,
-                         "mean": float(a.mean()) if k else 0.0,
-                         "std": float(a.std()) if k > 1 else 0.0,
-                         "max": float(a.max()) if k else 0.0, "min": float(a.min()) if k else 0.0}
-                for s_ in ws.stats_for(w_s):
-                    name = f"txn_count_{w_s}s" if s_ == "count" else f"amount_{s_}_{w_s}s"
-                    rec[name] = stats[s_]
-                if w_s == lg:
-                    rec[f"unique_merchants_{w_s}s"] = len({m for m in mer[lo:hi] if isinstance(m, str)})
-            sd = rec[f"amount_std_{lg}s"]
-            rec["amount_zscore"] = (amt[j] - rec[f"amount_mean_{lg}s"]) / sd \
-                if sd >= STD_EPSILON and not np.isnan(amt[j]) else 0.0
-            rec["velocity_change_ratio"] = rec[f"txn_count_{sh}s"] / max(rec[f"txn_count_{lg}s"], 1) * 60.0
-            if j - 1 >= s0:
-                plat, plon = float(lat[j - 1]), float(lon[j - 1])
-            elif s0 == 0 and ev[0] is not None and (ev[0], ev[1]) < (us[j], tid[j]):
-                plat, plon = ev[2], ev[3]      # only if it is earlier: a late row may be older
-            else:
-                plat, plon = None, None
-            rec["geo_distance_delta"] = _haversine(plat, plon, lat[j], lon[j])
-            rec["current_amount"] = 0.0 if np.isnan(amt[j]) else float(amt[j])
-            rec["merchant_category"] = new["merchant_category"].iloc[src[j]]
-            rec["latitude"], rec["longitude"] = _or_none(lat[j]), _or_none(lon[j])
-            rec["prev_latitude"], rec["prev_longitude"] = _or_none(plat), _or_none(plon)
-            out.append(rec)
+        at = np.nonzero(src >= 0)[0]
+        after = np.searchsorted(us, us[at], side="right")       # RANGE peers included
+        merchants = pd.factorize(np.array([m if isinstance(m, str) else None for m in mer], dtype=object))[0]
+        rec = {"entity_id": np.full(len(at), key[0], dtype=object), "transaction_id": tid[at], "us": us[at]}
+        for w_s in ws.lengths:
+            lo, hi = np.maximum(np.searchsorted(us, us[at] - w_s * 1_000_000, side="left"), seg[at]), after
+            if self.max_events:
+                over = hi - lo > self.max_events
+                lo, hi = np.where(over, np.maximum(at - self.max_events + 1, 0), lo), np.where(over, at + 1, hi)
+            stats = frame_statistics(amt, lo, hi, merchants if w_s == lg else None)
+            for s_ in ws.stats_for(w_s):
+                rec[f"txn_count_{w_s}s" if s_ == "count" else f"amount_{s_}_{w_s}s"] = stats[s_]
+            if w_s == lg:
+                rec[f"unique_merchants_{w_s}s"] = stats["uniq"]
+        sd, here = rec[f"amount_std_{lg}s"], amt[at]
+        scored = (sd >= STD_EPSILON) & ~np.isnan(here)
+        rec["amount_zscore"] = np.where(scored, (here - rec[f"amount_mean_{lg}s"]) / np.where(scored, sd, 1.0), 0.0)
+        rec["velocity_change_ratio"] = rec[f"txn_count_{sh}s"] / np.maximum(rec[f"txn_count_{lg}s"], 1) * 60.0
+        inside = at - 1 >= seg[at]
+        plat, plon = np.where(inside, lat[at - 1], np.nan), np.where(inside, lon[at - 1], np.nan)
+        if len(at) and at[0] == 0 and ev[0] is not None and (ev[0], ev[1]) < (us[0], tid[0]):
+            # only if it is earlier: a late row may be older
+            plat[0], plon[0] = (np.nan if v is None else v for v in ev[2:])
+        rec["geo_distance_delta"] = _haversine(plat, plon, lat[at], lon[at])
+        rec["current_amount"] = np.where(np.isnan(here), 0.0, here)
+        rec["merchant_category"] = new["merchant_category"].to_numpy(dtype=object)[src[at]]
+        rec["latitude"], rec["longitude"], rec["prev_latitude"], rec["prev_longitude"] = lat[at], lon[at], plat, plon
+        out = pd.DataFrame({f.name: rec[f.name] for f in output_schema(ws).fields}, copy=False)
         last = int(seg[-1]) if n else 0
         if last > 0:
             ev = (None, None, None, None)
         self._update_state(us[last:], tid[last:], amt[last:], lat[last:], lon[last:], mer[last:], meta, ev)
-        yield pd.DataFrame(out, columns=[f.name for f in output_schema(ws).fields])
+        yield out
 
     def _update_state(self, us, tid, amt, lat, lon, mer, meta, ev) -> None:
         """Rows arrive sorted by (us, tid). Keep what a future frame can reach;
@@ -174,8 +208,9 @@ class RollingFeatureProcessor(StatefulProcessor):
             if ev[0] is None or (us[g], tid[g]) > (ev[0], ev[1]):
                 ev = (int(us[g]), str(tid[g]), _or_none(lat[g]), _or_none(lon[g]))
         kept = np.nonzero(keep)[0]
-        self.events.clear()
-        if len(kept):
+        if not len(kept):
+            self.events.clear()
+        else:  # in place of the old rows
             self.events.put([(int(us[k]), str(tid[k]), _or_none(amt[k]), _or_none(lat[k]), _or_none(lon[k]),
                               mer[k] if isinstance(mer[k], str) else None) for k in kept])
         timer = meta[5] if meta else None
