@@ -366,3 +366,53 @@ def test_snapshot_lookup_of_unknown_entities_is_a_miss(spark):
     table = SnapshotTable(spark, scratch_path(spark, f"tests/snapm-{uuid.uuid4().hex[:8]}"), DEFAULT, n_buckets=4)
     table.upsert(rolling_features(txn, DEFAULT))
     assert table.lookup(0, spark.createDataFrame([("nobody",), (None,)], "entity_id string")).count() == 0
+
+
+@pytest.mark.parametrize("together", [1 << 20, 5])
+def test_frames_of_a_batch_are_computed_together(monkeypatch, together):
+    """All frames of an entity's new rows at once, in parts of bounded size; nulls do not count."""
+    import numpy as np
+    from velocis.streaming import stateful
+    monkeypatch.setattr(stateful, "FRAME_VALUES", together)
+    x = np.array([1.0, np.nan, 4.0, 4.0, np.nan, 7.5, -2.0])
+    m = np.array([0, 1, -1, 0, -1, 2, 1])
+    lo, hi = np.array([0, 0, 1, 4, 1, 6]), np.array([1, 3, 2, 5, 7, 7])
+    got = stateful.frame_statistics(x, lo, hi, m)
+    for i, (a, z) in enumerate(zip(lo, hi)):
+        v = x[a:z][~np.isnan(x[a:z])]
+        want = (len(v), v.sum(), *((v.mean(), v.std(), v.max(), v.min()) if len(v) else (0, 0, 0, 0)))
+        assert [got[c][i] for c in ("count", "sum", "mean", "std", "max", "min")] == pytest.approx(want)
+        assert got["uniq"][i] == len(set(m[a:z]) - {-1})
+
+
+def test_the_processor_gives_rows(spark):
+    """Rows, not a table an entity: its cost is per entity and micro-batch."""
+    from velocis.schemas import DEFAULT
+    from velocis.streaming.stateful import RollingFeatureProcessor, output_schema
+
+    class State(list):
+        def get(self):
+            return iter(self)
+
+        def put(self, rows):
+            self[:] = rows
+
+    class Meta:
+        value = None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    p = RollingFeatureProcessor(DEFAULT)
+    p.events, p.meta = State(), Meta()
+    new = [{"entity_id": None, "transaction_id": f"t{i}", "us": i * 1_000_000, "amount": None if i == 1 else 2.0,
+            "merchant_id": None if i == 2 else "m", "merchant_category": "c", "latitude": 1.0, "longitude": None}
+           for i in range(4)]
+    out = [*p.handleInputRows((None,), iter(new[:3]), None), *p.handleInputRows((None,), iter(new[3:]), None)]
+    assert [r.transaction_id for r in out] == ["t0", "t1", "t2", "t3"]
+    assert [*out[3].asDict()] == output_schema(DEFAULT).fieldNames()
+    assert (out[3].txn_count_60s, out[3].amount_sum_60s, out[3].unique_merchants_60s) == (3, 6.0, 1)
+    assert (out[3].longitude, out[3].prev_latitude, out[3].prev_longitude) == (None, 1.0, None)

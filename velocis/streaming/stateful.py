@@ -1,6 +1,7 @@
 """Per-entity rolling features on a stream.
 
-``transformWithStateInPandas`` keyed by entity. State per entity:
+``transformWithState`` keyed by entity, over rows: most entities have few in a
+micro-batch, and a table an entity costs more than its frames. State per entity:
 
 * ``events`` (ListState): the entity's events that a future frame can still
   reach: within the longest window (plus the allowed lateness) of the newest
@@ -27,14 +28,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from velocis.session import ship_package
 from velocis.schemas import DEFAULT, EARTH_RADIUS_KM, STD_EPSILON, WindowSet, integer_feature
 
+INPUT_COLS = ["entity_id", "transaction_id", "us", "amount", "merchant_id", "merchant_category", "latitude", "longitude"]
 EVENT_STATE = T.StructType([
     T.StructField("us", T.LongType()), T.StructField("tid", T.StringType()),
     T.StructField("amount", T.DoubleType()), T.StructField("lat", T.DoubleType()),
@@ -127,25 +128,29 @@ class RollingFeatureProcessor(StatefulProcessor):
         self.keep_us = int((max(windows.lengths) + lateness_s) * 1_000_000)
         self.idle_us = int(idle_ttl_s * 1_000_000) if idle_ttl_s else None
         self.timers = timers
+        self.row = Row(*output_schema(windows).fieldNames())
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.events = handle.getListState("events", EVENT_STATE)
         self.meta = handle.getValueState("meta", META_STATE)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows), ignore_index=True)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        # one array a column: a DataFrame an entity costs more than its frames
+        new = dict(zip(INPUT_COLS, zip(*[[r[c] for c in INPUT_COLS] for r in rows])))
         meta = self.meta.get()
-        # one pass over the kept rows: a DataFrame an entity costs more than its frames
-        st = dict(zip(EVENT_STATE.fieldNames(), zip(*self.events.get()))) or {f: () for f in EVENT_STATE.fieldNames()}
+        names = EVENT_STATE.fieldNames()
+        st = dict(zip(names, zip(*self.events.get()))) or {c: () for c in names}
         n_old = len(st["us"])
-        us = np.concatenate([np.array(st["us"], dtype=np.int64), new["us"].to_numpy(dtype=np.int64)])
-        tid = np.concatenate([np.array(st["tid"], dtype=object), new["transaction_id"].astype(str).to_numpy(dtype=object)])
-        amt = np.concatenate([np.array(st["amount"], dtype=float), new["amount"].to_numpy(dtype=float)])
-        lat = np.concatenate([np.array(st["lat"], dtype=float), new["latitude"].to_numpy(dtype=float)])
-        lon = np.concatenate([np.array(st["lon"], dtype=float), new["longitude"].to_numpy(dtype=float)])
-        mer = np.concatenate([np.array(st["merchant"], dtype=object), new["merchant_id"].to_numpy(dtype=object)])
-        src = np.concatenate([np.full(n_old, -1), np.arange(len(new))])   # row of ``new`` or -1 for state
+
+        def column(old, fresh, kind):
+            return np.concatenate([np.array(st[old], dtype=kind), np.array(new[fresh], dtype=kind)])
+
+        us, tid = column("us", "us", np.int64), column("tid", "transaction_id", object)
+        tid = np.array([str(x) for x in tid], dtype=object)
+        amt, lat, lon = column("amount", "amount", float), column("lat", "latitude", float), column("lon", "longitude", float)
+        mer = column("merchant", "merchant_id", object)
+        src = np.concatenate([np.full(n_old, -1), np.arange(len(new["us"]))])   # row of ``new`` or -1 for state
         # one sort per batch: kept and new rows in (time, id) order
         order = np.lexsort((tid, us))
         us, tid, amt, lat, lon, mer, src = (a[order] for a in (us, tid, amt, lat, lon, mer, src))
@@ -163,8 +168,9 @@ class RollingFeatureProcessor(StatefulProcessor):
         lg, sh = ws.long, ws.short
         at = np.nonzero(src >= 0)[0]
         after = np.searchsorted(us, us[at], side="right")       # RANGE peers included
-        merchants = pd.factorize(np.array([m if isinstance(m, str) else None for m in mer], dtype=object))[0]
-        rec = {"entity_id": np.full(len(at), key[0], dtype=object), "transaction_id": tid[at], "us": us[at]}
+        code = {m: k for k, m in enumerate({m for m in mer if isinstance(m, str)})}
+        merchants = np.array([code.get(m, -1) if isinstance(m, str) else -1 for m in mer], dtype=np.int64)
+        rec = {"transaction_id": tid[at], "us": us[at]}
         for w_s in ws.lengths:
             lo, hi = np.maximum(np.searchsorted(us, us[at] - w_s * 1_000_000, side="left"), seg[at]), after
             if self.max_events:
@@ -186,14 +192,18 @@ class RollingFeatureProcessor(StatefulProcessor):
             plat[0], plon[0] = (np.nan if v is None else v for v in ev[2:])
         rec["geo_distance_delta"] = _haversine(plat, plon, lat[at], lon[at])
         rec["current_amount"] = np.where(np.isnan(here), 0.0, here)
-        rec["merchant_category"] = new["merchant_category"].to_numpy(dtype=object)[src[at]]
+        rec["merchant_category"] = np.array(new["merchant_category"], dtype=object)[src[at]]
         rec["latitude"], rec["longitude"], rec["prev_latitude"], rec["prev_longitude"] = lat[at], lon[at], plat, plon
-        out = pd.DataFrame({f.name: rec[f.name] for f in output_schema(ws).fields}, copy=False)
+        values = {c: v.tolist() for c, v in rec.items()}
+        for c in ("latitude", "longitude", "prev_latitude", "prev_longitude"):
+            values[c] = [_or_none(v) for v in values[c]]
+        values["entity_id"] = [key[0]] * len(at)
+        out = [self.row(*r) for r in zip(*(values[c] for c in self.row))]
         last = int(seg[-1]) if n else 0
         if last > 0:
             ev = (None, None, None, None)
         self._update_state(us[last:], tid[last:], amt[last:], lat[last:], lon[last:], mer[last:], meta, ev)
-        yield out
+        yield from out
 
     def _update_state(self, us, tid, amt, lat, lon, mer, meta, ev) -> None:
         """Rows arrive sorted by (us, tid). Keep what a future frame can reach;
@@ -222,10 +232,10 @@ class RollingFeatureProcessor(StatefulProcessor):
             timer = new_timer
         self.meta.update((max_us, ev[0], ev[1], ev[2], ev[3], timer))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.events.clear()
         self.meta.clear()
-        yield pd.DataFrame(columns=[f.name for f in output_schema(self.windows).fields])
+        yield from ()
 
     def close(self) -> None:
         pass
@@ -237,9 +247,7 @@ def rolling_features_stateful(txn: DataFrame, windows: WindowSet = DEFAULT, max_
     """Apply the stateful processor to a (streaming) transaction DataFrame
     with ``us`` and ``event_ts`` columns. With ``event_time`` the stream must
     carry a watermark on ``event_ts`` and idle timers are enabled."""
-    cols = ["entity_id", "transaction_id", "us", "amount", "merchant_id", "merchant_category",
-            "latitude", "longitude"]
-    src = txn.select(*cols, "event_ts") if event_time else txn.select(*cols)
+    src = txn.select(*INPUT_COLS, "event_ts") if event_time else txn.select(*INPUT_COLS)
     spark = txn.sparkSession
     ship_package(spark)
     provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -249,6 +257,6 @@ def rolling_features_stateful(txn: DataFrame, windows: WindowSet = DEFAULT, max_
     # sure it exists when the processor runs on a static DataFrame
     _ = spark.streams.active
     proc = RollingFeatureProcessor(windows, max_events, lateness_s, idle_ttl_s, timers=event_time)
-    return src.groupBy("entity_id").transformWithStateInPandas(
+    return src.groupBy("entity_id").transformWithState(
         statefulProcessor=proc, outputStructType=output_schema(windows), outputMode="Append",
         timeMode="EventTime" if event_time else "None")
