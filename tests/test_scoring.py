@@ -135,3 +135,20 @@ def test_newton_logistic_regression_equals_train_lr(spark):
         train_lr_newton(train.where("label = 1"))
     with pytest.raises(ValueError):
         train_lr_newton(train.where("false"))
+
+
+def test_train_lr_computes_the_features_once(spark, monkeypatch):
+    """Scaler, class counts, row count and fit read a written training set."""
+    from conftest import SF001
+    from velocis.plans import training_queries as tq
+
+    class Seen(Exception):
+        pass
+
+    def fit(train, *_):
+        raise Seen(train._jdf.queryExecution().executedPlan().toString())
+
+    monkeypatch.setattr(tq, "train_lr", fit)
+    with pytest.raises(Seen) as e:
+        tq.q_train_lr(spark, SF001)
+    assert "Window" not in str(e.value) and "parquet" not in str(e.value)
