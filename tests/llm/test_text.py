@@ -45,6 +45,19 @@ def test_encoder_matches_the_library(tik):
         assert enc.encode(t) == ids and enc.decode(ids) == t.encode()
 
 
+def test_words_of_a_task_are_merged_once(monkeypatch):
+    """A task's text has more than 150,000 different words: those seen again are not merged anew."""
+    with open(RANKS, "rb") as f:
+        enc = byte_bpe.Encoder(f.read(), P.PATTERN)
+    merges, real = [], byte_bpe.merge
+    monkeypatch.setattr(byte_bpe, "merge", lambda ids, *a: merges.append(1) or real(ids, *a))
+    letters = "abcdefgh"
+    text = " ".join("qx" + "".join(letters[k >> 3 * i & 7] for i in range(6)) for k in range(160_000))
+    first = enc.encode(text)
+    n = len(merges)
+    assert n > 150_000 and enc.encode(text) == first and len(merges) == n
+
+
 def test_counter_matches_the_library():
     lib = Tokenizer.from_file(JSON)
     proved = token_counts.prove_whole(open(JSON, encoding="utf-8").read())

@@ -34,6 +34,9 @@ OVERLAP = 1 << 10
 MARGIN = 4
 #: Units, and pieces, a worker remembers before it starts anew; a bound on memory only.
 REMEMBER = 150_000
+#: The same for this encoder: as many as a task's text has different ones (about 200 bytes each),
+#: or frequent ones are merged anew each time.
+REMEMBER_IDS = 400_000
 #: The space comes first: ``re`` then searches for it, instead of looking back at every character.
 _SAFE_CUT = re.compile(r" (?<=\S )(?=\S)")
 
@@ -127,7 +130,7 @@ class Encoder:
         if ids is None:
             ids = array("I", merge([self.byte[x] for x in b], self.pair, self.ids)).tobytes()
         if len(piece) <= 64:
-            if len(self.pieces) >= REMEMBER:
+            if len(self.pieces) >= REMEMBER_IDS:
                 self.pieces.clear()
             self.pieces[piece] = ids
         return ids
@@ -136,7 +139,7 @@ class Encoder:
         get = self.pieces.get
         ids = b"".join([get(p) or self._piece(p) for p in self.pattern.findall(unit)])
         if len(unit) <= 64:
-            if len(self.known) >= REMEMBER:
+            if len(self.known) >= REMEMBER_IDS:
                 self.known.clear()
             self.known[unit] = ids
         return ids
