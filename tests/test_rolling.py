@@ -394,3 +394,18 @@ def test_partitions_of_copied_rows_follow_the_rows(spark, monkeypatch):
     assert "REPARTITION_BY_NUM" in f._jdf.queryExecution().executedPlan().toString()
     per = [r["count"] for r in f.groupBy(F.spark_partition_id()).count().collect()]
     assert len(per) > 8 and sum(per) == 4000
+
+
+def test_partitions_follow_the_rows_without_hot_entities(spark, monkeypatch):
+    """No entity is hot: the one exchange of the frames is that of ``spread``."""
+    from velocis.operators import rolling, skew
+    monkeypatch.setattr(skew, "PARTITION_ROWS", 40)
+    monkeypatch.setattr(rolling, "SHORT_FRAME", 1)
+    rows = spark.range(800).selectExpr(
+        "concat('e', id % 40) AS entity_id", "cast(id AS string) AS transaction_id", "id * 1000000 AS us",
+        "cast(id AS double) AS amount", "concat('m', id % 3) AS merchant_id", "'x' AS merchant_category",
+        "1.0D AS latitude", "2.0D AS longitude")
+    out = rolling.rolling_features(rows)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+    assert out.rdd.getNumPartitions() == 20 and out.count() == 800

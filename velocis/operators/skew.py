@@ -59,9 +59,14 @@ class SplitPlan:
     def spread(self, df: DataFrame, *keys: str) -> DataFrame:
         """``df`` dealt out by ``keys`` to partitions of ``PARTITION_ROWS`` rows:
         more rows make more partitions, not larger ones. Sizes in bytes, by which
-        Spark joins partitions, tell little of the memory that sorted copies need."""
+        Spark joins partitions, tell little of the memory that sorted copies need.
+
+        Without hot entities ``split`` is a constant. Spark drops it from the keys of the
+        windows, which would then deal the rows out anew, to a fixed number of partitions."""
         if self.rows is None:
             return df
+        if self.hot is None:
+            keys = tuple(k for k in keys if k != "split")
         least = df.sparkSession.sparkContext.defaultParallelism
         return df.repartition(max(least, -(-self.rows // PARTITION_ROWS)), *keys)
 
