@@ -152,3 +152,17 @@ def test_train_lr_computes_the_features_once(spark, monkeypatch):
     with pytest.raises(Seen) as e:
         tq.q_train_lr(spark, SF001)
     assert "Window" not in str(e.value) and "parquet" not in str(e.value)
+
+
+def test_boosted_trees_are_fitted_on_partitions_of_many_rows(spark, monkeypatch):
+    """Each level of each tree is a job: its tasks follow the cores, not the partitions of the features."""
+    from pyspark.ml import Pipeline
+    from velocis.operators.training import train_gbt
+    cores = spark.sparkContext.defaultParallelism
+    cols = [f"cast(id % {k + 2} AS double) AS {c}" for k, c in enumerate(DEFAULT.feature_columns())]
+    train = spark.range(400).selectExpr("id AS transaction_id", *cols, "cast(id % 3 = 0 AS int) AS label") \
+        .repartition(cores * 5)
+    seen, fit = [], Pipeline.fit
+    monkeypatch.setattr(Pipeline, "fit", lambda self, df: seen.append(df.rdd.getNumPartitions()) or fit(self, df))
+    train_gbt(train, DEFAULT, max_iter=1, max_depth=2)
+    assert seen == [cores]

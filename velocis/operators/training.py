@@ -21,6 +21,8 @@ from velocis.operators.ordering import ranked
 from velocis.schemas import DEFAULT, WindowSet
 
 HASH_BUCKETS = 10_000
+#: Training rows (about 200 bytes each, binned and kept in memory) of one partition of a fit.
+FIT_ROWS = 1_000_000
 
 
 def _hash_bucket(id_col: str, seed: int) -> F.Column:
@@ -83,11 +85,16 @@ def apply_scaler(df: DataFrame, scaler_row: dict, columns: Sequence[str]) -> Dat
                            for c in columns})
 
 
-def class_weights(train: DataFrame, mode: str = "pos") -> DataFrame:
-    """Row weights: ``pos`` = positives weighted neg/pos (M4, A17);
-    ``balanced`` = n / (2 * n_class) (M5)."""
+def class_counts(train: DataFrame) -> tuple[int, int]:
+    """Rows and positives."""
     counts = train.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos")).first()
-    n, pos = counts["n"], counts["pos"] or 0
+    return counts["n"], counts["pos"] or 0
+
+
+def class_weights(train: DataFrame, mode: str = "pos", counts: tuple[int, int] | None = None) -> DataFrame:
+    """Row weights: ``pos`` = positives weighted neg/pos (M4, A17);
+    ``balanced`` = n / (2 * n_class) (M5). ``counts`` are those of ``class_counts``, if known."""
+    n, pos = counts or class_counts(train)
     neg = n - pos
     if mode == "balanced":
         wp = n / (2.0 * pos) if pos else 1.0
@@ -99,11 +106,18 @@ def class_weights(train: DataFrame, mode: str = "pos") -> DataFrame:
 
 def train_gbt(train: DataFrame, windows: WindowSet = DEFAULT, max_iter: int = 100, max_depth: int = 6,
               step: float = 0.3, subsample: float = 0.8, col_subsample: str = "0.8", seed: int = 42):
-    """Boosted trees with the positive class weighted neg/pos (M4)."""
+    """Boosted trees with the positive class weighted neg/pos (M4).
+
+    Every level of every tree is a job over all partitions (700 jobs with the
+    defaults). The features come in partitions small enough to sort, many more
+    than there are cores; the fit only sums bins over them, so they are joined
+    to ``FIT_ROWS`` rows each, or one a core."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
-    w = class_weights(train, "pos")
+    counts = class_counts(train)
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    w = class_weights(train.coalesce(max(cores, -(-counts[0] // FIT_ROWS))), "pos", counts)
     asm = VectorAssembler(inputCols=windows.feature_columns(), outputCol="features_vec")
     gbt = GBTClassifier(featuresCol="features_vec", labelCol="label", weightCol="weight",
                         maxIter=max_iter, maxDepth=max_depth, stepSize=step, subsamplingRate=subsample,
